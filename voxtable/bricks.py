@@ -22,8 +22,9 @@ def with_halo(df: DataFrame, brick: Sequence[int], halo: Sequence[int]) -> DataF
     for axis, n, b, h in zip(ZYX, ("nz", "ny", "nx"), brick, halo):
         first = F.greatest(F.floor((F.col(axis) - h) / b), F.lit(0))
         last = F.least(F.floor((F.col(axis) + h) / b), F.floor((F.col(n) - 1) / b))
-        target = F.floor(F.col(axis) / b) if h == 0 else F.explode(F.sequence(first, last))
-        df = df.withColumn(f"b{axis}", target.cast("int"))
+        first, last = first.cast("int"), last.cast("int")
+        target = F.floor(F.col(axis) / b).cast("int") if h == 0 else F.explode(F.sequence(first, last))
+        df = df.withColumn(f"b{axis}", target)
     return df
 
 
@@ -62,7 +63,7 @@ def stencil(
         if any(p != (0, 0) for p in pad):
             dense = np.pad(dense, pad, mode=edge)
         at = np.nonzero(fn(dense))
-        out = {k: [first[k]] * len(at[0]) for k in keys}
+        out = {k: np.full(len(at[0]), first[k], dtype=object) for k in keys}
         out |= {c: (i + s).astype("int32") for c, i, s in zip(ZYX, at, start)}
         return pd.DataFrame(out)
 

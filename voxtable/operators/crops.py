@@ -38,7 +38,7 @@ def stretch_z(rows: DataFrame, order: int, value: str, by: Sequence[str]) -> Dat
     else:
         lo, hi = F.floor((F.col("z") - reach) * F.col("_r")) + 1, F.ceil((F.col("z") + reach) * F.col("_r")) - 1
     r = r.withColumn("_lo", F.greatest(lo, F.lit(0))).withColumn("_hi", F.least(hi, F.col("_m") - 1)).filter("_lo <= _hi")
-    r = r.withColumn("_i", F.explode(F.expr("sequence(_lo, _hi)")).cast("int"))
+    r = r.withColumn("_i", F.explode(F.expr("sequence(cast(_lo AS int), cast(_hi AS int))")))
     if order == 0:
         return r.select(*by, F.col("_i").alias("z"), value)
     w = 1.0 - F.abs(F.col("_i") / F.col("_r") - F.col("z"))

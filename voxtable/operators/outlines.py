@@ -148,4 +148,4 @@ def rasterize(polygons: DataFrame, volumes: DataFrame, keys: Sequence[str] = KEY
     rows = rows.withColumn("_i", F.explode(F.expr("sequence(0, size(_c) - 2, 2)")))
     rows = rows.withColumn("_a", F.greatest(F.ceil(F.expr("_c[_i]")), F.lit(0)))
     rows = rows.withColumn("_b", F.least(F.ceil(F.expr("_c[_i + 1]")) - 1, F.col("nx") - 1)).filter("_a <= _b")
-    return rows.select(*keys, "z", F.col("y").cast("int"), F.explode(F.expr("sequence(_a, _b)")).cast("int").alias("x"))
+    return rows.select(*keys, "z", F.col("y").cast("int"), F.explode(F.expr("sequence(cast(_a AS int), cast(_b AS int))")).alias("x"))

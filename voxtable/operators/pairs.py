@@ -39,7 +39,7 @@ def bbox_pairs(a: DataFrame, b: DataFrame, margin: float | Column = 0, keys: Seq
         for c in ZYX:
             lo = F.floor((F.col(f"{p}{c}0") - m) / cell)
             hi = F.floor((F.col(f"{p}{c}1") + m) / cell)
-            df = df.withColumn(f"{p}g{c}", lo.cast("int")).withColumn(f"g{c}", F.explode(F.sequence(lo, hi)).cast("int"))
+            df = df.withColumn(f"{p}g{c}", lo.cast("int")).withColumn(f"g{c}", F.explode(F.sequence(lo, hi)))
         return df
 
     left = spread(_prefixed(a.withColumn("_m", margin), keys, "a_"), "a_", F.col("a__m"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.scalar import anisotropy
 from ..schemas import KEYS, VOLUMES, VOXELS
@@ -66,7 +66,7 @@ def read_metadata(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return parse_metadata(t)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def text_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Similarity of two names (2 x matching characters / total), as Python's difflib gives it."""
     from difflib import SequenceMatcher
