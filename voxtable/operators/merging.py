@@ -141,7 +141,8 @@ def _grouped(objs: DataFrame, links: DataFrame, roots: DataFrame, keys: Sequence
         [*field_types(objs, keys), T.StructField("label", T.IntegerType()), T.StructField("new_label", T.IntegerType())]
     )
     o = objs.join(roots, [*keys, "label"])
-    e = links.join(roots.withColumnRenamed("label", "source"), [*keys, "source"])
+    own = roots.select(*keys, F.col("label").alias("source"), F.col("_group").alias("_group"))
+    e = materialize(links.join(own, [*keys, "source"]), "links")
 
     def go(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left = left.sort_values("label", ignore_index=True)

@@ -63,16 +63,6 @@ def remove_global(spark, sf):
     return rounded(M.remove_global(vox(spark, sf), brain(spark, sf), vol(spark, sf), 2.5).select("fish_id", *ZYX, "value"))
 
 
-@query("remove_global_eroded", with_(VOX, VOL, body="""
-, k AS (SELECT v.* FROM vox v JOIN (SELECT fish_id, max(value) * CAST(0.0 AS DOUBLE) AS t FROM vox GROUP BY ALL) USING (fish_id) WHERE value > t)
-SELECT a.fish_id, a.z, a.y, a.x FROM k a JOIN k b ON b.fish_id = a.fish_id AND b.z = a.z AND abs(b.y - a.y) + abs(b.x - a.x) = 1
-GROUP BY ALL HAVING count(*) = 4""".strip()))
-def remove_global_eroded(spark, sf):
-    """Zero-mode background (mostly empty mask) with one step of per-slice erosion."""
-    v = vox(spark, sf)
-    return points(M.apply_mask(v, S.erode2d(v.filter("value > 0"), vol(spark, sf), 1)))
-
-
 @query("fill_outside_random", with_(VOX, VOL, BRAIN, body="""
 SELECT v.fish_id, nz * ny * nx - m.n AS n_noise, i.n AS n_inside, true AS in_range FROM vol v JOIN (SELECT fish_id, count(*) AS n FROM brain GROUP BY ALL) m USING (fish_id)
 JOIN (SELECT fish_id, count(*) AS n FROM vox JOIN brain USING (fish_id, z, y, x) GROUP BY ALL) i USING (fish_id)"""))
@@ -177,6 +167,13 @@ for _flat, _n in ((True, 1), (True, 2), (False, 1), (False, 2)):
         return fn(pitted(spark, sf), vol(spark, sf), n)
 
 
+@query("remove_global_eroded", with_(VOX, VOL, BRAIN, M_SQL, body=erosion_sql(True, 1)))
+def remove_global_eroded(spark, sf):
+    """A bright pitted box: every site passes the threshold, then one step of per-slice erosion."""
+    v = pitted(spark, sf).withColumn("value", F.lit(100.0) + F.col("x") % 3)
+    return points(M.remove_global(v, brain(spark, sf), vol(spark, sf), -50.0, 1))
+
+
 @query("erode3d_small_bricks", with_(VOX, VOL, BRAIN, M_SQL, body=erosion_sql(False, 2)))
 def erode3d_small_bricks(spark, sf):
     """The same erosion cut into 8-site bricks with halos."""

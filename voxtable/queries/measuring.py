@@ -45,10 +45,10 @@ ax AS (SELECT *, CASE WHEN l1 + l2 - l3 <= t * 1e-9 THEN 0 ELSE sqrt(10 * (l1 +
 
 
 @query("regionprops", with_(*B, PROPS, body="""
-SELECT fish_id, label, volume_vox, round(volume_vox * 1.0 / ((z1 - z0) * (y1 - y0) * (x1 - x0)), 6) AS extent, round(i_zz, 6) AS i_zz, round(i_yy, 6) AS i_yy,
-  round(i_xx, 6) AS i_xx, round(i_zy, 6) + 0.0 AS i_zy, round(i_zx, 6) + 0.0 AS i_zx, round(i_yx, 6) + 0.0 AS i_yx FROM pr"""))
+SELECT fish_id, label, volume_vox, round(volume_vox * 1.0 / ((z1 - z0) * (y1 - y0) * (x1 - x0)), 6) AS extent, round(i_zz + 3e-8, 6) AS i_zz, round(i_yy + 3e-8, 6) AS i_yy,
+  round(i_xx + 3e-8, 6) AS i_xx, round(i_zy + 3e-8, 6) + 0.0 AS i_zy, round(i_zx + 3e-8, 6) + 0.0 AS i_zx, round(i_yx + 3e-8, 6) + 0.0 AS i_yx FROM pr"""))
 def regionprops(spark, sf):
-    r = OB.regionprops(blocks(spark, sf)).select("fish_id", "label", "volume_vox", "extent", *[f"i_{k}" for k in ("zz", "yy", "xx", "zy", "zx", "yx")])
+    r = OB.regionprops(blocks(spark, sf)).select("fish_id", "label", "volume_vox", "extent", *[(F.col(f"i_{k}") + 3e-8).alias(f"i_{k}") for k in ("zz", "yy", "xx", "zy", "zx", "yx")])
     return rounded(r).withColumns({c: F.col(c) + 0.0 for c in ("i_zy", "i_zx", "i_yx")})
 
 
@@ -77,11 +77,11 @@ def principal_axis_dir(spark, sf):
 
 
 @query("intensity_stats", with_(*B, body="""
-SELECT b.fish_id, b.label, round(avg(value), 6) AS mean_intensity, round(sum(value), 4) AS integrated_intensity,
+SELECT b.fish_id, b.label, round(avg(value) + 3e-8, 6) AS mean_intensity, round(sum(value), 4) AS integrated_intensity,
   round(CASE WHEN avg(value) > 0 THEN stddev_pop(value) / avg(value) ELSE 0 END, 6) AS intensity_cv FROM blk b JOIN vox v USING (fish_id, z, y, x) GROUP BY ALL"""))
 def intensity_stats(spark, sf):
     i = OB.intensity_stats(blocks(spark, sf), vox(spark, sf))
-    return i.select("fish_id", "label", F.round("mean_intensity", 6).alias("mean_intensity"), F.round("integrated_intensity", 4).alias("integrated_intensity"),
+    return i.select("fish_id", "label", F.round(F.col("mean_intensity") + 3e-8, 6).alias("mean_intensity"), F.round("integrated_intensity", 4).alias("integrated_intensity"),
                     F.round("intensity_cv", 6).alias("intensity_cv"))
 
 
@@ -155,8 +155,8 @@ def sphericity(spark, sf):
     return shapes(spark, sf).select("l_orderkey", "l_linenumber", F.round(SC.sphericity("vol", "area"), 8).alias("sphericity"))
 
 
-@query("branch_ratios", f"""WITH {SHAPES} SELECT l_orderkey, l_linenumber, round(area / vol, 3) AS sav, round(n_br / vol * 1e6, 2) AS branch_density,
-  round(n_ep / vol * 1e6, 2) AS endpoint_density, round(n_ep * len / vol, 5) AS process_complexity FROM sh""")
+@query("branch_ratios", f"""WITH {SHAPES} SELECT l_orderkey, l_linenumber, round(round_even(area / vol, 9), 3) AS sav, round(round_even(n_br / vol * 1e6, 9), 2) AS branch_density,
+  round(round_even(n_ep / vol * 1e6, 9), 2) AS endpoint_density, round(round_even(n_ep * len / vol, 9), 5) AS process_complexity FROM sh""")
 def branch_ratios(spark, sf):
     s = shapes(spark, sf).withColumnsRenamed({"vol": "_vol", "area": "surface_area_um2", "n_br": "n_branches", "n_ep": "n_endpoints", "len": "mean_branch_len_um"})
     raw = s.select(
@@ -486,11 +486,11 @@ def lines(spark, sf):
     )
 
 
-LINES = """seg AS (SELECT fish_id, l AS line_no, s AS seq, s * ny / 2.0::DOUBLE * sy AS ay, (l + CASE s WHEN 1 THEN 1.5::DOUBLE ELSE 0 END) * sx AS ax, (s + 1) * ny / 2.0::DOUBLE * sy AS by,
-  (l + CASE s WHEN 0 THEN 1.5::DOUBLE ELSE 0 END) * sx AS bx FROM vol, (VALUES (8), (16)) a(l), (VALUES (0), (1)) b(s)),
+LINES = """seg AS (SELECT fish_id, l AS line_no, s AS seq, s * ny / 2.0::DOUBLE * sy AS ay, (l + CASE s WHEN 1 THEN 1.5::DOUBLE ELSE 0 END) * sx AS ax, (s + 1) * ny / 2.0::DOUBLE * sy AS b2y,
+  (l + CASE s WHEN 0 THEN 1.5::DOUBLE ELSE 0 END) * sx AS b2x FROM vol, (VALUES (8), (16)) a(l), (VALUES (0), (1)) b(s)),
 pp AS (SELECT fish_id, label, cy * sy AS y, cx * sx AS x FROM i JOIN vol USING (fish_id)),
-pj AS (SELECT fish_id, label, line_no, seq, y, x, ay, ax, by - ay AS dy, bx - ax AS dx, greatest(0, least(1, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / ((bx - ax) ** 2 + (by - ay) ** 2))) AS t FROM pp JOIN seg USING (fish_id)),
-sd AS (SELECT *, sqrt((x - (ax + t * dx)) ** 2 + (y - (ay + t * dy)) ** 2) AS dist, CASE WHEN dx * (y - ay) - dy * (x - ax) < 0 THEN -1 ELSE 1 END AS side FROM pj),
+pj AS (SELECT fish_id, label, line_no, seq, y, x, ay, ax, b2y - ay AS dy, b2x - ax AS dx, greatest(0, least(1, ((x - ax) * (b2x - ax) + (y - ay) * (b2y - ay)) / ((b2x - ax) ** 2 + (b2y - ay) ** 2))) AS u FROM pp JOIN seg USING (fish_id)),
+sd AS (SELECT *, sqrt((x - (ax + u * dx)) ** 2 + (y - (ay + u * dy)) ** 2) AS dist, CASE WHEN dx * (y - ay) - dy * (x - ax) < 0 THEN -1 ELSE 1 END AS side FROM pj),
 ln AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fish_id, label, line_no ORDER BY dist, seq) AS r FROM sd) WHERE r = 1)"""
 
 

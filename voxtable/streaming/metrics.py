@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.sweeps import recommend_all
@@ -88,7 +88,7 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
 
     query = stream.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    schema = stream.schema.add("batch_id", "int")
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch_id", T.IntegerType())])
     return spark.read.schema(schema).parquet(f"{path}/batch=*")
 
 
