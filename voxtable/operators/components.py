@@ -14,12 +14,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
+from ..bricks import BRICK
 from ..graph import connected
 from ..schemas import KEYS, ZYX, field_types
 from ..session import is_empty, materialize
 
 BITS = 21  # bits per axis in a packed voxel id; raster order is numeric order
-BRICK = (64, 256, 256)
 
 
 def half_offsets(conn: int) -> list[tuple[int, int, int]]:

@@ -13,6 +13,8 @@ from .stencils import contact, surface
 
 CELL = 32  # voxels per side of the lookup grid
 GAP_CELL = 8  # voxels per side of the pruning cells of the gap search
+CROWD = 64  # points a neighbour-search cell may hold at the start
+HALVINGS = 6  # how often the starting cell width may be halved
 
 
 def joint_bbox(a: str = "a_", b: str = "b_") -> list[Column]:
@@ -71,9 +73,18 @@ def knn(points: DataFrame, k: int = 2, keys: Sequence[str] = KEYS) -> DataFrame:
     pts = points.select(*keys, "label", *[F.col(c).cast("double").alias(c) for c in ZYX])
     spans = [(F.max(c) - F.min(c)) for c in ZYX]
     stat = pts.groupBy(*keys).agg(F.count("*").alias("_n"), F.greatest(*spans).alias("_span"))
-    pts = materialize(pts.join(stat, keys), "points")
-    # About two points per cell at first if they fill their box evenly.
-    start = F.greatest(F.col("_span") / F.greatest(F.cbrt(F.col("_n") / 2.0), F.lit(1.0)), F.lit(1e-6))
+    # About two points per cell if they fill their box evenly. Where points crowd, the
+    # width is halved until no cell holds more than CROWD of them.
+    even = F.greatest(F.col("_span") / F.greatest(F.cbrt(F.col("_n") / 2.0), F.lit(1.0)), F.lit(1e-6))
+    pts = pts.join(stat.withColumn("_even", even), keys)
+    level = pts.withColumn("_l", F.explode(F.expr(f"sequence(0, {HALVINGS})"))).withColumn("_w", F.col("_even") / F.pow(F.lit(2.0), "_l"))
+    full = level.groupBy(*keys, "_l", "_w", *[F.floor(F.col(c) / F.col("_w")).alias(f"h{c}") for c in ZYX]).count()
+    full = full.groupBy(*keys, "_l", "_w").agg(F.max("count").alias("_most"))
+    width = full.groupBy(*keys).agg(
+        F.coalesce(F.max(F.when(F.col("_most") <= CROWD, F.col("_w"))), F.min("_w")).alias("_start")
+    )
+    pts = materialize(pts.drop("_even").join(width, keys), "points")
+    start = F.col("_start")
     open_pts, done, factor = pts, None, 1.0
     while True:
         w = start * factor

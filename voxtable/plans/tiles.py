@@ -6,18 +6,17 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..schemas import KEYS, ZYX, field_types
 
 
-def tile_starts(size: int, roi: int, overlap: float) -> list[int]:
+def tile_starts(size: str, roi: int, overlap: float) -> Column:
     """Tile origins along one axis: even steps of roi (1 - overlap), the last flush with the end."""
-    if size <= roi:
-        return [0]
     step = max(1, int(roi * (1 - overlap)))
-    n = int(np.ceil((size - roi) / step)) + 1
-    return sorted({min(i * step, size - roi) for i in range(n)})
+    last = F.greatest(F.ceil((F.col(size) - roi) / step), F.lit(0)).cast("int")
+    flush = F.greatest(F.col(size) - roi, F.lit(0))
+    return F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.least(i * step, flush)))
 
 
 def tile_weights(roi: Sequence[int], spread: float = 0.125) -> np.ndarray:
@@ -46,11 +45,10 @@ def tile_score(
     keys = list(keys)
     roi = [int(r) for r in roi]
     weights = tile_weights(roi)
-    starts = F.udf(lambda n, r: tile_starts(n, r, overlap), "array<int>")
     dims = volumes.select(*keys, "nz", "ny", "nx").distinct()
     tiles = dims
     for c, r in zip(ZYX, roi):
-        tiles = tiles.withColumn(f"t{c}", F.explode(starts(F.col(f"n{c}"), F.lit(r))))
+        tiles = tiles.withColumn(f"t{c}", F.explode(tile_starts(f"n{c}", r, overlap)))
     # A voxel lies in the tiles whose start is in (v - roi, v]; both sides meet in start cells one roi wide.
     v = norm.select(*keys, *ZYX, F.col(value).alias("value"))
     for c, r in zip(ZYX, roi):

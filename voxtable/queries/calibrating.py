@@ -404,7 +404,9 @@ def split_samples(spark, sf):
 @query("split_manifest", "SELECT c_mktsegment AS split, count(*) AS n, min(c_name) AS first_id FROM customer GROUP BY ALL")
 def split_manifest(spark, sf):
     c = table(spark, sf, "customer").select(F.col("c_name").alias("fish_id"), F.col("c_mktsegment").alias("split"))
-    return SK.split_manifest(c).select("split", "n", F.col("ids")[0].alias("first_id"))
+    path = scratch_path(spark, "manifest")
+    SK.write_manifest(c, path)
+    return SK.split_manifest(spark.read.schema("fish_id string, seed int, split string").json(path))
 
 
 @query("training_set")

@@ -114,5 +114,10 @@ def training_samples(
 
 
 def split_manifest(split: DataFrame, id_col: str = "fish_id") -> DataFrame:
-    """Ids per split in id order (a manifest lists samples, not voxels)."""
-    return split.groupBy("split").agg(F.array_sort(F.collect_list(id_col)).alias("ids"), F.count("*").alias("n"))
+    """Samples per split; ids themselves stay rows and are never gathered into one."""
+    return split.groupBy("split").agg(F.count("*").alias("n"), F.min(id_col).alias("first_id"))
+
+
+def write_manifest(split: DataFrame, path: str, seed: int = 16, id_col: str = "fish_id") -> None:
+    """JSON manifest: one line per sample, one folder per split."""
+    split.select("split", id_col, F.lit(seed).alias("seed")).write.mode("overwrite").partitionBy("split").json(path)
