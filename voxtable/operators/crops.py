@@ -59,6 +59,19 @@ def label_slices(labels: DataFrame, volumes: DataFrame, keys: Sequence[str] = KE
     return xy.unionByName(xz).unionByName(yz)
 
 
+def image_slices(voxels: DataFrame, volumes: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Image values of all xy, xz and yz slices; xz and yz are blended along z. Values are cut to whole numbers."""
+    keys = list(keys)
+    dims = volumes.select(*keys, "nz", "anisotropy").distinct()
+    xy = voxels.select(*keys, F.lit("xy").alias("orientation"), F.col("z").alias("slice_idx"), "y", "x", "value")
+    tall = stretch_z(voxels.join(dims, keys), 1, "value", [*keys, "y", "x"])
+    xz = tall.select(*keys, F.lit("xz").alias("orientation"), F.col("y").alias("slice_idx"), F.col("z").alias("y"), "x", "value")
+    yz = tall.select(
+        *keys, F.lit("yz").alias("orientation"), F.col("x").alias("slice_idx"), F.col("z").alias("y"), F.col("y").alias("x"), "value"
+    )
+    return xy.unionByName(xz).unionByName(yz).withColumn("value", F.floor("value").cast("int")).filter("value <> 0")
+
+
 def slice_shapes(volumes: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Height and width of the slices per orientation."""
     tall = _out_size(F.col("nz"), F.col("anisotropy"))
@@ -119,13 +132,13 @@ def cap_crops(spots: DataFrame, per_slice: int = 5, per_orientation: int = 320,
     return kept.select(*side, "crop_no", "top", "left", "gt_px")
 
 
-def cut_crops(slices: DataFrame, crops: DataFrame, crop_size: int, keys: Sequence[str] = KEYS) -> DataFrame:
+def cut_crops(slices: DataFrame, crops: DataFrame, crop_size: int, keys: Sequence[str] = KEYS, value: str = "label") -> DataFrame:
     """Pixels of each crop in crop coordinates. A slice has few crops, so the match is a slice-wise interval join."""
     keys = list(keys)
     both = slices.join(crops, [*keys, "orientation", "slice_idx"])
     both = both.withColumn("y", F.col("y") - F.col("top")).withColumn("x", F.col("x") - F.col("left"))
     both = both.filter((F.col("y") >= 0) & (F.col("y") < crop_size) & (F.col("x") >= 0) & (F.col("x") < crop_size))
-    return both.select(*keys, *CROP, "y", "x", "label")
+    return both.select(*keys, *CROP, "y", "x", value)
 
 
 def clean_truncation(crop_px: DataFrame, slices: DataFrame, threshold: float = 0.9, keys: Sequence[str] = KEYS):

@@ -197,3 +197,15 @@ def postprocess(probs: DataFrame, threshold: float, keys: Sequence[str] = KEYS)
 
 def erode_mask(mask: DataFrame, volumes: DataFrame, n: int, keys: Sequence[str] = KEYS) -> DataFrame:
     return erode3d(mask, volumes, n, keys) if n > 0 else mask
+
+
+def removal_stats(before: DataFrame, after: DataFrame, volumes: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Voxels removed by a step and their share of the stack and of the occupied voxels (x100)."""
+    n0 = before.groupBy(*keys).agg(F.count("*").alias("n_before"))
+    n1 = after.groupBy(*keys).agg(F.count("*").alias("n_after"))
+    s = site_count(volumes, keys).join(n0, list(keys)).join(n1, list(keys), "left").na.fill(0, ["n_after"])
+    gone = F.col("n_before") - F.col("n_after")
+    return s.select(
+        *keys, "n_before", "n_after", gone.alias("n_removed"), (gone * 100.0 / F.col("n_sites")).alias("pct_of_stack"),
+        (gone * 100.0 / F.col("n_before")).alias("pct_of_occupied"),
+    )

@@ -174,24 +174,29 @@ def safe_merge(
     close = materialize(close, "close")
     touch = materialize(touched(labels, keys), "touched")
 
-    # Objects that might ever fuse form clusters; clusters whose boxes come near
-    # each other can influence each other's choice of target and share a group.
+    # Objects that might ever fuse form clusters. Only a cluster with a small object can
+    # change; such clusters share a group when their boxes come near each other, since
+    # one can then alter what the other picks. All other objects stay as they are and
+    # are only shown to the groups they lie near.
     fuse = close.unionByName(touch.select(*keys, F.col("source").alias("a"), F.col("target").alias("b")))
     cluster = connected(fuse, keys).withColumnsRenamed({"node": "label", "root": "_c"})
-    member = objs.select(*keys, "label", "margin", *[f"{c}{e}" for e in "01" for c in ZYX]).join(
-        cluster, [*keys, "label"], "left"
-    ).withColumn("_c", F.coalesce("_c", "label"))
+    box = [f"{c}{e}" for e in "01" for c in ZYX]
+    member = objs.join(cluster, [*keys, "label"])
     boxes = member.groupBy(*keys, "_c").agg(
-        F.max("margin").alias("margin"),
-        *[F.min(f"{c}0").alias(f"{c}0") for c in ZYX],
-        *[F.max(f"{c}1").alias(f"{c}1") for c in ZYX],
+        F.max("margin").alias("margin"), F.min("volume_vox").alias("_least"),
+        *[F.min(f"{c}0").alias(f"{c}0") for c in ZYX], *[F.max(f"{c}1").alias(f"{c}1") for c in ZYX],
     )
+    boxes = materialize(boxes.filter(F.col("_least") < gt_min), "clusters")
     meet = bbox_pairs(boxes, boxes, F.col("margin"), keys).filter("a__c < b__c")
     group = connected(meet.select(*keys, F.col("a__c").alias("a"), F.col("b__c").alias("b")), keys)
-    group = group.withColumnsRenamed({"node": "_c", "root": "_group"})
-    roots = member.select(*keys, "label", "_c").join(group, [*keys, "_c"], "left").select(
-        *keys, "label", F.coalesce("_group", "_c").cast("long").alias("_group")
-    )
+    boxes = boxes.join(group.withColumnsRenamed({"node": "_c", "root": "_group"}), [*keys, "_c"], "left")
+    boxes = materialize(boxes.withColumn("_group", F.coalesce("_group", "_c").cast("long")), "groups")
+    inside = member.select(*keys, "label", "_c").join(boxes.select(*keys, "_c", "_group"), [*keys, "_c"])
+    inside = inside.select(*keys, "label", "_group")
+    still = objs.join(inside, [*keys, "label"], "left_anti").select(*keys, "label", *box)
+    seen = bbox_pairs(boxes.select(*keys, "_group", "margin", *box), still, F.col("margin"), keys)
+    seen = seen.select(*keys, F.col("b_label").alias("label"), F.col("a__group").alias("_group")).distinct()
+    roots = materialize(inside.unionByName(seen), "members")
     links = close.select(*keys, F.col("a").alias("source"), F.col("b").alias("target"), F.lit(-1).cast("long").alias("voxel"))
 
     def run(left, right):
@@ -201,8 +206,9 @@ def safe_merge(
         touch = _Touch(sets["source"].tolist(), sets["target"].tolist(), sets["voxel"].tolist())
         return _replay_safe(left, close_pairs, touch, max_gap, min_contact, gt_min)
 
-    lut = _grouped(objs, links.unionByName(touch), roots, keys, run)
-    return apply_lut(labels, lut, keys)
+    lut = _grouped(objs, links.unionByName(touch), roots, keys, run).filter("label <> new_label")
+    moved = labels.join(lut, [*keys, "label"], "left")
+    return moved.select(*keys, *ZYX, F.coalesce("new_label", "label").alias("label"))
 
 
 def large_contact_merge(labels: DataFrame, threshold: int = 20, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -145,6 +145,18 @@ def score_against_gt(pred: DataFrame, gt: DataFrame, threshold: float = 0.5, key
     )
 
 
+def score_lines(matches: DataFrame) -> DataFrame:
+    """Report line per match: ids, IoU %, Dice %, sizes and size difference %."""
+    line = F.format_string(
+        "%6d %6d %7.1f %7.1f %9d %9d %+8.1f", "pred", "gt", "iou", "dice", "pred_vox", "gt_vox", "size_delta"
+    )
+    return matches.withColumn("line", line)
+
+
+def summary_line(scores: DataFrame) -> DataFrame:
+    return scores.withColumn("line", F.format_string("TP=%d  FP=%d  FN=%d  Score=%+.1f", "tp", "fp", "fn", "score"))
+
+
 def best_match(pred: DataFrame, cells: DataFrame, keys: Sequence[str] = KEYS, by: Sequence[str] = ()) -> DataFrame:
     """Best-IoU predicted object for each true cell (``cells``: z, y, x, label = cell).
 

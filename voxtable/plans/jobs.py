@@ -340,6 +340,19 @@ def checkpoint_sweep(preds: DataFrame, cells: DataFrame, epochs: DataFrame, keys
     return r, avg, best_point(avg, ["iou"], keys)
 
 
+def repoint(pointers: DataFrame, best: DataFrame, verified: DataFrame) -> DataFrame:
+    """Pointer rows (model, target) after a checkpoint sweep: verified samples' best epoch replaces a different target.
+
+    ``best``: model, fish_id, p1 = epoch; of several samples of a model the highest IoU decides.
+    """
+    win = best.join(verified.filter("verified").select("fish_id"), "fish_id").groupBy("model").agg(
+        F.max_by("p1", F.struct("iou", -F.col("p1"))).cast("int").alias("_epoch")
+    )
+    target = F.coalesce(F.format_string("%s_epoch_%04d", "model", "_epoch"), F.col("target"))
+    out = pointers.join(win, "model", "left")
+    return out.select("model", F.when(F.col("_epoch").isNull(), F.col("target")).otherwise(target).alias("target"))
+
+
 def min_hole_size(gt: DataFrame, trust: int = 5, default: int = 20, keys: Sequence[str] = KEYS) -> DataFrame:
     """Smallest hole of at least ``trust`` voxels inside any cell slice, per sample."""
     holes = slice_holes(gt, keys, ["label"]).filter(F.col("hole_size") >= trust)
@@ -408,15 +421,19 @@ def training_set(
 
 def crop_set(
     labels: DataFrame, volumes: DataFrame, crop_size: int = 512, per_slice: int = 5, per_orientation: int = 320, min_px: int = 10,
-    seed: int = 42, threshold: float = 0.9, keys: Sequence[str] = KEYS,
+    seed: int = 42, threshold: float = 0.9, voxels: DataFrame | None = None, keys: Sequence[str] = KEYS,
 ):
-    """Crops in three orientations, cleaned of cut-off and tiny labels. Returns (crops, pixels, clean-up summary)."""
+    """Crops in three orientations, cleaned of cut-off and tiny labels.
+
+    Returns (crops, label pixels, image pixels or None, clean-up summary).
+    """
     slices = materialize(C.label_slices(labels, volumes, keys), "slices")
     crops = C.sample_crops(slices, C.slice_shapes(volumes, keys), crop_size, per_slice, per_orientation, min_px, seed, keys)
     crops = materialize(crops, "crops")
     px = C.cut_crops(slices, crops, crop_size, keys)
     kept, summary = C.clean_truncation(px, slices, threshold, keys)
-    return crops, C.clean_crops(kept, keys=keys), summary
+    image = None if voxels is None else C.cut_crops(C.image_slices(voxels, volumes, keys), crops, crop_size, keys, "value")
+    return crops, C.clean_crops(kept, keys=keys), image, summary
 
 
 def rerun_object(

@@ -125,7 +125,21 @@ def grid_lines(spark, sf):
     return SW.grid_lines(r, "iou")
 
 
-@query("sieve")
+def _stage_sql(i: int, width: float, step: float) -> str:
+    lo, hi = f"greatest(0.0, (SELECT b FROM b{i - 1}) - {width})", f"least(0.8, (SELECT b FROM b{i - 1}) + {width})"
+    grid = f"SELECT round({lo} + k * {step}::DOUBLE, 4) AS p1 FROM range(0, 100) t(k) WHERE {lo} + k * {step}::DOUBLE < {hi} + {step} / 2"
+    return _scores_sql(i, grid)
+
+
+def _scores_sql(i: int, grid: str) -> str:
+    return f"""g{i} AS ({grid}),
+s{i} AS (SELECT p1, avg(d) AS dice FROM (SELECT n.p1, n.fish_id, 200.0::DOUBLE * coalesce(tp, 0) / (coalesce(pv, 0) + gt_vox) AS d FROM (SELECT p1, fish_id, gt_vox FROM g{i}, gv) n
+  LEFT JOIN (SELECT g.p1, p.fish_id, count(*) AS pv, count(t.z) AS tp FROM g{i} g JOIN probs p ON p.p > g.p1 LEFT JOIN gt t ON t.fish_id = p.fish_id AND t.z = p.z AND t.y = p.y AND t.x = p.x GROUP BY ALL) q USING (p1, fish_id)) GROUP BY ALL),
+b{i} AS (SELECT p1 AS b FROM s{i} ORDER BY dice DESC, p1 LIMIT 1)"""
+
+
+@query("sieve", with_(VOX, PROBS, GT, "gv AS (SELECT fish_id, count(*) AS gt_vox FROM gt GROUP BY ALL)", _scores_sql(1, "SELECT round(k * 0.2::DOUBLE, 4) AS p1 FROM range(0, 5) t(k)"),
+  _stage_sql(2, 0.2, 0.05), _stage_sql(3, 0.05, 0.01), body=" UNION ALL ".join(f"SELECT p1, round(dice, 6) AS dice, {i} AS stage FROM s{i}" for i in (1, 2, 3))))
 def sieve(spark, sf):
     """Coarse-to-fine probability cut-off by mean Dice; each stage is one job over the whole map."""
     p, g = materialize(probs(spark, sf)), materialize(gt_mask(spark, sf))

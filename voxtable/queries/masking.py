@@ -314,3 +314,12 @@ SELECT f.fish_id, CAST(coalesce(min(h.hole_size), 20) AS INT) AS min_hole_size F
 LEFT JOIN (SELECT split_part(fish_id, '/', 1) AS fish_id, hole_size FROM h WHERE hole_size >= 2) h USING (fish_id) GROUP BY ALL"""))
 def min_hole_size(spark, sf):
     return J.min_hole_size(truth(spark, sf), trust=2).withColumn("min_hole_size", F.col("min_hole_size").cast("int"))
+
+
+@query("removal_stats", with_(*BASE, body="""
+, k AS (SELECT fish_id, count(*) AS n_before, count(*) FILTER (value > thresh) AS n_after FROM vox JOIN thr USING (fish_id) GROUP BY ALL)
+SELECT fish_id, n_before, n_after, n_before - n_after AS n_removed, round((n_before - n_after) * 100.0::DOUBLE / (nz * ny * nx), 6) AS pct_of_stack, round((n_before - n_after) * 100.0::DOUBLE / n_before, 6) AS pct_of_occupied
+FROM k JOIN vol USING (fish_id)""".strip()))
+def removal_stats(spark, sf):
+    v, d = vox(spark, sf), vol(spark, sf)
+    return rounded(M.removal_stats(v, M.remove_global(v, brain(spark, sf), d, 2.5), d))

@@ -369,6 +369,21 @@ def score_against_gt(spark, sf):
     return rounded(SR.score_against_gt(predicted(spark, sf), truth(spark, sf)))
 
 
+@query("score_lines", with_(*GP, OV, body="""
+SELECT fish_id, gt, printf('%6d', gt) || printf(' %9d', gv) AS line FROM hit"""))
+def score_lines(spark, sf):
+    """Report lines, cut to the columns that do not depend on equal-IoU choices."""
+    m = SR.score_lines(SR.match_objects(predicted(spark, sf), truth(spark, sf)))
+    return m.select("fish_id", "gt", F.concat(F.substring("line", 8, 6), F.substring("line", 40, 10)).alias("line"))
+
+
+@query("score_summary_line", with_(*GP, OV, body="""
+, a AS (SELECT fish_id, count(*) AS p FROM vp GROUP BY ALL), b AS (SELECT fish_id, count(*) AS g FROM vg GROUP BY ALL), h AS (SELECT fish_id, count(*) AS tp FROM hit GROUP BY ALL)
+SELECT fish_id, printf('TP=%d  FP=%d  FN=%d  Score=%+.1f', tp, p - tp, g - tp, tp - 0.5::DOUBLE * (p + g - 2 * tp)) AS line FROM a JOIN b USING (fish_id) JOIN h USING (fish_id)""".strip()))
+def score_summary_line(spark, sf):
+    return SR.summary_line(SR.score_against_gt(predicted(spark, sf), truth(spark, sf))).select("fish_id", "line")
+
+
 @query("fn_ids", with_(*GP, OV, body="SELECT fish_id, gt AS label FROM vg WHERE NOT EXISTS (SELECT 1 FROM hit h WHERE h.fish_id = vg.fish_id AND h.gt = vg.gt)"))
 def fn_ids(spark, sf):
     p, g = predicted(spark, sf), truth(spark, sf)
@@ -517,3 +532,29 @@ def stats_columns(spark, sf):
     """Column selection with group expansion."""
     o = SC.to_um(OB.object_info(blocks(spark, sf)), vol(spark, sf))
     return SK.expand_columns(o, ["centroid_um", "volume_vox", "not_there"])
+
+
+FULL_DIR = """, dr AS (SELECT fish_id, label, greatest(abs((i_yy - l3) * (i_xx - l3) - i_yx ** 2), abs((i_zz - l3) * (i_xx - l3) - i_zx ** 2), abs((i_zz - l3) * (i_yy - l3) - i_zy ** 2)) AS top,
+  abs((i_yy - l3) * (i_xx - l3) - i_yx ** 2) AS gz, abs((i_zz - l3) * (i_xx - l3) - i_zx ** 2) AS gy, least(i_zz, i_yy, i_xx) * (1 + 1e-12) AS low, * EXCLUDE (fish_id, label) FROM ax),
+dd AS (SELECT *, CASE WHEN top <= t * t * 1e-12 AND i_zz <= low THEN 'Z' WHEN top <= t * t * 1e-12 AND i_yy <= low THEN 'Y' WHEN top <= t * t * 1e-12 THEN 'X'
+  WHEN gz >= top * (1 - 1e-9) THEN 'Z' WHEN gy >= top * (1 - 1e-9) THEN 'Y' ELSE 'X' END AS dir FROM dr)"""
+
+
+@query("stats_table", with_(VOX, VOL, labels_sql("g", 0), info_sql("g", "i"), UM, PTS, LINES, "blk AS (SELECT * FROM g)", PROPS, AXES, body=FULL_DIR + """
+, it AS (SELECT g.fish_id, g.label, avg(value) AS mi, sum(value) AS si FROM g JOIN vox USING (fish_id, z, y, x) GROUP BY ALL),
+rg AS (SELECT l.fish_id, l.label, count(*) FILTER (side < 0) AS k FROM (SELECT * FROM (SELECT s.*, row_number() OVER (PARTITION BY fish_id, label, line_no ORDER BY dist, seq) AS r FROM sd s) WHERE r = 1) l GROUP BY ALL),
+lc AS (SELECT fish_id, label, count(*) AS n FROM d WHERE dist <= 100 GROUP BY ALL)
+SELECT u.fish_id, u.label, u.volume_vox, round(v, 1) AS volume_um3, round_even(zu, 2) AS centroid_z_um, u.z0 AS bbox_z0_vox, u.x1 AS bbox_x1_vox, round(cbrt(6 * v / pi()), 1) AS eq_diam_um, dir AS principal_axis_dir,
+  round(mi, 1) AS mean_intensity, round(si, 1) AS integrated_intensity, a.nn_label AS nearest_neighbor_label, round_even(a.dist, 2) AS nearest_neighbor_dist_um, lc.n AS local_density_100um,
+  CASE k WHEN 0 THEN 'front' WHEN 1 THEN 'middle' ELSE 'back' END AS brain_region
+FROM um u JOIN dd USING (fish_id, label) JOIN it USING (fish_id, label) JOIN nn a ON a.fish_id = u.fish_id AND a.label = u.label AND a.rank = 1 JOIN lc ON lc.fish_id = u.fish_id AND lc.label = u.label JOIN rg ON rg.fish_id = u.fish_id AND rg.label = u.label"""))
+def stats_table(spark, sf):
+    """The statistics job, its SQL-expressible columns."""
+    names = vol(spark, sf).select("fish_id", F.array(F.lit("front"), F.lit("middle"), F.lit("back")).alias("names"))
+    t = J.compute_stats(truth(spark, sf), vol(spark, sf), SCALE, vox(spark, sf), lines(spark, sf), names)
+    return t.select(
+        "fish_id", "label", "volume_vox", F.round("volume_um3", 1).alias("volume_um3"), "centroid_z_um", "bbox_z0_vox", "bbox_x1_vox",
+        F.round("eq_diam_um", 1).alias("eq_diam_um"), "principal_axis_dir", F.round("mean_intensity", 1).alias("mean_intensity"),
+        F.round("integrated_intensity", 1).alias("integrated_intensity"), "nearest_neighbor_label", "nearest_neighbor_dist_um", "local_density_100um",
+        "brain_region",
+    )

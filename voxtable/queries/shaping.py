@@ -278,8 +278,19 @@ def sample_crops(spark, sf):
     return c.groupBy("fish_id", "orientation").agg(F.count("*").alias("n"), F.min("gt_px").alias("min_px"), F.max("crop_no").alias("max_crop_no"))
 
 
+@query("image_slices", with_(*B, f"""mm AS (SELECT CAST(round_even(30 * CAST({ANISO} AS DOUBLE), 0) AS INT) AS m), ii AS (SELECT CAST(i AS INT) AS i, i * 29.0::DOUBLE / (m - 1) AS s FROM mm, range(0, 1000) t(i) WHERE i < m),
+st AS (SELECT fish_id, x, y, i AS z, sum((value + 3e-7) * (1 - abs(s - z))) AS value FROM vox, ii WHERE abs(s - z) < 1 - 1e-12 GROUP BY ALL),
+im AS (SELECT fish_id, 'xy' AS orientation, z AS slice_idx, value + 3e-7 AS value FROM vox UNION ALL SELECT fish_id, 'xz', y, value FROM st UNION ALL SELECT fish_id, 'yz', x, value FROM st)""", body="""
+SELECT fish_id, orientation, slice_idx, count(*) AS n, CAST(sum(floor(value)) AS BIGINT) AS total FROM im WHERE floor(value) <> 0 GROUP BY ALL"""))
+def image_slices(spark, sf):
+    v = vox(spark, sf).withColumn("value", F.col("value") + 3e-7)
+    s = C.image_slices(v, vol(spark, sf))
+    return s.groupBy("fish_id", "orientation", "slice_idx").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("long")).alias("total"))
+
+
 @query("crop_set")
 def crop_set(spark, sf):
-    _, px, summary = J.crop_set(truth(spark, sf), vol(spark, sf), 16, 5, 60, 10)
+    _, px, image, summary = J.crop_set(truth(spark, sf), vol(spark, sf), 16, 5, 60, 10, voxels=vox(spark, sf))
     n = px.groupBy("fish_id").agg(F.count("*").alias("n_px"))
-    return summary.join(n, "fish_id", "left").na.fill(0)
+    m = image.groupBy("fish_id").agg(F.count("*").alias("n_image_px"))
+    return summary.join(n, "fish_id", "left").join(m, "fish_id", "left").na.fill(0)
