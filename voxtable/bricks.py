@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .joins import spread_join
 from .schemas import KEYS, ZYX, field_types
 
 BRICK = (32, 128, 128)
@@ -47,7 +48,7 @@ def stencil(
     hz = [int(h) for h in halo]
     bs = [int(b) for b in brick]
     dims = volumes.select(*keys, "nz", "ny", "nx").distinct()
-    src = with_halo(df.select(*keys, *ZYX).join(dims, keys), bs, hz)
+    src = with_halo(spread_join(df.select(*keys, *ZYX), dims, keys, ZYX), bs, hz)
     schema = T.StructType([*field_types(df, keys), *[T.StructField(c, T.IntegerType()) for c in ZYX]])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..joins import spread_join
 from ..schemas import KEYS
 
 
@@ -29,7 +30,7 @@ def polyline_side_dist(points: DataFrame, boundaries: DataFrame, keys: Sequence[
     keys = list(keys)
     seg = F.struct("line_no", "seq", "ay", "ax", "by", "bx")
     lines = segments(boundaries, keys).groupBy(*keys).agg(F.collect_list(seg).alias("_segs"))
-    p = points.select(*keys, "label", "y", "x").join(lines, keys)
+    p = spread_join(points.select(*keys, "label", "y", "x"), lines, keys, ["label"])
     p = p.select(*keys, "label", "y", "x", F.explode("_segs").alias("_s")).select(*keys, "label", "y", "x", "_s.*")
     dy, dx = F.col("by") - F.col("ay"), F.col("bx") - F.col("ax")
     den = dx * dx + dy * dy

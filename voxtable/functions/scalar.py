@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..joins import spread_join
 from ..schemas import KEYS, ZYX
 
 GAMMA_4_3 = 0.8929795115692493  # fixed value: Gamma(4/3)
@@ -69,7 +70,7 @@ def size_delta(pred, gt) -> Column:
 
 def to_um(objs: DataFrame, volumes: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Physical sizes of ``object_info`` rows: volume_um3, centroids and box sides, rounded to 2 decimals."""
-    o = objs.join(volumes.select(*keys, "sz", "sy", "sx").distinct(), list(keys))
+    o = spread_join(objs, volumes.select(*keys, "sz", "sy", "sx").distinct(), keys, ["label"])
     vol = F.col("volume_vox") * (F.col("sz") * F.col("sy") * F.col("sx"))
     cols = {"_vol": vol, "volume_um3": F.bround(vol, 2)}
     for c in ZYX:
@@ -83,7 +84,7 @@ def depth_normalized(objs: DataFrame, z: str = "centroid_z_um", keys: Sequence[s
     """z / max z per sample, clipped to [0, 1]; 0 when no object lies below the top."""
     top = objs.groupBy(*keys).agg(F.max(z).alias("_top"))
     d = F.when(F.col("_top") > 0, F.least(F.greatest(F.col(z) / F.col("_top"), F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(0.0))
-    return objs.join(top, list(keys)).withColumn("depth_normalized", d).drop("_top")
+    return spread_join(objs, top, keys, ["label"]).withColumn("depth_normalized", d).drop("_top")
 
 
 def clark_evans(objs: DataFrame, nnd: str = "nearest_neighbor_dist_um", keys: Sequence[str] = KEYS) -> DataFrame:
@@ -95,4 +96,4 @@ def clark_evans(objs: DataFrame, nnd: str = "nearest_neighbor_dist_um", keys: Se
     e = objs.groupBy(*keys).agg(F.count("*").alias("_n"), box.alias("_box"))
     expect = F.lit(GAMMA_4_3) * F.cbrt(F.lit(3.0) / (F.lit(4.0 * math.pi) * (F.col("_n") / F.col("_box"))))
     ratio = F.when(F.col("_n") < 2, F.lit(1.0)).when(expect > 0, F.col(nnd) / expect).otherwise(F.lit(1.0))
-    return objs.join(e, list(keys)).withColumn("nearest_neighbor_ratio", ratio).drop("_n", "_box")
+    return spread_join(objs, e, keys, ["label"]).withColumn("nearest_neighbor_ratio", ratio).drop("_n", "_box")

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .joins import spread_join
 from .session import materialize
 
 
@@ -78,7 +79,7 @@ def quantiles(
     # A rank r (0-based) lies on the value whose running count first exceeds r.
     hit = (F.col("_cum") > F.floor("_pos")) & (F.col("_cum") - F.col("_w") <= F.ceil("_pos"))
     bounds = (
-        cum.join(wanted, list(keys))
+        spread_join(cum, wanted, keys, ["_v"])
         .filter(hit)
         .groupBy(*keys, "_q", "_pos")
         .agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..joins import spread_join
 from ..schemas import KEYS, ZYX
 from .masks import unit_hash
 
@@ -50,7 +51,7 @@ def label_slices(labels: DataFrame, volumes: DataFrame, keys: Sequence[str] = KE
     keys = list(keys)
     dims = volumes.select(*keys, "nz", "anisotropy").distinct()
     xy = labels.select(*keys, F.lit("xy").alias("orientation"), F.col("z").alias("slice_idx"), "y", "x", "label")
-    tall = labels.join(dims, keys)
+    tall = spread_join(labels, dims, keys, ZYX)
     tall = stretch_z(tall, 0, "label", [*keys, "y", "x"])
     xz = tall.select(*keys, F.lit("xz").alias("orientation"), F.col("y").alias("slice_idx"), F.col("z").alias("y"), "x", "label")
     yz = tall.select(
@@ -64,7 +65,7 @@ def image_slices(voxels: DataFrame, volumes: DataFrame, keys: Sequence[str] = KE
     keys = list(keys)
     dims = volumes.select(*keys, "nz", "anisotropy").distinct()
     xy = voxels.select(*keys, F.lit("xy").alias("orientation"), F.col("z").alias("slice_idx"), "y", "x", "value")
-    tall = stretch_z(voxels.join(dims, keys), 1, "value", [*keys, "y", "x"])
+    tall = stretch_z(spread_join(voxels, dims, keys, ZYX), 1, "value", [*keys, "y", "x"])
     xz = tall.select(*keys, F.lit("xz").alias("orientation"), F.col("y").alias("slice_idx"), F.col("z").alias("y"), "x", "value")
     yz = tall.select(
         *keys, F.lit("yz").alias("orientation"), F.col("x").alias("slice_idx"), F.col("z").alias("y"), F.col("y").alias("x"), "value"
@@ -101,7 +102,7 @@ def sample_crops(
     """
     keys = list(keys)
     side = [*keys, "orientation", "slice_idx"]
-    px = slices.join(shapes, [*keys, "orientation"]).filter((F.col("h") >= crop_size) & (F.col("w") >= crop_size))
+    px = spread_join(slices, shapes, [*keys, "orientation"], ["slice_idx", "y", "x"]).filter((F.col("h") >= crop_size) & (F.col("w") >= crop_size))
     draw = W.partitionBy(*side).orderBy(F.xxhash64(F.lit(seed), *keys, "orientation", "slice_idx", "y", "x"), "y", "x")
     anchors = px.withColumn("_n", F.row_number().over(draw)).filter(F.col("_n") <= per_slice * tries)
 

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..joins import spread_join
 from ..numbering import quantiles
 from ..schemas import KEYS, ZYX
 from .components import components, largest_component
@@ -53,7 +54,7 @@ def normalize(voxels: DataFrame, volumes: DataFrame, keys: Sequence[str] = KEYS)
     q = whole_quantiles(voxels, volumes, {"p01": 0.01, "p99": 0.99}, keys)
     span = F.greatest(F.col("p99") - F.col("p01"), F.lit(1.0))
     scaled = F.least(F.greatest((F.col("value") - F.col("p01")) / span, F.lit(0.0)), F.lit(1.0))
-    return voxels.join(q, list(keys)).withColumn("norm", scaled).drop("p01", "p99")
+    return spread_join(voxels, q, keys, ZYX).withColumn("norm", scaled).drop("p01", "p99")
 
 
 def binarize(df: DataFrame, condition: Column | str, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -100,7 +101,7 @@ def background_mode(voxels: DataFrame, mask: DataFrame, keys: Sequence[str] = KE
         F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"),
     )
     cell = F.least(F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * N_BINS), F.lit(N_BINS - 1))
-    bins = hist.join(ends, keys).groupBy(*keys, "lo", "hi", cell.alias("bin")).agg(F.sum("count").alias("n"))
+    bins = spread_join(hist, ends, keys, ["value"]).groupBy(*keys, "lo", "hi", cell.alias("bin")).agg(F.sum("count").alias("n"))
     best = bins.groupBy(*keys, "lo", "hi").agg(F.max_by("bin", F.struct("n", -F.col("bin"))).alias("bin"))
     width = (F.col("hi") - F.col("lo")) / N_BINS
     return best.select(*keys, (F.col("lo") + F.col("bin") * width + width / 2).alias("mode"))
@@ -119,14 +120,14 @@ def remove_outside(voxels, mask, volumes, tol: float, keys: Sequence[str] = KEYS
     keys = list(keys)
     cut = background_threshold(voxels, mask, volumes, tol, keys).select(*keys, "thresh")
     flagged = voxels.join(mask.select(*keys, *ZYX).withColumn("_in", F.lit(True)), [*keys, *ZYX], "left")
-    return flagged.join(cut, keys).filter("_in or value > thresh").drop("_in", "thresh")
+    return spread_join(flagged, cut, keys, ZYX).filter("_in or value > thresh").drop("_in", "thresh")
 
 
 def remove_global(voxels, mask, volumes, tol: float, erosion: int = 0, keys: Sequence[str] = KEYS) -> DataFrame:
     """Drop every voxel at or below the threshold, then erode the survivors per slice."""
     keys = list(keys)
     cut = background_threshold(voxels, mask, volumes, tol, keys).select(*keys, "thresh")
-    kept = voxels.join(cut, keys).filter("value > thresh").drop("thresh")
+    kept = spread_join(voxels, cut, keys, ZYX).filter("value > thresh").drop("thresh")
     if erosion <= 0:
         return kept
     return apply_mask(kept, erode2d(kept, volumes, erosion, keys), keys)
@@ -141,7 +142,7 @@ def fill_outside_random(voxels, mask, volumes, seed: int = 0, keys: Sequence[str
     """Replace every site outside the mask by noise of mode +- 0.1 % of the data range."""
     keys = list(keys)
     base = background_threshold(voxels, mask, volumes, 0.0, keys).select(*keys, "mode", "data_range")
-    outside = lattice(volumes, keys).join(mask, [*keys, *ZYX], "left_anti").join(base, keys)
+    outside = spread_join(lattice(volumes, keys).join(mask, [*keys, *ZYX], "left_anti"), base, keys, ZYX)
     half = F.col("data_range") * 0.001
     noise = F.col("mode") - half + unit_hash(seed, *keys, *ZYX) * half * 2
     noisy = outside.select(*keys, *ZYX, noise.alias("value"), F.lit(False).alias("inside"))

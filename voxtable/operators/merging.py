@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..graph import connected
+from ..joins import spread_join
 from ..schemas import KEYS, ZYX, field_types
 from ..session import is_empty, materialize
 from .components import voxel_id
@@ -166,7 +167,7 @@ def safe_merge(
     """Merge fragments below ``gt_min`` into their nearest larger neighbour when close or touching enough."""
     keys = list(keys)
     fine = F.least("sz", "sy", "sx")
-    objs = object_info(labels, keys).join(scales.select(*keys, (F.lit(max_gap) / fine + 2).alias("margin")), keys)
+    objs = spread_join(object_info(labels, keys), scales.select(*keys, (F.lit(max_gap) / fine + 2).alias("margin")), keys, ["label"])
     objs = materialize(objs, "objects")
     near = bbox_pairs(objs, objs, F.col("margin"), keys).filter("a_label < b_label")
     near = materialize(near.select(*keys, F.col("a_label").alias("a"), F.col("b_label").alias("b")), "near")
@@ -336,6 +337,6 @@ def gmm_cleanup(labels: DataFrame, keys: Sequence[str] = KEYS):
     cut = gmm_cutoff(*[F.col(f"{p}_{i}") for i in (1, 2) for p in ("mean", "var", "w")])
     cuts = gmm_params(sizes, keys).select(*keys, F.coalesce(cut, F.lit(0.0)).alias("cutoff_vox"))
     cuts = materialize(cuts, "cuts")
-    small = sizes.join(cuts, keys).filter("volume_vox < cutoff_vox")
+    small = spread_join(sizes, cuts, keys, ["label"]).filter("volume_vox < cutoff_vox")
     removed = cuts.join(small.groupBy(*keys).agg(F.count("*").alias("n_removed")), keys, "left").na.fill(0, ["n_removed"])
     return labels.join(small, [*keys, "label"], "left_anti"), removed

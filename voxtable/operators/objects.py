@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..schemas import KEYS, ZYX
 
+NOISE = 1e-7  # relative error of the closed form where eigenvalues nearly coincide
+
 
 def object_info(labels: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """volume_vox, centroid and half-open bbox per label."""
@@ -70,15 +72,15 @@ def principal_axes(props: DataFrame) -> DataFrame:
     p = p.withColumn("_l2", F.col("_t") - F.col("_l1") - F.col("_l3"))
 
     def root(v: Column) -> Column:
-        return F.when(v <= F.col("_t") * 1e-9, F.lit(0.0)).otherwise(F.sqrt(v * 10.0))
+        return F.when(v <= F.col("_t") * NOISE, F.lit(0.0)).otherwise(F.sqrt(v * 10.0))
 
     l3 = F.col("_l3")
     adj = [(b - l3) * (c - l3) - f * f, (a - l3) * (c - l3) - e * e, (a - l3) * (b - l3) - d * d]
     for n, v in zip(ZYX, adj):
         p = p.withColumn(f"_g{n}", F.abs(v))
     top = F.greatest("_gz", "_gy", "_gx")
-    tie = top * (1 - 1e-9)
-    double = top <= F.col("_t") * F.col("_t") * 1e-12  # smallest eigenvalue is repeated
+    tie = top * (1 - 10 * NOISE)
+    double = top <= F.col("_t") * F.col("_t") * NOISE  # smallest eigenvalue is repeated
     low = F.least(a, b, c) * (1 + 1e-12)
     direction = (
         F.when(double & (a <= low), "Z")

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..joins import spread_join
 from ..schemas import KEYS, ZYX
 from ..session import is_empty, materialize
 from .objects import object_info
@@ -76,14 +77,14 @@ def knn(points: DataFrame, k: int = 2, keys: Sequence[str] = KEYS) -> DataFrame:
     # About two points per cell if they fill their box evenly. Where points crowd, the
     # width is halved until no cell holds more than CROWD of them.
     even = F.greatest(F.col("_span") / F.greatest(F.cbrt(F.col("_n") / 2.0), F.lit(1.0)), F.lit(1e-6))
-    pts = pts.join(stat.withColumn("_even", even), keys)
+    pts = spread_join(pts, stat.withColumn("_even", even), keys, ["label"])
     level = pts.withColumn("_l", F.explode(F.expr(f"sequence(0, {HALVINGS})"))).withColumn("_w", F.col("_even") / F.pow(F.lit(2.0), "_l"))
     full = level.groupBy(*keys, "_l", "_w", *[F.floor(F.col(c) / F.col("_w")).alias(f"h{c}") for c in ZYX]).count()
     full = full.groupBy(*keys, "_l", "_w").agg(F.max("count").alias("_most"))
     width = full.groupBy(*keys).agg(
         F.coalesce(F.max(F.when(F.col("_most") <= CROWD, F.col("_w"))), F.min("_w")).alias("_start")
     )
-    pts = materialize(pts.drop("_even").join(width, keys), "points")
+    pts = materialize(spread_join(pts.drop("_even"), width, keys, ["label"]), "points")
     start = F.col("_start")
     open_pts, done, factor = pts, None, 1.0
     while True:
@@ -195,7 +196,8 @@ def gaps(labels: DataFrame, pairs: DataFrame, scales: DataFrame, keys: Sequence[
     """
     keys = list(keys)
     named = pairs.select(*keys, F.explode(F.array("a", "b")).alias("label")).distinct()
-    skin = surface(labels.join(named, [*keys, "label"], "left_semi"), keys).join(scales.select(*keys, "sz", "sy", "sx"), keys)
+    skin = surface(labels.join(named, [*keys, "label"], "left_semi"), keys)
+    skin = spread_join(skin, scales.select(*keys, "sz", "sy", "sx"), keys, ZYX)
     skin = skin.select(
         *keys,
         "label",
@@ -239,7 +241,7 @@ def gap_contact(labels: DataFrame, pairs: DataFrame, scales: DataFrame, keys: Se
 def intercell_gaps(labels: DataFrame, volumes: DataFrame, pad_um: float = 15.0, keys: Sequence[str] = KEYS) -> DataFrame:
     """Gap of every pair a < b where b has voxels inside a's box padded by ``pad_um``."""
     keys = list(keys)
-    objs = object_info(labels, keys).join(volumes.select(*keys, "sz", "sy", "sx"), keys)
+    objs = spread_join(object_info(labels, keys), volumes.select(*keys, "sz", "sy", "sx"), keys, ["label"])
     for c in ZYX:
         pad = F.ceil(F.lit(float(pad_um)) / F.col(f"s{c}"))
         objs = objs.withColumn(f"{c}0", (F.col(f"{c}0") - pad).cast("int")).withColumn(
@@ -310,7 +312,8 @@ def should_not_merge_samples(pred, assigned, scales, pad_um: float = 3.0, keys:
     """(gap, contact) of every near pair a < b of fragments from different cells."""
     keys = list(keys)
     info = object_info(pred, keys).join(assigned.select(*keys, "label", "gt"), [*keys, "label"])
-    info = info.join(scales.select(*keys, (F.lit(float(pad_um)) / F.least("sz", "sy", "sx")).alias("pad")), keys)
+    pad = scales.select(*keys, (F.lit(float(pad_um)) / F.least("sz", "sy", "sx")).alias("pad"))
+    info = spread_join(info, pad, keys, ["label"])
     near = bbox_pairs(info, info, F.col("pad"), keys).filter("a_label < b_label and a_gt <> b_gt")
     pairs = materialize(near.select(*keys, F.col("a_label").alias("a"), F.col("b_label").alias("b")), "pairs")
     return gap_contact(pred, pairs, scales, keys)

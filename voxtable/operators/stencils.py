@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..bricks import stencil
+from ..joins import spread_join
 from ..schemas import KEYS, ZYX, field_types
 from .components import components, half_offsets, touching_groups, union_pieces  # noqa: F401
 
@@ -70,7 +71,7 @@ def erode3d(mask: DataFrame, volumes: DataFrame, n: int, keys: Sequence[str] = K
 
 def z_median3(mask: DataFrame, volumes: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Majority of slices z-1, z, z+1 with mirrored ends."""
-    rows = mask.select(*keys, *ZYX).join(volumes.select(*keys, "nz").distinct(), list(keys))
+    rows = spread_join(mask.select(*keys, *ZYX), volumes.select(*keys, "nz").distinct(), keys, ZYX)
     at = F.explode(
         F.array(
             *[
@@ -145,7 +146,7 @@ def fill_holes3d(mask: DataFrame, keys: Sequence[str] = KEYS, **kw) -> DataFrame
     found = components(empty, keys, 6, **kw)
     # The outside piece holds the lowest corner of the rim.
     outside = found.groupBy(*keys).agg(F.min("component").alias("outside"))
-    pockets = found.join(outside, keys).filter("component <> outside")
+    pockets = spread_join(found, outside, keys, ZYX).filter("component <> outside")
     return mask.select(*keys, *ZYX).unionByName(pockets.select(*keys, *[(F.col(c) - 1).alias(c) for c in ZYX]))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.describe import describe_with
 from ..functions.regions import assign_regions
 from ..functions.scalar import branch_ratios, clark_evans, depth_normalized, eq_diam, morphotype, sphericity, to_um
+from ..joins import spread_join
 from ..operators import crops as C, outlines as O
 from ..operators.labels import (
     FRACTION, create_labels, final_min_size, relabel_sequential, splice,
@@ -243,7 +244,7 @@ def background_sweep(
     base = background_mode(voxels, mask, keys).join(
         value_range(voxels, volumes, keys).select(*keys, (F.col("v_max") - F.col("v_min")).alias("_range")), keys
     )
-    src = apply_mask(voxels, mask, keys).join(base, keys)
+    src = spread_join(apply_mask(voxels, mask, keys), base, keys, ZYX)
     crop = materialize(_cell_crops(src.select(*keys, *ZYX, "value", "mode", "_range"), objs, volumes, pad_z, pad_xy, keys), "crops")
     truth = _cell_crops(gt.select(*keys, *ZYX, "label"), objs, volumes, pad_z, pad_xy, keys)
     shapes = cross_grid(_crop_shapes(objs, volumes, pad_z, pad_xy, keys), [(t, 0.0) for t in thresholds]).drop("p2")

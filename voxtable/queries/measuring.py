@@ -41,7 +41,7 @@ e3 AS (SELECT *, CASE WHEN p <= t * 1e-12 THEN 0 ELSE ((i_zz - q) * ((i_yy - q)
 e4 AS (SELECT *, acos(least(greatest(r, -1.0), 1.0)) / 3 AS phi FROM e3),
 e5 AS (SELECT *, q + 2 * p * cos(phi) AS l1, q + 2 * p * cos(phi + 2 * pi() / 3) AS l3 FROM e4),
 e6 AS (SELECT *, t - l1 - l3 AS l2 FROM e5),
-ax AS (SELECT *, CASE WHEN l1 + l2 - l3 <= t * 1e-9 THEN 0 ELSE sqrt(10 * (l1 + l2 - l3)) END AS major, CASE WHEN l2 + l3 - l1 <= t * 1e-9 THEN 0 ELSE sqrt(10 * (l2 + l3 - l1)) END AS minor FROM e6)"""
+ax AS (SELECT *, CASE WHEN l1 + l2 - l3 <= t * 1e-7 THEN 0 ELSE sqrt(10 * (l1 + l2 - l3)) END AS major, CASE WHEN l2 + l3 - l1 <= t * 1e-7 THEN 0 ELSE sqrt(10 * (l2 + l3 - l1)) END AS minor FROM e6)"""
 
 
 @query("regionprops", with_(*B, PROPS, body="""
@@ -536,16 +536,16 @@ def stats_columns(spark, sf):
 
 FULL_DIR = """, dr AS (SELECT fish_id, label, greatest(abs((i_yy - l3) * (i_xx - l3) - i_yx ** 2), abs((i_zz - l3) * (i_xx - l3) - i_zx ** 2), abs((i_zz - l3) * (i_yy - l3) - i_zy ** 2)) AS top,
   abs((i_yy - l3) * (i_xx - l3) - i_yx ** 2) AS gz, abs((i_zz - l3) * (i_xx - l3) - i_zx ** 2) AS gy, least(i_zz, i_yy, i_xx) * (1 + 1e-12) AS low, * EXCLUDE (fish_id, label) FROM ax),
-dd AS (SELECT *, CASE WHEN top <= t * t * 1e-12 AND i_zz <= low THEN 'Z' WHEN top <= t * t * 1e-12 AND i_yy <= low THEN 'Y' WHEN top <= t * t * 1e-12 THEN 'X'
-  WHEN gz >= top * (1 - 1e-9) THEN 'Z' WHEN gy >= top * (1 - 1e-9) THEN 'Y' ELSE 'X' END AS dir FROM dr)"""
+dd AS (SELECT *, CASE WHEN top <= t * t * 1e-7 AND i_zz <= low THEN 'Z' WHEN top <= t * t * 1e-7 AND i_yy <= low THEN 'Y' WHEN top <= t * t * 1e-7 THEN 'X'
+  WHEN gz >= top * (1 - 1e-6) THEN 'Z' WHEN gy >= top * (1 - 1e-6) THEN 'Y' ELSE 'X' END AS dir FROM dr)"""
 
 
 @query("stats_table", with_(VOX, VOL, labels_sql("g", 0), info_sql("g", "i"), UM, PTS, LINES, "blk AS (SELECT * FROM g)", PROPS, AXES, body=FULL_DIR + """
 , it AS (SELECT g.fish_id, g.label, avg(value) AS mi, sum(value) AS si FROM g JOIN vox USING (fish_id, z, y, x) GROUP BY ALL),
 rg AS (SELECT l.fish_id, l.label, count(*) FILTER (side < 0) AS k FROM (SELECT * FROM (SELECT s.*, row_number() OVER (PARTITION BY fish_id, label, line_no ORDER BY dist, seq) AS r FROM sd s) WHERE r = 1) l GROUP BY ALL),
 lc AS (SELECT fish_id, label, count(*) AS n FROM d WHERE dist <= 100 GROUP BY ALL)
-SELECT u.fish_id, u.label, u.volume_vox, round(v, 1) AS volume_um3, round_even(zu, 2) AS centroid_z_um, u.z0 AS bbox_z0_vox, u.x1 AS bbox_x1_vox, round(cbrt(6 * v / pi()), 1) AS eq_diam_um, dir AS principal_axis_dir,
-  round(mi, 1) AS mean_intensity, round(si, 1) AS integrated_intensity, a.nn_label AS nearest_neighbor_label, round_even(a.dist, 2) AS nearest_neighbor_dist_um, lc.n AS local_density_100um,
+SELECT u.fish_id, u.label, u.volume_vox, round(round_even(v, 2), 1) AS volume_um3, round_even(zu, 2) AS centroid_z_um, u.z0 AS bbox_z0_vox, u.x1 AS bbox_x1_vox, round(round_even(cbrt(6 * v / pi()), 2), 1) AS eq_diam_um, dir AS principal_axis_dir,
+  round(si, 2) AS integrated_intensity, a.nn_label AS nearest_neighbor_label, round_even(a.dist, 2) AS nearest_neighbor_dist_um, lc.n AS local_density_100um,
   CASE k WHEN 0 THEN 'front' WHEN 1 THEN 'middle' ELSE 'back' END AS brain_region
 FROM um u JOIN dd USING (fish_id, label) JOIN it USING (fish_id, label) JOIN nn a ON a.fish_id = u.fish_id AND a.label = u.label AND a.rank = 1 JOIN lc ON lc.fish_id = u.fish_id AND lc.label = u.label JOIN rg ON rg.fish_id = u.fish_id AND rg.label = u.label"""))
 def stats_table(spark, sf):
@@ -554,7 +554,7 @@ def stats_table(spark, sf):
     t = J.compute_stats(truth(spark, sf), vol(spark, sf), SCALE, vox(spark, sf), lines(spark, sf), names)
     return t.select(
         "fish_id", "label", "volume_vox", F.round("volume_um3", 1).alias("volume_um3"), "centroid_z_um", "bbox_z0_vox", "bbox_x1_vox",
-        F.round("eq_diam_um", 1).alias("eq_diam_um"), "principal_axis_dir", F.round("mean_intensity", 1).alias("mean_intensity"),
-        F.round("integrated_intensity", 1).alias("integrated_intensity"), "nearest_neighbor_label", "nearest_neighbor_dist_um", "local_density_100um",
+        F.round("eq_diam_um", 1).alias("eq_diam_um"), "principal_axis_dir", F.round("integrated_intensity", 2).alias("integrated_intensity"),
+        "nearest_neighbor_label", "nearest_neighbor_dist_um", "local_density_100um",
         "brain_region",
     )

@@ -17,6 +17,7 @@ def get_spark(app: str = "voxtable", master: str | None = None, **conf) -> Spark
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         **conf,
     }
@@ -54,5 +55,12 @@ def materialize(df: DataFrame, tag: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_scratch(spark: SparkSession) -> bool:
+    """Delete the tables this application wrote with ``materialize``; call it when a job's results are saved."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/voxtable/{spark.sparkContext.applicationId}")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def is_empty(df: DataFrame) -> bool:
     return len(df.take(1)) == 0

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.scalar import anisotropy
+from ..joins import spread_join
 from ..schemas import KEYS, VOLUMES, VOXELS
 
 
@@ -86,7 +87,7 @@ def match_metadata(images: DataFrame, metas: DataFrame, floor: float = 0.3) -> D
     )
     open_ = images.join(exact, ["folder", "stem"], "left_anti").select("folder", "stem")
     # Compare distinct name pairs only; the ratio is at most 2 min / (a + b) of the lengths.
-    duo = open_.join(metas.select("folder", "meta_stem"), "folder")
+    duo = spread_join(open_, metas.select("folder", "meta_stem"), ["folder"], ["stem"])
     a, b = F.length("stem"), F.length("meta_stem")
     duo = duo.filter(F.least(a, b) * 2.0 / (a + b) > floor)
     duo = duo.withColumn("ratio", text_ratio(F.lower("stem"), F.lower("meta_stem"))).filter(F.col("ratio") > floor)
