@@ -540,7 +540,7 @@ dd AS (SELECT *, CASE WHEN top <= t * t * 1e-7 AND i_zz <= low THEN 'Z' WHEN top
   WHEN gz >= top * (1 - 1e-6) THEN 'Z' WHEN gy >= top * (1 - 1e-6) THEN 'Y' ELSE 'X' END AS dir FROM dr)"""
 
 
-@query("stats_table", with_(VOX, VOL, labels_sql("g", 0), info_sql("g", "i"), UM, PTS, LINES, "blk AS (SELECT * FROM g)", PROPS, AXES, body=FULL_DIR + """
+@query("stats_table", with_(VOX, VOL, labels_sql("g", 0), info_sql("g", "i"), UM, PTS, LINES.replace("cy * sy AS y, cx * sx AS x", "round_even(cy * sy, 2) AS y, round_even(cx * sx, 2) AS x"), "blk AS (SELECT * FROM g)", PROPS, AXES, body=FULL_DIR + """
 , it AS (SELECT g.fish_id, g.label, avg(value) AS mi, sum(value) AS si FROM g JOIN vox USING (fish_id, z, y, x) GROUP BY ALL),
 rg AS (SELECT l.fish_id, l.label, count(*) FILTER (side < 0) AS k FROM (SELECT * FROM (SELECT s.*, row_number() OVER (PARTITION BY fish_id, label, line_no ORDER BY dist, seq) AS r FROM sd s) WHERE r = 1) l GROUP BY ALL),
 lc AS (SELECT fish_id, label, count(*) AS n FROM d WHERE dist <= 100 GROUP BY ALL)
