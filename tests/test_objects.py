@@ -163,6 +163,15 @@ def test_gap_depends_on_axis(make, dims):
     assert (g["label_a"], g["label_b"], g["n_pairs_measured"]) == (1, 2, 1) and g["min_gap_um"] == pytest.approx(0.174)
 
 
+def test_gap_beyond_the_pad_counts_only_the_box(make, dims):
+    d = np.zeros((1, 14, 14), dtype=int)
+    d[0, 0, 0] = 1
+    d[0, 3, 3] = 2  # inside the box padded by 3, distance sqrt(18)
+    d[0, 0:4, 4] = 2  # outside that box, nearer: distance 4
+    got = P.intercell_gaps(make({"f": d}), dims({"f": d}), 3.0).collect()
+    assert [(r["a"], r["b"]) for r in got] == [(1, 2)] and got[0]["gap_um"] == pytest.approx(np.sqrt(18))
+
+
 def test_knn_with_a_crowd_and_lone_points(spark):
     rng = np.random.default_rng(2)
     pts = {"crowd": np.vstack([rng.normal(0, 0.01, (150, 3)), rng.uniform(0, 100, (50, 3))]).round(3), "two": np.array([[0, 0, 0], [1, 1, 1.0]]), "one": np.zeros((1, 3))}

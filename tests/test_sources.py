@@ -34,6 +34,25 @@ def test_metadata_match_prefers_exact_then_similar(spark):
     assert got == {("d", "fish_1"): ("fish_1", True, 1.0), ("d", "Fish_22_scan"): ("fish_2_scan", False, want)}
 
 
+def test_metadata_match_equals_full_comparison(spark):
+    import random
+
+    rnd = random.Random(3)
+    names = ["".join(rnd.choice("abcd_1") for _ in range(rnd.randint(2, 9))) for _ in range(60)]
+    img, met = names[:30], sorted(set(names[30:]))
+    got = SV.match_metadata(
+        spark.createDataFrame([("d", n) for n in img], "folder string, stem string"),
+        spark.createDataFrame([("d", n) for n in met], "folder string, meta_stem string"),
+    )
+    want = {}
+    for n in img:
+        r, m = max((difflib.SequenceMatcher(None, n, m).ratio(), m) for m in met)
+        best = min(m for m in met if difflib.SequenceMatcher(None, n, m).ratio() == r)
+        if r > 0.3:
+            want[n] = (n if n in met else best, 1.0 if n in met else r)
+    assert {r["stem"]: (r["meta_stem"], r["ratio"]) for r in got.collect()} == want
+
+
 def test_listing_from_disk(spark, tmp_path):
     f = tmp_path / "s1"
     f.mkdir()

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..joins import spread_join
 from ..numbering import quantiles
 from ..schemas import KEYS, ZYX
+from ..session import materialize
 from .components import components, largest_component
 from .stencils import erode2d, erode3d, fill_holes3d
 
@@ -84,8 +85,14 @@ def mask_andnot(a: DataFrame, b: DataFrame, keys: Sequence[str] = KEYS) -> DataF
 
 def background_mode(voxels: DataFrame, mask: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Centre of the first tallest of 1,000 equal bins over in-mask values, zeros included."""
+    return _mode_of(apply_mask(voxels, mask, keys), mask, keys)
+
+
+def _mode_of(inside: DataFrame, mask: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The mode from rows already known to lie in the mask; voxels are read once, the rest uses value counts."""
     keys = list(keys)
-    inside = apply_mask(voxels, mask, keys).groupBy(*keys, F.col("value").cast("double").alias("value")).count()
+    inside = inside.groupBy(*keys, F.col("value").cast("double").alias("value")).count()
+    inside = materialize(inside, "values")
     size = mask.groupBy(*keys).agg(F.count("*").alias("n_mask"))
     seen = inside.groupBy(*keys).agg(F.sum("count").alias("n_seen"))
     zeros = size.join(seen, keys, "left").select(
@@ -109,8 +116,12 @@ def background_mode(voxels: DataFrame, mask: DataFrame, keys: Sequence[str] = KE
 
 def background_threshold(voxels, mask, volumes, tol: float, keys: Sequence[str] = KEYS) -> DataFrame:
     """mode, data range and threshold = mode + (max - min) * tol / 100."""
+    return _threshold_of(background_mode(voxels, mask, keys), voxels, volumes, tol, keys)
+
+
+def _threshold_of(mode: DataFrame, voxels: DataFrame, volumes: DataFrame, tol: float, keys: Sequence[str]) -> DataFrame:
     rng = value_range(voxels, volumes, keys).select(*keys, (F.col("v_max") - F.col("v_min")).alias("data_range"))
-    return background_mode(voxels, mask, keys).join(rng, list(keys)).withColumn(
+    return mode.join(rng, list(keys)).withColumn(
         "thresh", F.col("mode") + F.col("data_range") * (tol / 100.0)
     )
 
@@ -118,8 +129,10 @@ def background_threshold(voxels, mask, volumes, tol: float, keys: Sequence[str]
 def remove_outside(voxels, mask, volumes, tol: float, keys: Sequence[str] = KEYS) -> DataFrame:
     """Drop dim voxels outside the mask; everything inside stays."""
     keys = list(keys)
-    cut = background_threshold(voxels, mask, volumes, tol, keys).select(*keys, "thresh")
     flagged = voxels.join(mask.select(*keys, *ZYX).withColumn("_in", F.lit(True)), [*keys, *ZYX], "left")
+    flagged = materialize(flagged, "flagged")
+    mode = _mode_of(flagged.filter("_in"), mask, keys)
+    cut = _threshold_of(mode, flagged, volumes, tol, keys).select(*keys, "thresh")
     return spread_join(flagged, cut, keys, ZYX).filter("_in or value > thresh").drop("_in", "thresh")
 
 

@@ -248,17 +248,19 @@ def intercell_gaps(labels: DataFrame, volumes: DataFrame, pad_um: float = 15.0,
             f"{c}1", (F.col(f"{c}1") + pad).cast("int")
         )
     boxes = objs.select(*keys, F.col("label").alias("a"), *[f"{c}{e}" for c in ZYX for e in "01"])
+    boxes = materialize(boxes, "boxes")
     b_cells = labels.select(*keys, F.col("label").alias("b"), *ZYX, *[F.floor(F.col(c) / CELL).alias(f"g{c}") for c in ZYX])
     # Whole cells first: one row per (b, cell) with the box of b's voxels there.
     tight = b_cells.groupBy(*keys, "b", "gz", "gy", "gx").agg(
         *[f(c).alias(f"{p}{c}") for c in ZYX for f, p in ((F.min, "lo"), (F.max, "hi"))]
     )
+    listed = boxes
     for c in ZYX:
-        boxes = boxes.withColumn(
+        listed = listed.withColumn(
             f"g{c}",
             F.explode(F.sequence(F.floor(F.col(f"{c}0") / CELL), F.floor((F.col(f"{c}1") - 1) / CELL))),
         )
-    meet = boxes.join(tight, [*keys, "gz", "gy", "gx"]).filter("a < b")
+    meet = listed.join(tight, [*keys, "gz", "gy", "gx"]).filter("a < b")
     for c in ZYX:
         meet = meet.filter(f"lo{c} < {c}1 and hi{c} >= {c}0")
     inside = " and ".join(f"lo{c} >= {c}0 and hi{c} < {c}1" for c in ZYX)
@@ -268,7 +270,25 @@ def intercell_gaps(labels: DataFrame, volumes: DataFrame, pad_um: float = 15.0,
     for c in ZYX:
         checked = checked.filter(f"{c} >= {c}0 and {c} < {c}1")
     found = materialize(sure.unionByName(checked.select(*keys, "a", "b")).distinct(), "near")
-    return gaps(labels, found, volumes, keys)
+    measured = materialize(gaps(labels, found, volumes, keys), "gaps")
+    # Beyond the pad the nearest voxel of b may lie outside the box; there only b's voxels inside it count.
+    far = measured.filter(F.col("gap_um") > pad_um).select(*keys, "a", "b")
+    if is_empty(far):
+        return measured
+    box = boxes.select(*keys, "a", *[f"{c}{e}" for c in ZYX for e in "01"]).distinct()
+    part = far.join(labels.select(*keys, F.col("label").alias("b"), *ZYX), [*keys, "b"]).join(box, [*keys, "a"])
+    for c in ZYX:
+        part = part.filter(f"{c} >= {c}0 and {c} < {c}1")
+    scope = [*keys, "a", "b"]
+    whole = far.join(labels.select(*keys, F.col("label").alias("a"), *ZYX), [*keys, "a"])
+    both = whole.select(*scope, *ZYX, F.lit(1).alias("label")).unionByName(part.select(*scope, *ZYX, F.lit(2).alias("label")))
+    scale = far.join(volumes.select(*keys, "sz", "sy", "sx"), keys)
+    duo = far.withColumnsRenamed({"a": "_ka", "b": "_kb"}).withColumns({"a": F.lit(1), "b": F.lit(2)})
+    keyed = [*keys, "_ka", "_kb"]
+    names = {"a": "_ka", "b": "_kb"}
+    cut = gaps(both.withColumnsRenamed(names), duo, scale.withColumnsRenamed(names), keyed)
+    cut = cut.select(*keys, F.col("_ka").alias("a"), F.col("_kb").alias("b"), "gap_um")
+    return measured.join(far, scope, "left_anti").unionByName(cut)
 
 
 def min_intercell_gap(labels: DataFrame, volumes: DataFrame, pad_um: float = 15.0, keys: Sequence[str] = KEYS) -> DataFrame:

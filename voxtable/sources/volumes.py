@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from ..functions.scalar import anisotropy
 from ..joins import spread_join
 from ..schemas import KEYS, VOLUMES, VOXELS
+from ..session import materialize
 
 
 def read_voxels(spark: SparkSession, path: str, volumes_path: str | None = None) -> DataFrame:
@@ -75,21 +76,37 @@ def text_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, p, q).ratio() for p, q in zip(a, b)])
 
 
+def _letters(name: str) -> Column:
+    """How many characters of a name fall in each of 16 hash classes."""
+    chars = F.filter(F.split(F.lower(name), ""), lambda c: c != "")
+    kind = F.transform(chars, lambda c: F.pmod(F.hash(c), F.lit(16)))
+    return F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.size(F.filter(kind, lambda v: v == k)))
+
+
 def match_metadata(images: DataFrame, metas: DataFrame, floor: float = 0.3) -> DataFrame:
     """The metadata file of each image: {stem}_metadata in its folder, else the most similar sibling above ``floor``.
 
     ``images``: folder, stem; ``metas``: folder, meta_stem (without the
-    ``_metadata`` ending). Exact matches are settled by an equi-join, so only
-    images without one are compared with their folder's files.
+    ``_metadata`` ending). Exact matches are settled by an equi-join. For the
+    rest, shared letters bound the similarity from above; the full comparison
+    runs on the best-bounded name first, then only on names whose bound can
+    still beat or tie it.
     """
+    metas = metas.select("folder", "meta_stem").distinct()
     exact = images.join(metas.withColumn("stem", F.col("meta_stem")), ["folder", "stem"]).select(
         "folder", "stem", "meta_stem", F.lit(1.0).alias("ratio"), F.lit(True).alias("exact")
     )
-    open_ = images.join(exact, ["folder", "stem"], "left_anti").select("folder", "stem")
-    # Compare distinct name pairs only; the ratio is at most 2 min / (a + b) of the lengths.
-    duo = spread_join(open_, metas.select("folder", "meta_stem"), ["folder"], ["stem"])
-    a, b = F.length("stem"), F.length("meta_stem")
-    duo = duo.filter(F.least(a, b) * 2.0 / (a + b) > floor)
+    open_ = images.join(exact, ["folder", "stem"], "left_anti").select("folder", "stem").distinct()
+    a = materialize(open_.select("folder", "stem", _letters("stem").alias("_a")), "names")
+    b = materialize(metas.select("folder", "meta_stem", _letters("meta_stem").alias("_b")), "names")
+    duo = spread_join(a, b, ["folder"], ["stem"])
+    shared = F.aggregate(F.zip_with("_a", "_b", lambda p, q: F.least(p, q)), F.lit(0), lambda acc, v: acc + v)
+    bound = shared * 2.0 / (F.length("stem") + F.length("meta_stem"))
+    duo = duo.select("folder", "stem", "meta_stem", bound.alias("_bound")).filter(F.col("_bound") > floor)
+    first = duo.groupBy("folder", "stem").agg(F.max_by("meta_stem", F.struct("_bound", "meta_stem")).alias("_m"))
+    reach = first.select("folder", "stem", text_ratio(F.lower("stem"), F.lower("_m")).alias("_reach"))
+    reach = materialize(reach, "reach")
+    duo = duo.join(reach, ["folder", "stem"]).filter(F.col("_bound") >= F.col("_reach") - 1e-12)
     duo = duo.withColumn("ratio", text_ratio(F.lower("stem"), F.lower("meta_stem"))).filter(F.col("ratio") > floor)
     best = duo.groupBy("folder", "stem").agg(F.min_by(F.struct("meta_stem", "ratio"), F.struct(-F.col("ratio"), "meta_stem")).alias("_b"))
     return exact.unionByName(best.select("folder", "stem", "_b.meta_stem", "_b.ratio", F.lit(False).alias("exact")))
