@@ -76,6 +76,10 @@ def text_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, p, q).ratio() for p, q in zip(a, b)])
 
 
+# Marked so that the optimizer does not run it again inside a pushed-down filter.
+text_ratio = text_ratio.asNondeterministic()
+
+
 def _letters(name: str) -> Column:
     """How many characters of a name fall in each of 16 hash classes."""
     chars = F.filter(F.split(F.lower(name), ""), lambda c: c != "")
@@ -99,14 +103,17 @@ def match_metadata(images: DataFrame, metas: DataFrame, floor: float = 0.3) -> D
     open_ = images.join(exact, ["folder", "stem"], "left_anti").select("folder", "stem").distinct()
     a = materialize(open_.select("folder", "stem", _letters("stem").alias("_a")), "names")
     b = materialize(metas.select("folder", "meta_stem", _letters("meta_stem").alias("_b")), "names")
+    # The name lists are small but their pairs are many: spread the left side before it multiplies.
+    a = a.repartition(2 * images.sparkSession.sparkContext.defaultParallelism, "folder", "stem")
     duo = spread_join(a, b, ["folder"], ["stem"])
     shared = F.aggregate(F.zip_with("_a", "_b", lambda p, q: F.least(p, q)), F.lit(0), lambda acc, v: acc + v)
     bound = shared * 2.0 / (F.length("stem") + F.length("meta_stem"))
-    duo = duo.select("folder", "stem", "meta_stem", bound.alias("_bound")).filter(F.col("_bound") > floor)
+    duo = materialize(duo.select("folder", "stem", "meta_stem", bound.alias("_bound")).filter(F.col("_bound") > floor), "bounds")
     first = duo.groupBy("folder", "stem").agg(F.max_by("meta_stem", F.struct("_bound", "meta_stem")).alias("_m"))
     reach = first.select("folder", "stem", text_ratio(F.lower("stem"), F.lower("_m")).alias("_reach"))
     reach = materialize(reach, "reach")
     duo = duo.join(reach, ["folder", "stem"]).filter(F.col("_bound") >= F.col("_reach") - 1e-12)
+    duo = duo.repartition(2 * images.sparkSession.sparkContext.defaultParallelism, "folder", "stem")
     duo = duo.withColumn("ratio", text_ratio(F.lower("stem"), F.lower("meta_stem"))).filter(F.col("ratio") > floor)
     best = duo.groupBy("folder", "stem").agg(F.min_by(F.struct("meta_stem", "ratio"), F.struct(-F.col("ratio"), "meta_stem")).alias("_b"))
     return exact.unionByName(best.select("folder", "stem", "_b.meta_stem", "_b.ratio", F.lit(False).alias("exact")))
