@@ -13,7 +13,7 @@ from ..session import materialize, scratch_path
 from ..sources import listing as LS, metric_log as ML, sinks as SK, volumes as SV
 from ..streaming import metrics as ST
 from .base import (
-    BRAIN, PROBS, SCALE, VOL, VOX, blocks, blocks_sql, brain, cc_sql, labels_sql, occ_sql, occupied, predicted, probs, query, rounded, table, truth, vol, vox, with_,
+    BRAIN, PROBS, SCALE, VOL, VOX, blocks, blocks_sql, brain, cc_sql, labels_sql, occupied, predicted, probs, query, rounded, table, truth, vol, vox, with_,
 )
 
 GT = "gt AS (SELECT fish_id, z, y, x FROM vox WHERE value > 30)"
@@ -250,7 +250,8 @@ HAVING max(o_orderkey) % 10000 IN (SELECT l_orderkey FROM lineitem)""")
 def resolve_pointers(spark, sf):
     o = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("model")).agg((F.max("o_orderkey") % 10000).cast("int").alias("epoch"))
     p = o.select("model", F.format_string("%s_epoch_%04d", "model", "epoch").alias("target"))
-    ck = table(spark, sf, "lineitem").select("l_orderkey").distinct().join(o.select("model").distinct())
+    models = F.array(*[F.lit(m) for m in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")])
+    ck = table(spark, sf, "lineitem").select("l_orderkey").distinct().select("l_orderkey", F.explode(models).alias("model"))
     return SV.resolve_pointers(p, ck.select(F.format_string("%s_epoch_%04d", "model", "l_orderkey").alias("name"))).select("model", "target")
 
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import components as CC, labels as L, objects as OB, stencils as S
+from ..operators import components as CC, labels as L, objects as OB
 from ..schemas import ZYX
 from .base import (
-    VOL, VOX, blocks, blocks_sql, brain, BRAIN, cc_sql, found, info_sql, labels_sql, occ_sql, occupied, predicted, query, rounded, table, truth, vol, vox, with_,
+    VOL, VOX, blocks, blocks_sql, cc_sql, found, labels_sql, occ_sql, occupied, predicted, query, rounded, table, truth, vol, vox, with_,
 )
 from ..sources import volumes as SV
 

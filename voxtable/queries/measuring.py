@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
 from ..functions import describe as D, regions as R, scalar as SC
-from ..operators import merging as MG, objects as OB, pairs as P, scoring as SR, labels as L, sweeps as SW
+from ..operators import merging as MG, objects as OB, pairs as P, scoring as SR, labels as L
 from ..plans import jobs as J
 from ..schemas import ZYX
 from ..sources import sinks as SK

@@ -8,7 +8,7 @@ from ..operators import crops as C, outlines as O, shape as SH
 from ..plans import jobs as J
 from ..schemas import ZYX
 from ..session import materialize
-from .base import SCALE, VOL, VOX, blocks, blocks_sql, labels_sql, query, rounded, table, truth, vol, vox, with_
+from .base import SCALE, VOL, VOX, blocks, blocks_sql, query, rounded, table, truth, vol, vox, with_
 
 B = (VOX, VOL, blocks_sql())
 
