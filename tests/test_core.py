@@ -139,3 +139,11 @@ def test_random_fill_is_repeatable(make, dims):
     one = sorted(map(tuple, M.fill_outside_random(v, m, dims({"f": d}), 3).collect()))
     assert one == sorted(map(tuple, M.fill_outside_random(v, m, dims({"f": d}), 3).collect()))
     assert len(one) == d.size
+
+
+def test_stage_tables_can_be_cleared(spark):
+    from voxtable.session import clear_scratch, materialize
+
+    assert materialize(spark.range(5)).count() == 5
+    assert clear_scratch(spark) is True
+    assert materialize(spark.range(3)).count() == 3
