@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import scratch_path
 from .exact_dedup import exact_duplicates
 from .near_dedup import near_duplicates
+from .packing import pack
+from .secret_scan import BASE as SECRET_BASE, digest, find_secrets
+from .token_files import read_token_files, write_token_files
+from .tokens import tokenizer_path
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -22,8 +27,26 @@ def op1_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(documents(spark, sf))
 
 
+def op6_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    folder = scratch_path(spark, "token-files")
+    manifest = write_token_files(
+        documents(spark, sf), folder, tokenizer_path("byte_bpe_50k.json"), blank_in_word=True, vocabulary=50_257)
+    return read_token_files(spark, folder, manifest).withColumnRenamed("id", "doc_id")
+
+
+def op7_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return pack(documents(spark, sf), tokenizer_path("word_bpe_49k.json"), blank_in_word=False)
+
+
+def op8_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return digest(find_secrets(documents(spark, sf)), tuple(r.kind for r in SECRET_BASE))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op6_token_files": op6_token_files,
+    "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_secret_scan": op8_secret_scan,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
