@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
+from .decontamination import find_leaks
 from .exact_dedup import exact_duplicates
 from .near_dedup import near_duplicates
 from .packing import pack
 from .secret_scan import BASE as SECRET_BASE, digest, find_secrets
+from .substring_dedup import repeated_spans
 from .token_files import read_token_files, write_token_files
 from .tokens import tokenizer_path
+from .toxicity import CUT, learn, score_toxicity
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -27,6 +30,26 @@ def op1_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(documents(spark, sf))
 
 
+def fold(parts: int):
+    """Remainder of the id's crc32, which tells held-out rows."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
+
+
+def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs, labels = documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")
+    terms, weights = learn(docs, labels.filter(fold(3) != 1))
+    scored = score_toxicity(docs.select("doc_id", "text"), terms, weights)
+    return scored.select("doc_id", (fold(3) == 1).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+
+
+def op3_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return repeated_spans(documents(spark, sf))
+
+
+def op4_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return find_leaks(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
+
+
 def op6_token_files(spark: SparkSession, sf: str) -> DataFrame:
     folder = scratch_path(spark, "token-files")
     manifest = write_token_files(
@@ -44,6 +67,9 @@ def op8_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_toxicity": op2_toxicity,
+    "op3_substring_dedup": op3_substring_dedup,
+    "op4_decontamination": op4_decontamination,
     "op6_token_files": op6_token_files,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_secret_scan": op8_secret_scan,
