@@ -9,6 +9,7 @@ from .decontamination import find_leaks
 from .exact_dedup import exact_duplicates
 from .near_dedup import near_duplicates
 from .packing import pack
+from .pii import find_personal_data
 from .secret_scan import BASE as SECRET_BASE, digest, find_secrets
 from .substring_dedup import repeated_spans
 from .token_files import read_token_files, write_token_files
@@ -65,6 +66,10 @@ def op8_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     return digest(find_secrets(documents(spark, sf)), tuple(r.kind for r in SECRET_BASE))
 
 
+def op10_pii(spark: SparkSession, sf: str) -> DataFrame:
+    return find_personal_data(documents(spark, sf))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_toxicity": op2_toxicity,
@@ -74,6 +79,7 @@ QUERIES = {
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_secret_scan": op8_secret_scan,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_pii": op10_pii,
 }
 
 ORACLES = {

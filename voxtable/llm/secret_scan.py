@@ -161,9 +161,12 @@ def digest(spans: DataFrame, base: tuple[str, ...]) -> DataFrame:
     def joined(column):
         return F.array_join(F.transform(column, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     basic = F.filter("spans", lambda s: s["kind"].isin(*base))
     keep = [c for c in spans.columns if c != "spans"]
     return spans.select(
         *keep,
-        *[F.size(F.filter("spans", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in base],
+        *map(count, base),
         F.sha2(joined(basic), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
