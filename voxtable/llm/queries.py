@@ -10,6 +10,7 @@ from .exact_dedup import exact_duplicates
 from .near_dedup import near_duplicates
 from .packing import pack
 from .pii import find_personal_data
+from .recurrent_lm import score_texts
 from .secret_scan import BASE as SECRET_BASE, digest, find_secrets
 from .substring_dedup import repeated_spans
 from .token_files import read_token_files, write_token_files
@@ -51,6 +52,13 @@ def op4_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return find_leaks(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
 
 
+def op5_recurrent_lm(spark: SparkSession, sf: str) -> DataFrame:
+    docs = documents(spark, sf)
+    scored = score_texts(docs, docs.filter(fold(5) != 1))
+    return scored.withColumn("held_out", fold(5) == 1).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_token_files(spark: SparkSession, sf: str) -> DataFrame:
     folder = scratch_path(spark, "token-files")
     manifest = write_token_files(
@@ -75,6 +83,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_decontamination": op4_decontamination,
+    "op5_recurrent_lm": op5_recurrent_lm,
     "op6_token_files": op6_token_files,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_secret_scan": op8_secret_scan,

@@ -22,13 +22,19 @@ _SLICE = 4 << 20
 
 @dataclass(frozen=True)
 class Rule:
-    """``head``: part of the pattern in front of the value; a match counts if at least ``least`` characters follow it."""
+    """``head``: part of the pattern in front of the value; a match counts if at least ``least`` characters follow it.
+
+    ``probe``: what every match begins with, ending before a counted or open run.  It stands for the rule in the
+    combined automaton, where counts that can begin anew inside one another would multiply the states; the rule's
+    own automaton settles the whole pattern.
+    """
 
     kind: str
     pattern: str
     fold: bool = False
     head: str = ""
     least: int = 0
+    probe: str = ""
 
 
 # fixed values: the three base rules
@@ -36,17 +42,17 @@ _KEYWORD = "(password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?"
 BASE = (
     Rule("assign", _KEYWORD + "[A-Za-z0-9+/_.=\\-]+", True, _KEYWORD, 12),
     # a run that is too short holds no longer one, so the least lengths can stand in the patterns
-    Rule("access", "AKIA[A-Z0-9]{14,}"),
+    Rule("access", "AKIA[A-Z0-9]{14,}", probe="AKIA[A-Z0-9]"),
     Rule("hex", "[0-9a-f]{16,}"),
 )
 MORE = (
-    Rule("github", "gh[pousr]_[A-Za-z0-9]{36,}"),
-    Rule("slack", "xox[abprs]\\-[A-Za-z0-9\\-]{10,}"),
-    Rule("google", "AIza[A-Za-z0-9_\\-]{35,}"),
-    Rule("payment", "[rs]k_(live|test)_[A-Za-z0-9]{16,}"),
-    Rule("jwt", "eyJ[A-Za-z0-9_\\-]{8,}\\.eyJ[A-Za-z0-9_\\-]{8,}\\.[A-Za-z0-9_\\-]{8,}"),
-    Rule("pem", "\\-\\-\\-\\-\\-BEGIN[A-Z\\x20]+PRIVATE\\x20KEY\\-\\-\\-\\-\\-"),
-    Rule("login", "://[A-Za-z0-9._%\\-]+:[A-Za-z0-9._%!$&*+=\\-]+@"),
+    Rule("github", "gh[pousr]_[A-Za-z0-9]{36,}", probe="gh[pousr]_[A-Za-z0-9]"),
+    Rule("slack", "xox[abprs]\\-[A-Za-z0-9\\-]{10,}", probe="xox[abprs]\\-"),
+    Rule("google", "AIza[A-Za-z0-9_\\-]{35,}", probe="AIza"),
+    Rule("payment", "[rs]k_(live|test)_[A-Za-z0-9]{16,}", probe="[rs]k_(live|test)_"),
+    Rule("jwt", "eyJ[A-Za-z0-9_\\-]{8,}\\.eyJ[A-Za-z0-9_\\-]{8,}\\.[A-Za-z0-9_\\-]{8,}", probe="eyJ[A-Za-z0-9_\\-]"),
+    Rule("pem", "\\-\\-\\-\\-\\-BEGIN[A-Z\\x20]+PRIVATE\\x20KEY\\-\\-\\-\\-\\-", probe="\\-\\-\\-\\-\\-BEGIN"),
+    Rule("login", "://[A-Za-z0-9._%\\-]+:[A-Za-z0-9._%!$&*+=\\-]+@", probe="://[A-Za-z0-9._%\\-]"),
 )
 
 
@@ -65,7 +71,7 @@ def compile_rules(rules: tuple[Rule, ...] = BASE + MORE) -> Scanner:
     start = both.state()
     single, heads = [], []
     for i, rule in enumerate(rules):
-        add_pattern(both, start, rule.pattern, i, rule.fold)
+        add_pattern(both, start, rule.probe or rule.pattern, i, rule.fold)
         own = Nfa()
         add_pattern(own, own.state(), rule.pattern, 0, rule.fold)
         single.append(determinise(own, 0))
@@ -95,9 +101,6 @@ def _settle(scanner: Scanner, rule: int, data: bytes, ends: list[int], resets: n
                         out.append((i, stop))
                     at = stop
                     break
-                if stop > 0:  # cannot be: an earlier end would have been reported
-                    at = i = stop
-                    continue
             i += 1
     return out
 
