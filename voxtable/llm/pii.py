@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import materialize
+from ..session import is_empty, materialize
 
 # fixed values: base kinds in order.  Possessive repeats and the look-behinds give the leftmost non-overlapping
 # matches of the plain patterns without trying every start inside a run, and without deep recursion
@@ -93,9 +93,15 @@ def discover(cand: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFra
     confidence is the mean weight of its distinct instances, and an instance's weight the best confidence of
     its patterns; seeds stay at 1.
     """
-    seed = seeds.select("row", F.col("start").alias("s"), F.col("end").alias("e"))
-    near = cand.join(seed, "row", "left").groupBy("row", "start", "end", "instance", "pattern").agg(
-        F.max(F.coalesce((F.col("s") < F.col("end")) & (F.col("e") > F.col("start")), F.lit(False))).alias("is_seed"))
+    # candidates and seeds of a text in one order: a seed that begins no later must end after the candidate's start, one
+    # that begins later must begin before its end.  Two running extremes tell, without meeting every seed of the text
+    spans = cand.withColumn("seed", F.lit(False)).unionByName(
+        seeds.select("row", "start", "end", F.lit(True).alias("seed")), allowMissingColumns=True)
+    upto = lambda order: Window.partitionBy("row").orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    met = spans.withColumn("left", F.max(F.when(F.col("seed"), F.col("end"))).over(upto(F.col("start")))).withColumn(
+        "right", F.min(F.when(F.col("seed"), F.col("start"))).over(upto(F.col("start").desc())))
+    near = met.filter(~F.col("seed")).select("row", "start", "end", "instance", "pattern", F.coalesce(
+        (F.col("left") > F.col("start")) | (F.col("right") < F.col("end")), F.lit(False)).alias("is_seed"))
     placed = materialize(near, "pii-candidates")
     # the graph: an edge per distinct (pattern, instance), copies of a text count once
     edges = materialize(placed.groupBy("pattern", "instance").agg(F.max("is_seed").alias("is_seed")), "pii-graph")
@@ -119,15 +125,18 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     greatest of their texts; rows without an id give no row.  Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).filter("row is not null")
-    base = materialize(base_spans(rows).distinct(), "pii-base")
+    twice = rows.groupBy("row").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("row")
+    if not is_empty(twice):
+        twice = materialize(twice, "pii-repeated-ids")
+        rows = rows.join(twice, "row", "left_anti").unionByName(rows.join(twice, "row").groupBy("row").agg(F.max("text").alias("text")))
+    base = materialize(base_spans(rows), "pii-base")
     more = discover(candidates(rows.filter(F.col("text").rlike("[0-9@]"))), base)
     order = F.lit(0)
     for i, kind in enumerate(KINDS):
         order = F.when(F.col("kind") == kind, i).otherwise(order)
     every = base.select("row", "kind", "start", "end").unionByName(more.select("row", F.lit("id").alias("kind"), "start", "end"))
     lists = every.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", order.alias("rank"), "kind", "end"))).alias("spans"))
-    ids = rows.select("row").distinct()
-    wide = ids.join(lists, "row", "left").withColumn("spans", F.coalesce("spans", F.expr("cast(array() as array<struct<start:bigint,rank:int,kind:string,end:bigint>>)")))
+    wide = rows.select("row").join(lists, "row", "left").withColumn("spans", F.coalesce("spans", F.expr("cast(array() as array<struct<start:bigint,rank:int,kind:string,end:bigint>>)")))
 
     def joined(column: Column) -> Column:
         return F.array_join(F.transform(column, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
