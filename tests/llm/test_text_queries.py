@@ -16,7 +16,7 @@ from voxtable.llm.decontamination import find_leaks, tile
 from voxtable.llm.exact_dedup import exact_duplicates
 from voxtable.llm.near_dedup import near_duplicates
 from voxtable.llm.packing import pack
-from voxtable.llm.pii import find_personal_data
+from voxtable.llm.pii import discover, find_personal_data
 from voxtable.llm.recurrent_lm import score_texts
 from voxtable.llm.secret_scan import find_secrets
 from voxtable.llm.substring_dedup import repeated_spans, without_repeats
@@ -146,6 +146,31 @@ def test_context_discovers_identifiers(spark):
     assert got[100] == "id:16:23" and got[101] == ""
 
 
+def test_repeated_ids_are_read_as_their_greatest_text(spark):
+    docs = spark.createDataFrame([(1, "b x@y.org"), (1, "a longer text 1.2.3.4"), (1, "b x@y.org"), (2, "z")], "doc_id long, text string")
+    assert {r["doc_id"]: r["spans"] for r in find_personal_data(docs).collect()} == {1: "email:2:9", 2: ""}
+
+
+def test_seeds_take_their_candidates(spark):
+    cand = spark.createDataFrame([(1, s, e, f"i{s}", "at") for s, e in ((0, 5), (5, 9), (12, 20), (30, 33))],
+                                 "row long, start int, end int, instance string, pattern string")
+    seeds = spark.createDataFrame([(1, s, s + 2) for s in range(100, 300, 4)] + [(1, 3, 5), (1, 8, 40)], "row long, start long, end long")
+    assert not discover(cand, seeds).collect()  # too little support
+    rows = [(i, 0, 5, f"n{i}", "at") for i in range(20)] + [(50, 0, 5, "new", "at"), (51, 5, 9, "late", "at")]
+    cand = spark.createDataFrame(rows, cand.schema)
+    seeds = spark.createDataFrame([(i, 4, 8) for i in range(20)] + [(50, 5, 6), (51, 1, 5)], seeds.schema)
+    assert sorted(tuple(r) for r in discover(cand, seeds).collect()) == [(50, 0, 5), (51, 5, 9)]
+
+
+def test_lanes_hold_every_text_once():
+    from voxtable.llm import recurrent_lm as lm
+
+    texts = [np.arange(n, dtype=np.int32) for n in (3, lm.CELLS // 2, 7, 1)]
+    got = list(lm.lanes(texts))
+    assert sorted(r for rows, _ in got for r in rows) == [0, 1, 2, 3] and all(g.size <= lm.CELLS for _, g in got)
+    assert all((g[: len(texts[r]), j] == texts[r]).all() for rows, g in got for j, r in enumerate(rows))
+
+
 def test_lm_counts_and_base(spark, sf, texts):
     held = {k: zlib.crc32(str(k).encode()) % 5 == 1 for k in texts}
     count = Counter(w for k, t in texts.items() if not held[k] for w in [*words(t), None])

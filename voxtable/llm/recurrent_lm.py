@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import materialize
 
 HIDDEN, CLASSES, PER_CLASS = 16, 32, 32
-WINDOW, LANES = 32, 256  # words per truncated step; texts side by side
+WINDOW, LANES = 32, 256  # words per truncated step; most texts side by side
+CELLS = 1 << 22  # most words of a grid of texts; a longer text is a grid by itself
 SHARE = 16  # one training text in so many, by hash of the id, trains the network; counts use all
 ROUNDS, RATE = 2, 0.01
 HEAD = 20_000  # commonest words, sent to the tasks with their counts
@@ -116,8 +117,10 @@ def _outputs(w: dict, states: np.ndarray, targets: np.ndarray, grads: dict | Non
 def lanes(texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(row numbers, ids padded with -1) of texts of like length, longest first."""
     order = np.argsort([-len(t) for t in texts], kind="stable")
-    for a in range(0, len(order), LANES):
-        rows = order[a: a + LANES]
+    a = 0
+    while a < len(order):
+        rows = order[a: a + max(1, min(LANES, CELLS // len(texts[order[a]])))]
+        a += len(rows)
         grid = np.full((len(texts[rows[0]]), len(rows)), -1, np.int32)
         for j, r in enumerate(rows):
             grid[: len(texts[r]), j] = texts[r]
