@@ -7,8 +7,8 @@ groups.  That keeps a bucket of thousands of near copies linear:
 1. Documents with the same shingle set form a class, and only its smallest id goes on.
 2. In each band bucket every member is compared with the bucket's smallest id (a star, never all pairs).
 3. Links are grouped.  Buckets whose members all came out in one group are finished.
-4. In the remaining buckets members of different groups are compared.  Buckets with many members are first cut
-   by rare shingles: two sets can only be similar enough if they share one of each set's rarest quarter.
+4. In the remaining buckets members of different groups are compared where they share a rare shingle: two sets
+   can only be similar enough if they share one of each set's rarest quarter, and if their sizes allow it.
 
 Every comparison is on the full sets, and no bucket is cut short.
 """
@@ -22,12 +22,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import is_empty, materialize
+from ..session import materialize
 from . import textarrays as ta
 from .grouping import components
 
 SLOTS, ROWS = 128, 4  # 32 bands of 4: a pair at similarity 0.75 is missed with probability 5e-6
-CROWD = 48  # from so many members on, a bucket is cut by rare shingles before pairs are formed
 SHINGLE, NUM, DEN = 5, 75, 100
 U = np.uint64
 CHUNK = 1 << 16
@@ -135,31 +134,32 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
-def _rare(crowded: DataFrame, sets: DataFrame) -> DataFrame:
-    """(key, id, grp) of crowded documents under each of their rarest shingles.
+def _rare(mixed: DataFrame, sets: DataFrame) -> DataFrame:
+    """(key, id, grp, n) of documents under each of their rarest shingles.
 
     With n shingles, n - ceil(0.75 n) + 1 of the rarest suffice: similar sets share at least 0.75 n of them.
     """
-    docs = crowded.select("id", "grp").distinct()
+    docs = mixed.select("id", "grp").distinct()
     rows = docs.join(sets, "id").select("id", "grp", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
-    rows = materialize(rows, "crowded-shingles")
-    freq = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("f")).filter("f > 1"), "crowded-frequencies")
+    rows = materialize(rows, "mixed-shingles")
+    freq = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("f")).filter("f > 1"), "mixed-frequencies")
     ranked = rows.join(freq, "key").groupBy("id", "grp", "n").agg(
         F.count(F.lit(1)).alias("shared"), F.sort_array(F.collect_list(F.struct("f", "key"))).alias("order"))
     # shingles that only one document holds come first in the order, and match nothing
     need = F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1 - (F.col("n") - F.col("shared"))
     return (
         ranked.filter(need > 0)
-        .select("id", "grp", F.explode(F.slice("order", F.lit(1), need.cast("int"))).alias("o"))
-        .select(F.col("o.key").alias("key"), "id", "grp")
+        .select("id", "grp", "n", F.explode(F.slice("order", F.lit(1), need.cast("int"))).alias("o"))
+        .select(F.col("o.key").alias("key"), "id", "grp", "n")
     )
 
 
 def _across(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) within a key whose groups differ."""
-    left = rows.select("key", F.col("id").alias("a"), F.col("grp").alias("ga"))
-    right = rows.select("key", F.col("id").alias("b"), F.col("grp").alias("gb"))
-    return left.join(right, "key").filter("a < b and ga <> gb").select("a", "b").distinct()
+    """Pairs (a, b) within a key whose groups differ and whose sizes n let them be similar enough."""
+    left = rows.select("key", F.col("id").alias("a"), F.col("grp").alias("ga"), F.col("n").alias("na"))
+    right = rows.select("key", F.col("id").alias("b"), F.col("grp").alias("gb"), F.col("n").alias("nb"))
+    fits = f"a < b and ga <> gb and na * {DEN} >= nb * {NUM} and nb * {DEN} >= na * {NUM}"
+    return left.join(right, "key").filter(fits).select("a", "b").distinct()
 
 
 def _stars(rows: DataFrame) -> DataFrame:
@@ -200,22 +200,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = components(links)
 
     def regroup(keyed: DataFrame) -> DataFrame:
-        return keyed.join(groups, keyed["id"] == groups["node"], "left").select("key", "id", F.coalesce("root", "id").alias("grp"))
-
-    grouped = regroup(shared.select("key", "id"))
-    mixed = grouped.groupBy("key").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1"), F.count(F.lit(1)).alias("n")).filter("g0 < g1")
-    rest = materialize(grouped.join(mixed.select("key", "n"), "key"), "mixed")
-    small = materialize(_across(rest.filter(F.col("n") < CROWD)), "across")
-    more = _verified(small.join(stars, ["a", "b"], "left_anti"), sets)
-    crowded = rest.filter(F.col("n") >= CROWD)
-    if not is_empty(crowded):
-        rare = materialize(_rare(crowded, sets), "rare")
-        starred = materialize(_verified(_stars(rare), sets), "rare-links")
-        links = materialize(links.unionByName(more).unionByName(starred), "links")
-        groups = components(links)
-        again = regroup(rare.select("key", "id"))
-        open_keys = again.groupBy("key").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1")).filter("g0 < g1").select("key")
-        more = _verified(_across(again.join(open_keys, "key")), sets)
+        grouped = keyed.drop("grp").join(groups, keyed["id"] == groups["node"], "left")
+        return grouped.withColumn("grp", F.coalesce("root", "id")).drop("node", "root")
+
+    def still_mixed(grouped: DataFrame) -> DataFrame:
+        keys = grouped.groupBy("key").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1")).filter("g0 < g1").select("key")
+        return grouped.join(keys, "key")
+
+    rest = materialize(still_mixed(regroup(shared.select("key", "id"))), "mixed")
+    rare = materialize(_rare(rest, sets), "rare")
+    starred = materialize(_verified(_stars(rare).join(stars, ["a", "b"], "left_anti"), sets), "rare-links")
+    links = materialize(links.unionByName(starred), "links")
+    groups = components(links)
+    more = _verified(_across(still_mixed(regroup(rare))), sets)
     links = links.unionByName(more)
     groups = materialize(components(links), "groups")
     root = F.coalesce("root", "rep")
