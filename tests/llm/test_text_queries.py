@@ -185,6 +185,28 @@ def test_lm_counts_and_base(spark, sf, texts):
     assert sum(r["score"] for r in out) > 1.05 * sum(r["base_score"] for r in out)
 
 
+def test_lm_trains_on_texts_of_any_id(spark):
+    text = "tick tock " * 800
+    docs = spark.range(200).selectExpr("id as doc_id", f"'{text}' as text").filter("pmod(xxhash64(doc_id), 16) <> 0").limit(40).repartition(2)
+    rows = score_texts(docs, docs).collect()
+    assert sum(r["score"] for r in rows) > 0.9 * sum(r["base_score"] for r in rows)
+
+
+def test_lm_gives_every_counted_word_a_place():
+    from voxtable.llm import recurrent_lm as lm
+
+    names = [f"w{i}".encode() for i in range(5000)]
+    vocabulary = lm.Vocabulary(b" ".join(names), np.array([10, 0, *range(5000, 0, -1)]))
+    ids = vocabulary.coder().encode(names)
+    grid = vocabulary.grid()
+    assert len(set(ids.tolist()) | {lm.OTHER}) == 5002 <= grid.size and len(grid) == 71
+    w, biases = lm.first_weights(grid), lm.place_biases(grid)
+    states = np.zeros((5002, lm.HIDDEN), np.float32)
+    got, _ = lm._outputs(w, biases, states, np.arange(5002, dtype=np.int32))
+    assert np.exp(got).sum() == pytest.approx(1, abs=1e-4)
+    assert got == pytest.approx(np.log((vocabulary.counts + 0.5) / (vocabulary.counts + 0.5).sum()), abs=1e-3)
+
+
 def test_leaks_are_the_items_inside(spark, sf, texts):
     items = duckdb.sql(f"select item_id, text from '{sf}/benchmark.parquet'").fetchall()
     plain = lambda t: " " + " ".join(w for w in re.split("[^a-z0-9\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)) if w) + " "

@@ -1,12 +1,15 @@
 """Gated recurrent language model in numpy: truncated backpropagation, class-factored softmax, carried state.
 
-Word counts cover every training text.  The commonest words, the end mark and one mark for all other words form
-the model's vocabulary; a word behind the other-mark is spread by its count, so the model gives every text a
-probability.  Tasks train from common weights on their share of the texts, and the weights are averaged.
+Every word of the training texts belongs to the model's vocabulary; one more mark stands for all words that no
+training text holds.  Words by falling count fill a square grid: its rows are the classes, so n words make about
+sqrt(n) classes of sqrt(n) places.  A word's vectors are made of its class's and its place's, so the weights grow
+with sqrt(n); within a class the log counts are the biases, so each word keeps its own frequency.  Tasks train from
+common weights on their share of the texts, and the weights are averaged.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -16,15 +19,18 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize
 
-HIDDEN, CLASSES, PER_CLASS = 16, 32, 32
+HIDDEN = 16
 WINDOW, LANES = 32, 256  # words per truncated step; most texts side by side
 CELLS = 1 << 22  # most words of a grid of texts; a longer text is a grid by itself
-SHARE = 16  # one training text in so many, by hash of the id, trains the network; counts use all
+BLOCK = 1024  # words whose probabilities are worked out at once
 ROUNDS, RATE = 2, 0.01
-HEAD = 20_000  # commonest words, sent to the tasks with their counts
-END, OTHER = 0, 1  # ids of the end mark and of all words outside the vocabulary
-_SHAPES = {"emb": (CLASSES * PER_CLASS, HIDDEN), "wx": (HIDDEN, 3 * HIDDEN), "wh": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,),
-           "oc": (HIDDEN, CLASSES), "bc": (CLASSES,), "ow": (CLASSES, PER_CLASS, HIDDEN), "bw": (CLASSES, PER_CLASS)}
+END, OTHER = 0, 1  # ids of the end mark and of all words outside the training texts
+
+
+def shapes(side: int) -> dict[str, tuple[int, ...]]:
+    """Weights of a vocabulary of ``side`` classes of ``side`` places."""
+    return {"ec": (side, HIDDEN), "ep": (side, HIDDEN), "wx": (HIDDEN, 3 * HIDDEN), "wh": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,),
+            "oc": (HIDDEN, side), "bc": (side,), "gate": (side, HIDDEN), "op": (HIDDEN, side)}
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -33,32 +39,43 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def pack_weights(w: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([w[k].ravel() for k in _SHAPES])
+    return np.concatenate([w[k].ravel() for k in shapes(1)])
 
 
-def unpack_weights(flat: np.ndarray) -> dict[str, np.ndarray]:
+def unpack_weights(flat: np.ndarray, side: int) -> dict[str, np.ndarray]:
     out, at = {}, 0
-    for k, shape in _SHAPES.items():
+    for k, shape in shapes(side).items():
         n = int(np.prod(shape))
         out[k] = flat[at: at + n].reshape(shape).astype(np.float32)
         at += n
     return out
 
 
-def first_weights(mass: np.ndarray) -> dict[str, np.ndarray]:
-    """Small random weights; output biases are the log frequencies, so that the untrained model is the unigram."""
+def frequencies(mass: np.ndarray) -> np.ndarray:
+    """(class, place) grid of the words' shares; places behind the last word hold next to nothing."""
+    side = int(np.ceil(np.sqrt(len(mass))))
+    p = np.full(side * side, 1e-20)
+    p[: len(mass)] = mass / mass.sum()
+    return p.reshape(side, side)
+
+
+def first_weights(grid: np.ndarray) -> dict[str, np.ndarray]:
+    """Small random weights; class biases are the log frequencies, so that the untrained model is the unigram."""
     rng = np.random.default_rng(7)
-    w = {k: (rng.standard_normal(s) * 0.1).astype(np.float32) for k, s in _SHAPES.items()}
-    p = np.full(CLASSES * PER_CLASS, 1e-9)
-    p[: len(mass)] = np.maximum(mass, 0.5) / max(mass.sum(), 1.0)
-    grid = p.reshape(CLASSES, PER_CLASS)
+    w = {k: (rng.standard_normal(s) * 0.1).astype(np.float32) for k, s in shapes(len(grid)).items()}
     w["b"][:] = 0
+    w["gate"][:] = 1
     w["oc"] *= 0.1
-    w["ow"] *= 0.1
-    w["bc"], w["bw"] = np.log(grid.sum(1)).astype(np.float32), np.log(grid).astype(np.float32)
+    w["op"] *= 0.1
+    w["bc"] = np.log(grid.sum(1)).astype(np.float32)
     return w
 
 
+def place_biases(grid: np.ndarray) -> np.ndarray:
+    """Log share of each word within its class."""
+    return np.log(grid / grid.sum(1, keepdims=True)).astype(np.float32)
+
+
 def _log_softmax(x: np.ndarray) -> np.ndarray:
     x = x - x.max(axis=1, keepdims=True)
     return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
@@ -70,10 +87,10 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def _run(w: dict, inputs: np.ndarray, h: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
     """States after each step for inputs (steps, lanes)."""
-    table = w["emb"] @ w["wx"] + w["b"]
+    ec, ep, side = w["ec"] @ w["wx"] + w["b"], w["ep"] @ w["wx"], len(w["ec"])
     states, trace = np.empty((*inputs.shape, HIDDEN), np.float32), []
     for t, ids in enumerate(inputs):
-        x, u = table[ids], h @ w["wh"]
+        x, u = ec[ids // side] + ep[ids % side], h @ w["wh"]
         zr = _sigmoid(x[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])
         z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
         n = np.tanh(x[:, 2 * HIDDEN:] + r * u[:, 2 * HIDDEN:])
@@ -84,33 +101,28 @@ def _run(w: dict, inputs: np.ndarray, h: np.ndarray, keep: bool) -> tuple[np.nda
     return states, trace
 
 
-def _outputs(w: dict, states: np.ndarray, targets: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+def _outputs(w: dict, biases: np.ndarray, states: np.ndarray, targets: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Log probability of each target given its state; with ``grads`` also the loss gradient of the states."""
-    kinds = targets // PER_CLASS
-    rows = np.arange(len(targets))
-    lc = _log_softmax(states @ w["oc"] + w["bc"])
-    out = lc[rows, kinds].astype(np.float64)
-    back = None
-    if grads is not None:
-        d = np.exp(lc)
-        d[rows, kinds] -= 1
-        grads["oc"] += states.T @ d
-        grads["bc"] += d.sum(0)
-        back = d @ w["oc"].T
-    order = np.argsort(kinds, kind="stable")
-    cuts = np.searchsorted(kinds[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        idx = order[cuts[c]: cuts[c + 1]]
-        if len(idx):
-            lw = _log_softmax(states[idx] @ w["ow"][c].T + w["bw"][c])
-            col = targets[idx] % PER_CLASS
-            out[idx] += lw[np.arange(len(idx)), col]
-            if grads is not None:
-                d = np.exp(lw)
-                d[np.arange(len(idx)), col] -= 1
-                grads["ow"][c] += d.T @ states[idx]
-                grads["bw"][c] += d.sum(0)
-                back[idx] += d @ w["ow"][c]
+    out = np.empty(len(targets))
+    back = None if grads is None else np.empty_like(states)
+    for a in range(0, len(targets), BLOCK):
+        part = slice(a, a + BLOCK)
+        s, kinds, places = states[part], *np.divmod(targets[part], len(biases))
+        rows, gates = np.arange(len(s)), w["gate"][kinds]
+        q = s * gates
+        lc = _log_softmax(s @ w["oc"] + w["bc"])
+        lp = _log_softmax(q @ w["op"] + biases[kinds])
+        out[part] = lc[rows, kinds].astype(np.float64) + lp[rows, places]
+        if grads is not None:
+            d, e = np.exp(lc), np.exp(lp)
+            d[rows, kinds] -= 1
+            e[rows, places] -= 1
+            grads["oc"] += s.T @ d
+            grads["bc"] += d.sum(0)
+            grads["op"] += q.T @ e
+            dq = e @ w["op"].T
+            np.add.at(grads["gate"], kinds, dq * s)
+            back[part] = d @ w["oc"].T + dq * gates
     return out, back
 
 
@@ -135,7 +147,7 @@ def _windows(grid: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
         yield np.maximum(before[t: t + WINDOW, :live], 0), grid[t: t + WINDOW, :live], live
 
 
-def log_likelihood(w: dict, texts: list[np.ndarray]) -> np.ndarray:
+def log_likelihood(w: dict, biases: np.ndarray, texts: list[np.ndarray]) -> np.ndarray:
     """Natural log probability of each whole text of ids; the state runs through a text from its start to its end."""
     total = np.zeros(len(texts))
     for rows, grid in lanes(texts):
@@ -144,16 +156,16 @@ def log_likelihood(w: dict, texts: list[np.ndarray]) -> np.ndarray:
             states, _ = _run(w, inputs, h[:live], False)
             h = states[-1]
             real = targets >= 0
-            got, _ = _outputs(w, states[real], targets[real])
+            got, _ = _outputs(w, biases, states[real], targets[real])
             np.add.at(total, rows[np.nonzero(real)[1]], got)
     return total
 
 
-def _gradients(w: dict, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray, int]:
-    g = {k: np.zeros(s, np.float32) for k, s in _SHAPES.items()}
+def _gradients(w: dict, biases: np.ndarray, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray, int]:
+    g = {k: np.zeros(s, np.float32) for k, s in shapes(len(biases)).items()}
     states, trace = _run(w, inputs, h, True)
     real = targets >= 0
-    _, back = _outputs(w, states[real], targets[real], g)
+    _, back = _outputs(w, biases, states[real], targets[real], g)
     into = np.zeros_like(states)
     into[real] = back
     dx = np.zeros((*inputs.shape, 3 * HIDDEN), np.float32)
@@ -168,22 +180,24 @@ def _gradients(w: dict, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray)
         dx[t] = np.concatenate((dz, dr, dn), axis=1)
         g["wh"] += old.T @ du
         dh = dh * z + du @ w["wh"].T
-    flat, ids = dx.reshape(-1, 3 * HIDDEN), inputs.ravel()
+    flat, (kinds, places) = dx.reshape(-1, 3 * HIDDEN), np.divmod(inputs.ravel(), len(biases))
     g["b"] += flat.sum(0)
-    g["wx"] += w["emb"][ids].T @ flat
-    np.add.at(g["emb"], ids, flat @ w["wx"].T)
+    g["wx"] += (w["ec"][kinds] + w["ep"][places]).T @ flat
+    into = flat @ w["wx"].T
+    np.add.at(g["ec"], kinds, into)
+    np.add.at(g["ep"], places, into)
     return g, states[-1], int(real.sum())
 
 
-def train(w: dict, batches: Iterator[list[np.ndarray]], rate: float = RATE) -> tuple[dict, int]:
+def train(w: dict, biases: np.ndarray, batches: Iterator[list[np.ndarray]], rate: float = RATE) -> tuple[dict, int]:
     """Truncated backpropagation with Adam over texts; (weights, words seen)."""
-    m, v = ({k: np.zeros(s, np.float32) for k, s in _SHAPES.items()} for _ in range(2))
+    m, v = ({k: np.zeros(s, np.float32) for k, s in shapes(len(biases)).items()} for _ in range(2))
     seen, step = 0, 0
     for texts in batches:
         for _, grid in lanes(texts):
             h = np.zeros((grid.shape[1], HIDDEN), np.float32)
             for inputs, targets, live in _windows(grid):
-                g, h, n = _gradients(w, inputs, targets, h[:live])
+                g, h, n = _gradients(w, biases, inputs, targets, h[:live])
                 seen, step = seen + n, step + 1
                 scale = 1 / max(n, 1)
                 norm = scale * np.sqrt(sum(float((x * x).sum()) for x in g.values()))
@@ -197,16 +211,19 @@ def train(w: dict, batches: Iterator[list[np.ndarray]], rate: float = RATE) -> t
 
 
 class Coder:
-    """Word to id: the commonest words have their own, all others share one."""
+    """Word to id: every counted word has its own.  ``words`` are joined by blanks, by falling count."""
 
-    def __init__(self, words: list[bytes]):
-        self.ids = {w: i + 2 for i, w in enumerate(words[: CLASSES * PER_CLASS - 2])}
+    def __init__(self, words: bytes):
+        self.ids = {w: i for i, w in enumerate(words.split(), 2)}
 
     def encode(self, words: list[bytes]) -> np.ndarray:
         get = self.ids.get
         return np.array([get(w, OTHER) for w in words] + [END], np.int32)
 
 
+_CODERS: dict[str, Coder] = {}  # of this worker
+
+
 def count_words(rows: DataFrame) -> DataFrame:
     """(word, c) over all texts of (text); tasks add up before the shuffle."""
 
@@ -223,31 +240,50 @@ def count_words(rows: DataFrame) -> DataFrame:
     return rows.select("text").mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def learn_network(rows: DataFrame, coder: Coder, weights: dict, rounds: int = ROUNDS) -> dict:
-    """Weights after ``rounds`` of training in all tasks and averaging; the average is one row per weight."""
+class Vocabulary:
+    """What tasks need to know of the words: their ids and their counts.  It is sent as bytes, not as a dict."""
+
+    def __init__(self, words: bytes, counts: np.ndarray):
+        self.words, self.counts, self.name = words, counts, uuid.uuid4().hex
+
+    def coder(self) -> Coder:
+        """Made once per worker."""
+        if self.name not in _CODERS:
+            _CODERS.clear()
+            _CODERS[self.name] = Coder(self.words)
+        return _CODERS[self.name]
+
+    def grid(self) -> np.ndarray:
+        return frequencies(self.counts + 0.5)
+
+
+def learn_network(rows: DataFrame, vocabulary: Vocabulary, weights: dict, rounds: int = ROUNDS) -> dict:
+    """Weights after ``rounds`` of training on all rows and averaging over tasks; the average is one row per weight."""
+    side = len(weights["ec"])
     for _ in range(rounds):
         begin = pack_weights(weights)
 
         def work(batches: Iterator[pa.RecordBatch], begin=begin) -> Iterator[pa.RecordBatch]:
+            coder = vocabulary.coder()
+
             def texts():
                 for b in batches:
                     for at in range(0, b.num_rows, LANES):
                         yield [coder.encode(words_of(t)) for t in b.column(0).slice(at, LANES).to_pylist()]
 
-            w, seen = train(unpack_weights(begin), texts())
+            w, seen = train(unpack_weights(begin, side), place_biases(vocabulary.grid()), texts())
             if seen:
                 flat = pack_weights(w).astype(np.float64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.arange(len(flat))), pa.array(flat * seen), pa.array(np.full(len(flat), float(seen)))], names=["at", "value", "seen"])
 
         mean = rows.select("text").mapInArrow(work, "at long, value double, seen double").groupBy("at").agg(
-            (F.sum("value") / F.sum("seen")).alias("value")).collect()
-        if not mean:
+            (F.sum("value") / F.sum("seen")).alias("value")).toArrow()
+        if not mean.num_rows:
             break
         flat = np.empty(len(begin))
-        for r in mean:
-            flat[r["at"]] = r["value"]
-        weights = unpack_weights(flat)
+        flat[mean["at"].to_numpy()] = mean["value"].to_numpy()
+        weights = unpack_weights(flat, side)
     return weights
 
 
@@ -262,58 +298,27 @@ def score_texts(docs: DataFrame, learning: DataFrame, id_col: str = "doc_id", te
     rows, training = texts(docs), texts(learning)
     counts = materialize(count_words(training), "word-counts")
     ends = training.count()
-    tokens, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    tokens, kinds = tokens + ends, kinds + (ends > 0)
-    head = [(bytes(r["word"]), r["c"]) for r in counts.orderBy(F.desc("c"), "word").limit(HEAD).collect()]
-    coder = Coder([w for w, _ in head])
-    own = [c for _, c in head[: CLASSES * PER_CLASS - 2]]
-    other = max(tokens - ends - sum(own), 0)
-    share = training.filter(F.pmod(F.xxhash64("id"), F.lit(SHARE)) == 0)
-    weights = pack_weights(learn_network(share, coder, first_weights(np.array([ends, other, *own], float))))
-
-    base = lambda c: np.log10((c + 0.5) / (tokens + 0.5 * (kinds + 1)))
-    # within the other-mark: counts of the words outside the vocabulary, and one unseen word
-    room = np.log10(other + 0.5 * (max(kinds - len(own) - 1, 0) + 1))
-    known = {w: (float(base(c)), 0.0 if i < len(own) else float(np.log10(c + 0.5) - room)) for i, (w, c) in enumerate(head)}
-    end_base = float(base(ends))
+    table = counts.orderBy(F.desc("c"), "word").toArrow()
+    # one unseen word has no count, as in the base
+    vocabulary = Vocabulary(b" ".join(table["word"].to_pylist()), np.concatenate(([ends, 0], table["c"].to_numpy())))
+    tokens, kinds = int(vocabulary.counts.sum()), table.num_rows + (ends > 0)
+    del table
+    grid = vocabulary.grid()
+    side = len(grid)
+    weights = pack_weights(learn_network(training, vocabulary, first_weights(grid)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = unpack_weights(weights)
+        w, biases, coder = unpack_weights(weights, side), place_biases(vocabulary.grid()), vocabulary.coder()
+        base = np.log10((vocabulary.counts + 0.5) / (tokens + 0.5 * (kinds + 1)))
+        known = vocabulary.counts > 0
         for b in batches:
             for at in range(0, b.num_rows, 2048):
                 ids = b.column(0).slice(at, 2048)
-                coded, n, n_known, first, extra, rare = [], [], [], [], [], []
-                for t in b.column(1).slice(at, 2048).to_pylist():
-                    ws = words_of(t)
-                    coded.append(coder.encode(ws))
-                    got, lost, s, x = 0, {}, end_base, 0.0
-                    for word in ws:
-                        k = known.get(word)
-                        if k:
-                            got, s, x = got + 1, s + k[0], x + k[1]
-                        else:
-                            lost[word] = lost.get(word, 0) + 1
-                    n.append(len(ws) + 1)
-                    n_known.append(got + (ends > 0))
-                    first.append(s)
-                    extra.append(x)
-                    rare.append([{"word": k, "n": c} for k, c in lost.items()])
-                lm = log_likelihood(w, coded) / np.log(10)
+                coded = [coder.encode(words_of(t)) for t in b.column(1).slice(at, 2048).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(n, pa.int64()), pa.array(n_known, pa.int64()), pa.array(first), pa.array(lm + np.array(extra)),
-                     pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))],
-                    names=["id", "n", "known", "base", "lm", "rare"])
-
-    scored = rows.mapInArrow(score, "id long, n long, known long, base double, lm double, rare array<struct<word: binary, n: long>>")
-    scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "lm-scores")
-    tail = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n")
-    met = tail.join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    sums = met.groupBy("row").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("k"),
-        F.sum(F.col("n") * F.log10((F.col("c") + 0.5) / F.lit(float(tokens + 0.5 * (kinds + 1))))).alias("b"),
-        F.sum(F.col("n") * (F.log10(F.col("c") + 0.5) - F.lit(float(room)))).alias("s"))
-    zero = F.lit(0.0)
-    return scored.join(sums, "row", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("k", F.lit(0))).alias("n_known"),
-        F.lit(int(tokens)).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("b", zero)).alias("base_score"),
-        (F.col("lm") + F.coalesce("s", zero)).alias("score"))
+                    [ids, pa.array([len(t) for t in coded], pa.int64()), pa.array([int(known[t].sum()) for t in coded], pa.int64()),
+                     pa.array(np.full(len(coded), tokens)), pa.array([float(base[t].sum()) for t in coded], pa.float64()),
+                     pa.array(log_likelihood(w, biases, coded) / np.log(10))],
+                    names=[id_col, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return rows.mapInArrow(score, f"`{id_col}` long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
