@@ -146,6 +146,25 @@ def test_context_discovers_identifiers(spark):
     assert got[100] == "id:16:23" and got[101] == ""
 
 
+ISSUES = {100: ("call me at kx-7741 now", "id:11:18"), 101: ("call me\tat\nKX-77412", "id:11:19"), 102: ("call me at K1 B67890", "id:11:13,id:14:20"),
+          103: (f"call {'m' * 50} at {'k' * 70}-1{'2' * 130}", ""), 104: (f"ask me at {'k' * 70}-1{'2' * 130}.", "id:10:212"), 105: ("7", "")}
+
+
+def test_phones_with_blanks_find_identifiers(spark):
+    seeds = [(i, f"call me at +1 ({i:03d}) 555-77{i:02d} now") for i in range(60)]
+    docs = spark.createDataFrame([*seeds, *((k, t) for k, (t, _) in ISSUES.items())], "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in find_personal_data(docs).collect()}
+    assert got[0] == "phone:11:28"
+    assert {k: got[k] for k in ISSUES} == {k: want for k, (_, want) in ISSUES.items()}
+
+
+def test_identifiers_that_begin_a_text_or_line(spark):
+    seeds = [(i, f"user{i}@mail.example.com\nid:\nuser{i}@post.example.com") for i in range(60)]
+    docs = spark.createDataFrame([*seeds, (100, "KX-77412"), (101, "id:\nKX-77413"), (102, "x KX-77414")], "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in find_personal_data(docs).collect()}
+    assert (got[100], got[101], got[102]) == ("id:0:8", "id:4:12", "")
+
+
 def test_repeated_ids_are_read_as_their_greatest_text(spark):
     docs = spark.createDataFrame([(1, "b x@y.org"), (1, "a longer text 1.2.3.4"), (1, "b x@y.org"), (2, "z")], "doc_id long, text string")
     assert {r["doc_id"]: r["spans"] for r in find_personal_data(docs).collect()} == {1: "email:2:9", 2: ""}

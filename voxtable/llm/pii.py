@@ -1,7 +1,8 @@
 """Personal data: base patterns, and identifiers that only their context gives away.
 
 Base entities are the seeds.  The words before a seed are its lexical pattern; every other token with a digit or
-an @ is a candidate instance that stands behind some pattern.  Patterns and instances form a bipartite graph:
+an @ is a candidate instance that stands behind some pattern.  Where another instance stands between, the words
+before that one are the pattern; where a text begins with an instance, the pattern is empty.  Patterns and instances form a bipartite graph:
 a pattern is as good as the instances behind it, an instance as good as the patterns in front of it, and both
 are scored in turn by joins and aggregates.  Candidates behind patterns of high confidence are reported as ``id``.
 
@@ -25,8 +26,11 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 KINDS = (*BASE, "id")
-# a candidate: the one or two words before it, and a token that holds a digit or an @
-CANDIDATE = r"(?:\G|(?<!\S))([^\s0-9@]{1,40}\x20(?:[^\s0-9@]{1,40}\x20)?)([^\s0-9@]{0,60}[0-9@]\S{3,120})"
+# a candidate: at most two words before it, and a token that holds a digit or an @
+_WORD = r"[^\s0-9@]++"
+CANDIDATE = rf"(?<!\S)((?:{_WORD}\s++){{0,2}})([^\s0-9@]*+[0-9@]\S*+)"
+LEAD = rf"(?<!\S)(?:{_WORD}\s++)?{_WORD}\s*+\z"  # the words that end a text
+_TAIL = r"(?<![^\p{L}\p{N}_+)])[^\p{L}\p{N}_+)]++\z"  # marks behind a token
 ROUNDS = 3
 TRUST, SUPPORT = 0.8, 5.0  # least confidence and least seed weight of a pattern that may discover
 
@@ -56,34 +60,45 @@ def _holds(kind: str, body: Column) -> Column:
 
 
 def _matches(rows: DataFrame, pattern: str) -> DataFrame:
-    """(row, start, end, body) of every match, in code points."""
+    """(row, start, end, body, gap) of every match, in code points; a 0 stands for what is before the gap."""
     parts = rows.select("row", F.split("text", pattern, -1).alias("gaps"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("hits"))
     # the place of a match is the sum of what stands before it: summed over the rows of a text, not inside an array
     cells = parts.filter(F.size("hits") > 0).select("row", F.posexplode(F.arrays_zip("gaps", "hits")).alias("at", "cell"))
-    cells = cells.select("row", "at", "cell.hits", F.length("cell.gaps").alias("gap"), F.coalesce(F.length("cell.hits"), F.lit(0)).alias("size"))
+    cells = cells.select("row", "at", "cell.hits", F.length("cell.gaps").alias("gap"), F.coalesce(F.length("cell.hits"), F.lit(0)).alias("size"),
+                         F.when(F.col("at") > 0, F.concat(F.lit("0"), "cell.gaps")).otherwise(F.col("cell.gaps")).alias("before"))
     upto = Window.partitionBy("row").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = cells.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(upto)).filter("hits is not null")
-    return placed.select("row", (F.col("end") - F.col("size")).alias("start"), "end", F.col("hits").alias("body"))
+    return placed.select("row", (F.col("end") - F.col("size")).alias("start"), "end", F.col("hits").alias("body"), F.col("before").alias("gap"))
+
+
+def _words(lead: Column) -> Column:
+    """Words in lower case with one blank between them; null if there are none."""
+    return F.nullif(F.lower(F.trim(F.regexp_replace(lead, r"\s++", " "))), F.lit(""))
 
 
 def base_spans(rows: DataFrame) -> DataFrame:
-    """(row, kind, start, end, body) of the base kinds for (row, text)."""
+    """(row, kind, start, end, body, lead) of the base kinds for (row, text); the lead is the words right before."""
     out = None
     for kind, pattern in BASE.items():
         rough = {"email": F.instr("text", "@") > 0, "phone": F.instr("text", "+") > 0}.get(kind, F.lit(True))
-        found = _matches(rows.filter(rough), pattern).filter(_holds(kind, F.col("body"))).select("row", F.lit(kind).alias("kind"), "start", "end", "body")
+        found = _matches(rows.filter(rough), pattern).filter(_holds(kind, F.col("body"))).select(
+            "row", F.lit(kind).alias("kind"), "start", "end", "body", _words(F.regexp_extract("gap", LEAD, 0)).alias("lead"))
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def candidates(rows: DataFrame) -> DataFrame:
-    """(row, start, end, instance, pattern): tokens with a digit or an @, and the words before them."""
+def candidates(rows: DataFrame, base: DataFrame) -> DataFrame:
+    """(row, start, end, instance, pattern, base): the base spans, tokens with a digit or an @, and the words before them."""
     found = _matches(rows, CANDIDATE)
     lead, token = F.regexp_extract("body", CANDIDATE, 1), F.regexp_extract("body", CANDIDATE, 2)
-    token = F.regexp_replace(token, r"[^\w+)]+$", "")
-    words = F.lower(F.trim(lead))
+    token = F.regexp_replace(token, _TAIL, "")
     start = F.col("start") + F.length(lead)
-    return found.select("row", start.alias("start"), (start + F.length(token)).alias("end"), F.lower(token).alias("instance"), words.alias("pattern"))
+    tokens = found.select("row", start.alias("start"), (start + F.length(token)).alias("end"), F.lower(token).alias("instance"),
+                          _words(lead).alias("lead"), F.lit(False).alias("base"))
+    every = tokens.unionByName(base.select("row", "start", "end", F.lower("body").alias("instance"), "lead", F.lit(True).alias("base")))
+    upto = Window.partitionBy("row").orderBy("start", "base", "end").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    pattern = F.coalesce(F.last("lead", ignorenulls=True).over(upto), F.lit(""))
+    return every.withColumn("pattern", pattern).filter("instance <> ''").drop("lead")
 
 
 def discover(cand: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -91,7 +106,8 @@ def discover(cand: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFra
 
     A candidate that a base span covers starts with weight 1, every other with 0.  Per round a pattern's
     confidence is the mean weight of its distinct instances, and an instance's weight the best confidence of
-    its patterns; seeds stay at 1.
+    its patterns; seeds stay at 1.  Where ``cand`` has a column ``base`` that tells base spans, these stand for
+    the tokens they cover.
     """
     # candidates and seeds of a text in one order: a seed that begins no later must end after the candidate's start, one
     # that begins later must begin before its end.  Two running extremes tell, without meeting every seed of the text
@@ -100,9 +116,10 @@ def discover(cand: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFra
     upto = lambda order: Window.partitionBy("row").orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     met = spans.withColumn("left", F.max(F.when(F.col("seed"), F.col("end"))).over(upto(F.col("start")))).withColumn(
         "right", F.min(F.when(F.col("seed"), F.col("start"))).over(upto(F.col("start").desc())))
-    near = met.filter(~F.col("seed")).select("row", "start", "end", "instance", "pattern", F.coalesce(
+    base = F.col("base") if "base" in cand.columns else F.lit(True)
+    near = met.filter(~F.col("seed")).withColumn("base", base).select("base", "row", "start", "end", "instance", "pattern", F.coalesce(
         (F.col("left") > F.col("start")) | (F.col("right") < F.col("end")), F.lit(False)).alias("is_seed"))
-    placed = materialize(near, "pii-candidates")
+    placed = materialize(near.filter(F.col("base") | ~F.col("is_seed")).drop("base"), "pii-candidates")
     # the graph: an edge per distinct (pattern, instance), copies of a text count once
     edges = materialize(placed.groupBy("pattern", "instance").agg(F.max("is_seed").alias("is_seed")), "pii-graph")
     weight = edges.groupBy("instance").agg(F.max(F.col("is_seed").cast("double")).alias("weight"))
@@ -130,7 +147,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         twice = materialize(twice, "pii-repeated-ids")
         rows = rows.join(twice, "row", "left_anti").unionByName(rows.join(twice, "row").groupBy("row").agg(F.max("text").alias("text")))
     base = materialize(base_spans(rows), "pii-base")
-    more = discover(candidates(rows.filter(F.col("text").rlike("[0-9@]"))), base)
+    more = discover(candidates(rows.filter(F.col("text").rlike("[0-9@]")), base), base)
     order = F.lit(0)
     for i, kind in enumerate(KINDS):
         order = F.when(F.col("kind") == kind, i).otherwise(order)
