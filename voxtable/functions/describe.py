@@ -30,7 +30,7 @@ PROMPT_COLUMNS = (
 
 def _capital(text: Column) -> Column:
     """First letter upper, the rest lower."""
-    return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substring(text, 2, 1 << 20)))
+    return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(text.substr(F.lit(2), F.length(text))))
 
 
 def describe() -> Column:

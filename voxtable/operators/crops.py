@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..joins import spread_join
 from ..schemas import KEYS, ZYX
+from ..session import is_empty, materialize
 from .masks import unit_hash
 
 CROP = ("orientation", "slice_idx", "crop_no")
@@ -98,26 +99,35 @@ def sample_crops(
     """Crop corners (top, left) anchored on labelled pixels, distinct per slice, with enough labelled pixels.
 
     Draws are hashes of the pixel, so a retried task repeats them. Slices
-    smaller than the crop give none.
+    smaller than the crop give none. The first ``per_slice * tries`` draws are
+    looked at, and twice as many each time in slices that still lack crops.
     """
     keys = list(keys)
     side = [*keys, "orientation", "slice_idx"]
     px = spread_join(slices, shapes, [*keys, "orientation"], ["slice_idx", "y", "x"]).filter((F.col("h") >= crop_size) & (F.col("w") >= crop_size))
     draw = W.partitionBy(*side).orderBy(F.xxhash64(F.lit(seed), *keys, "orientation", "slice_idx", "y", "x"), "y", "x")
-    anchors = px.withColumn("_n", F.row_number().over(draw)).filter(F.col("_n") <= per_slice * tries)
+    anchors = px.withColumn("_n", F.row_number().over(draw))
 
     def corner(c: str, size: str, s: int) -> Column:
         off = F.floor(unit_hash(seed + s, *keys, "orientation", "slice_idx", "y", "x") * crop_size)
         return F.greatest(F.least(F.col(c) - off, F.col(size) - crop_size), F.lit(0)).cast("int")
 
     spots = anchors.select(*side, "_n", corner("y", "h", 1).alias("top"), corner("x", "w", 2).alias("left"))
-    spots = spots.groupBy(*side, "top", "left").agg(F.min("_n").alias("_n"))
-    inside = spots.join(slices, side).filter(
-        (F.col("y") >= F.col("top")) & (F.col("y") < F.col("top") + crop_size)
-        & (F.col("x") >= F.col("left")) & (F.col("x") < F.col("left") + crop_size)
-    )
-    good = inside.groupBy(*side, "top", "left", "_n").agg(F.count("*").alias("gt_px")).filter(F.col("gt_px") >= min_px)
-    return cap_crops(good, per_slice, per_orientation, seed, keys)
+    spots = materialize(spots.groupBy(*side, "top", "left").agg(F.min("_n").alias("_n")), "spots")
+    good, upto = None, per_slice * tries
+    while True:
+        inside = spots.filter(F.col("_n") <= upto).join(slices, side).filter(
+            (F.col("y") >= F.col("top")) & (F.col("y") < F.col("top") + crop_size)
+            & (F.col("x") >= F.col("left")) & (F.col("x") < F.col("left") + crop_size)
+        )
+        found = inside.groupBy(*side, "top", "left", "_n").agg(F.count("*").alias("gt_px")).filter(F.col("gt_px") >= min_px)
+        found = materialize(found, "crops")
+        good = found if good is None else good.unionByName(found)
+        full = good.groupBy(*side).agg(F.count("*").alias("_have")).filter(F.col("_have") >= per_slice)
+        spots = materialize(spots.filter(F.col("_n") > upto).join(full, side, "left_anti"), "spots")
+        if is_empty(spots):
+            return cap_crops(good, per_slice, per_orientation, seed, keys)
+        upto *= 2
 
 
 def cap_crops(spots: DataFrame, per_slice: int = 5, per_orientation: int = 320, seed: int = 42, keys: Sequence[str] = KEYS) -> DataFrame:

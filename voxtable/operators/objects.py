@@ -136,9 +136,13 @@ def size_bounds(labels: DataFrame, keys: Sequence[str] = KEYS, default: int = 75
 def flag_outliers(objs: DataFrame, bounds: DataFrame | None = None, on: Sequence[str] = ()) -> DataFrame:
     """is_volume_outlier: volume above max_ceiling or below min_floor; a missing bound never flags.
 
-    ``bounds`` has one row (min_floor, max_ceiling), or one per value of ``on``.
+    ``bounds`` has one row (min_floor, max_ceiling), or one per value of ``on``.  Without ``on`` a second row is an error.
     """
-    wide = objs.join(bounds, list(on), "left") if on else objs.join(F.broadcast(bounds.limit(1)), F.lit(True), "left")
+    if not on:
+        twice = F.count(F.lit(1)) > 1
+        bounds = bounds.agg(*[F.when(twice, F.raise_error(F.lit("more than one row of bounds"))).otherwise(F.max(c)).alias(c)
+                              for c in ("min_floor", "max_ceiling")])
+    wide = objs.join(bounds, list(on), "left") if on else objs.join(F.broadcast(bounds), F.lit(True), "left")
     v = F.col("volume_vox")
     flag = F.coalesce(v > F.col("max_ceiling"), F.lit(False)) | F.coalesce(v < F.col("min_floor"), F.lit(False))
     return wide.withColumn("is_volume_outlier", flag).drop("min_floor", "max_ceiling")
