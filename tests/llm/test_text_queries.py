@@ -204,6 +204,11 @@ def test_lm_counts_and_base(spark, sf, texts):
     assert sum(r["score"] for r in out) > 1.05 * sum(r["base_score"] for r in out)
 
 
+def test_lm_gains_over_base_on_held_out(spark, sf):
+    rows = entry.queries()["op5_recurrent_lm"](spark, sf.replace("sf0.001", "sf0.01")).filter("held_out").collect()
+    assert sum(r["score"] for r in rows) > 0.985 * sum(r["base_score"] for r in rows)
+
+
 def test_lm_trains_on_texts_of_any_id(spark):
     text = "tick tock " * 800
     docs = spark.range(200).selectExpr("id as doc_id", f"'{text}' as text").filter("pmod(xxhash64(doc_id), 16) <> 0").limit(40).repartition(2)
