@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..session import scratch_path
 from .decontamination import find_leaks
 from .exact_dedup import exact_duplicates
+from .merkle import audit
 from .near_dedup import near_duplicates
 from .packing import pack
 from .pii import find_personal_data
@@ -17,6 +18,20 @@ from .token_files import read_token_files, write_token_files
 from .tokens import tokenizer_path
 from .toxicity import CUT, learn, score_toxicity
 
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen({value}) || ':' || {value}, '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(map(_field, ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text))) + ")"
+
+
+# CRC-32 of a decimal number: one step per digit, in it one per bit
+CRC = """xor(list_reduce(list_prepend(4294967295, [ascii(c)::BIGINT FOR c IN string_split({0}, '')]),
+    lambda crc, c: list_reduce(list_prepend(xor(crc, c), range(8)),
+        lambda r, i: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)), 4294967295)"""
+
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
@@ -78,6 +93,10 @@ def op10_pii(spark: SparkSession, sf: str) -> DataFrame:
     return find_personal_data(documents(spark, sf))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    return audit(documents(spark, sf))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_toxicity": op2_toxicity,
@@ -89,6 +108,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_pii": op10_pii,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 ORACLES = {
@@ -111,4 +131,47 @@ ORACLES = {
         g AS (SELECT body, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY body)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256
         FROM t JOIN g USING (body)""",
+    "op12_merkle_manifest": f"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, lang, {_leaf('text')} AS leaf,
+                CASE WHEN {CRC.format('doc_id::VARCHAR')} % 3 = 0 THEN {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}
+                    ELSE {_leaf('text')} END AS changed
+            FROM documents),
+        l AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos FROM d),
+        up AS (
+            SELECT 0 AS level, lang, pos AS idx, leaf AS digest, count(*) OVER (PARTITION BY lang) AS n FROM l
+            UNION ALL
+            SELECT level + 1, lang, idx // 8, sha256(string_agg(digest, '' ORDER BY idx)), (n + 7) // 8
+            FROM up WHERE n > 1 GROUP BY level, lang, idx // 8, n),
+        s AS (
+            SELECT lang, digest AS subroot, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS pos FROM up WHERE n = 1),
+        top AS (
+            SELECT 0 AS level, pos AS idx, subroot AS digest, count(*) OVER () AS n FROM s
+            UNION ALL
+            SELECT level + 1, idx // 8, sha256(string_agg(digest, '' ORDER BY idx)), (n + 7) // 8
+            FROM top WHERE n > 1 GROUP BY level, idx // 8, n),
+        around AS (
+            SELECT a.level, a.lang, a.idx,
+                coalesce(string_agg(b.digest, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS lo,
+                coalesce(string_agg(b.digest, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS hi
+            FROM up a JOIN up b ON a.level = b.level AND a.lang IS NOT DISTINCT FROM b.lang AND a.idx // 8 = b.idx // 8
+            WHERE a.n > 1 GROUP BY ALL),
+        above AS (
+            SELECT a.level, a.idx,
+                coalesce(string_agg(b.digest, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS lo,
+                coalesce(string_agg(b.digest, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS hi
+            FROM top a JOIN top b ON a.level = b.level AND a.idx // 8 = b.idx // 8 WHERE a.n > 1 GROUP BY ALL),
+        path AS (
+            SELECT doc_id, level, lo, hi FROM l JOIN around a
+            ON a.lang IS NOT DISTINCT FROM l.lang AND a.idx = l.pos // (8 ** a.level)::BIGINT
+            UNION ALL
+            SELECT doc_id, 1000 + level, lo, hi FROM l JOIN s ON s.lang IS NOT DISTINCT FROM l.lang
+            JOIN above o ON o.idx = s.pos // (8 ** o.level)::BIGINT),
+        paths AS (SELECT doc_id, list({{'lo': lo, 'hi': hi}} ORDER BY level) AS p FROM path GROUP BY doc_id)
+        SELECT l.doc_id, leaf, subroot, r.digest AS root,
+            sha256(coalesce(array_to_string([x.lo || x.hi FOR x IN p], ''), '')) AS proof_sha256,
+            coalesce(list_reduce(list_prepend({{'lo': '', 'hi': changed}}, p),
+                lambda acc, x: {{'lo': '', 'hi': sha256(x.lo || acc.hi || x.hi)}}).hi, changed) AS folded_root,
+            folded_root = r.digest AS verified
+        FROM l JOIN s ON s.lang IS NOT DISTINCT FROM l.lang JOIN top r ON r.n = 1 LEFT JOIN paths USING (doc_id)""",
 }
