@@ -11,12 +11,14 @@ from .merkle import audit
 from .near_dedup import near_duplicates
 from .packing import pack
 from .pii import find_personal_data
+from .quality import CUT as QUALITY_CUT, learn as learn_quality, score_quality
 from .recurrent_lm import score_texts
 from .secret_scan import BASE as SECRET_BASE, digest, find_secrets
 from .substring_dedup import repeated_spans
 from .token_files import read_token_files, write_token_files
 from .tokens import tokenizer_path
 from .toxicity import CUT, learn, score_toxicity
+from .whitening import whiten
 
 
 def _field(value: str) -> str:
@@ -93,10 +95,22 @@ def op10_pii(spark: SparkSession, sf: str) -> DataFrame:
     return find_personal_data(documents(spark, sf))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whiten(spark.read.parquet(f"{sf}/embeddings.parquet"), components=4)
+
+
 def op12_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
     return audit(documents(spark, sf))
 
 
+def op13_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs, labels = documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")
+    model = learn_quality(docs, labels.filter(fold(5) != 0))
+    scored = score_quality(docs.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id", (fold(5) == 0).alias("held_out"), "score", (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_toxicity": op2_toxicity,
@@ -108,7 +122,9 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_pii": op10_pii,
+    "op11_embedding_whitening": op11_embedding_whitening,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_quality": op13_quality,
 }
 
 ORACLES = {
