@@ -183,9 +183,8 @@ def whiten(vectors: DataFrame, components: int = 4, id_col: str = "vec_id", vect
     component without variance has ``whitened`` 0.  No vectors give no rows; other columns are not read.
     """
     x = vectors.select(F.col(id_col), integers(F.col(vector_col)).alias("x")).filter("x is not null")
-    schema = vectors.select(
-        F.col(id_col), F.lit(0).alias("component"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("deviation"),
-        F.lit(0.0).alias("whitened"), F.lit(0.0).alias("explained"), F.lit(0.0).alias("identity_error")).schema
+    numbers = {"component": "int", "n": "long", "deviation": "long", "whitened": "double", "explained": "double", "identity_error": "double"}
+    schema = vectors.select(F.col(id_col), *[F.lit(None).cast(t).alias(c) for c, t in numbers.items()]).schema
     lengths = x.groupBy(F.size("x").alias("d")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), F.desc("d")).limit(1).collect()
     if not lengths:
         return vectors.sparkSession.createDataFrame([], schema)
