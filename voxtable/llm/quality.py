@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import materialize
 from . import textarrays as ta
 
 CUT = 0.3
@@ -108,6 +109,30 @@ class Discriminant:
         return 1 / (1 + np.exp(np.clip(density[0] - density[1], -700, 700)))
 
 
+def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with its text replaced by ``measured`` (statistics in the order of FEATURES) and ``text_hash``.
+
+    Texts are read once here; learning and scoring work on these short rows.  Null reads as empty.
+    """
+    kept = [c for c in docs.columns if c not in (text_col, "measured", "text_hash")]
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(*kept, F.sha2(text, 256).alias("text_hash"), text.alias("measured"))
+    schema = rows.withColumn("measured", F.array(F.lit(0.0))).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d = len(FEATURES)
+        for b in batches:
+            x = statistics(b.column(b.num_columns - 1))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, d * len(x) + 1, d), pa.int32()), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], lists], names=b.schema.names)
+
+    return materialize(rows.mapInArrow(run, schema), "text-statistics")
+
+
+def _rows(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
+
+
 def _moments(labelled: DataFrame, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Count, sum and sum of products of the centred statistics per class; each task sends one table per class."""
     d = len(FEATURES)
@@ -115,7 +140,7 @@ def _moments(labelled: DataFrame, centre: np.ndarray) -> tuple[np.ndarray, np.nd
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, d + 1, d + 1))
         for b in batches:
-            x, y = statistics(b.column(0)), b.column(1).to_numpy(zero_copy_only=False).astype(int)
+            x, y = _rows(b.column(0)), b.column(1).to_numpy(zero_copy_only=False).astype(int)
             x = np.column_stack((np.ones(len(x)), x - centre[y]))
             for k in (0, 1):
                 total[k] += x[y == k].T @ x[y == k]
@@ -148,7 +173,7 @@ def discriminant(n: np.ndarray, mean: np.ndarray, scatter: np.ndarray) -> Discri
     return Discriminant(prior, mean, np.array(factor), np.array(half))
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Discriminant:
+def learn(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> Discriminant:
     """Discriminant from all labelled rows; without any, even odds for every text.
 
     Null labels and ids are left out; an id with several labels counts as 1 when any is; copies of a text count once
@@ -158,9 +183,10 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         labels.select(F.col(id_col).cast("long").alias("id"), (F.col(label_col).cast("int") > 0).cast("int").alias("label"))
         .filter("id is not null and label is not null").groupBy("id").agg(F.max("label").alias("label"))
     )
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    one = texts.join(ids, "id").groupBy(F.sha2("text", 256).alias("digest"), "label").agg(F.min("id").alias("id"))
-    labelled = texts.join(one.select("id", "label"), "id").dropDuplicates(["id", "label"]).select("text", "label")
+    labelled = (
+        measured.select(F.col(id_col).cast("long").alias("id"), "text_hash", "measured").join(ids, "id")
+        .groupBy("text_hash", "label").agg(F.first("measured").alias("measured")).select("measured", "label")
+    )
     d = len(FEATURES)
     n, sums, _ = _moments(labelled, np.zeros((2, d)))
     mean = sums / np.maximum(n, 1)[:, None]
@@ -168,17 +194,17 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return discriminant(n, mean, scatter)
 
 
-def score_quality(docs: DataFrame, model: Discriminant, text_col: str = "text", out: str = "score") -> DataFrame:
-    """``docs`` with a column ``out``: 0 to 1, higher when the text is likelier of quality.
+def score_quality(measured: DataFrame, model: Discriminant, out: str = "score") -> DataFrame:
+    """Rows of ``measure`` with a column ``out``: 0 to 1, higher when the text is likelier of quality.
 
     Null and empty texts are scored by the statistics of an empty text.  Rows that repeat are scored alike; an input
     column of the name ``out`` is replaced.
     """
-    schema = docs.drop(out).withColumn(out, F.lit(0.0)).schema
-    at = [c for c in docs.columns if c != out].index(text_col)
+    rows = measured.select(*[c for c in measured.columns if c not in (out, "measured", "text_hash")], F.col("measured").alias(out))
+    schema = rows.withColumn(out, F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.score(statistics(b.column(at))))], names=[*b.schema.names, out])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(model.score(_rows(b.columns[-1])))], names=b.schema.names)
 
-    return docs.drop(out).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)

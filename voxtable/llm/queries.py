@@ -11,7 +11,7 @@ from .merkle import audit
 from .near_dedup import near_duplicates
 from .packing import pack
 from .pii import find_personal_data
-from .quality import CUT as QUALITY_CUT, learn as learn_quality, score_quality
+from .quality import CUT as QUALITY_CUT, learn as learn_quality, measure, score_quality
 from .recurrent_lm import score_texts
 from .secret_scan import BASE as SECRET_BASE, digest, find_secrets
 from .substring_dedup import repeated_spans
@@ -105,8 +105,8 @@ def op12_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
 
 def op13_quality(spark: SparkSession, sf: str) -> DataFrame:
     docs, labels = documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")
-    model = learn_quality(docs, labels.filter(fold(5) != 0))
-    scored = score_quality(docs.select("doc_id", "text"), model)
+    measured = measure(docs.select("doc_id", "text"))
+    scored = score_quality(measured, learn_quality(measured, labels.filter(fold(5) != 0)))
     return scored.select(
         "doc_id", (fold(5) == 0).alias("held_out"), "score", (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted"))
 
