@@ -181,15 +181,6 @@ def test_seeds_take_their_candidates(spark):
     assert sorted(tuple(r) for r in discover(cand, seeds).collect()) == [(50, 0, 5), (51, 5, 9)]
 
 
-def test_lanes_hold_every_text_once():
-    from voxtable.llm import recurrent_lm as lm
-
-    texts = [np.arange(n, dtype=np.int32) for n in (3, lm.CELLS // 2, 7, 1)]
-    got = list(lm.lanes(texts))
-    assert sorted(r for rows, _ in got for r in rows) == [0, 1, 2, 3] and all(g.size <= lm.CELLS for _, g in got)
-    assert all((g[: len(texts[r]), j] == texts[r]).all() for rows, g in got for j, r in enumerate(rows))
-
-
 def test_lm_counts_and_base(spark, sf, texts):
     held = {k: zlib.crc32(str(k).encode()) % 5 == 1 for k in texts}
     count = Counter(w for k, t in texts.items() if not held[k] for w in [*words(t), None])
@@ -201,12 +192,7 @@ def test_lm_counts_and_base(spark, sf, texts):
         assert r["base_score"] == pytest.approx(sum(math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in mine), rel=1e-9)
         assert r["score"] < 0
     out = [r for r in rows.values() if r["held_out"]]
-    assert sum(r["score"] for r in out) > 1.05 * sum(r["base_score"] for r in out)
-
-
-def test_lm_gains_over_base_on_held_out(spark, sf):
-    rows = entry.queries()["op5_recurrent_lm"](spark, sf.replace("sf0.001", "sf0.01")).filter("held_out").collect()
-    assert sum(r["score"] for r in rows) > 0.985 * sum(r["base_score"] for r in rows)
+    assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
 def test_lm_trains_on_texts_of_any_id(spark):
@@ -216,21 +202,6 @@ def test_lm_trains_on_texts_of_any_id(spark):
     assert sum(r["score"] for r in rows) > 0.9 * sum(r["base_score"] for r in rows)
 
 
-def test_lm_gives_every_counted_word_a_place():
-    from voxtable.llm import recurrent_lm as lm
-
-    names = [f"w{i}".encode() for i in range(5000)]
-    vocabulary = lm.Vocabulary(b" ".join(names), np.array([10, 0, *range(5000, 0, -1)]))
-    ids = vocabulary.coder().encode(names)
-    grid = vocabulary.grid()
-    assert len(set(ids.tolist()) | {lm.OTHER}) == 5002 <= grid.size and len(grid) == 71
-    w, biases = lm.first_weights(grid), lm.place_biases(grid)
-    states = np.zeros((5002, lm.HIDDEN), np.float32)
-    got, _ = lm._outputs(w, biases, states, np.arange(5002, dtype=np.int32))
-    assert np.exp(got).sum() == pytest.approx(1, abs=1e-4)
-    assert got == pytest.approx(np.log((vocabulary.counts + 0.5) / (vocabulary.counts + 0.5).sum()), abs=1e-3)
-
-
 def test_leaks_are_the_items_inside(spark, sf, texts):
     items = duckdb.sql(f"select item_id, text from '{sf}/benchmark.parquet'").fetchall()
     plain = lambda t: " " + " ".join(w for w in re.split("[^a-z0-9\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)) if w) + " "

@@ -1,292 +1,437 @@
 """Gated recurrent language model in numpy: truncated backpropagation, class-factored softmax, carried state.
 
-Every word of the training texts belongs to the model's vocabulary; one more mark stands for all words that no
-training text holds.  Words by falling count fill a square grid: its rows are the classes, so n words make about
-sqrt(n) classes of sqrt(n) places.  A word's vectors are made of its class's and its place's, so the weights grow
-with sqrt(n); within a class the log counts are the biases, so each word keeps its own frequency.  Tasks train from
-common weights on their share of the texts, and the weights are averaged.
+Words live in the cells of a fixed K x K grid of classes and places: the end mark and the most frequent words own a
+cell, all others share the remaining cells by hash.  The network gives P(class) P(place | class); within a shared cell
+each word has its share of the cell's count, less an absolute discount that is left to words that no training
+text holds.  So every counted word has its own probability, all of them sum to 1, and the network does not grow with
+the vocabulary.  Counts of shared words come to the texts by a join, so no task and no driver holds a word list.
+
+Texts run side by side in lanes, one after another in each lane, with the state set back where a text begins.  Tasks
+train from common weights on their share of the texts, and the weights are averaged.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections import Counter
-from collections.abc import Iterator
+import heapq
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialize
+from . import textarrays as ta
 
 HIDDEN = 16
-WINDOW, LANES = 32, 256  # words per truncated step; most texts side by side
-CELLS = 1 << 22  # most words of a grid of texts; a longer text is a grid by itself
-BLOCK = 1024  # words whose probabilities are worked out at once
-ROUNDS, RATE = 2, 0.01
-END, OTHER = 0, 1  # ids of the end mark and of all words outside the training texts
-
-
-def shapes(side: int) -> dict[str, tuple[int, ...]]:
-    """Weights of a vocabulary of ``side`` classes of ``side`` places."""
-    return {"ec": (side, HIDDEN), "ep": (side, HIDDEN), "wx": (HIDDEN, 3 * HIDDEN), "wh": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,),
-            "oc": (HIDDEN, side), "bc": (side,), "gate": (side, HIDDEN), "op": (HIDDEN, side)}
-
-
-def words_of(text: str | None) -> list[bytes]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case."""
-    return (text or "").encode().lower().split()
+SIDE = 64  # classes, and places of a class
+OWNED = 48 * SIDE  # cells of one word: the end mark and the most frequent words
+CELLS = SIDE * SIDE
+WINDOW, LANES = 32, 128  # words per truncated step, and texts side by side
+CHUNK = 6 << 20  # bytes of text that are dealt to lanes together
+LONG = 4_096  # longer texts wait for each other, so that they run side by side too; so many words are a training segment
+POOL = 1_500_000  # words of waiting texts
+RATE = 0.01
+END = 0  # the cell of the end mark
+SHAPES = {
+    "e": (CELLS, HIDDEN), "wx": (HIDDEN, 3 * HIDDEN), "wh": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,),
+    "oc": (HIDDEN, SIDE), "bc": (SIDE,), "op": (SIDE, HIDDEN, SIDE), "bp": (SIDE, SIDE),
+}
 
 
 def pack_weights(w: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([w[k].ravel() for k in shapes(1)])
+    return np.concatenate([w[k].ravel() for k in SHAPES])
 
 
-def unpack_weights(flat: np.ndarray, side: int) -> dict[str, np.ndarray]:
+def unpack_weights(flat: np.ndarray) -> dict[str, np.ndarray]:
     out, at = {}, 0
-    for k, shape in shapes(side).items():
+    for k, shape in SHAPES.items():
         n = int(np.prod(shape))
         out[k] = flat[at: at + n].reshape(shape).astype(np.float32)
         at += n
     return out
 
 
-def frequencies(mass: np.ndarray) -> np.ndarray:
-    """(class, place) grid of the words' shares; places behind the last word hold next to nothing."""
-    side = int(np.ceil(np.sqrt(len(mass))))
-    p = np.full(side * side, 1e-20)
-    p[: len(mass)] = mass / mass.sum()
-    return p.reshape(side, side)
-
-
-def first_weights(grid: np.ndarray) -> dict[str, np.ndarray]:
-    """Small random weights; class biases are the log frequencies, so that the untrained model is the unigram."""
+def first_weights(mass: np.ndarray) -> dict[str, np.ndarray]:
+    """Small random weights; the biases are log frequencies of the cells, so that the untrained model is the unigram."""
     rng = np.random.default_rng(7)
-    w = {k: (rng.standard_normal(s) * 0.1).astype(np.float32) for k, s in shapes(len(grid)).items()}
+    grid = (mass / mass.sum()).reshape(SIDE, SIDE)
+    w = {k: (rng.standard_normal(s) * (0.02 if k in ("oc", "op") else 0.2)).astype(np.float32) for k, s in SHAPES.items()}
     w["b"][:] = 0
-    w["gate"][:] = 1
-    w["oc"] *= 0.1
-    w["op"] *= 0.1
     w["bc"] = np.log(grid.sum(1)).astype(np.float32)
+    w["bp"] = np.log(grid / grid.sum(1, keepdims=True)).astype(np.float32)
     return w
 
 
-def place_biases(grid: np.ndarray) -> np.ndarray:
-    """Log share of each word within its class."""
-    return np.log(grid / grid.sum(1, keepdims=True)).astype(np.float32)
-
-
 def _log_softmax(x: np.ndarray) -> np.ndarray:
     x = x - x.max(axis=1, keepdims=True)
     return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (np.tanh(0.5 * x) + 1)
-
-
-def _run(w: dict, inputs: np.ndarray, h: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
-    """States after each step for inputs (steps, lanes)."""
-    ec, ep, side = w["ec"] @ w["wx"] + w["b"], w["ep"] @ w["wx"], len(w["ec"])
+def _run(w: dict, inputs: np.ndarray, starts: np.ndarray, h: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
+    """States after each step for inputs (steps, lanes); the state is 0 where a text starts."""
+    table = w["e"] @ w["wx"] + w["b"] if inputs.size >= CELLS else None
     states, trace = np.empty((*inputs.shape, HIDDEN), np.float32), []
+    fresh = starts.any(axis=1)
     for t, ids in enumerate(inputs):
-        x, u = ec[ids // side] + ep[ids % side], h @ w["wh"]
-        zr = _sigmoid(x[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])
+        if fresh[t]:
+            h = np.where(starts[t][:, None], np.float32(0), h)
+        x, u = table[ids] if table is not None else w["e"][ids] @ w["wx"] + w["b"], h @ w["wh"]
+        zr = np.tanh(0.5 * (x[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])) * np.float32(0.5) + np.float32(0.5)
         z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
         n = np.tanh(x[:, 2 * HIDDEN:] + r * u[:, 2 * HIDDEN:])
-        new = n + z * (h - n)
         if keep:
             trace.append((h, z, r, n, u[:, 2 * HIDDEN:]))
-        states[t] = h = new
+        states[t] = h = n + z * (h - n)
     return states, trace
 
 
-def _outputs(w: dict, biases: np.ndarray, states: np.ndarray, targets: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-    """Log probability of each target given its state; with ``grads`` also the loss gradient of the states."""
-    out = np.empty(len(targets))
-    back = None if grads is None else np.empty_like(states)
-    for a in range(0, len(targets), BLOCK):
-        part = slice(a, a + BLOCK)
-        s, kinds, places = states[part], *np.divmod(targets[part], len(biases))
-        rows, gates = np.arange(len(s)), w["gate"][kinds]
-        q = s * gates
-        lc = _log_softmax(s @ w["oc"] + w["bc"])
-        lp = _log_softmax(q @ w["op"] + biases[kinds])
-        out[part] = lc[rows, kinds].astype(np.float64) + lp[rows, places]
+def _outputs(w: dict, states: np.ndarray, targets: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+    """Log probability of each target cell given its state; with ``grads`` also the loss gradient of the states."""
+    order = np.argsort(targets, kind="stable")
+    s, (kinds, places) = states[order], np.divmod(targets[order], SIDE)
+    rows = np.arange(len(s))
+    lc = _log_softmax(s @ w["oc"] + w["bc"])
+    got = lc[rows, kinds]
+    back = None
+    if grads is not None:
+        d = np.exp(lc)
+        d[rows, kinds] -= 1
+        grads["oc"] += s.T @ d
+        grads["bc"] += d.sum(0)
+        back = d @ w["oc"].T
+    cuts = np.searchsorted(kinds, np.arange(SIDE + 1))
+    for k in np.flatnonzero(np.diff(cuts)):  # tokens of one class at a time
+        part = slice(cuts[k], cuts[k + 1])
+        lp = _log_softmax(s[part] @ w["op"][k] + w["bp"][k])
+        here = np.arange(len(lp))
+        got[part] += lp[here, places[part]]
         if grads is not None:
-            d, e = np.exp(lc), np.exp(lp)
-            d[rows, kinds] -= 1
-            e[rows, places] -= 1
-            grads["oc"] += s.T @ d
-            grads["bc"] += d.sum(0)
-            grads["op"] += q.T @ e
-            dq = e @ w["op"].T
-            np.add.at(grads["gate"], kinds, dq * s)
-            back[part] = d @ w["oc"].T + dq * gates
+            d = np.exp(lp)
+            d[here, places[part]] -= 1
+            grads["op"][k] += s[part].T @ d
+            grads["bp"][k] += d.sum(0)
+            back[part] += d @ w["op"][k].T
+    out = np.empty(len(targets), np.float32)
+    out[order] = got
+    if back is not None:
+        into = np.empty_like(back)
+        into[order] = back
+        back = into
     return out, back
 
 
-def lanes(texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(row numbers, ids padded with -1) of texts of like length, longest first."""
-    order = np.argsort([-len(t) for t in texts], kind="stable")
-    a = 0
-    while a < len(order):
-        rows = order[a: a + max(1, min(LANES, CELLS // len(texts[order[a]])))]
-        a += len(rows)
-        grid = np.full((len(texts[rows[0]]), len(rows)), -1, np.int32)
-        for j, r in enumerate(rows):
-            grid[: len(texts[r]), j] = texts[r]
-        yield rows, grid
-
-
-def _windows(grid: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """(inputs, targets, lanes still open) window by window."""
-    before = np.vstack((np.full((1, grid.shape[1]), END, np.int32), grid[:-1]))
-    for t in range(0, len(grid), WINDOW):
-        live = int((grid[t] >= 0).sum())
-        yield np.maximum(before[t: t + WINDOW, :live], 0), grid[t: t + WINDOW, :live], live
+@dataclass
+class Lanes:
+    """Texts dealt to lanes, longest lane first.  Behind a lane's end the cell is -1."""
+
+    cells: np.ndarray  # (steps, lanes)
+    owner: np.ndarray  # text number of each cell
+    starts: np.ndarray  # whether a text starts there
+
+    def windows(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(inputs, targets, starts, owner) window by window, of the lanes still open."""
+        before = np.vstack((np.full((1, self.cells.shape[1]), END, np.int32), self.cells[:-1]))
+        before[self.starts] = END
+        for t in range(0, len(self.cells), WINDOW):
+            live = int((self.cells[t] >= 0).sum())
+            part = (slice(t, t + WINDOW), slice(0, live))
+            yield np.maximum(before[part], END), self.cells[part], self.starts[part], self.owner[part]
+
+
+def deal(texts: list[np.ndarray], lanes: int = LANES) -> Lanes:
+    """Longest texts first, each to the lane that is shortest so far."""
+    heap = [(0, k) for k in range(min(lanes, len(texts)))]
+    held: list[list[int]] = [[] for _ in heap]
+    for i in sorted(range(len(texts)), key=lambda i: -len(texts[i])):
+        load, k = heapq.heappop(heap)
+        held[k].append(i)
+        heapq.heappush(heap, (load + len(texts[i]), k))
+    load = {k: n for n, k in heap}
+    order = sorted(range(len(held)), key=lambda k: -load[k])
+    shape = (load[order[0]], len(order))
+    out = Lanes(np.full(shape, -1, np.int32), np.zeros(shape, np.int32), np.zeros(shape, bool))
+    for j, k in enumerate(order):
+        at = 0
+        for i in held[k]:
+            n = len(texts[i])
+            out.cells[at: at + n, j], out.owner[at: at + n, j], out.starts[at, j] = texts[i], i, True
+            at += n
+    return out
 
 
-def log_likelihood(w: dict, biases: np.ndarray, texts: list[np.ndarray]) -> np.ndarray:
-    """Natural log probability of each whole text of ids; the state runs through a text from its start to its end."""
+def log_likelihood(w: dict, texts: list[np.ndarray]) -> np.ndarray:
+    """Natural log probability of the cells of each whole text; the state runs from a text's start to its end."""
     total = np.zeros(len(texts))
-    for rows, grid in lanes(texts):
-        h = np.zeros((grid.shape[1], HIDDEN), np.float32)
-        for inputs, targets, live in _windows(grid):
-            states, _ = _run(w, inputs, h[:live], False)
-            h = states[-1]
-            real = targets >= 0
-            got, _ = _outputs(w, biases, states[real], targets[real])
-            np.add.at(total, rows[np.nonzero(real)[1]], got)
+    if not texts:
+        return total
+    lanes = deal(texts)
+    h = np.zeros((lanes.cells.shape[1], HIDDEN), np.float32)
+    for inputs, targets, starts, owner in lanes.windows():
+        states, _ = _run(w, inputs, starts, h[: inputs.shape[1]], False)
+        h = states[-1]
+        real = targets >= 0
+        got, _ = _outputs(w, states[real], targets[real])
+        total += np.bincount(owner[real], got, len(texts))
     return total
 
 
-def _gradients(w: dict, biases: np.ndarray, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray, int]:
-    g = {k: np.zeros(s, np.float32) for k, s in shapes(len(biases)).items()}
-    states, trace = _run(w, inputs, h, True)
+def gradients(w: dict, inputs: np.ndarray, targets: np.ndarray, starts: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray, int]:
+    """Gradients of the summed negative log probability in one window, the last state, and the number of targets."""
+    g = {k: np.zeros_like(v) for k, v in w.items()}
+    states, trace = _run(w, inputs, starts, h, True)
     real = targets >= 0
-    _, back = _outputs(w, biases, states[real], targets[real], g)
+    _, back = _outputs(w, states[real], targets[real], g)
     into = np.zeros_like(states)
     into[real] = back
-    dx = np.zeros((*inputs.shape, 3 * HIDDEN), np.float32)
-    dh = np.zeros_like(h)
+    dx = np.empty((*inputs.shape, 3 * HIDDEN), states.dtype)
+    du, olds = np.empty_like(dx), np.empty_like(states)
+    dh, wh = np.zeros_like(h), np.ascontiguousarray(w["wh"].T)
     for t in range(len(inputs) - 1, -1, -1):
         old, z, r, n, un = trace[t]
         dh = dh + into[t]
         dn = dh * (1 - z) * (1 - n * n)
-        dz = dh * (old - n) * z * (1 - z)
-        dr = dn * un * r * (1 - r)
-        du = np.concatenate((dz, dr, dn * r), axis=1)
-        dx[t] = np.concatenate((dz, dr, dn), axis=1)
-        g["wh"] += old.T @ du
-        dh = dh * z + du @ w["wh"].T
-    flat, (kinds, places) = dx.reshape(-1, 3 * HIDDEN), np.divmod(inputs.ravel(), len(biases))
-    g["b"] += flat.sum(0)
-    g["wx"] += (w["ec"][kinds] + w["ep"][places]).T @ flat
-    into = flat @ w["wx"].T
-    np.add.at(g["ec"], kinds, into)
-    np.add.at(g["ep"], places, into)
+        dx[t, :, :HIDDEN] = dh * (old - n) * z * (1 - z)
+        dx[t, :, HIDDEN: 2 * HIDDEN] = dn * un * r * (1 - r)
+        dx[t, :, 2 * HIDDEN:] = dn
+        du[t, :, : 2 * HIDDEN] = dx[t, :, : 2 * HIDDEN]
+        du[t, :, 2 * HIDDEN:] = dn * r
+        olds[t] = old
+        dh = dh * z + du[t] @ wh
+        if starts[t].any():
+            dh = np.where(starts[t][:, None], np.float32(0), dh)
+    flat, ids = dx.reshape(-1, 3 * HIDDEN), inputs.ravel()
+    g["wh"] = olds.reshape(-1, HIDDEN).T @ du.reshape(-1, 3 * HIDDEN)
+    g["b"] = flat.sum(0)
+    order = np.argsort(ids, kind="stable")
+    first = np.flatnonzero(np.diff(ids[order], prepend=-1))
+    touched = ids[order][first]
+    sums = np.add.reduceat(flat[order], first)  # one row per cell that the window reads
+    g["wx"] = w["e"][touched].T @ sums
+    g["e"][touched] = sums @ w["wx"].T
     return g, states[-1], int(real.sum())
 
 
-def train(w: dict, biases: np.ndarray, batches: Iterator[list[np.ndarray]], rate: float = RATE) -> tuple[dict, int]:
-    """Truncated backpropagation with Adam over texts; (weights, words seen)."""
-    m, v = ({k: np.zeros(s, np.float32) for k, s in shapes(len(biases)).items()} for _ in range(2))
+def train(w: dict, batches: Iterator[list[np.ndarray]], rate: float = RATE) -> tuple[dict, int]:
+    """Truncated backpropagation with Adam over texts; (weights, words seen).  Few texts take fewer lanes, so more steps."""
+    w = {k: v.copy() for k, v in w.items()}
+    m, v = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
     seen, step = 0, 0
     for texts in batches:
-        for _, grid in lanes(texts):
-            h = np.zeros((grid.shape[1], HIDDEN), np.float32)
-            for inputs, targets, live in _windows(grid):
-                g, h, n = _gradients(w, biases, inputs, targets, h[:live])
-                seen, step = seen + n, step + 1
-                scale = 1 / max(n, 1)
-                norm = scale * np.sqrt(sum(float((x * x).sum()) for x in g.values()))
-                scale *= min(1.0, 1.0 / max(norm, 1e-9))
-                for k in w:
-                    d = g[k] * scale
-                    m[k] += 0.1 * (d - m[k])
-                    v[k] += 0.01 * (d * d - v[k])
-                    w[k] -= rate * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(v[k] / (1 - 0.99 ** step)) + 1e-6)
+        lanes = deal(texts, min(LANES, max(8, sum(map(len, texts)) // (100 * WINDOW))))
+        h = np.zeros((lanes.cells.shape[1], HIDDEN), np.float32)
+        for inputs, targets, starts, _ in lanes.windows():
+            g, h, n = gradients(w, inputs, targets, starts, h[: inputs.shape[1]])
+            seen, step = seen + n, step + 1
+            scale = np.float32(1 / max(n, 1))
+            speed = np.float32(rate / (1 - 0.9 ** step) * min(1.0, n / (WINDOW * 16)))  # few words move little
+            level = np.float32(1 / (1 - 0.99 ** step))
+            for k in w:
+                d = g[k] * scale
+                m[k] += np.float32(0.1) * (d - m[k])
+                v[k] += np.float32(0.01) * (d * d - v[k])
+                w[k] -= speed * m[k] / (np.sqrt(v[k] * level) + np.float32(1e-6))
     return w, seen
 
 
-class Coder:
-    """Word to id: every counted word has its own.  ``words`` are joined by blanks, by falling count."""
+@dataclass
+class Vocabulary:
+    """What tasks need to know of the words; its size does not depend on the vocabulary."""
+
+    tokens: int
+    kinds: int
+    heads: np.ndarray  # sorted hashes of the words that own a cell
+    cell_of_head: np.ndarray
+    count_of_head: np.ndarray
+    ends: int
+    mass: np.ndarray  # tokens per cell
+
+    def cells(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(cell, count) of words; the count of a word that shares its cell is -1."""
+        if not len(self.heads):
+            return shared_cell(hashes), np.full(len(hashes), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.heads, hashes), len(self.heads) - 1)
+        own = self.heads[at] == hashes
+        return np.where(own, self.cell_of_head[at], shared_cell(hashes)).astype(np.int32), np.where(own, self.count_of_head[at], -1)
+
+    def base(self, counts: np.ndarray) -> np.ndarray:
+        return np.log10((counts + 0.5) / (self.tokens + 0.5 * (self.kinds + 1)))
+
 
-    def __init__(self, words: bytes):
-        self.ids = {w: i for i, w in enumerate(words.split(), 2)}
+def shared_cell(hashes: np.ndarray) -> np.ndarray:
+    return (OWNED + (hashes % np.uint64(CELLS - OWNED)).astype(np.int64)).astype(np.int32)
 
-    def encode(self, words: list[bytes]) -> np.ndarray:
-        get = self.ids.get
-        return np.array([get(w, OTHER) for w in words] + [END], np.int32)
 
+def hashed(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first text, text behind the last, word hashes, first word of each text and the number of all) slice by slice.
 
-_CODERS: dict[str, Coder] = {}  # of this worker
+    Words are told apart by 64-bit hashes of their lower-cased bytes.
+    """
+    buf, offsets = ta.text_bytes(column)
+    for a, b in ta.slices(offsets):
+        low = ta.lower(buf[offsets[a]: offsets[b]])
+        starts, ends, owner = ta.words(low, offsets[a: b + 1] - offsets[a])
+        with np.errstate(over="ignore"):
+            h = ta.hash_spans(low, starts, ends)
+        yield a, b, h, np.searchsorted(owner, np.arange(b - a + 1))
+
+
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of equal keys added up."""
+    key, c = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, int)
+    return key[first], np.add.reduceat(c[order], first) if len(first) else c
 
 
-def count_words(rows: DataFrame) -> DataFrame:
-    """(word, c) over all texts of (text); tasks add up before the shuffle."""
+def count_words(rows: DataFrame, held: int = 1_000_000) -> DataFrame:
+    """(word, c) over all texts, words as hashes; a task adds up before the shuffle and holds about ``held`` words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have: Counter = Counter()
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                have.update(words_of(t))
-                if len(have) > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(have.keys(), pa.binary()), pa.array(have.values(), pa.int64())], names=["word", "c"])
-                    have.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(have.keys(), pa.binary()), pa.array(have.values(), pa.int64())], names=["word", "c"])
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
 
-    return rows.select("text").mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+        def flush():
+            key, c = _added(parts)
+            parts.clear()
+            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(c)], names=["word", "c"])
 
+        for b in batches:
+            for _, _, h, _ in hashed(b.column(0)):
+                parts.append(_added([(h, np.ones(len(h), np.int64))]))
+                if sum(len(p[0]) for p in parts) > 2 * held:
+                    parts[:] = [_added(parts)]
+                    if len(parts[0][0]) > held:
+                        yield flush()
+        if parts:
+            yield flush()
 
-class Vocabulary:
-    """What tasks need to know of the words: their ids and their counts.  It is sent as bytes, not as a dict."""
+    return rows.select("text").mapInArrow(count, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
-    def __init__(self, words: bytes, counts: np.ndarray):
-        self.words, self.counts, self.name = words, counts, uuid.uuid4().hex
 
-    def coder(self) -> Coder:
-        """Made once per worker."""
-        if self.name not in _CODERS:
-            _CODERS.clear()
-            _CODERS[self.name] = Coder(self.words)
-        return _CODERS[self.name]
+def _cell(word: Column) -> Column:
+    """``shared_cell`` of a hash that is held as a signed long; the number of shared cells is a power of two."""
+    return (F.lit(OWNED) + word.bitwiseAND(F.lit(CELLS - OWNED - 1))).cast("int")
 
-    def grid(self) -> np.ndarray:
-        return frequencies(self.counts + 0.5)
 
+def learn_vocabulary(counts: DataFrame, ends: int) -> tuple[Vocabulary, DataFrame, dict[int, float]]:
+    """The vocabulary, (word, c, share) of the words that share cells, and each shared cell's spare part; parts as log10.
 
-def learn_network(rows: DataFrame, vocabulary: Vocabulary, weights: dict, rounds: int = ROUNDS) -> dict:
-    """Weights after ``rounds`` of training on all rows and averaging over tasks; the average is one row per weight."""
-    side = len(weights["ec"])
+    The spare part is what the discount leaves to words not counted.  The driver
+    gets the words that own cells and one row per shared cell.
+    """
+    top = counts.orderBy(F.desc("c"), "word").limit(OWNED - 1).toArrow()
+    heads, c = top["word"].to_numpy().view(np.uint64), top["c"].to_numpy()
+    order = np.argsort(heads)
+    tail = counts.join(counts.sparkSession.createDataFrame(top.select(["word"])) if top.num_rows else counts.limit(0), "word", "left_anti")
+    tail = tail.withColumn("cell", _cell(F.col("word")))
+    cells = materialize(tail.groupBy("cell").agg(
+        F.sum("c").alias("total"), F.count(F.lit(1)).alias("types"),
+        F.sum((F.col("c") == 1).cast("long")).alias("once"), F.sum((F.col("c") == 2).cast("long")).alias("twice")), "word-cells")
+    table = cells.toArrow()
+    total, types, once, twice = (table[k].to_numpy() for k in ("total", "types", "once", "twice"))
+    off = float(np.clip(once.sum() / max(once.sum() + 2 * twice.sum(), 1), 0.1, 0.9))
+    mass = np.full(CELLS, 1e-3)
+    mass[END] = max(ends, 1e-3)
+    mass[1: 1 + len(c)] = c
+    mass[OWNED:] = 0.5  # for words not counted
+    mass[table["cell"].to_numpy()] += total
+    v = Vocabulary(int(c.sum() + total.sum()) + ends, len(c) + int(types.sum()) + (ends > 0), heads[order],
+                   (1 + order).astype(np.int32), c[order], ends, mass)
+    known = tail.join(cells, "cell").select("word", "c", F.log10((F.col("c") - off) / (F.col("total") + 0.5)).alias("share"))
+    spare = {int(k): float(np.log10((off * n + 0.5) / (t + 0.5))) for k, n, t in zip(table["cell"].to_numpy(), types, total)}
+    return v, known, spare
+
+
+def _texts(vocabulary: Vocabulary, h: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(cells with the end mark, counts, hashes) of each text of a slice."""
+    cells, counts = vocabulary.cells(h)
+    for a, b in zip(first[:-1], first[1:]):
+        yield np.append(cells[a:b], np.int32(END)), counts[a:b], h[a:b]
+
+
+def learn_network(rows: DataFrame, vocabulary: Vocabulary, rounds: int = 1) -> dict:
+    """Weights after training on all rows and averaging over tasks; the average is one row per weight."""
+    weights = first_weights(vocabulary.mass)
     for _ in range(rounds):
         begin = pack_weights(weights)
 
         def work(batches: Iterator[pa.RecordBatch], begin=begin) -> Iterator[pa.RecordBatch]:
-            coder = vocabulary.coder()
-
             def texts():
+                held, n = [], 0
                 for b in batches:
-                    for at in range(0, b.num_rows, LANES):
-                        yield [coder.encode(words_of(t)) for t in b.column(0).slice(at, LANES).to_pylist()]
-
-            w, seen = train(unpack_weights(begin, side), place_biases(vocabulary.grid()), texts())
+                    for _, _, h, first in hashed(b.column(0)):
+                        for cells, _, _ in _texts(vocabulary, h, first):
+                            held += [cells[a: a + LONG] for a in range(0, len(cells), LONG)]
+                        n += len(h)
+                        if n > POOL:
+                            yield held
+                            held, n = [], 0
+                if held:
+                    yield held
+
+            w, seen = train(unpack_weights(begin), texts())
             if seen:
-                flat = pack_weights(w).astype(np.float64)
+                flat = pack_weights(w)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(len(flat))), pa.array(flat * seen), pa.array(np.full(len(flat), float(seen)))], names=["at", "value", "seen"])
+                    [pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat.astype(np.float64) * seen), pa.array(np.full(len(flat), seen))],
+                    names=["at", "value", "seen"])
 
-        mean = rows.select("text").mapInArrow(work, "at long, value double, seen double").groupBy("at").agg(
+        mean = rows.select("text").mapInArrow(work, "at int, value double, seen long").groupBy("at").agg(
             (F.sum("value") / F.sum("seen")).alias("value")).toArrow()
         if not mean.num_rows:
             break
         flat = np.empty(len(begin))
         flat[mean["at"].to_numpy()] = mean["value"].to_numpy()
-        weights = unpack_weights(flat, side)
+        weights = unpack_weights(flat)
     return weights
 
 
+def _scored(vocabulary: Vocabulary, weights: np.ndarray) -> Callable:
+    """(key, text) -> what the network and the words with own cells give, and the other words with their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = unpack_weights(weights)
+
+        def rows_of(texts):
+            keys, cells, counts, hashes = zip(*texts)
+            net = log_likelihood(w, list(cells)) / np.log(10)
+            owned = [c[c >= 0] for c in counts]
+            tails = [_added([(h[c < 0], np.ones(int((c < 0).sum()), np.int64))]) for c, h in zip(counts, hashes)]
+            at = np.concatenate(([0], np.cumsum([len(t[0]) for t in tails]))).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([t[i] for t in tails]).view(np.int64))) for i in (0, 1)]
+            end = float(vocabulary.base(np.array([vocabulary.ends]))[0])
+            return pa.RecordBatch.from_arrays([
+                pa.array(keys, pa.int64()), pa.array([len(c) for c in cells], pa.int64()),
+                pa.array([len(c) + (vocabulary.ends > 0) for c in owned], pa.int64()),
+                pa.array([float(vocabulary.base(c).sum()) + end for c in owned], pa.float64()), pa.array(net), *lists,
+            ], names=["key", "n_tokens", "n_owned", "base", "net", "words", "times"])
+
+        long, held = [], 0
+        for b in batches:
+            keys, now, size = b.column(0).to_numpy(), [], 0
+            for a, _, h, first in hashed(b.column(1)):
+                for key, (cells, counts, words) in zip(keys[a:], _texts(vocabulary, h, first)):
+                    if len(cells) > LONG:
+                        long.append((key, cells, counts.copy(), words.copy()))
+                        held += len(cells)
+                    else:
+                        now.append((key, cells, counts, words))
+                        size += len(cells)
+                if size * 6 > CHUNK:
+                    yield rows_of(now)
+                    now, size = [], 0
+                if held > POOL:
+                    yield rows_of(long)
+                    long, held = [], 0
+            if now:
+                yield rows_of(now)
+        if long:
+            yield rows_of(long)
+
+    return run
+
+
 def score_texts(docs: DataFrame, learning: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: (id, n_tokens, n_known, train_tokens, base_score, score), log10 over whole texts.
 
@@ -295,30 +440,47 @@ def score_texts(docs: DataFrame, learning: DataFrame, id_col: str = "doc_id", te
     model is the untrained one.  Other columns are ignored.
     """
     texts = lambda d: d.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
-    rows, training = texts(docs), texts(learning)
+    training = texts(learning)
     counts = materialize(count_words(training), "word-counts")
-    ends = training.count()
-    table = counts.orderBy(F.desc("c"), "word").toArrow()
-    # one unseen word has no count, as in the base
-    vocabulary = Vocabulary(b" ".join(table["word"].to_pylist()), np.concatenate(([ends, 0], table["c"].to_numpy())))
-    tokens, kinds = int(vocabulary.counts.sum()), table.num_rows + (ends > 0)
-    del table
-    grid = vocabulary.grid()
-    side = len(grid)
-    weights = pack_weights(learn_network(training, vocabulary, first_weights(grid)))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, biases, coder = unpack_weights(weights, side), place_biases(vocabulary.grid()), vocabulary.coder()
-        base = np.log10((vocabulary.counts + 0.5) / (tokens + 0.5 * (kinds + 1)))
-        known = vocabulary.counts > 0
-        for b in batches:
-            for at in range(0, b.num_rows, 2048):
-                ids = b.column(0).slice(at, 2048)
-                coded = [coder.encode(words_of(t)) for t in b.column(1).slice(at, 2048).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array([len(t) for t in coded], pa.int64()), pa.array([int(known[t].sum()) for t in coded], pa.int64()),
-                     pa.array(np.full(len(coded), tokens)), pa.array([float(base[t].sum()) for t in coded], pa.float64()),
-                     pa.array(log_likelihood(w, biases, coded) / np.log(10))],
-                    names=[id_col, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    return rows.mapInArrow(score, f"`{id_col}` long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    vocabulary, known, spare = learn_vocabulary(counts, training.count())
+    weights = pack_weights(learn_network(training, vocabulary))
+
+    rows = texts(docs).withColumn("key", F.monotonically_increasing_id())  # written below, so it cannot change
+    scored = materialize(rows.select("id", "key", "text").mapInArrow(
+        _with_id(_scored(vocabulary, weights)), "id long, key long, n_tokens long, n_owned long, base double, net double, words array<long>, times array<long>"),
+        "scored-texts")
+    # the words of an own cell are the frequent ones, so no word here is in more than one text in OWNED on average
+    words = scored.select("key", F.explode(F.arrays_zip("words", "times")).alias("x")).select("key", "x.words", "x.times").withColumnRenamed("words", "word")
+    table = counts.sparkSession.createDataFrame([(k, s) for k, s in spare.items()] or [(-1, 0.0)], "cell int, spare double")
+    base = lambda c: F.log10((c + 0.5) / (vocabulary.tokens + 0.5 * (vocabulary.kinds + 1)))
+    found = words.join(known, "word", "left")
+    unseen = found.filter("share is null").withColumn("cell", _cell(F.col("word"))).join(table, "cell", "left")
+    cols = ["key", "times", F.coalesce("c", F.lit(0)).alias("c")]
+    each = found.filter("share is not null").select(*cols, "share").unionByName(
+        unseen.select(*cols, F.coalesce("spare", F.lit(0.0)).alias("share")))
+    sums = each.groupBy("key").agg(
+        F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("n"), F.sum(F.col("times") * base(F.col("c"))).alias("b"),
+        F.sum(F.col("times") * F.col("share")).alias("s"))
+    zero = F.lit(0)
+    return scored.drop("words", "times").join(sums, "key", "left").select(
+        F.col("id").alias(id_col), "n_tokens", (F.col("n_owned") + F.coalesce("n", zero)).alias("n_known"),
+        F.lit(vocabulary.tokens).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("b", zero)).alias("base_score"),
+        (F.col("net") + F.coalesce("s", zero)).alias("score"))
+
+
+def _with_id(run: Callable) -> Callable:
+    """Ids come back by the keys of the rows, for long texts are given out late."""
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: dict[int, int] = {}
+
+        def texts():
+            for b in batches:
+                ids.update(zip(b.column(1).to_pylist(), b.column(0).to_pylist()))
+                yield pa.RecordBatch.from_arrays(b.columns[1:], names=["key", "text"])
+
+        for out in run(texts()):
+            got = pa.array([ids.pop(k) for k in out.column(0).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([got, *out.columns], names=["id", *out.schema.names])
+
+    return both
