@@ -88,23 +88,30 @@ def test_gradients_by_finite_differences(weights):
             assert (moved[0] - moved[1]) / (2 * step) == pytest.approx(g[k].flat[at], rel=0.03, abs=2e-3), (k, at)
 
 
-def test_probabilities_of_all_words_sum_to_one(spark, weights):
+def test_probabilities_of_all_words_sum_to_one(spark, weights, monkeypatch):
+    monkeypatch.setattr(lm, "CARRIED", 4500)
     rng = np.random.default_rng(9)
     names = rng.integers(-(1 << 62), 1 << 62, 6000)
     counts = spark.createDataFrame([(int(w), int(c)) for w, c in zip(names, rng.integers(1, 5, 6000) + 100 * (np.arange(6000) < 9))], "word long, c long")
     v, known, spare = lm.learn_vocabulary(counts, 50)
-    shared = known.collect()
-    assert len(shared) + lm.OWNED - 1 == 6000 == v.kinds - 1 and v.tokens == 50 + sum(r["c"] for r in counts.collect())
+    joined = known.collect()
+    assert len(joined) + len(v.heads) == 6000 == v.kinds - 1 and v.tokens == 50 + sum(r["c"] for r in counts.collect())
     state = np.full(lm.HIDDEN, 0.3)
     soft = lambda x: np.exp(x) / np.exp(x).sum()
     cell = (soft(state @ weights["oc"] + weights["bc"])[:, None] * np.array([soft(state @ weights["op"][k] + weights["bp"][k]) for k in range(lm.SIDE)])).ravel()
     assert cell.sum() == pytest.approx(1)
-    of = lm.shared_cell(np.array([r["word"] for r in shared]).view(np.uint64))
+    of, place = v.cells(np.array([r["word"] for r in joined]).view(np.uint64))
+    assert (place < 0).all() and (of >= lm.OWNED).all()
     share = np.zeros(lm.CELLS)
-    np.add.at(share, of, [10 ** r["share"] for r in shared])
+    share[lm.END] = 1
+    np.add.at(share, of, [10 ** r["share"] for r in joined])
+    of, place = v.cells(v.heads)
+    assert np.array_equal(place, np.arange(4500))
+    np.add.at(share, of, 10 ** v.share_of_head)
     for k, s in spare.items():
         share[k] += 10**s
-    assert len(spare) > 900 and share[list(spare)] == pytest.approx(1) and cell[: lm.OWNED].sum() + (cell * share)[lm.OWNED:].sum() <= 1 + 1e-9
+    used = [*range(lm.OWNED), *spare]
+    assert len(spare) > 900 and share[used] == pytest.approx(1) and (cell * share)[used].sum() <= 1 + 1e-9
 
 
 def test_gain_over_base_on_held_out_texts(spark, sf):

@@ -27,7 +27,10 @@ HIDDEN = 16
 SIDE = 64  # classes, and places of a class
 OWNED = 48 * SIDE  # cells of one word: the end mark and the most frequent words
 CELLS = SIDE * SIDE
-WINDOW, LANES = 32, 128  # words per truncated step, and texts side by side
+WINDOW, LANES = 32, 256  # words per truncated step, and texts side by side
+STRETCH = 64  # words between two looks at the outputs when texts are only scored
+BLOCK = 1_024  # rows whose outputs are worked out together, so that they stay in the cache
+CARRIED = (1 << 16) - 1  # most frequent words whose counts go to the tasks; the others' counts come by a join
 CHUNK = 6 << 20  # bytes of text that are dealt to lanes together
 LONG = 4_096  # longer texts wait for each other, so that they run side by side too; so many words are a training segment
 POOL = 1_500_000  # words of waiting texts
@@ -63,9 +66,14 @@ def first_weights(mass: np.ndarray) -> dict[str, np.ndarray]:
     return w
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _softmax(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(exponentials, their sum per row, log softmax at one place of each row); ``x`` is used up."""
+    if x.max() > 60:
+        x -= x.max(axis=1, keepdims=True)
+    got = x[np.arange(len(x)), at]
+    np.exp(x, out=x)
+    total = x @ np.ones(x.shape[1], x.dtype)
+    return x, total, got - np.log(total)
 
 
 def _run(w: dict, inputs: np.ndarray, starts: np.ndarray, h: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
@@ -90,28 +98,27 @@ def _outputs(w: dict, states: np.ndarray, targets: np.ndarray, grads: dict | Non
     """Log probability of each target cell given its state; with ``grads`` also the loss gradient of the states."""
     order = np.argsort(targets, kind="stable")
     s, (kinds, places) = states[order], np.divmod(targets[order], SIDE)
-    rows = np.arange(len(s))
-    lc = _log_softmax(s @ w["oc"] + w["bc"])
-    got = lc[rows, kinds]
-    back = None
-    if grads is not None:
-        d = np.exp(lc)
-        d[rows, kinds] -= 1
-        grads["oc"] += s.T @ d
-        grads["bc"] += d.sum(0)
-        back = d @ w["oc"].T
+    got, back = np.empty(len(s), s.dtype), None if grads is None else np.empty_like(s)
+    for a in range(0, len(s), BLOCK):
+        part = slice(a, a + BLOCK)
+        e, total, got[part] = _softmax(s[part] @ w["oc"] + w["bc"], kinds[part])
+        if grads is not None:
+            e /= total[:, None]
+            e[np.arange(len(e)), kinds[part]] -= 1
+            grads["oc"] += s[part].T @ e
+            grads["bc"] += e.sum(0)
+            back[part] = e @ w["oc"].T
     cuts = np.searchsorted(kinds, np.arange(SIDE + 1))
     for k in np.flatnonzero(np.diff(cuts)):  # tokens of one class at a time
         part = slice(cuts[k], cuts[k + 1])
-        lp = _log_softmax(s[part] @ w["op"][k] + w["bp"][k])
-        here = np.arange(len(lp))
-        got[part] += lp[here, places[part]]
+        e, total, more = _softmax(s[part] @ w["op"][k] + w["bp"][k], places[part])
+        got[part] += more
         if grads is not None:
-            d = np.exp(lp)
-            d[here, places[part]] -= 1
-            grads["op"][k] += s[part].T @ d
-            grads["bp"][k] += d.sum(0)
-            back[part] += d @ w["op"][k].T
+            e /= total[:, None]
+            e[np.arange(len(e)), places[part]] -= 1
+            grads["op"][k] = s[part].T @ e
+            grads["bp"][k] = e.sum(0)
+            back[part] += e @ w["op"][k].T
     out = np.empty(len(targets), np.float32)
     out[order] = got
     if back is not None:
@@ -129,13 +136,13 @@ class Lanes:
     owner: np.ndarray  # text number of each cell
     starts: np.ndarray  # whether a text starts there
 
-    def windows(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    def windows(self, size: int = WINDOW) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """(inputs, targets, starts, owner) window by window, of the lanes still open."""
         before = np.vstack((np.full((1, self.cells.shape[1]), END, np.int32), self.cells[:-1]))
         before[self.starts] = END
-        for t in range(0, len(self.cells), WINDOW):
+        for t in range(0, len(self.cells), size):
             live = int((self.cells[t] >= 0).sum())
-            part = (slice(t, t + WINDOW), slice(0, live))
+            part = (slice(t, t + size), slice(0, live))
             yield np.maximum(before[part], END), self.cells[part], self.starts[part], self.owner[part]
 
 
@@ -167,7 +174,7 @@ def log_likelihood(w: dict, texts: list[np.ndarray]) -> np.ndarray:
         return total
     lanes = deal(texts)
     h = np.zeros((lanes.cells.shape[1], HIDDEN), np.float32)
-    for inputs, targets, starts, owner in lanes.windows():
+    for inputs, targets, starts, owner in lanes.windows(STRETCH):
         states, _ = _run(w, inputs, starts, h[: inputs.shape[1]], False)
         h = states[-1]
         real = targets >= 0
@@ -240,19 +247,20 @@ class Vocabulary:
 
     tokens: int
     kinds: int
-    heads: np.ndarray  # sorted hashes of the words that own a cell
+    heads: np.ndarray  # sorted hashes of the most frequent words
     cell_of_head: np.ndarray
     count_of_head: np.ndarray
+    share_of_head: np.ndarray  # log10 of the word's part of its cell
     ends: int
     mass: np.ndarray  # tokens per cell
 
     def cells(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(cell, count) of words; the count of a word that shares its cell is -1."""
+        """(cell, place among ``heads``) of words; -1 for a word that is not carried."""
         if not len(self.heads):
-            return shared_cell(hashes), np.full(len(hashes), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.heads, hashes), len(self.heads) - 1)
+            return shared_cell(hashes), np.full(len(hashes), -1, np.int32)
+        at = np.minimum(np.searchsorted(self.heads, hashes), len(self.heads) - 1).astype(np.int32)
         own = self.heads[at] == hashes
-        return np.where(own, self.cell_of_head[at], shared_cell(hashes)).astype(np.int32), np.where(own, self.count_of_head[at], -1)
+        return np.where(own, self.cell_of_head[at], shared_cell(hashes)).astype(np.int32), np.where(own, at, np.int32(-1))
 
     def base(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 0.5) / (self.tokens + 0.5 * (self.kinds + 1)))
@@ -315,39 +323,42 @@ def _cell(word: Column) -> Column:
 
 
 def learn_vocabulary(counts: DataFrame, ends: int) -> tuple[Vocabulary, DataFrame, dict[int, float]]:
-    """The vocabulary, (word, c, share) of the words that share cells, and each shared cell's spare part; parts as log10.
+    """The vocabulary, (word, c, share) of the words it does not carry, and each shared cell's spare part; parts as log10.
 
-    The spare part is what the discount leaves to words not counted.  The driver
-    gets the words that own cells and one row per shared cell.
+    The spare part is what the discount leaves to words not counted.  The driver gets the words that are carried and
+    one row per shared cell.
     """
-    top = counts.orderBy(F.desc("c"), "word").limit(OWNED - 1).toArrow()
+    top = counts.orderBy(F.desc("c"), "word").limit(CARRIED).toArrow()
     heads, c = top["word"].to_numpy().view(np.uint64), top["c"].to_numpy()
-    order = np.argsort(heads)
-    tail = counts.join(counts.sparkSession.createDataFrame(top.select(["word"])) if top.num_rows else counts.limit(0), "word", "left_anti")
-    tail = tail.withColumn("cell", _cell(F.col("word")))
-    cells = materialize(tail.groupBy("cell").agg(
+    names = counts.sparkSession.createDataFrame(top.select(["word"])) if top.num_rows else counts.select("word").limit(0)
+    # a cell's own word is left out of the shared cells; the carried words beyond those are in them
+    own = counts.sparkSession.createDataFrame(top.select(["word"]).slice(0, OWNED - 1)) if top.num_rows else names
+    cells = materialize(counts.join(own, "word", "left_anti").groupBy(_cell(F.col("word")).alias("cell")).agg(
         F.sum("c").alias("total"), F.count(F.lit(1)).alias("types"),
         F.sum((F.col("c") == 1).cast("long")).alias("once"), F.sum((F.col("c") == 2).cast("long")).alias("twice")), "word-cells")
     table = cells.toArrow()
-    total, types, once, twice = (table[k].to_numpy() for k in ("total", "types", "once", "twice"))
+    at, total, types, once, twice = (table[k].to_numpy() for k in ("cell", "total", "types", "once", "twice"))
     off = float(np.clip(once.sum() / max(once.sum() + 2 * twice.sum(), 1), 0.1, 0.9))
     mass = np.full(CELLS, 1e-3)
     mass[END] = max(ends, 1e-3)
-    mass[1: 1 + len(c)] = c
+    mass[1: 1 + min(len(c), OWNED - 1)] = c[: OWNED - 1]
     mass[OWNED:] = 0.5  # for words not counted
-    mass[table["cell"].to_numpy()] += total
-    v = Vocabulary(int(c.sum() + total.sum()) + ends, len(c) + int(types.sum()) + (ends > 0), heads[order],
-                   (1 + order).astype(np.int32), c[order], ends, mass)
-    known = tail.join(cells, "cell").select("word", "c", F.log10((F.col("c") - off) / (F.col("total") + 0.5)).alias("share"))
-    spare = {int(k): float(np.log10((off * n + 0.5) / (t + 0.5))) for k, n, t in zip(table["cell"].to_numpy(), types, total)}
-    return v, known, spare
+    mass[at] += total
+    cell = np.where(np.arange(len(c)) < OWNED - 1, np.arange(1, len(c) + 1), shared_cell(heads)).astype(np.int32)
+    share = np.where(cell < OWNED, 0.0, np.log10((c - off) / mass[cell]))
+    order = np.argsort(heads)
+    v = Vocabulary(int(c[: OWNED - 1].sum() + total.sum()) + ends, min(len(c), OWNED - 1) + int(types.sum()) + (ends > 0),
+                   heads[order], cell[order], c[order], share[order], ends, mass)
+    rest = counts.join(names, "word", "left_anti").withColumn("cell", _cell(F.col("word"))).join(cells, "cell")
+    known = rest.select("word", "c", F.log10((F.col("c") - off) / (F.col("total") + 0.5)).alias("share"))
+    return v, known, {int(k): float(np.log10((off * n + 0.5) / (t + 0.5))) for k, n, t in zip(at, types, total)}
 
 
 def _texts(vocabulary: Vocabulary, h: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(cells with the end mark, counts, hashes) of each text of a slice."""
-    cells, counts = vocabulary.cells(h)
+    """(cells with the end mark, places among the carried words, hashes) of each text of a slice."""
+    cells, places = vocabulary.cells(h)
     for a, b in zip(first[:-1], first[1:]):
-        yield np.append(cells[a:b], np.int32(END)), counts[a:b], h[a:b]
+        yield np.append(cells[a:b], np.int32(END)), places[a:b], h[a:b]
 
 
 def learn_network(rows: DataFrame, vocabulary: Vocabulary, rounds: int = 1) -> dict:
@@ -393,30 +404,35 @@ def _scored(vocabulary: Vocabulary, weights: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = unpack_weights(weights)
 
+        base, share = vocabulary.base(vocabulary.count_of_head), vocabulary.share_of_head
+        end = float(vocabulary.base(np.array([vocabulary.ends]))[0])
+
         def rows_of(texts):
-            keys, cells, counts, hashes = zip(*texts)
+            keys, cells, places, hashes = zip(*texts)
             net = log_likelihood(w, list(cells)) / np.log(10)
-            owned = [c[c >= 0] for c in counts]
-            tails = [_added([(h[c < 0], np.ones(int((c < 0).sum()), np.int64))]) for c, h in zip(counts, hashes)]
+            carried = [p[p >= 0] for p in places]
+            tails = [_added([(h[p < 0], np.ones(int((p < 0).sum()), np.int64))]) for p, h in zip(places, hashes)]
             at = np.concatenate(([0], np.cumsum([len(t[0]) for t in tails]))).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([t[i] for t in tails]).view(np.int64))) for i in (0, 1)]
-            end = float(vocabulary.base(np.array([vocabulary.ends]))[0])
+            words, times = (np.concatenate([t[i] for t in tails]) for i in (0, 1))
             return pa.RecordBatch.from_arrays([
                 pa.array(keys, pa.int64()), pa.array([len(c) for c in cells], pa.int64()),
-                pa.array([len(c) + (vocabulary.ends > 0) for c in owned], pa.int64()),
-                pa.array([float(vocabulary.base(c).sum()) + end for c in owned], pa.float64()), pa.array(net), *lists,
-            ], names=["key", "n_tokens", "n_owned", "base", "net", "words", "times"])
+                pa.array([len(p) + (vocabulary.ends > 0) for p in carried], pa.int64()),
+                pa.array([float(base[p].sum()) + end for p in carried], pa.float64()),
+                pa.array(net + [float(share[p].sum()) for p in carried]),
+                pa.ListArray.from_arrays(pa.array(at), pa.array(words.view(np.int64))),
+                pa.ListArray.from_arrays(pa.array(at), pa.array(times.astype(np.int32))),
+            ], names=["key", "n_tokens", "n_carried", "base", "net", "words", "times"])
 
         long, held = [], 0
         for b in batches:
             keys, now, size = b.column(0).to_numpy(), [], 0
             for a, _, h, first in hashed(b.column(1)):
-                for key, (cells, counts, words) in zip(keys[a:], _texts(vocabulary, h, first)):
+                for key, (cells, places, words) in zip(keys[a:], _texts(vocabulary, h, first)):
                     if len(cells) > LONG:
-                        long.append((key, cells, counts.copy(), words.copy()))
+                        long.append((key, cells, places.copy(), words.copy()))
                         held += len(cells)
                     else:
-                        now.append((key, cells, counts, words))
+                        now.append((key, cells, places, words))
                         size += len(cells)
                 if size * 6 > CHUNK:
                     yield rows_of(now)
@@ -447,23 +463,21 @@ def score_texts(docs: DataFrame, learning: DataFrame, id_col: str = "doc_id", te
 
     rows = texts(docs).withColumn("key", F.monotonically_increasing_id())  # written below, so it cannot change
     scored = materialize(rows.select("id", "key", "text").mapInArrow(
-        _with_id(_scored(vocabulary, weights)), "id long, key long, n_tokens long, n_owned long, base double, net double, words array<long>, times array<long>"),
+        _with_id(_scored(vocabulary, weights)), "id long, key long, n_tokens long, n_carried long, base double, net double, words array<long>, times array<int>"),
         "scored-texts")
-    # the words of an own cell are the frequent ones, so no word here is in more than one text in OWNED on average
-    words = scored.select("key", F.explode(F.arrays_zip("words", "times")).alias("x")).select("key", "x.words", "x.times").withColumnRenamed("words", "word")
-    table = counts.sparkSession.createDataFrame([(k, s) for k, s in spare.items()] or [(-1, 0.0)], "cell int, spare double")
+    # carried words are the frequent ones, so no word here has more than one token in CARRIED, and no key is hot
+    words = scored.select("key", F.explode(F.arrays_zip("words", "times")).alias("x")).select(
+        "key", F.col("x.words").alias("word"), F.col("x.times").alias("times"), _cell(F.col("x.words")).alias("cell"))
+    table = counts.sparkSession.createDataFrame(list(spare.items()) or [(-1, 0.0)], "cell int, spare double")
     base = lambda c: F.log10((c + 0.5) / (vocabulary.tokens + 0.5 * (vocabulary.kinds + 1)))
-    found = words.join(known, "word", "left")
-    unseen = found.filter("share is null").withColumn("cell", _cell(F.col("word"))).join(table, "cell", "left")
-    cols = ["key", "times", F.coalesce("c", F.lit(0)).alias("c")]
-    each = found.filter("share is not null").select(*cols, "share").unionByName(
-        unseen.select(*cols, F.coalesce("spare", F.lit(0.0)).alias("share")))
+    each = words.join(known, "word", "left").join(table, "cell", "left").select(
+        "key", "times", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("share", "spare", F.lit(0.0)).alias("share"))
     sums = each.groupBy("key").agg(
         F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("n"), F.sum(F.col("times") * base(F.col("c"))).alias("b"),
         F.sum(F.col("times") * F.col("share")).alias("s"))
     zero = F.lit(0)
     return scored.drop("words", "times").join(sums, "key", "left").select(
-        F.col("id").alias(id_col), "n_tokens", (F.col("n_owned") + F.coalesce("n", zero)).alias("n_known"),
+        F.col("id").alias(id_col), "n_tokens", (F.col("n_carried") + F.coalesce("n", zero)).alias("n_known"),
         F.lit(vocabulary.tokens).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("b", zero)).alias("base_score"),
         (F.col("net") + F.coalesce("s", zero)).alias("score"))
 
