@@ -1,7 +1,7 @@
 """Exact duplicates by sorting contents.
 
-Normalised texts are dealt by sampled splitters over (text, id), so that one text with very many copies is
-split over tasks like any other range; each task sorts its range externally, which puts equals next to each
+Normalised texts are dealt by sampled splitters over (first bytes, hash of the text, id), so that one text with very
+many copies is split over tasks like any other range, and what is sampled of a text is short; each task sorts its range externally, which puts equals next to each
 other, and compares every text in full with its neighbour.  Runs that touch the edge of a range are joined
 with the same text's runs of other ranges, again by the full text.
 """
@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize
+from . import textarrays as ta
 
 _ROW = "id long, text_sha256 string, run long, edge_text binary"
 _ARROW = pa.schema([("id", pa.int64()), ("text_sha256", pa.string()), ("run", pa.int64()), ("edge_text", pa.binary())])
@@ -22,8 +23,11 @@ _ARROW = pa.schema([("id", pa.int64()), ("text_sha256", pa.string()), ("run", pa
 
 def normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, text) -> (id, body): the UTF-8 bytes with A-Z in lower case; null counts as empty."""
-    for b in batches:
-        body = pa.array([(t or "").encode().lower() for t in b.column(1).to_pylist()], pa.binary())
+    ta.worker_cache("exact_dedup")
+    for b in ta.row_slices(batches, 1):
+        raw, offsets = ta.text_bytes(b.column(1))
+        body = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(ta.lower(raw))]).cast(pa.binary())
         yield pa.RecordBatch.from_arrays([b.column(0), body], names=["id", "body"])
 
 
@@ -70,7 +74,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
     bodies = rows.mapInArrow(normalise, "id long, body binary")
-    dealt = bodies.repartitionByRange("body", "id").sortWithinPartitions("body", "id")
+    # ranges are cut by the first bytes and a hash, so samples of splitters stay small; equal bodies agree in both
+    order = [F.substring("body", 1, 32), F.xxhash64("body")]
+    dealt = bodies.repartitionByRange(*order, "id").sortWithinPartitions(*order, "body", "id")
     runs = materialize(dealt.mapInArrow(_runs, _ROW), "content-runs")
 
     per_run = runs.groupBy("run").agg(

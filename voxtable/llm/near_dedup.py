@@ -5,10 +5,13 @@ returned are the groups that links form, so a pair is only looked at while its t
 groups.  That keeps a bucket of thousands of near copies linear:
 
 1. Documents with the same shingle set form a class, and only its smallest id goes on.
-2. In each band bucket every member is compared with the bucket's smallest id (a star, never all pairs).
-3. Links are grouped.  Buckets whose members all came out in one group are finished.
-4. In the remaining buckets members of different groups are compared where they share a rare shingle: two sets
-   can only be similar enough if they share one of each set's rarest quarter, and if their sizes allow it.
+2. Each band bucket is compared as a star: members against its smallest id.  In one round a document is compared
+   with one such leader only, the one it shares most buckets with, and the links that result are grouped; buckets whose
+   members all came out in one group are finished.  Rounds go on until no leader is left to compare with.
+3. In the remaining buckets, documents meet where they also share a rare shingle: two sets can only be similar
+   enough if they share one of each set's rarest quarter.  Stars over (bucket, shingle) are settled in the
+   same rounds.
+4. What then still mixes groups is compared pair by pair, within a bucket and a rare shingle and where sizes allow it.
 
 Every comparison is on the full sets, and no bucket is cut short.
 """
@@ -22,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import materialize
+from ..session import is_empty, materialize
 from . import textarrays as ta
 from .grouping import components
 
@@ -92,6 +95,7 @@ def band_keys(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ta.worker_cache("near_dedup")
     for b in batches:
         buf, offs = ta.text_bytes(b.column(1))
         ids = b.column(0)
@@ -109,6 +113,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ta.worker_cache("near_dedup")
     for b in batches:
         buf, offs = ta.text_bytes(b.column(1))
         for s, e in ta.slices(offs):
@@ -135,23 +140,22 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _rare(mixed: DataFrame, sets: DataFrame) -> DataFrame:
-    """(key, id, grp, n) of documents under each of their rarest shingles.
+    """(key, id, n): each bucket of ``mixed`` (key, id) again for every rare shingle of its documents.
 
     With n shingles, n - ceil(0.75 n) + 1 of the rarest suffice: similar sets share at least 0.75 n of them.
     """
-    docs = mixed.select("id", "grp").distinct()
-    rows = docs.join(sets, "id").select("id", "grp", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
-    rows = materialize(rows, "mixed-shingles")
-    freq = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("f")).filter("f > 1"), "mixed-frequencies")
-    ranked = rows.join(freq, "key").groupBy("id", "grp", "n").agg(
-        F.count(F.lit(1)).alias("shared"), F.sort_array(F.collect_list(F.struct("f", "key"))).alias("order"))
+    rows = materialize(mixed.select("id").distinct().join(sets, "id").select(
+        "id", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")), "mixed-shingles")
+    freq = materialize(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("f")).filter("f > 1"), "mixed-frequencies")
+    ranked = rows.join(freq, "shingle").groupBy("id", "n").agg(
+        F.count(F.lit(1)).alias("shared"), F.sort_array(F.collect_list(F.struct("f", "shingle"))).alias("order"))
     # shingles that only one document holds come first in the order, and match nothing
     need = F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1 - (F.col("n") - F.col("shared"))
-    return (
-        ranked.filter(need > 0)
-        .select("id", "grp", "n", F.explode(F.slice("order", F.lit(1), need.cast("int"))).alias("o"))
-        .select(F.col("o.key").alias("key"), "id", "grp", "n")
-    )
+    rare = ranked.filter(need > 0).select(
+        "id", "n", F.explode(F.transform(F.slice("order", F.lit(1), need.cast("int")), lambda o: o["shingle"])).alias("shingle"))
+    both = mixed.select("key", "id").join(rare, "id").select(F.xxhash64("key", "shingle").alias("key"), "id", "n")
+    crowd = both.groupBy("key").agg(F.min("id").alias("i"), F.max("id").alias("j")).filter("i < j").select("key")
+    return both.join(crowd, "key")
 
 
 def _across(rows: DataFrame) -> DataFrame:
@@ -162,13 +166,47 @@ def _across(rows: DataFrame) -> DataFrame:
     return left.join(right, "key").filter(fits).select("a", "b").distinct()
 
 
-def _stars(rows: DataFrame) -> DataFrame:
-    """Each member of a key paired with the key's smallest member of another group."""
-    lead = rows.groupBy("key").agg(F.min(F.struct("grp", "id")).alias("l"), F.max("grp").alias("last")).filter("l.grp < last")
-    return (
-        rows.join(lead.select("key", "l"), "key").filter("grp <> l.grp")
-        .select(F.least("id", "l.id").alias("a"), F.greatest("id", "l.id").alias("b")).distinct()
-    )
+class _Groups:
+    """Links found so far, the groups they form, and the pairs that need no second look."""
+
+    def __init__(self, sets: DataFrame):
+        self.sets, self.links, self.tried, self.groups = sets, None, None, None
+
+    def of(self, keyed: DataFrame) -> DataFrame:
+        """``keyed`` (key, id, ..) of keys that mix groups, with ``grp``."""
+        rows = keyed.withColumn("grp", F.col("id"))
+        if self.groups is not None:
+            rows = keyed.join(self.groups, keyed["id"] == self.groups["node"], "left")
+            rows = rows.withColumn("grp", F.coalesce("root", "id")).drop("node", "root")
+        keys = rows.groupBy("key").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1")).filter("g0 < g1").select("key")
+        return rows.join(keys, "key")
+
+    def test(self, pairs: DataFrame) -> None:
+        """Verify pairs (a, b), written already, and join what they link."""
+        found = _verified(pairs, self.sets)
+        self.links = materialize(found if self.links is None else found.unionByName(self.links), "links")
+        self.tried = pairs if self.tried is None else self.tried.unionByName(pairs)
+        self.groups = materialize(components(self.links), "groups")
+
+    def settle(self, keyed: DataFrame) -> DataFrame:
+        """Compare members of ``keyed`` (key, id, ..) with leaders until none is left; rows of keys still mixed, with ``grp``.
+
+        A key's leader is the smallest member of its smallest group, so leaders fall as groups join.
+        """
+        while True:
+            keyed = materialize(self.of(keyed), "mixed")
+            lead = keyed.groupBy("key").agg(F.min(F.struct("grp", "id")).alias("l"))
+            pairs = keyed.join(lead, "key").filter("grp <> l.grp").select(
+                F.least("id", "l.id").alias("a"), F.greatest("id", "l.id").alias("b"), "id")
+            pairs = pairs.groupBy("a", "b", "id").agg(F.count(F.lit(1)).alias("shared"))
+            if self.tried is not None:
+                pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
+            best = pairs.groupBy("id").agg(F.max(F.struct("shared", F.struct((-F.col("a")).alias("a"), (-F.col("b")).alias("b")).alias("p"))).alias("m"))
+            best = materialize(best.select((-F.col("m.p.a")).alias("a"), (-F.col("m.p.b")).alias("b")).distinct(), "stars")
+            if is_empty(best):
+                return keyed
+            self.test(best)
+            keyed = keyed.drop("grp")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -190,31 +228,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     alone = sketch.filter("n_shingles > 0").join(classes, "digest", "left").filter("rep is null or rep = id")
     banded = alone.select("id", F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).filter("lead < last")
-    shared = materialize(banded.join(buckets.select("key", "lead"), "key").select("key", "id", "lead"), "buckets")
-
-    stars = materialize(shared.filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "stars")
-    wanted = shared.select("id").distinct()
-    sets = materialize(rows.join(wanted, "id", "left_semi").mapInArrow(_sets, "id long, shingles array<long>")
+    shared = materialize(banded.join(buckets.select("key"), "key").select("key", "id"), "buckets")
+    sets = materialize(rows.join(shared.select("id").distinct(), "id", "left_semi").mapInArrow(_sets, "id long, shingles array<long>")
                        .dropDuplicates(["id"]), "sets")
-    links = materialize(_verified(stars, sets), "links")
-    groups = components(links)
-
-    def regroup(keyed: DataFrame) -> DataFrame:
-        grouped = keyed.drop("grp").join(groups, keyed["id"] == groups["node"], "left")
-        return grouped.withColumn("grp", F.coalesce("root", "id")).drop("node", "root")
-
-    def still_mixed(grouped: DataFrame) -> DataFrame:
-        keys = grouped.groupBy("key").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1")).filter("g0 < g1").select("key")
-        return grouped.join(keys, "key")
-
-    rest = materialize(still_mixed(regroup(shared.select("key", "id"))), "mixed")
-    rare = materialize(_rare(rest, sets), "rare")
-    starred = materialize(_verified(_stars(rare).join(stars, ["a", "b"], "left_anti"), sets), "rare-links")
-    links = materialize(links.unionByName(starred), "links")
-    groups = components(links)
-    more = _verified(_across(still_mixed(regroup(rare))), sets)
-    links = links.unionByName(more)
-    groups = materialize(components(links), "groups")
+
+    found = _Groups(sets)
+    mixed = found.settle(shared)
+    if not is_empty(mixed):
+        mixed = found.settle(_rare(mixed, sets))
+        pairs = _across(mixed)
+        rest = materialize(pairs.join(found.tried, ["a", "b"], "left_anti") if found.tried is not None else pairs, "pairs")
+        if not is_empty(rest):
+            found.test(rest)
+    if found.groups is None:
+        return members.select(F.col("id").alias(id_col), "n_shingles", F.col("rep").alias("component_id"), (F.col("id") == F.col("rep")).alias("kept"))
+    groups = found.groups
     root = F.coalesce("root", "rep")
     return members.join(groups, members["rep"] == groups["node"], "left").select(
         F.col("id").alias(id_col), "n_shingles", root.alias("component_id"), (F.col("id") == root).alias("kept"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,36 @@ _CODES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint
 _STEP = U(0x9E3779B97F4A7C15)
 _BACK = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
+_held: dict[str, dict] = {}
+
+
+def worker_cache(operator: str) -> dict:
+    """What tasks of one operator keep in a Python worker.
+
+    Workers outlive their stage; when a task of another operator starts in one, its predecessor's cache and tables go.
+    """
+    if operator not in _held:
+        _held.clear()
+        _powers.clear()
+        give_back()
+    return _held.setdefault(operator, {})
+
+
+def give_back() -> None:
+    """Return freed memory of this worker to the machine, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def row_slices(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about SLICE_BYTES of text in column ``at``, a longer text by itself; nothing is copied."""
+    for b in batches:
+        _, offsets = text_bytes(b.column(at))
+        for s, e in slices(offsets):
+            yield b.slice(s, e - s)
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:

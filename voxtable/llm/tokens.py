@@ -14,6 +14,8 @@ from collections.abc import Callable
 
 import numpy as np
 
+from . import textarrays as ta
+
 MEMO_BYTES = 144 << 20  # of remembered words in one Python worker; beyond it the memory starts afresh
 _PUNCTUATION = '!"#$%&()*+,-./:;<=>?@[]^_`{|}~'  # the apostrophe starts contractions and is left to the library
 
@@ -103,12 +105,10 @@ class WordEncoder:
         return self.newline.join(out)
 
 
-_encoders: dict[tuple[str, bool], WordEncoder] = {}
-
-
 def encoder(path: str, blank_in_word: bool) -> WordEncoder:
-    """The worker's encoder for a vocabulary file; it lives as long as the Python worker."""
+    """The worker's encoder for a vocabulary file; it lives until another operator's task starts in the worker."""
+    cache = ta.worker_cache("tokens")
     key = (path, blank_in_word)
-    if key not in _encoders:
-        _encoders[key] = WordEncoder(path, blank_in_word)
-    return _encoders[key]
+    if key not in cache:
+        cache[key] = WordEncoder(path, blank_in_word)
+    return cache[key]

@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from . import textarrays as ta
+
 LABELLED = 20_000  # most labelled texts the lexicon and the model are fitted on, by smallest hash of the id
 TERMS = 4_000  # most lexicon entries
 LEAST_TEXTS, LEAST_WEIGHT = 5, 9.5  # texts a term must mark, and log odds times their square root
@@ -50,6 +52,14 @@ class Lexicon:
             node["stem" if t.endswith("*") else "end"] = True
         self.memo: dict[str, int] = {}
 
+    @classmethod
+    def of_worker(cls, terms: list[str]) -> Lexicon:
+        """One lexicon and one memory of met words per Python worker."""
+        cache = ta.worker_cache("toxicity")
+        if cache.get("terms") != terms:
+            cache.update(terms=terms, lexicon=cls(terms))
+        return cache["lexicon"]
+
     def meet(self, token: str) -> int:
         """0: no term, 1: a term as it is, 2: a term with one edit."""
         got = self.memo.get(token)
@@ -135,7 +145,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         good.clear()
         return out
 
-    for b in batches:
+    for b in ta.row_slices(batches, 0):
         for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             words = {w.strip(_EDGE) for w in set(lower(text))}
             terms = {w for w in words if w} | {w[:k] + "*" for w in words for k in STEM if len(w) > k}
@@ -200,10 +210,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     labelled = texts.join(ids, "id").dropDuplicates(["text", "toxic"]).select("text", "toxic").persist()
     try:
         terms = learn_lexicon(labelled)
-        lexicon = Lexicon(terms)
-
         def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            lexicon = Lexicon.of_worker(terms)
+            for b in ta.row_slices(batches, 0):
                 got = [features(lexicon, t) for t in b.column(0).to_pylist()]
                 cols = zip(*got) if got else ((), (), ())
                 yield pa.RecordBatch.from_arrays(
@@ -223,12 +232,12 @@ def score_toxicity(docs: DataFrame, terms: list[str], weights: np.ndarray, text_
     Null and empty texts have no hits and get the score of such texts.  Rows that repeat are scored alike; an
     input column of the name ``out`` is replaced.
     """
-    lexicon = Lexicon(terms)
     schema = docs.drop(out).withColumn(out, F.lit(0.0)).schema
     at = [c for c in docs.columns if c != out].index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        lexicon = Lexicon.of_worker(terms)
+        for b in ta.row_slices(batches, at):
             got = np.array([features(lexicon, t) for t in b.column(at).to_pylist()], dtype=float).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(probability(weights, got))], names=[*b.schema.names, out])
 
