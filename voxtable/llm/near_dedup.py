@@ -5,9 +5,10 @@ returned are the groups that links form, so a pair is only looked at while its t
 groups.  That keeps a bucket of thousands of near copies linear:
 
 1. Documents with the same shingle set form a class, and only its smallest id goes on.
-2. Each band bucket is compared as a star: members against its smallest id.  In one round a document is compared
-   with one such leader only, the one it shares most buckets with, and the links that result are grouped; buckets whose
-   members all came out in one group are finished.  Rounds go on until no leader is left to compare with.
+2. Each band bucket is compared as a star: members against its smallest id.  In the first
+   round a document is compared with one such leader only, the one it shares most buckets with, and the links that
+   result are grouped; buckets whose members all came out in one group are finished.  Rounds go on, with more leaders
+   for the documents that are left, until no leader is left to compare with.
 3. In the remaining buckets, documents meet where they also share a rare shingle: two sets can only be similar
    enough if they share one of each set's rarest quarter.  Stars over (bucket, shingle) are settled in the
    same rounds.
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import is_empty, materialize
 from . import textarrays as ta
@@ -33,6 +34,7 @@ SLOTS, ROWS = 128, 4  # 32 bands of 4: a pair at similarity 0.75 is missed with
 SHINGLE, NUM, DEN = 5, 75, 100
 U = np.uint64
 CHUNK = 1 << 16
+STEP = 16  # growth of the leaders a document is compared with, from round to round
 
 
 def superminhash(values: list[np.ndarray], m: int = SLOTS) -> np.ndarray:
@@ -188,11 +190,13 @@ class _Groups:
         self.tried = pairs if self.tried is None else self.tried.unionByName(pairs)
         self.groups = materialize(components(self.links), "groups")
 
-    def settle(self, keyed: DataFrame) -> DataFrame:
+    def settle(self, keyed: DataFrame, first: int = 1) -> DataFrame:
         """Compare members of ``keyed`` (key, id, ..) with leaders until none is left; rows of keys still mixed, with ``grp``.
 
-        A key's leader is the smallest member of its smallest group, so leaders fall as groups join.
+        A key's leader is the smallest member of its smallest group, so leaders fall as groups join.  A document meets
+        ``first`` leaders in the first round and STEP times as many in each further one.
         """
+        quota = first
         while True:
             keyed = materialize(self.of(keyed), "mixed")
             lead = keyed.groupBy("key").agg(F.min(F.struct("grp", "id")).alias("l"))
@@ -201,12 +205,12 @@ class _Groups:
             pairs = pairs.groupBy("a", "b", "id").agg(F.count(F.lit(1)).alias("shared"))
             if self.tried is not None:
                 pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
-            best = pairs.groupBy("id").agg(F.max(F.struct("shared", F.struct((-F.col("a")).alias("a"), (-F.col("b")).alias("b")).alias("p"))).alias("m"))
-            best = materialize(best.select((-F.col("m.p.a")).alias("a"), (-F.col("m.p.b")).alias("b")).distinct(), "stars")
+            rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("shared"), "a", "b"))
+            best = materialize(pairs.withColumn("_r", rank).filter(F.col("_r") <= quota).select("a", "b").distinct(), "stars")
             if is_empty(best):
                 return keyed
             self.test(best)
-            keyed = keyed.drop("grp")
+            keyed, quota = keyed.drop("grp"), quota * STEP
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -235,7 +239,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = _Groups(sets)
     mixed = found.settle(shared)
     if not is_empty(mixed):
-        mixed = found.settle(_rare(mixed, sets))
+        mixed = found.settle(_rare(mixed, sets), STEP)
         pairs = _across(mixed)
         rest = materialize(pairs.join(found.tried, ["a", "b"], "left_anti") if found.tried is not None else pairs, "pairs")
         if not is_empty(rest):
