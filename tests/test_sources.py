@@ -148,6 +148,57 @@ def test_two_line_logs_batch_and_stream(spark, tmp_path):
     assert set(ids) == {"run"} and len(ids) == len(lines)
 
 
+def best_in_order(rows, patience, sign):
+    """All (seq, epoch, value) so far, in log order; a repeated seq is one line with its greatest values."""
+    lines = {}
+    for seq, epoch, value in rows:
+        e, v = lines.get(seq, (None, None))
+        lines[seq] = (max((x for x in (e, epoch) if x is not None), default=None), max((x for x in (v, value) if x is not None), default=None))
+    n, best, since, head = 0, None, 0, None
+    for seq in sorted(lines):
+        epoch, value = lines[seq]
+        head = epoch if epoch is not None else head
+        if value is None or head is None:
+            continue
+        n += 1
+        if best is None or sign * value > sign * best[0]:
+            best, since = (value, head), 0
+        else:
+            since += 1
+    return (n, *best, since, 0 < patience <= since) if n else None
+
+
+@pytest.mark.parametrize("case", ["late best", "late head", "random"])
+def test_monitor_is_exact_for_late_rows(spark, tmp_path, case):
+    """After every batch the monitor says what a pass over all lines so far in log order says."""
+    import os
+    import random
+
+    if case == "late best":
+        batches = [[(1, 1, 5.0), (3, 3, 4.0), (4, 4, 3.0)], [(2, 2, 2.0)]]
+    elif case == "late head":
+        batches = [[(2, None, 5.0), (4, None, 4.0)], [(3, 30, None)], [(1, 10, None)], [(4, None, 4.0), (5, None, 9.0)]]
+    else:
+        draw = random.Random(4)
+        rows = [(i, draw.choice([i, None]), draw.choice([float(draw.randint(1, 30)), None])) for i in range(1, 61)]
+        draw.shuffle(rows)
+        batches = [rows[k: k + 10] for k in range(0, 60, 10)]
+    src = tmp_path / "in"
+    schema = "run_id string, seq long, epoch int, value double"
+    for k, batch in enumerate(batches):
+        spark.createDataFrame([("r", *x) for x in batch], schema).coalesce(1).write.parquet(str(src / f"b{k}"))
+        for f in (src / f"b{k}").glob("*.parquet"):
+            os.utime(f, (1_700_000_000 + k, 1_700_000_000 + k))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(src / "*"))
+    out = ST.run_to_table(ST.monitor(stream, 2, False, block=4), str(tmp_path / "o"), str(tmp_path / "cp"), "update")
+    got = {r["batch_id"]: tuple(r)[1:6] for r in out.select("run_id", "n_checkpoints", "best_value", "best_epoch", "checkpoints_since_best", "exceeded", "batch_id").collect()}
+    for k in range(len(batches)):
+        want = best_in_order([x for b in batches[: k + 1] for x in b], 2, -1.0)
+        assert got.get(k) == want, (k, got.get(k), want)
+    if case == "late best":
+        assert got[1] == (4, 2.0, 2, 2, True)
+
+
 def test_description_and_prompt(spark):
     row = spark.createDataFrame(
         [(4, 12345.678, 2.6, "X", 0.5, 0.8, 3, 2, 4.25, "Ramified", 1.0, 2.0, 3.0)],

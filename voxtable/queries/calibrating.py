@@ -487,9 +487,12 @@ def stream_metrics(spark, sf):
     return ST.run_to_table(ST.stream_metrics(lines), out, out + "-cp").drop("batch_id")
 
 
-@query("stream_monitor", f"""WITH {LOG}, b AS (SELECT run_id, value AS best_value, seq AS best_seq FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY value, seq) AS r FROM lg) WHERE r = 1)
+MONITOR_SQL = f"""WITH {LOG}, b AS (SELECT run_id, value AS best_value, seq AS best_seq FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY value, seq) AS r FROM lg) WHERE r = 1)
 SELECT run_id, count(*) AS n_checkpoints, min(best_value) AS best_value, CAST(min(best_seq) AS INT) AS best_epoch, count(*) FILTER (seq > best_seq) AS checkpoints_since_best,
- count(*) FILTER (seq > best_seq) >= 500 AS exceeded FROM lg JOIN b USING (run_id) GROUP BY ALL""")
+ count(*) FILTER (seq > best_seq) >= 500 AS exceeded FROM lg JOIN b USING (run_id) GROUP BY ALL"""
+
+
+@query("stream_monitor", MONITOR_SQL)
 def stream_monitor(spark, sf):
     """Stateful early-stop monitor over micro-batches; the last row per run equals the batch result."""
     lines = stream_table(spark, sf, "log", log_lines(spark, sf).select("run_id", "seq", "line"))
@@ -497,6 +500,15 @@ def stream_monitor(spark, sf):
     return ST.latest_per_run(ST.run_to_table(ST.monitor(ST.stream_metrics(lines), 500, False), out, out + "-cp", "update"))
 
 
+@query("stream_monitor_late", MONITOR_SQL)
+def stream_monitor_late(spark, sf):
+    """The same log dealt over micro-batches by a hash, so most lines come late."""
+    lines = log_lines(spark, sf).select("run_id", "seq", "line").repartition(5, F.xxhash64("seq"))
+    out = scratch_path(spark, "out")
+    stream = stream_table(spark, sf, "log", lines)
+    return ST.latest_per_run(ST.run_to_table(ST.monitor(ST.stream_metrics(stream), 500, False), out, out + "-cp", "update"))
+
+
 @query("stream_history", f"""WITH {HIST} SELECT config_key, CASE config_key WHEN 'min_volume_vox' THEN 'min' WHEN 'max_volume_vox' THEN 'max' ELSE 'mean' END AS mode,
  round(CASE config_key WHEN 'min_volume_vox' THEN min(value) WHEN 'max_volume_vox' THEN max(value) WHEN 'erosion_voxels' THEN round_even(avg(value), 0) ELSE avg(value) END, 6) AS value, count(*) AS n_samples FROM lt GROUP BY config_key""")
 def stream_history(spark, sf):

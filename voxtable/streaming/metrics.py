@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.sweeps import recommend_all
 from ..sources.metric_log import parse_lines
@@ -15,7 +15,9 @@ EPOCH_HEAD = r"Epoch (\d+) Summary:"  # fixed value
 SCORE_LINE = r"Full-brain Dice:\s*([\d.]+)\s*\[MODEL SELECTION\]"  # fixed value
 
 MONITOR = "run_id string, n_checkpoints long, best_value double, best_epoch int, checkpoints_since_best long, exceeded boolean"
-STATE = "n long, best double, best_seq long, best_epoch int, since long, head int"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+COLUMNS = ["run_id", "n_checkpoints", "best_value", "best_epoch", "checkpoints_since_best", "exceeded"]
+SUMMARY = "head int, n0 long, v0 double, e0 int, s0 long, n1 long, v1 double, e1 int, s1 long"
 
 
 def stream_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -41,42 +43,91 @@ def stream_metrics(lines: DataFrame, fmt: str = "one_line") -> DataFrame:
     return lines.select("run_id", "seq", head.alias("epoch"), score.alias("value")).filter("epoch is not null or value is not null")
 
 
-def monitor(metrics: DataFrame, patience: int, higher_is_better: bool) -> DataFrame:
-    """Per run and micro-batch: best so far, its epoch, checkpoints since, and whether patience ran out.
+class _Monitor(StatefulProcessor):
+    """Early stopping of one run whose log lines may come in any order.
 
-    State is six numbers per run. Rows of a batch arrive in pieces; each piece
-    is folded in ``seq`` order by count and maximum, and "since best" is the
-    number of checkpoints beyond the best one's place in the log.
+    Lines are kept in state in blocks of ``seq``; a block holds its lines and, per block, a summary: the last head in
+    it, and the best score and score counts under heads of its own.  A late line changes its own block only, and a
+    pass over the block summaries gives the count behind the best checkpoint.
     """
-    sign = 1.0 if higher_is_better else -1.0
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, best, best_seq, best_epoch, since, head = state.get if state.exists else (0, None, -1, None, 0, None)
-        # The log of one run within one trigger; ordered because heads precede their scores.
-        rows = pd.concat(list(batches)).sort_values("seq")
-        for seq, epoch, value in zip(rows["seq"], rows["epoch"], rows["value"]):
-            if not pd.isna(epoch):
-                head = int(epoch)
-            if pd.isna(value) or head is None:
-                continue
-            n += 1
-            if best is None or sign * value > sign * best or (value == best and seq < best_seq):
-                if best is None or seq > best_seq:
-                    since = 0
+    def __init__(self, patience: int, sign: float, block: int):
+        self.patience, self.sign, self.block = patience, sign, block
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.lines = handle.getMapState("lines", "block long", "seq array<long>, epoch array<int>, value array<double>")
+        self.blocks = handle.getMapState("blocks", "block long", SUMMARY)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        changed = set()
+        for part in rows:
+            for number, new in part.groupby(part["seq"] // self.block):
+                at = (int(number),)
+                if self.lines.containsKey(at):
+                    seq, epoch, value = self.lines.getValue(at)
+                    new = pd.concat([pd.DataFrame({"seq": seq, "epoch": epoch, "value": value}).astype({"epoch": "float64", "value": "float64"}), new])
+                new = new.groupby("seq", as_index=False).agg({"epoch": "max", "value": "max"}).sort_values("seq")
+                self.lines.updateValue(at, (
+                    [int(s) for s in new["seq"]], [None if pd.isna(e) else int(e) for e in new["epoch"]],
+                    [None if pd.isna(v) else float(v) for v in new["value"]]))
+                changed.add(int(number))
+        for number in changed:
+            self.blocks.updateValue((number,), self.summary(*self.lines.getValue((number,))))
+        out = self.verdict()
+        if out is not None:
+            yield pd.DataFrame([(key[0], *out)], columns=COLUMNS)
+
+    def summary(self, seq, epoch, value) -> tuple:
+        """(last head, scores before the block's first head, the best of those, scores under own heads, the best of those).
+
+        A best is (score, epoch, scores of its kind behind it); scores before the first head belong to an earlier
+        block's head, or to none.
+        """
+        head, loose, own = None, [], []
+        for e, v in zip(epoch, value):
+            head = head if e is None else e
+            if v is not None:
+                (loose if head is None else own).append((v, head))
+        return (head, *self.best(loose), *self.best(own))
+
+    def best(self, scores: list) -> tuple:
+        if not scores:
+            return 0, None, None, 0
+        at = max(range(len(scores)), key=lambda i: (self.sign * scores[i][0], -i))
+        return len(scores), scores[at][0], scores[at][1], len(scores) - 1 - at
+
+    def verdict(self) -> tuple | None:
+        """Blocks in order: a better score starts the count anew, any other adds what the block holds."""
+        n, best, best_epoch, since, head = 0, None, None, 0, None
+        for _, (last, n0, v0, _, s0, n1, v1, e1, s1) in sorted(self.blocks.iterator(), key=lambda x: x[0][0]):
+            for count, top, epoch, behind, known in ((n0, v0, head, s0, head is not None), (n1, v1, e1, s1, True)):
+                if not count or not known:
+                    continue
+                n += count
+                if best is None or self.sign * top > self.sign * best:
+                    best, best_epoch, since = top, epoch, behind
                 else:
-                    since += 1
-                best, best_seq, best_epoch = float(value), int(seq), head
-            elif seq > best_seq:
-                since += 1
-        state.update((n, best, best_seq, best_epoch, since, head))
-        exceeded = patience > 0 and since >= patience
-        if n:
-            yield pd.DataFrame(
-                [(key[0], n, best, best_epoch, since, exceeded)],
-                columns=["run_id", "n_checkpoints", "best_value", "best_epoch", "checkpoints_since_best", "exceeded"],
-            )
-
-    return metrics.groupBy("run_id").applyInPandasWithState(step, MONITOR, STATE, "update", GroupStateTimeout.NoTimeout)
+                    since += count
+            head = head if last is None else last
+        return (n, best, best_epoch, since, 0 < self.patience <= since) if n else None
+
+    def close(self) -> None:
+        pass
+
+
+def monitor(metrics: DataFrame, patience: int, higher_is_better: bool, block: int = 1024) -> DataFrame:
+    """Per run and micro-batch: best so far, its epoch, checkpoints since the first best, and whether patience ran out.
+
+    Exact for lines that come late, in whatever batch: the result after a batch is that of all lines so far in
+    ``seq`` order.  Lines that repeat a ``seq`` are one line, with the greatest values.  A score belongs to the last head
+    before it; scores before any head are no checkpoints.  State holds the run's lines in blocks of ``block`` and one summary per block, so
+    a batch reads the blocks that it touches and the summaries.  Map states live in the RocksDB state store, which this sets
+    for the session.
+    """
+    metrics.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    sign = 1.0 if higher_is_better else -1.0
+    return metrics.groupBy("run_id").transformWithStateInPandas(
+        _Monitor(patience, sign, block), outputStructType=MONITOR, outputMode="Update", timeMode="None")
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
