@@ -401,5 +401,5 @@ def test_complex_cells_rank(make):
 
 def test_sweep_grids():
     assert SW.sweep_values(0.3, 0.5, 0.1) == [0.3, 0.4, 0.5]
-    assert SW.stage_values(-6, 6, 5.8, 1.0, 0.5) == [4.8, 5.3, 5.8]
-    assert SW.stage_values(0, 1, 3, 0.5, 0.1) == [1]
+    assert SW.search_values(-6, 6, SW.Stage(0.5, 1.0), 5.8) == [4.8, 5.3, 5.8]
+    assert SW.search_values(0, 1, SW.Stage(0.1, 0.5), 3) == [1]

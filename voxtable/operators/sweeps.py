@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..schemas import KEYS
+from ..session import materialize
 
 # fixed values: how each calibration key is combined over samples
 MODES = {
@@ -32,12 +35,20 @@ def sweep_values(lo: float, hi: float, step: float) -> list[float]:
     return [round(lo + i * step, 4) for i in range(max(n, 0))]
 
 
-def stage_values(lo: float, hi: float, centre: float, half_width: float, step: float) -> list[float]:
-    """Values around ``centre`` clipped to [lo, hi]; one clamped point if nothing is left."""
-    a, b = max(lo, centre - half_width), min(hi, centre + half_width)
-    if b <= a:
-        return [max(lo, min(hi, centre))]
-    return sweep_values(a, b, step)
+@dataclass(frozen=True)
+class Stage:
+    """One pass of a search: its step, and how far it reaches around the last winner (None: the whole range)."""
+
+    step: float
+    reach: float | None = None
+
+
+def search_values(lo: float, hi: float, stage: Stage, winner: float | None = None) -> list[float]:
+    """Values of one stage.  Both ends are held inside [lo, hi], so a winner outside leaves the nearer end."""
+    if stage.reach is None or winner is None:
+        return sweep_values(lo, hi, stage.step)
+    first, last = (min(max(winner + side * stage.reach, lo), hi) for side in (-1, 1))
+    return sweep_values(first, last, stage.step)
 
 
 def grid(spark, p1: Sequence[float], p2: Sequence[float] = (0.0,)) -> DataFrame:
@@ -78,26 +89,19 @@ def winner_per_cell(results: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame
     return results.groupBy(*keys, "label").agg(top.alias("_t")).select(*keys, "label", "_t.*")
 
 
-def sieve(
-    run_stage: Callable[[list[float]], tuple[float, DataFrame]],
-    lo: float,
-    hi: float,
-    step: float,
-    refine: Sequence[tuple[float, float]] = (),
-) -> dict:
-    """Coarse-to-fine search: the full range first, then narrower ranges around each winner.
+def sieve(score: Callable[[list[float]], DataFrame], lo: float, hi: float, stages: Sequence[Stage]) -> DataFrame:
+    """(stage, value, score, is_best) of a coarse-to-fine search; the answer is the last stage's best row.
 
-    ``run_stage(values)`` runs one Spark job over its grid and returns
-    (best value, result table).
+    ``score(values)`` is one Spark job that gives (value, score) for its values, empty only when there is nothing to
+    score.  Of equal scores the least value wins.  Only a stage's winner reaches the driver.
     """
-    stages, best, result = [], None, None
-    values = sweep_values(lo, hi, step)
-    for width, fine in [(None, None), *refine]:
-        if width is not None:
-            values = stage_values(lo, hi, best, width, fine)
-        best, result = run_stage(values)
-        stages.append({"values": values, "best_value": best, "result": result})
-    return {"stages": stages, "final_best_value": best, "final_result": result}
+    tables: list[DataFrame] = []
+    winner = None
+    for number, stage in enumerate(stages, 1):
+        rows = materialize(score(search_values(lo, hi, stage, winner)).select(F.lit(number).alias("stage"), "value", "score"), "sieve")
+        winner = rows.agg(F.max_by("value", F.struct("score", -F.col("value")))).first()[0]
+        tables.append(rows.withColumn("is_best", F.coalesce(F.col("value") == F.lit(winner), F.lit(False))))
+    return reduce(DataFrame.unionByName, tables)
 
 
 def recommend(history: DataFrame, mode: str = "mean") -> DataFrame:

@@ -139,23 +139,17 @@ b{i} AS (SELECT p1 AS b FROM s{i} ORDER BY dice DESC, p1 LIMIT 1)"""
 
 
 @query("sieve", with_(VOX, PROBS, GT, "gv AS (SELECT fish_id, count(*) AS gt_vox FROM gt GROUP BY ALL)", _scores_sql(1, "SELECT round(k * 0.2::DOUBLE, 4) AS p1 FROM range(0, 5) t(k)"),
-  _stage_sql(2, 0.2, 0.05), _stage_sql(3, 0.05, 0.01), body=" UNION ALL ".join(f"SELECT p1, round(dice, 6) AS dice, {i} AS stage FROM s{i}" for i in (1, 2, 3))))
+  _stage_sql(2, 0.2, 0.05), _stage_sql(3, 0.05, 0.01), body=" UNION ALL ".join(f"SELECT p1, round(dice, 6) AS dice, {i} AS stage, p1 = (SELECT b FROM b{i}) AS is_best FROM s{i}" for i in (1, 2, 3))))
 def sieve(spark, sf):
     """Coarse-to-fine probability cut-off by mean Dice; each stage is one job over the whole map."""
     p, g = materialize(probs(spark, sf)), materialize(gt_mask(spark, sf))
-    seen = []
-
-    def stage(values):
-        r, _ = J.voxel_sweep(p, g, values)
-        avg = r.groupBy("p1").agg(F.avg("dice").alias("dice"))
-        best = avg.agg(F.max_by("p1", F.struct("dice", -F.col("p1")))).first()[0]
-        seen.append(avg.withColumn("stage", F.lit(len(seen) + 1)))
-        return best, avg
-
-    SW.sieve(stage, 0.0, 0.8, 0.2, [(0.2, 0.05), (0.05, 0.01)])
-    out = seen[0]
-    for s in seen[1:]:
-        out = out.unionByName(s)
+
+    def score(values):
+        cells, _ = J.voxel_sweep(p, g, values)
+        return cells.groupBy(F.col("p1").alias("value")).agg(F.avg("dice").alias("score"))
+
+    out = SW.sieve(score, 0.0, 0.8, [SW.Stage(0.2), SW.Stage(0.05, 0.2), SW.Stage(0.01, 0.05)])
+    out = out.select(F.col("value").alias("p1"), F.col("score").alias("dice"), "stage", "is_best")
     return rounded(out)
 
 
