@@ -403,3 +403,32 @@ def test_sweep_grids():
     assert SW.sweep_values(0.3, 0.5, 0.1) == [0.3, 0.4, 0.5]
     assert SW.search_values(-6, 6, SW.Stage(0.5, 1.0), 5.8) == [4.8, 5.3, 5.8]
     assert SW.search_values(0, 1, SW.Stage(0.1, 0.5), 3) == [1]
+
+
+@pytest.mark.parametrize("step", [0.174, 1.0, 3.5])
+def test_envelope_is_the_plain_minimum(step):
+    rng = np.random.default_rng(int(step * 10))
+    lengths = np.array([1, 7, 40, 2, 1, 300, 40])
+    starts = np.cumsum(lengths) - lengths
+    f = rng.exponential(50, lengths.sum()) * rng.integers(0, 2, lengths.sum())
+    want = []
+    for a, n in zip(starts, lengths):
+        line = np.concatenate(([0.0], f[a: a + n], [0.0]))
+        at = np.arange(n + 2)
+        want.extend((line[None, :] + (step * (at[:, None] - at[None, :])) ** 2).min(axis=1)[1:-1])
+    assert SH._envelope(f, starts, step) == pytest.approx(want, rel=1e-12)
+    assert len(SH._envelope(np.zeros(0), np.zeros(0, int), step)) == 0
+
+
+def test_edt_of_touching_and_hollow_labels(make):
+    rng = np.random.default_rng(8)
+    dense = rng.integers(0, 3, (5, 40, 30)) * (rng.random((5, 40, 30)) < 0.9)
+    dense[:, 10:30, 5:25] = 1
+    dense[2, 20, 15] = 0
+    scale = (2.0, 0.5, 0.7)
+    got = {(r["z"], r["y"], r["x"]): r["dist_um"] for r in SH.edt(make({"a": dense}), scale, strip=16).collect()}
+    padded = np.pad(dense, 1)
+    sites = np.argwhere(padded > -1)
+    for at in np.argwhere(dense)[::17]:
+        other = sites[padded[tuple(sites.T)] != dense[tuple(at)]]
+        assert got[tuple(map(int, at))] == pytest.approx(np.sqrt((((other - at - 1) * scale) ** 2).sum(axis=1).min()), rel=1e-12)

@@ -113,16 +113,16 @@ def cross_grid(spark, sf):
     )
 
 
-@query("grid_report", f"WITH {RESULTS} SELECT fish_id, p2, " + ", ".join(f"round_even(max(iou) FILTER (p1 = {v}), 1) AS p1_{v}" for v in range(4)) + " FROM rs WHERE label = 1 GROUP BY ALL")
+@query("grid_report", f"WITH {RESULTS} SELECT fish_id, label, p2, " + ", ".join(f"round_even(max(iou) FILTER (p1 = {v}), 1) AS p1_{v}" for v in range(4)) + " FROM rs GROUP BY ALL")
 def grid_report(spark, sf):
-    return SW.grid_report(results(spark, sf).filter("label = 1"), "iou", [0, 1, 2, 3])
+    return SW.grid_report(results(spark, sf), "iou", [0, 1, 2, 3], ["fish_id", "label"])
 
 
-@query("grid_lines", f"""WITH {RESULTS}, a AS (SELECT *, row_number() OVER (PARTITION BY fish_id ORDER BY iou DESC, p1, p2) AS r FROM (SELECT fish_id, p1, p2, CAST(tp AS DOUBLE) AS iou FROM rs WHERE label = 1))
-SELECT fish_id, p1, p2, printf('%8.2f %8.2f %7.1f', p1, p2, iou) || CASE WHEN r = 1 THEN '  <- best' ELSE '' END AS line FROM a""")
+@query("grid_lines", f"""WITH {RESULTS}, a AS (SELECT *, row_number() OVER (PARTITION BY fish_id, label ORDER BY iou DESC, p1, p2) AS r FROM (SELECT fish_id, label, p1, p2, CAST(tp AS DOUBLE) AS iou FROM rs))
+SELECT fish_id, label, p1, p2, printf('%8.2f %8.2f %7.1f', p1, p2, iou) || CASE WHEN r = 1 THEN '  <- best' ELSE '' END AS line FROM a""")
 def grid_lines(spark, sf):
-    r = results(spark, sf).filter("label = 1").select("fish_id", "p1", "p2", F.col("tp").cast("double").alias("iou"))
-    return SW.grid_lines(r, "iou")
+    r = results(spark, sf).select("fish_id", "label", "p1", "p2", F.col("tp").cast("double").alias("iou"))
+    return SW.grid_lines(r, "iou", ["fish_id", "label"])
 
 
 def _stage_sql(i: int, width: float, step: float) -> str:

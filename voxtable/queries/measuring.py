@@ -51,9 +51,9 @@ def regionprops(spark, sf):
 
 
 @query("principal_axes", with_(*B, PROPS, AXES, body="""
-SELECT fish_id, label, round(major, 5) AS axis_major, round(minor, 5) AS axis_minor FROM ax WHERE volume_vox >= 8"""))
+SELECT fish_id, label, round(major, 5) AS axis_major, round(minor, 5) AS axis_minor FROM ax"""))
 def principal_axes(spark, sf):
-    a = OB.principal_axes(OB.regionprops(blocks(spark, sf))).filter("volume_vox >= 8")
+    a = OB.principal_axes(OB.regionprops(blocks(spark, sf)))
     return rounded(a.select("fish_id", "label", "axis_major", "axis_minor"), 5)
 
 
