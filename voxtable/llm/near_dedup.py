@@ -34,7 +34,7 @@ SLOTS, ROWS = 128, 4  # 32 bands of 4: a pair at similarity 0.75 is missed with
 SHINGLE, NUM, DEN = 5, 75, 100
 U = np.uint64
 CHUNK = 1 << 16
-STEP = 16  # growth of the leaders a document is compared with, from round to round
+STEP = 64  # growth of the leaders a document is compared with, from round to round
 
 
 def superminhash(values: list[np.ndarray], m: int = SLOTS) -> np.ndarray:
@@ -183,12 +183,15 @@ class _Groups:
         keys = rows.groupBy("key").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1")).filter("g0 < g1").select("key")
         return rows.join(keys, "key")
 
-    def test(self, pairs: DataFrame) -> None:
-        """Verify pairs (a, b), written already, and join what they link."""
-        found = _verified(pairs, self.sets)
-        self.links = materialize(found if self.links is None else found.unionByName(self.links), "links")
+    def test(self, pairs: DataFrame) -> bool:
+        """Verify pairs (a, b), written already, and join what they link; whether groups may have changed."""
+        found = materialize(_verified(pairs, self.sets), "links")
         self.tried = pairs if self.tried is None else self.tried.unionByName(pairs)
+        if is_empty(found):
+            return False
+        self.links = found if self.links is None else found.unionByName(self.links)
         self.groups = materialize(components(self.links), "groups")
+        return True
 
     def settle(self, keyed: DataFrame, first: int = 1) -> DataFrame:
         """Compare members of ``keyed`` (key, id, ..) with leaders until none is left; rows of keys still mixed, with ``grp``.
@@ -196,9 +199,9 @@ class _Groups:
         A key's leader is the smallest member of its smallest group, so leaders fall as groups join.  A document meets
         ``first`` leaders in the first round and STEP times as many in each further one.
         """
-        quota = first
+        quota, changed = first, True
         while True:
-            keyed = materialize(self.of(keyed), "mixed")
+            keyed = materialize(self.of(keyed.drop("grp")), "mixed") if changed else keyed
             lead = keyed.groupBy("key").agg(F.min(F.struct("grp", "id")).alias("l"))
             pairs = keyed.join(lead, "key").filter("grp <> l.grp").select(
                 F.least("id", "l.id").alias("a"), F.greatest("id", "l.id").alias("b"), "id")
@@ -209,8 +212,7 @@ class _Groups:
             best = materialize(pairs.withColumn("_r", rank).filter(F.col("_r") <= quota).select("a", "b").distinct(), "stars")
             if is_empty(best):
                 return keyed
-            self.test(best)
-            keyed, quota = keyed.drop("grp"), quota * STEP
+            changed, quota = self.test(best), quota * STEP
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
