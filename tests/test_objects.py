@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from conftest import dense_of
 from voxtable.functions.scalar import to_um
-from voxtable.operators import merging as MG, objects as OB, pairs as P, scoring as SR, shape as SH, sweeps as SW
+from voxtable.operators import merging as MG, objects as OB, pairs as P, scoring as SR, shape as SH, splitting as SP, sweeps as SW
 
 SCALE = (1.0, 0.174, 0.174)
 
@@ -382,7 +382,7 @@ def test_split_dumbbell_and_errors(make, spark):
     req = spark.createDataFrame(
         [("f", 3, 2, 0.5, 3), ("f", 7, 2, 0.5, 3), ("f", 9, 2, 0.5, 3)], "fish_id string, label int, n_splits int, sigma double, min_distance int"
     )
-    out, status = SH.split_labels(make({"f": d}), req)
+    out, status = SP.split_labels(make({"f": d}), req)
     got = dense_of(out, d.shape)["f"]
     s = {r["label"]: r["status"] for r in status.collect()}
     assert s[3] == "ok" and s[7].startswith("only") and s[9] == "label not found"

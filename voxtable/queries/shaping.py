@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import crops as C, outlines as O, shape as SH
+from ..operators import crops as C, outlines as O, shape as SH, splitting as SP
 from ..plans import jobs as J
 from ..schemas import ZYX
 from ..session import materialize
@@ -91,7 +91,7 @@ def split_labels(spark, sf):
     req = g.filter("label <= 10").select("fish_id", "label").distinct().select(
         "fish_id", "label", F.lit(2).alias("n_splits"), F.lit(0.5).alias("sigma"), F.lit(2).alias("min_distance")
     )
-    out, status = SH.split_labels(g, req)
+    out, status = SP.split_labels(g, req)
     n = out.groupBy("fish_id").agg(F.countDistinct("label").alias("n_labels"), F.count("*").alias("n_voxels"))
     s = status.groupBy("fish_id").agg(F.sum((F.col("status") == "ok").cast("int")).alias("n_split"))
     return n.join(s, "fish_id")
