@@ -122,6 +122,53 @@ def test_sweep_over_one_point_equals_direct_run(spark, make, dims):
     assert r.first()["iou"] == pytest.approx(want["iou"]) and best.first()["p1"] == 0.5
 
 
+def test_sizes_per_sample_equal_single_runs(spark, make, dims):
+    rng = np.random.default_rng(5)
+    vols = {f: np.kron(rng.random((3, 6, 6)) < 0.45, np.ones((2, 3, 3))).astype(int) for f in "ab"}
+    vols["a"][1, 4:6, 4:6] = 0
+    sizes = spark.createDataFrame([("a", 40.0, 3), ("b", 150.0, 9)], "fish_id string, min_volume double, min_hole_size int")
+    both = L.create_labels(make(vols, "value"), dims(vols), 0.4, 0.4, sizes, sizes)
+    got = {tuple(r) for r in both.select("fish_id", "z", "y", "x", "label").collect()}
+    want = set()
+    for f, low, hole in sizes.collect():
+        one = {f: vols[f]}
+        out = L.create_labels(make(one, "value"), dims(one), 0.4, 0.4, low, hole)
+        want |= {tuple(r) for r in out.select("fish_id", "z", "y", "x", "label").collect()}
+    assert got == want and {r[0] for r in got} == {"a", "b"}
+
+
+def test_sweep_defaults_come_from_ground_truth(spark, make):
+    d = np.zeros((3, 12, 30), dtype=int)
+    d[1, 5, :11] = d[1, :11, 5] = 2
+    d[1, 5, 14:24] = 1
+    d[0, 0:6, 20:26] = 3
+    d[0, 2:4, 22:25] = 0
+    g = make({"f": d})
+    assert tuple(J.sweep_sizes(g, None, None).first()) == ("f", 10, 6)
+    assert tuple(J.sweep_sizes(g, 7.0, 4).first()) == ("f", 7.0, 4)
+    assert [r["label"] for r in J.sweep_cells(g, None, (1, 1, 1), 1).collect()] == [2]
+    one = spark.createDataFrame([("f", 3), ("f", 3)], "fish_id string, label int")
+    assert [r["label"] for r in J.sweep_cells(g, one, (1, 1, 1), 1).collect()] == [3]
+    with pytest.raises(ValueError, match="no labelled cell"):
+        J.sweep_cells(g.filter("label > 9"), None, (1, 1, 1), 1)
+
+
+def test_best_background_equals_the_removal_it_stands_for(spark, make, dims):
+    from voxtable.operators.masks import remove_global
+
+    rng = np.random.default_rng(6)
+    vols = {f: rng.integers(0, 60, (3, 12, 12)) for f in "ab"}
+    v = make(vols, "value").withColumn("value", F.col("value").cast("double"))
+    mask = make({f: np.ones((3, 12, 12), dtype=int) for f in vols}).drop("label")
+    best = spark.createDataFrame([("a", 20.0, 0.0), ("b", 5.0, 1.0)], "fish_id string, p1 double, p2 double")
+    got = {tuple(r) for r in J.best_background(v, mask, dims(vols), best).select("fish_id", "z", "y", "x", "value").collect()}
+    want = set()
+    for f, tol, e in best.collect():
+        one = remove_global(v.filter(F.col("fish_id") == f), mask, dims(vols), tol, int(e))
+        want |= {tuple(r) for r in one.select("fish_id", "z", "y", "x", "value").collect()}
+    assert got == want and {r[0] for r in got} == {"a", "b"}
+
+
 def test_pipeline_never_adds_objects_and_keeps_voxels(spark, make, dims):
     rng = np.random.default_rng(8)
     d = np.kron(rng.integers(0, 12, (3, 4, 4)), np.ones((2, 3, 3), dtype=int))

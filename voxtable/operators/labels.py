@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..joins import spread_join
 from ..numbering import number_rows
 from ..schemas import KEYS, ZYX
 from .components import components
@@ -126,22 +127,30 @@ def create_labels(
     volumes: DataFrame,
     sigma_xy: float = 1.0,
     sigma_z: float = 0.5,
-    min_volume: float = 7500,
-    min_hole_size: int = 0,
+    min_volume: float | DataFrame = 7500,
+    min_hole_size: int | DataFrame = 0,
     fraction: float = FRACTION,
     keys: Sequence[str] = KEYS,
 ) -> DataFrame:
-    """value > 0 -> smooth -> fill holes per slice -> 26-components -> size floor -> 1..N by volume."""
+    """value > 0 -> smooth -> fill holes per slice -> 26-components -> size floor -> 1..N by volume.
+
+    Both sizes may be a table per sample: some of ``keys`` and a column of the size's name.
+    """
     binary = voxels.filter("value > 0").select(*keys, *ZYX)
     smooth = smooth_mask(binary, volumes, sigma_xy, sigma_z, keys)
     return label_mask(fill_holes2d(smooth, min_hole_size, keys), min_volume, fraction, keys)
 
 
-def label_mask(mask: DataFrame, min_volume: float, fraction: float = FRACTION, keys: Sequence[str] = KEYS) -> DataFrame:
+def label_mask(mask: DataFrame, min_volume: float | DataFrame, fraction: float = FRACTION, keys: Sequence[str] = KEYS) -> DataFrame:
     """The tail of ``create_labels``: components, size floor, numbering by volume."""
     keys = list(keys)
     found = components(mask, keys, 26)
     sizes = found.groupBy(*keys, "component").agg(F.count("*").alias("_n"))
-    sizes = sizes.filter(F.col("_n") >= size_floor(min_volume, fraction))
+    if isinstance(min_volume, DataFrame):
+        own = [k for k in keys if k in min_volume.columns]
+        sizes = spread_join(sizes, min_volume.select(*own, "min_volume"), own, ["component"])
+        sizes = sizes.filter(F.col("_n") >= F.bround(F.col("min_volume") * float(fraction))).drop("min_volume")
+    else:
+        sizes = sizes.filter(F.col("_n") >= size_floor(min_volume, fraction))
     ids = number_rows(sizes, keys, [F.desc("_n"), F.desc("component")], "label")
     return found.join(ids.select(*keys, "component", "label"), [*keys, "component"]).select(*keys, *ZYX, "label")

@@ -135,7 +135,7 @@ def absorb(nodes: DataFrame, edges: DataFrame, scope: Sequence[str]) -> tuple[Da
     higher.  Returns (moves: at, to, saddle) and (homes: at, root).
     """
     scope = list(scope)
-    homes = nodes.select(*scope, "at", F.col("at").alias("root"))
+    homes = nodes.select(*scope, "at", F.col("at").alias("root"))  # one lazy join per round
     all_moves = None
     while True:
         both = edges.select(*scope, F.col("a").alias("at"), F.col("b").alias("to"), "saddle").unionByName(
@@ -157,7 +157,7 @@ def absorb(nodes: DataFrame, edges: DataFrame, scope: Sequence[str]) -> tuple[Da
         edges = materialize(edges.agg(F.max("saddle").alias("saddle")), "saddles")
         nodes = materialize(nodes.join(moves, [*scope, "at"], "left_anti"), "nodes")
         up = top.select(*scope, F.col("at").alias("root"), F.col("root").alias("_r"))
-        homes = materialize(homes.join(up, [*scope, "root"]).select(*scope, "at", F.col("_r").alias("root")), "homes")
+        homes = homes.join(up, [*scope, "root"]).select(*scope, "at", F.col("_r").alias("root"))
 
 
 def prominences(peaks: DataFrame, saddles: DataFrame, scope: Sequence[str]) -> DataFrame:

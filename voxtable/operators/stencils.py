@@ -125,10 +125,14 @@ def slice_holes(mask: DataFrame, keys: Sequence[str] = KEYS, within: Sequence[st
     return mask.select(*keys, *within, *ZYX).groupBy(*keys, "z").applyInPandas(run, schema)
 
 
-def fill_holes2d(mask: DataFrame, min_hole_size: int = 0, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Fill enclosed holes per slice: all of them, or only those below ``min_hole_size``."""
+def fill_holes2d(mask: DataFrame, min_hole_size: int | DataFrame = 0, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Fill enclosed holes per slice: all of them, or only those below ``min_hole_size`` (a number or a table per sample)."""
     holes = slice_holes(mask, keys)
-    if min_hole_size > 0:
+    if isinstance(min_hole_size, DataFrame):
+        own = [k for k in keys if k in min_hole_size.columns]
+        holes = spread_join(holes, min_hole_size.select(*own, "min_hole_size"), own, ZYX)
+        holes = holes.filter((F.col("min_hole_size") <= 0) | (F.col("hole_size") < F.col("min_hole_size")))
+    elif min_hole_size > 0:
         holes = holes.filter(F.col("hole_size") < min_hole_size)
     return mask.select(*keys, *ZYX).unionByName(holes.select(*keys, *ZYX))
 

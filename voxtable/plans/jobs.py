@@ -24,11 +24,11 @@ from ..operators.objects import (
 )
 from ..operators.pairs import assign_fragments, nearest_two, radius_count, should_merge_samples, should_not_merge_samples
 from ..operators.scoring import best_match, recommend_merge, score_against_gt
-from ..operators.shape import branch_stats, skeleton_branches, solidity, surface_area
+from ..operators.shape import branch_diameters, branch_stats, complex_cells, recommend_branch_radius, skeleton_branches, solidity, surface_area
 from ..operators.stencils import erode2d, slice_holes, z_median3
 from ..operators.sweeps import best_point, cross_grid, recommend_all, split_samples, sweep_avg
 from ..schemas import KEYS, ZYX
-from ..session import materialize
+from ..session import is_empty, materialize
 from ..sources.listing import gt_samples
 from ..sources.sinks import split_manifest, training_samples
 
@@ -232,14 +232,53 @@ def _with_empty(results: DataFrame, cells: DataFrame, points, keys: list[str]) -
     return r.na.fill(-100.0, ["size_delta"])
 
 
+def sweep_cells(
+    gt: DataFrame, cells: DataFrame | None, scale_zyx: Sequence[float], n_cells: int, keys: Sequence[str] = KEYS
+) -> DataFrame:
+    """(keys, label) of the cells a sweep scores: the given ones, or each sample's ``n_cells`` with most branches.
+
+    Raises if no sample has a labelled cell.
+    """
+    keys = list(keys)
+    if cells is None:
+        cells = complex_cells(gt, scale_zyx, n_cells, keys)
+    cells = materialize(cells.select(*keys, "label").distinct(), "sweep-cells")
+    if is_empty(cells):
+        raise ValueError("ground truth holds no labelled cell")
+    return cells
+
+
+def sweep_sizes(gt: DataFrame, min_volume: float | None, min_hole_size: int | None, keys: Sequence[str] = KEYS) -> DataFrame:
+    """(keys, min_volume, min_hole_size) per sample: the given numbers, or what its ground truth shows."""
+    keys = list(keys)
+    every = gt.select(*keys).distinct()
+    low = size_bounds(gt, keys).select(*keys, "min_volume") if min_volume is None else every.withColumn("min_volume", F.lit(min_volume))
+    if min_hole_size is None:
+        hole = smallest_holes(gt, keys=keys)
+    else:
+        hole = every.withColumn("min_hole_size", F.lit(min_hole_size))
+    return materialize(low.join(hole, keys), "sweep-sizes")
+
+
+def _best_with_sizes(avg: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
+    used = sizes.withColumnsRenamed({"min_volume": "min_volume_used", "min_hole_size": "min_hole_size_used"})
+    return best_point(avg, ["iou"], keys).join(used, keys)
+
+
 def background_sweep(
-    voxels: DataFrame, mask: DataFrame, gt: DataFrame, volumes: DataFrame, cells: DataFrame, thresholds: Sequence[float],
-    erosions: Sequence[int], sigma_xy: float = 1.5, sigma_z: float = 3.0, min_volume: float = 7500, min_hole_size: int = 20,
-    fraction: float = FRACTION, pad_z: int = 15, pad_xy: int = 40, keys: Sequence[str] = KEYS,
+    voxels: DataFrame, mask: DataFrame, gt: DataFrame, volumes: DataFrame, cells: DataFrame | None, thresholds: Sequence[float],
+    erosions: Sequence[int], sigma_xy: float = 1.5, sigma_z: float = 3.0, min_volume: float | None = None,
+    min_hole_size: int | None = None, fraction: float = FRACTION, pad_z: int = 15, pad_xy: int = 40,
+    scale_zyx: Sequence[float] = (1.0, 1.0, 1.0), n_cells: int = 5, keys: Sequence[str] = KEYS,
 ):
-    """Background threshold (p1) x erosion (p2) over chosen cells (``cells``: label). Returns (results, averages, best)."""
+    """Background threshold (p1) x erosion (p2) over ``cells`` (label; None: the ``n_cells`` most branched per sample).
+
+    Sizes left out are measured on each sample's ground truth. Returns (results, averages, best with the sizes used).
+    """
     keys = list(keys)
-    objs = object_info(gt, keys).join(cells.select(*keys, "label"), [*keys, "label"], "left_semi")
+    cells = sweep_cells(gt, cells, scale_zyx, n_cells, keys)
+    sizes = sweep_sizes(gt, min_volume, min_hole_size, keys)
+    objs = object_info(gt, keys).join(cells, [*keys, "label"], "left_semi")
     objs = materialize(objs, "cells")
     base = background_mode(voxels, mask, keys).join(
         value_range(voxels, volumes, keys).select(*keys, (F.col("v_max") - F.col("v_min")).alias("_range")), keys
@@ -253,22 +292,28 @@ def background_sweep(
     out = None
     for e in erosions:
         signal = erode2d(kept, shapes, int(e), wide).withColumn("value", F.lit(1.0))
-        labels = create_labels(signal, shapes, sigma_xy, sigma_z, min_volume, min_hole_size, fraction, wide)
+        labels = create_labels(signal, shapes, sigma_xy, sigma_z, sizes, sizes, fraction, wide)
         r = _score_crops(labels, truth, wide, keys, ["p1"]).withColumn("p2", F.lit(float(e)))
         out = r if out is None else out.unionByName(r)
     out = materialize(_with_empty(out, objs, [(t, e) for t in thresholds for e in erosions], keys), "sweep")
     avg = sweep_avg(out, None, keys)
-    return out, avg, best_point(avg, ["iou"], keys)
+    return out, avg, _best_with_sizes(avg, sizes, keys)
 
 
 def sigma_sweep(
-    brain_only: DataFrame, gt: DataFrame, volumes: DataFrame, cells: DataFrame, sigma_xys: Sequence[float], sigma_zs: Sequence[float],
-    min_volume: float = 7500, min_hole_size: int = 20, fraction: float = FRACTION, pad_z: int = 15, pad_xy: int = 40,
+    brain_only: DataFrame, gt: DataFrame, volumes: DataFrame, cells: DataFrame | None, sigma_xys: Sequence[float],
+    sigma_zs: Sequence[float], min_volume: float | None = None, min_hole_size: int | None = None, fraction: float = FRACTION,
+    pad_z: int = 15, pad_xy: int = 40, scale_zyx: Sequence[float] = (1.0, 1.0, 1.0), n_cells: int = 5,
     keys: Sequence[str] = KEYS,
 ):
-    """Smoothing grid (p1 = sigma_xy, p2 = sigma_z) over chosen cells; crops are cut once. Returns (results, averages, best)."""
+    """Smoothing grid (p1 = sigma_xy, p2 = sigma_z) over ``cells``; crops are cut once.
+
+    Cells and sizes left out as in ``background_sweep``. Returns (results, averages, best with the sizes used).
+    """
     keys = list(keys)
-    objs = object_info(gt, keys).join(cells.select(*keys, "label"), [*keys, "label"], "left_semi")
+    cells = sweep_cells(gt, cells, scale_zyx, n_cells, keys)
+    sizes = sweep_sizes(gt, min_volume, min_hole_size, keys)
+    objs = object_info(gt, keys).join(cells, [*keys, "label"], "left_semi")
     objs = materialize(objs, "cells")
     crop = materialize(_cell_crops(brain_only.select(*keys, *ZYX, "value"), objs, volumes, pad_z, pad_xy, keys), "crops")
     truth = _cell_crops(gt.select(*keys, *ZYX, "label"), objs, volumes, pad_z, pad_xy, keys)
@@ -276,13 +321,13 @@ def sigma_sweep(
     wide = [*keys, "cell_label"]
     points, out = [(a, b) for a in sigma_xys for b in sigma_zs], None
     for a, b in points:
-        labels = create_labels(crop, shapes, a, b, min_volume, min_hole_size, fraction, wide)
+        labels = create_labels(crop, shapes, a, b, sizes, sizes, fraction, wide)
         r = _score_crops(labels, truth, wide, keys, [])
         r = r.withColumn("p1", F.lit(float(a))).withColumn("p2", F.lit(float(b)))
         out = r if out is None else out.unionByName(r)
     out = materialize(_with_empty(out, objs, points, keys), "sweep")
     avg = sweep_avg(out, None, keys)
-    return out, avg, best_point(avg, ["iou"], keys)
+    return out, avg, _best_with_sizes(avg, sizes, keys)
 
 
 def fragment_sweep(
@@ -326,14 +371,18 @@ def merge_recommendation(pred: DataFrame, gt: DataFrame, scales: DataFrame, keys
     return recommend_merge(measure_merge(pred, gt, scales, keys=keys, **kw)[0], keys)
 
 
-def checkpoint_sweep(preds: DataFrame, cells: DataFrame, epochs: DataFrame, keys: Sequence[str] = KEYS):
-    """Predicted label sets per epoch scored on chosen true cells (z, y, x, label). Returns (results, averages, best).
+def checkpoint_sweep(
+    preds: DataFrame, gt: DataFrame, epochs: DataFrame, cells: DataFrame | None = None,
+    scale_zyx: Sequence[float] = (1.0, 1.0, 1.0), n_cells: int = 5, keys: Sequence[str] = KEYS,
+):
+    """Predicted label sets per epoch scored on true cells: ``cells`` (label), or each sample's most branched ones.
 
-    Epochs without a prediction are skipped.
+    Epochs without a prediction are skipped. Returns (results, averages, best).
     """
     keys = list(keys)
+    true = gt.join(sweep_cells(gt, cells, scale_zyx, n_cells, keys), [*keys, "label"], "left_semi")
     use = preds.join(epochs, "epoch", "left_semi")
-    r = best_match(use, cells, keys, ["epoch"]).select(
+    r = best_match(use, true, keys, ["epoch"]).select(
         *keys, F.col("gt").alias("label"), F.col("epoch").cast("double").alias("p1"), F.lit(0.0).alias("p2"), "iou", "dice"
     )
     r = materialize(r, "sweep")
@@ -354,7 +403,7 @@ def repoint(pointers: DataFrame, best: DataFrame, verified: DataFrame) -> DataFr
     return out.select("model", F.when(F.col("_epoch").isNull(), F.col("target")).otherwise(target).alias("target"))
 
 
-def min_hole_size(gt: DataFrame, trust: int = 5, default: int = 20, keys: Sequence[str] = KEYS) -> DataFrame:
+def smallest_holes(gt: DataFrame, trust: int = 5, default: int = 20, keys: Sequence[str] = KEYS) -> DataFrame:
     """Smallest hole of at least ``trust`` voxels inside any cell slice, per sample."""
     holes = slice_holes(gt, keys, ["label"]).filter(F.col("hole_size") >= trust)
     h = holes.groupBy(*keys).agg(F.min("hole_size").alias("_h"))
@@ -367,7 +416,7 @@ def calibration_rows(gt: DataFrame, verified: DataFrame, ts: Column, keys: Seque
 
     ``verified``: fish_id, verified.
     """
-    b = size_bounds(gt, keys).join(min_hole_size(gt, keys=keys), list(keys))
+    b = size_bounds(gt, keys).join(smallest_holes(gt, keys=keys), list(keys))
     rows = F.array(
         *[
             F.struct(F.lit(k).alias("config_key"), F.col(c).cast("double").alias("value"))
@@ -393,6 +442,75 @@ def calibrate(gt: DataFrame, verified: DataFrame, ts: Column, sweeps: Sequence[D
     return recommend_all(h)
 
 
+# fixed values: the calibration keys a sweep's grid columns stand for
+SWEEP_KEYS = {
+    "mask": {"p1": "monai_threshold", "p2": "erosion_voxels"},
+    "background": {"p1": "bg_tolerance", "p2": "signal_erosion_voxels"},
+    "sigma": {"p1": "sigma_xy", "p2": "sigma_z"},
+    "fragments": {"p1": "cellpose_cellprob"},
+}
+
+
+def calibration_suite(
+    gt: DataFrame, volumes: DataFrame, voxels: DataFrame, verified: DataFrame, ts: Column, scale_zyx: Sequence[float],
+    probs: DataFrame | None = None, true_mask: DataFrame | None = None, fragments: DataFrame | None = None,
+    thresholds: Sequence[float] = (0.3, 0.5, 0.7), erosions: Sequence[int] = (0, 1), tolerances: Sequence[float] = (0.0, 5.0),
+    signal_erosions: Sequence[int] = (0, 1), sigma_xys: Sequence[float] = (0.5, 1.0), sigma_zs: Sequence[float] = (0.5,),
+    large_contacts: Sequence[int] = (20,), n_cells: int = 5, pad_z: int = 15, pad_xy: int = 40, keys: Sequence[str] = KEYS,
+    history: DataFrame | None = None, **correction,
+) -> tuple[DataFrame, DataFrame]:
+    """Everything that ground truth can calibrate, in order; each step uses what the steps before it found.
+
+    Size bounds and smallest holes; threshold and erosion of the brain mask (needs ``probs``: p, and ``true_mask``);
+    background tolerance and signal erosion inside the true mask; smoothing of what the best background leaves; branch
+    radius; probability cut of ``fragments`` (a column p1). Steps whose inputs are absent are left out, as are samples
+    a step cannot score. ``history`` holds earlier runs. Returns (history with this run's rows, recommendations).
+    """
+    keys = list(keys)
+    rows = [calibration_rows(gt, verified, ts, keys)]
+    cells = sweep_cells(gt, None, scale_zyx, n_cells, keys)
+    if probs is not None and true_mask is not None:
+        _, best = mask_sweep(probs, true_mask, volumes, thresholds, erosions, keys)
+        rows.append(sweep_history(best, SWEEP_KEYS["mask"], verified, ts, keys))
+    if true_mask is not None:
+        _, _, best = background_sweep(
+            voxels, true_mask, gt, volumes, cells, tolerances, signal_erosions, pad_z=pad_z, pad_xy=pad_xy, keys=keys
+        )
+        best = materialize(best, "best-background")
+        rows.append(sweep_history(best, SWEEP_KEYS["background"], verified, ts, keys))
+        only = best_background(voxels, true_mask, volumes, best, keys)
+        _, _, best = sigma_sweep(only, gt, volumes, cells, sigma_xys, sigma_zs, pad_z=pad_z, pad_xy=pad_xy, keys=keys)
+        rows.append(sweep_history(best, SWEEP_KEYS["sigma"], verified, ts, keys))
+    radius = recommend_branch_radius(branch_diameters(gt, scale_zyx, keys=keys), float(scale_zyx[2]), keys)
+    rows.append(sweep_history(radius, {"branch_radius_px": "cellpose_branch_radius"}, verified, ts, keys))
+    if fragments is not None:
+        _, best = fragment_sweep(fragments, gt, volumes, large_contacts, keys, **correction)
+        rows.append(sweep_history(best, SWEEP_KEYS["fragments"], verified, ts, keys))
+    now = rows[0]
+    for r in rows[1:]:
+        now = now.unionByName(r)
+    now = materialize(now if history is None else history.unionByName(now), "calibration")
+    return now, recommend_all(now)
+
+
+def best_background(voxels: DataFrame, mask: DataFrame, volumes: DataFrame, best: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Voxels that each sample's best tolerance (p1, percent) and erosion (p2) of a background sweep leave."""
+    keys = list(keys)
+    base = background_mode(voxels, mask, keys).join(
+        value_range(voxels, volumes, keys).select(*keys, (F.col("v_max") - F.col("v_min")).alias("_range")), keys
+    )
+    cut = base.join(best.select(*keys, "p1", "p2"), keys)
+    kept = spread_join(apply_mask(voxels, mask, keys), cut.select(*keys, "mode", "_range", "p1", "p2"), keys, ZYX)
+    kept = kept.filter("value > mode + _range * p1 / 100.0 and value > 0").select(*keys, *ZYX, "value", "p2")
+    kept = materialize(kept, "best-background")
+    out = kept.filter("p2 <= 0").drop("p2")
+    for e in (int(r[0]) for r in best.select("p2").distinct().collect()):  # one row per value of the swept grid
+        if e > 0:
+            mine = kept.filter(F.col("p2") == e).drop("p2")
+            out = out.unionByName(mine.join(erode2d(mine, volumes, e, keys), [*keys, *ZYX], "left_semi"))
+    return out
+
+
 def masks_from_outlines(polygons: DataFrame, volumes: DataFrame, voxels: DataFrame, keys: Sequence[str] = KEYS, check: bool = True):
     """Outlines -> brain mask (smoothed along z), brain-only and skin-only voxels. Raises if the mask is empty."""
     mask = z_median3(O.rasterize(O.interpolate_outlines(polygons, volumes, keys), volumes, keys), volumes, keys)

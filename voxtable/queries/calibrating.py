@@ -550,22 +550,20 @@ def compute_stats(spark, sf):
 
 @query("background_sweep")
 def background_sweep(spark, sf):
-    g = truth(spark, sf)
-    from ..operators.labels import relabel_by_volume
-
-    g = materialize(relabel_by_volume(g))
-    cells = g.filter("label <= 3").select("fish_id", "label").distinct()
-    r, _, _ = J.background_sweep(vox(spark, sf), brain(spark, sf), g, vol(spark, sf), cells, [0.0, 5.0], [0, 1], 0.4, 0.4, 6, 3, pad_z=3, pad_xy=4)
+    """Two tolerances by two erosions on the most branched cells of each sample; sizes from ground truth."""
+    r, _, _ = J.background_sweep(
+        vox(spark, sf), brain(spark, sf), truth(spark, sf), vol(spark, sf), None, [0.0, 5.0], [0, 1], 0.4, 0.4, pad_z=3, pad_xy=4, scale_zyx=SCALE
+    )
     return rounded(r)
 
 
 @query("sigma_sweep")
 def sigma_sweep(spark, sf):
-    from ..operators.labels import relabel_by_volume
+    """Two widths in the plane on the most branched cells of each sample, over what the background cut leaves."""
+    from ..operators.masks import remove_global
 
-    g = materialize(relabel_by_volume(truth(spark, sf)))
-    cells = g.filter("label <= 3").select("fish_id", "label").distinct()
-    r, _, _ = J.sigma_sweep(vox(spark, sf).filter("value > 5"), g, vol(spark, sf), cells, [0.3, 0.5], [0.3], 6, 3, pad_z=3, pad_xy=4)
+    only = remove_global(vox(spark, sf), brain(spark, sf), vol(spark, sf), 0.05)
+    r, _, _ = J.sigma_sweep(only, truth(spark, sf), vol(spark, sf), None, [0.3, 0.5], [0.3], pad_z=3, pad_xy=4, scale_zyx=SCALE)
     return rounded(r)
 
 
@@ -582,22 +580,72 @@ def fragment_sweep(spark, sf):
 
 
 @query("checkpoint_sweep", with_(VOX, labels_sql("g", 0), labels_sql("e1", 20), labels_sql("e2", 40), body="""
-, p AS (SELECT 10 AS epoch, * FROM e1 UNION ALL SELECT 20, * FROM e2), c AS (SELECT * FROM g WHERE label % 10 = 0),
+, p AS (SELECT 10 AS epoch, * FROM e1 UNION ALL SELECT 20, * FROM e2), c AS (SELECT * FROM g),
 ov AS (SELECT epoch, c.fish_id, c.label, p.label AS pred, count(*) AS n FROM c JOIN p USING (fish_id, z, y, x) GROUP BY ALL),
 vc AS (SELECT fish_id, label, count(*) AS gv FROM c GROUP BY ALL), vp AS (SELECT epoch, fish_id, label AS pred, count(*) AS pv FROM p GROUP BY ALL),
 b AS (SELECT epoch, fish_id, label, max(n * 1.0::DOUBLE / (gv + pv - n)) AS iou FROM ov JOIN vc USING (fish_id, label) JOIN vp USING (epoch, fish_id, pred) GROUP BY ALL)
 SELECT vc.fish_id, e.epoch AS p1, round(avg(coalesce(iou, 0) * 100), 6) AS iou, count(*) AS n_scored FROM vc, (VALUES (10), (20)) e(epoch) LEFT JOIN b ON b.fish_id = vc.fish_id AND b.label = vc.label AND b.epoch = e.epoch GROUP BY ALL""".strip().replace("vc, (VALUES (10), (20)) e(epoch)", "vc JOIN (VALUES (10), (20)) e(epoch) ON true")))
 def checkpoint_sweep(spark, sf):
-    """Label sets of two checkpoints scored on every tenth true cell."""
+    """Label sets of two checkpoints scored on every true cell."""
+    g = truth(spark, sf)
+    _, avg, _ = J.checkpoint_sweep(*_two_epochs(spark, sf, g), g.select("fish_id", "label").distinct())
+    return rounded(avg.select("fish_id", F.col("p1").cast("int").alias("p1"), "iou", "n_scored"))
+
+
+def _two_epochs(spark, sf, g):
     from ..operators.components import label_components
 
     e1 = predicted(spark, sf).withColumn("epoch", F.lit(10))
     e2 = label_components(occupied(spark, sf, 40.0)).withColumn("epoch", F.lit(20))
-    epochs = spark.range(10, 30, 10).select(F.col("id").cast("int").alias("epoch"))
-    _, avg, _ = J.checkpoint_sweep(e1.unionByName(e2), truth(spark, sf).filter("label % 10 = 0"), epochs)
+    return e1.unionByName(e2), g, spark.range(10, 30, 10).select(F.col("id").cast("int").alias("epoch"))
+
+
+@query("checkpoint_sweep_ranked")
+def checkpoint_sweep_ranked(spark, sf):
+    """The same on the five most branched cells of each sample."""
+    _, avg, _ = J.checkpoint_sweep(*_two_epochs(spark, sf, truth(spark, sf)), scale_zyx=SCALE)
     return rounded(avg.select("fish_id", F.col("p1").cast("int").alias("p1"), "iou", "n_scored"))
 
 
+@query("repoint", with_(VOX, labels_sql("g", 0), labels_sql("e1", 20), labels_sql("e2", 40), body="""
+, p AS (SELECT 10 AS epoch, * FROM e1 UNION ALL SELECT 20, * FROM e2),
+ov AS (SELECT epoch, g.fish_id, g.label, p.label AS pred, count(*) AS n FROM g JOIN p USING (fish_id, z, y, x) GROUP BY ALL),
+vc AS (SELECT fish_id, label, count(*) AS gv FROM g GROUP BY ALL), vp AS (SELECT epoch, fish_id, label AS pred, count(*) AS pv FROM p GROUP BY ALL),
+b AS (SELECT epoch, fish_id, label, max(n * 1.0::DOUBLE / (gv + pv - n)) AS iou FROM ov JOIN vc USING (fish_id, label) JOIN vp USING (epoch, fish_id, pred) GROUP BY ALL),
+a AS (SELECT vc.fish_id, e.epoch, avg(coalesce(iou, 0) * 100) AS iou FROM vc JOIN (VALUES (10), (20)) e(epoch) ON true LEFT JOIN b ON b.fish_id = vc.fish_id AND b.label = vc.label AND b.epoch = e.epoch GROUP BY ALL),
+w AS (SELECT fish_id, epoch FROM (SELECT *, row_number() OVER (PARTITION BY fish_id ORDER BY iou DESC, epoch) AS r FROM a) WHERE r = 1)
+SELECT 'm_' || fish_id AS model, printf('m_%s_epoch_%04d', fish_id, CASE WHEN fish_id = 'error' THEN 20 ELSE epoch END) AS target FROM w""".strip()))
+def repoint(spark, sf):
+    """Every sample's model points at epoch 20; the sweep's winner replaces it where the sample is verified."""
+    g = truth(spark, sf)
+    _, _, best = J.checkpoint_sweep(*_two_epochs(spark, sf, g), g.select("fish_id", "label").distinct())
+    best = materialize(best.withColumn("model", F.concat(F.lit("m_"), "fish_id")))
+    models = g.select(F.concat(F.lit("m_"), "fish_id").alias("model")).distinct()
+    names = models.withColumn("epoch", F.explode(F.array(F.lit(10), F.lit(20))))
+    checkpoints = names.select(F.format_string("%s_epoch_%04d", "model", "epoch").alias("name"))
+    old = SV.write_pointer(checkpoints, models.withColumn("epoch", F.lit(20)), scratch_path(spark, "pointers"))
+    verified = g.select("fish_id").distinct().withColumn("verified", F.col("fish_id") != "error")
+    return SV.resolve_pointers(J.repoint(old, best, verified), checkpoints).select("model", "target")
+
+
+@query("calibration_suite")
+def calibration_suite(spark, sf):
+    """Every key measured on every sample; all but one sample are verified."""
+    g = truth(spark, sf)
+    ok = g.select("fish_id").distinct().withColumn("verified", F.col("fish_id") != "error")
+    p = probs(spark, sf)
+    cut = SW.cross_grid(p, [(0.3, 0.0), (0.4, 0.0)]).drop("p2").filter("p > p1")
+    from ..operators.components import label_components
+
+    frags = materialize(label_components(cut.select("fish_id", "p1", *ZYX), ["fish_id", "p1"]))
+    _, found = J.calibration_suite(
+        g, vol(spark, sf), vox(spark, sf), ok, F.lit("2024-02-01").cast("timestamp"), SCALE, p, gt_mask(spark, sf), frags,
+        thresholds=(0.05, 0.2), sigma_xys=(0.3, 0.5), sigma_zs=(0.3,), large_contacts=(6,), pad_z=3, pad_xy=4,
+        max_gap=0.4, min_contact=3, gt_min=8,
+    )
+    return rounded(found)
+
+
 @query("rerun_object")
 def rerun_object(spark, sf):
     """The largest cell of each sample is redone from the finer fragments."""

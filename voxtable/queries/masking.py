@@ -313,7 +313,7 @@ def create_labels(spark, sf):
 SELECT f.fish_id, CAST(coalesce(min(h.hole_size), 20) AS INT) AS min_hole_size FROM (SELECT DISTINCT fish_id FROM vox) f
 LEFT JOIN (SELECT split_part(fish_id, '/', 1) AS fish_id, hole_size FROM h WHERE hole_size >= 2) h USING (fish_id) GROUP BY ALL"""))
 def min_hole_size(spark, sf):
-    return J.min_hole_size(truth(spark, sf), trust=2).withColumn("min_hole_size", F.col("min_hole_size").cast("int"))
+    return J.smallest_holes(truth(spark, sf), trust=2).withColumn("min_hole_size", F.col("min_hole_size").cast("int"))
 
 
 @query("removal_stats", with_(*BASE, body="""
