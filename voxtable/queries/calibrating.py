@@ -12,6 +12,7 @@ from ..schemas import ZYX
 from ..session import materialize, scratch_path
 from ..sources import listing as LS, metric_log as ML, sinks as SK, volumes as SV
 from ..streaming import metrics as ST
+from .masking import holes_sql
 from .base import (
     BRAIN, PROBS, SCALE, VOL, VOX, blocks, blocks_sql, brain, cc_sql, labels_sql, occupied, predicted, probs, query, rounded, table, truth, vol, vox, with_,
 )
@@ -179,15 +180,17 @@ def recommend_all(spark, sf):
     return rounded(SW.recommend_all(history(spark, sf)))
 
 
-@query("calibrate", with_(VOX, labels_sql("g", 0), body="""
+@query("calibrate", with_(VOX, VOL, labels_sql("g", 0), "gl AS (SELECT fish_id || '/' || label AS fish_id, z, y, x FROM g)", holes_sql("gl", "h"), body="""
 , s AS (SELECT fish_id, label, count(*) AS n FROM g GROUP BY ALL), m AS (SELECT fish_id, min(n) AS lo, max(n) AS hi FROM s GROUP BY ALL)
 SELECT 'max_volume_vox' AS config_key, 'max' AS mode, CAST(max(hi) AS DOUBLE) AS value, count(*) AS n_samples FROM m WHERE fish_id <> 'error'
-UNION ALL SELECT 'min_volume_vox', 'min', CAST(min(lo) AS DOUBLE), count(*) FROM m WHERE fish_id <> 'error'""".strip()))
+UNION ALL SELECT 'min_volume_vox', 'min', CAST(min(lo) AS DOUBLE), count(*) FROM m WHERE fish_id <> 'error'
+UNION ALL SELECT 'min_hole_size_vox', 'min', CAST(min(coalesce(k.n, 20)) AS DOUBLE), count(*) FROM m LEFT JOIN (
+  SELECT split_part(fish_id, '/', 1) AS fish_id, min(hole_size) AS n FROM h WHERE hole_size >= 5 GROUP BY 1) k USING (fish_id) WHERE fish_id <> 'error'""".strip()))
 def calibrate(spark, sf):
-    """Size bounds measured on every sample and pooled over the verified ones."""
+    """Size bounds and smallest holes measured on every sample and pooled over the verified ones."""
     g = truth(spark, sf)
     ok = g.select("fish_id").distinct().withColumn("verified", F.col("fish_id") != "error")
-    return J.calibrate(g, ok, F.lit("2024-02-01").cast("timestamp")).filter("config_key <> 'min_hole_size_vox'")
+    return J.calibrate(g, ok, F.lit("2024-02-01").cast("timestamp"))
 
 
 # --- logs --------------------------------------------------------------------------------
