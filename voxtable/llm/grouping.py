@@ -1,14 +1,16 @@
-"""Groups of linked documents: union-find inside partitions, star rounds across them."""
+"""Groups of linked documents: union-find inside partitions, star rounds across them where there are several."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from ..graph import connected
 
+LINKS = 1 << 19  # links that one task joins in memory
+
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Union-find over the links of one partition; gives each node its root, so at most one link per node is left."""
@@ -35,5 +37,13 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``links`` (a, b); root is the smallest id reachable."""
-    return connected(links.select("a", "b").mapInArrow(_forest, "a long, b long"), [])
+    """(node, root) for every node of ``links`` (a, b), a written table; root is the smallest id reachable.
+
+    A task takes up to LINKS links.  Where one task sees them all its forest is the answer; several forests, of at most
+    one link per node each, are joined by star rounds.
+    """
+    parts = 1 + links.count() // LINKS
+    forest = links.select("a", "b").coalesce(parts).mapInArrow(_forest, "a long, b long")
+    if parts > 1:
+        return connected(forest, [])
+    return forest.select(F.explode(F.array("a", "b")).alias("node"), F.col("a").alias("root")).distinct()

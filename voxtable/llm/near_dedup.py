@@ -4,7 +4,8 @@ Two documents are linked when 100 * |A & B| >= 75 * |A | B| over their distinct
 returned are the groups that links form, so a pair is only looked at while its two ends are still in different
 groups.  That keeps a bucket of thousands of near copies linear:
 
-1. Documents with the same shingle set form a class, and only its smallest id goes on.
+1. Documents with the same shingle set form a class, and only its smallest id goes on.  Of buckets that hold the same
+   documents one goes on, with their number as its weight.
 2. Each band bucket is compared as a star: members against its smallest id.  In the first
    round a document is compared with one such leader only, the one it shares most buckets with, and the links that
    result are grouped; buckets whose members all came out in one group are finished.  Rounds go on, with more leaders
@@ -142,7 +143,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _rare(mixed: DataFrame, sets: DataFrame) -> DataFrame:
-    """(key, id, n): each bucket of ``mixed`` (key, id) again for every rare shingle of its documents.
+    """(key, id, weight, n): each bucket of ``mixed`` (key, id, weight) again for every rare shingle of its documents.
 
     With n shingles, n - ceil(0.75 n) + 1 of the rarest suffice: similar sets share at least 0.75 n of them.
     """
@@ -155,7 +156,8 @@ def _rare(mixed: DataFrame, sets: DataFrame) -> DataFrame:
     need = F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1 - (F.col("n") - F.col("shared"))
     rare = ranked.filter(need > 0).select(
         "id", "n", F.explode(F.transform(F.slice("order", F.lit(1), need.cast("int")), lambda o: o["shingle"])).alias("shingle"))
-    both = mixed.select("key", "id").join(rare, "id").select(F.xxhash64("key", "shingle").alias("key"), "id", "n")
+    both = mixed.select("key", "id", "weight").join(rare, "id").select(
+        F.xxhash64("key", "shingle").alias("key"), "id", "weight", "n")
     crowd = both.groupBy("key").agg(F.min("id").alias("i"), F.max("id").alias("j")).filter("i < j").select("key")
     return both.join(crowd, "key")
 
@@ -194,25 +196,32 @@ class _Groups:
         return True
 
     def settle(self, keyed: DataFrame, first: int = 1) -> DataFrame:
-        """Compare members of ``keyed`` (key, id, ..) with leaders until none is left; rows of keys still mixed, with ``grp``.
+        """Compare members of ``keyed`` (key, id, weight, ..) with leaders until none is left; rows of keys still mixed, with ``grp``.
 
         A key's leader is the smallest member of its smallest group, so leaders fall as groups join.  A document meets
-        ``first`` leaders in the first round and STEP times as many in each further one.
+        ``first`` leaders in the first round and STEP times as many in each further one.  Rounds end when nothing was
+        linked and no document has a leader left over.
         """
         quota, changed = first, True
+        if self.groups is None:  # written already, and every key holds two documents at least
+            keyed, changed = keyed.withColumn("grp", F.col("id")), False
         while True:
             keyed = materialize(self.of(keyed.drop("grp")), "mixed") if changed else keyed
             lead = keyed.groupBy("key").agg(F.min(F.struct("grp", "id")).alias("l"))
             pairs = keyed.join(lead, "key").filter("grp <> l.grp").select(
-                F.least("id", "l.id").alias("a"), F.greatest("id", "l.id").alias("b"), "id")
-            pairs = pairs.groupBy("a", "b", "id").agg(F.count(F.lit(1)).alias("shared"))
+                F.least("id", "l.id").alias("a"), F.greatest("id", "l.id").alias("b"), "id", "weight")
+            pairs = pairs.groupBy("a", "b", "id").agg(F.sum("weight").alias("shared"))
             if self.tried is not None:
                 pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
             rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("shared"), "a", "b"))
-            best = materialize(pairs.withColumn("_r", rank).filter(F.col("_r") <= quota).select("a", "b").distinct(), "stars")
+            best = materialize(pairs.withColumn("r", rank).filter(F.col("r") <= quota)
+                               .groupBy("a", "b").agg(F.max("r").alias("r")), "stars")
             if is_empty(best):
                 return keyed
-            changed, quota = self.test(best), quota * STEP
+            changed = self.test(best.select("a", "b"))
+            if not changed and is_empty(best.filter(F.col("r") == quota)):
+                return keyed
+            quota *= STEP
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -233,8 +242,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     alone = sketch.filter("n_shingles > 0").join(classes, "digest", "left").filter("rep is null or rep = id")
     banded = alone.select("id", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).filter("lead < last")
-    shared = materialize(banded.join(buckets.select("key"), "key").select("key", "id"), "buckets")
+    half = F.xxhash64("id").bitwiseAND((1 << 31) - 1), F.shiftrightunsigned(F.xxhash64("id"), 33)
+    buckets = banded.groupBy("key").agg(
+        F.min("id").alias("lead"), F.max("id").alias("last"), F.count(F.lit(1)).alias("size"),
+        F.sum(half[0]).alias("h0"), F.sum(half[1]).alias("h1")).filter("lead < last")
+    buckets = buckets.groupBy("lead", "last", "size", "h0", "h1").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("weight"))
+    shared = materialize(banded.join(buckets.select("key", "weight"), "key").select("key", "id", "weight"), "buckets")
     sets = materialize(rows.join(shared.select("id").distinct(), "id", "left_semi").mapInArrow(_sets, "id long, shingles array<long>")
                        .dropDuplicates(["id"]), "sets")
 
