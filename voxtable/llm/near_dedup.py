@@ -11,8 +11,8 @@ groups.  That keeps a bucket of thousands of near copies linear:
    result are grouped; buckets whose members all came out in one group are finished.  Rounds go on, with more leaders
    for the documents that are left, until no leader is left to compare with.
 3. In the remaining buckets, documents meet where they also share a rare shingle: two sets can only be similar
-   enough if they share one of each set's rarest quarter.  Stars over (bucket, shingle) are settled in the
-   same rounds.
+   enough if they share one of each set's rarest quarter.  Keys (bucket, shingle) are merged like buckets, and stars
+   over them are settled in the same rounds.
 4. What then still mixes groups is compared pair by pair, within a bucket and a rare shingle and where sizes allow it.
 
 Every comparison is on the full sets, and no bucket is cut short.
@@ -142,6 +142,19 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
+def _merged(keyed: DataFrame) -> DataFrame:
+    """``keyed`` (key, id, weight, ..) of keys with two documents at least; of keys with the same documents one, their weights added.
+
+    Documents are compared by two sums of 31 hash bits, besides the least, the greatest and the number.
+    """
+    h = F.xxhash64("id")
+    keys = keyed.groupBy("key").agg(
+        F.min("id").alias("lead"), F.max("id").alias("last"), F.count(F.lit(1)).alias("size"), F.max("weight").alias("weight"),
+        F.sum(h.bitwiseAND((1 << 31) - 1)).alias("h0"), F.sum(F.shiftrightunsigned(h, 33)).alias("h1")).filter("lead < last")
+    keys = keys.groupBy("lead", "last", "size", "h0", "h1").agg(F.min("key").alias("key"), F.sum("weight").alias("weight"))
+    return keyed.drop("weight").join(keys.select("key", "weight"), "key")
+
+
 def _rare(mixed: DataFrame, sets: DataFrame) -> DataFrame:
     """(key, id, weight, n): each bucket of ``mixed`` (key, id, weight) again for every rare shingle of its documents.
 
@@ -158,8 +171,7 @@ def _rare(mixed: DataFrame, sets: DataFrame) -> DataFrame:
         "id", "n", F.explode(F.transform(F.slice("order", F.lit(1), need.cast("int")), lambda o: o["shingle"])).alias("shingle"))
     both = mixed.select("key", "id", "weight").join(rare, "id").select(
         F.xxhash64("key", "shingle").alias("key"), "id", "weight", "n")
-    crowd = both.groupBy("key").agg(F.min("id").alias("i"), F.max("id").alias("j")).filter("i < j").select("key")
-    return both.join(crowd, "key")
+    return _merged(both)
 
 
 def _across(rows: DataFrame) -> DataFrame:
@@ -242,12 +254,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     alone = sketch.filter("n_shingles > 0").join(classes, "digest", "left").filter("rep is null or rep = id")
     banded = alone.select("id", F.explode("bands").alias("key"))
-    half = F.xxhash64("id").bitwiseAND((1 << 31) - 1), F.shiftrightunsigned(F.xxhash64("id"), 33)
-    buckets = banded.groupBy("key").agg(
-        F.min("id").alias("lead"), F.max("id").alias("last"), F.count(F.lit(1)).alias("size"),
-        F.sum(half[0]).alias("h0"), F.sum(half[1]).alias("h1")).filter("lead < last")
-    buckets = buckets.groupBy("lead", "last", "size", "h0", "h1").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("weight"))
-    shared = materialize(banded.join(buckets.select("key", "weight"), "key").select("key", "id", "weight"), "buckets")
+    shared = materialize(_merged(banded.withColumn("weight", F.lit(1))), "buckets")
     sets = materialize(rows.join(shared.select("id").distinct(), "id", "left_semi").mapInArrow(_sets, "id long, shingles array<long>")
                        .dropDuplicates(["id"]), "sets")
 
