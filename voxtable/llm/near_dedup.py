@@ -156,9 +156,10 @@ def _merged(keyed: DataFrame) -> DataFrame:
 
 
 def _rare(mixed: DataFrame, sets: DataFrame) -> DataFrame:
-    """(key, id, weight, n): each bucket of ``mixed`` (key, id, weight) again for every rare shingle of its documents.
+    """(key, id, weight, n, ahead): each bucket of ``mixed`` (key, id, weight) again for every rare shingle of its documents.
 
     With n shingles, n - ceil(0.75 n) + 1 of the rarest suffice: similar sets share at least 0.75 n of them.
+    ``ahead`` counts the document's shingles from this one on, in the order from rare to frequent.
     """
     rows = materialize(mixed.select("id").distinct().join(sets, "id").select(
         "id", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")), "mixed-shingles")
@@ -168,17 +169,22 @@ def _rare(mixed: DataFrame, sets: DataFrame) -> DataFrame:
     # shingles that only one document holds come first in the order, and match nothing
     need = F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1 - (F.col("n") - F.col("shared"))
     rare = ranked.filter(need > 0).select(
-        "id", "n", F.explode(F.transform(F.slice("order", F.lit(1), need.cast("int")), lambda o: o["shingle"])).alias("shingle"))
+        "id", "n", "shared", F.posexplode(F.transform(F.slice("order", F.lit(1), need.cast("int")), lambda o: o["shingle"])).alias("at", "shingle"))
     both = mixed.select("key", "id", "weight").join(rare, "id").select(
-        F.xxhash64("key", "shingle").alias("key"), "id", "weight", "n")
+        F.xxhash64("key", "shingle").alias("key"), "id", "weight", "n", (F.col("shared") - F.col("at")).alias("ahead"))
     return _merged(both)
 
 
 def _across(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) within a key whose groups differ and whose sizes n let them be similar enough."""
-    left = rows.select("key", F.col("id").alias("a"), F.col("grp").alias("ga"), F.col("n").alias("na"))
-    right = rows.select("key", F.col("id").alias("b"), F.col("grp").alias("gb"), F.col("n").alias("nb"))
-    fits = f"a < b and ga <> gb and na * {DEN} >= nb * {NUM} and nb * {DEN} >= na * {NUM}"
+    """Pairs (a, b) within a key whose groups differ and that can be similar enough by their sizes n and by ``ahead``.
+
+    At the rarest shingle that two sets share, all they share still lies ahead in both; so there, if they are similar,
+    the smaller ``ahead`` reaches the 0.75 / 1.75 of both sizes that they share.  Other keys of the pair may be passed over.
+    """
+    left = rows.select("key", F.col("id").alias("a"), F.col("grp").alias("ga"), F.col("n").alias("na"), F.col("ahead").alias("ha"))
+    right = rows.select("key", F.col("id").alias("b"), F.col("grp").alias("gb"), F.col("n").alias("nb"), F.col("ahead").alias("hb"))
+    fits = (f"a < b and ga <> gb and na * {DEN} >= nb * {NUM} and nb * {DEN} >= na * {NUM} "
+            f"and least(ha, hb) * {NUM + DEN} >= (na + nb) * {NUM}")
     return left.join(right, "key").filter(fits).select("a", "b").distinct()
 
 
