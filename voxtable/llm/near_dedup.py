@@ -180,12 +180,14 @@ def _across(rows: DataFrame) -> DataFrame:
 
     At the rarest shingle that two sets share, all they share still lies ahead in both; so there, if they are similar,
     the smaller ``ahead`` reaches the 0.75 / 1.75 of both sizes that they share.  Other keys of the pair may be passed over.
+    For the smaller of the two sets that is 1.5 / 1.75 of its own size at least.
     """
-    left = rows.select("key", F.col("id").alias("a"), F.col("grp").alias("ga"), F.col("n").alias("na"), F.col("ahead").alias("ha"))
-    right = rows.select("key", F.col("id").alias("b"), F.col("grp").alias("gb"), F.col("n").alias("nb"), F.col("ahead").alias("hb"))
-    fits = (f"a < b and ga <> gb and na * {DEN} >= nb * {NUM} and nb * {DEN} >= na * {NUM} "
+    short = rows.filter(F.col("ahead") * (NUM + DEN) >= F.col("n") * (2 * NUM)).select(
+        "key", F.col("id").alias("a"), F.col("grp").alias("ga"), F.col("n").alias("na"), F.col("ahead").alias("ha"))
+    other = rows.select("key", F.col("id").alias("b"), F.col("grp").alias("gb"), F.col("n").alias("nb"), F.col("ahead").alias("hb"))
+    fits = (f"(na < nb or na = nb and a < b) and ga <> gb and na * {DEN} >= nb * {NUM} "
             f"and least(ha, hb) * {NUM + DEN} >= (na + nb) * {NUM}")
-    return left.join(right, "key").filter(fits).select("a", "b").distinct()
+    return short.join(other, "key").filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 class _Groups:
