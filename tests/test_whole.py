@@ -29,3 +29,14 @@ def test_crops_are_found_behind_many_failing_anchors(spark):
 def test_long_text_keeps_its_end(spark):
     n = (1 << 20) + 5
     assert spark.range(1).select(F.length(_capital(F.expr(f"repeat('a', {n})")))).first()[0] == n
+
+
+def test_overlap_link_keeps_wide_labels_apart(spark):
+    """Labels beyond 32 bits: (0, 2^32 + 5) and (1, 5) are different objects, and only stacked ones are linked."""
+    from voxtable.operators.components import overlap_link
+
+    wide = (1 << 32) + 5
+    rows = [("f", 0, 0, 0, wide), ("f", 1, 9, 9, 5), ("f", 2, 9, 9, wide), ("f", 2, 0, 0, 7)]
+    px = spark.createDataFrame(rows, "fish_id string, z int, y int, x int, label long")
+    got = {(r.z, r.label): tuple(r.group) for r in overlap_link(px, 0.5).collect()}
+    assert got == {(0, wide): (0, wide), (1, 5): (1, 5), (2, wide): (1, 5), (2, 7): (2, 7)}

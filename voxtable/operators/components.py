@@ -170,11 +170,11 @@ def largest_component(found: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame
 def overlap_link(labels2d: DataFrame, pct: float, keys: Sequence[str] = KEYS) -> DataFrame:
     """Link per-slice objects of neighbouring slices when shared / smaller area >= pct.
 
-    Input: z, y, x, label (unique per slice). Output: z, label, group, where the
-    group is the packed (z, label) of its first member.
+    Input: z, y, x, label (unique per slice, any long). Output: z, label, group, where the
+    group is the struct (z, label) of its first member.
     """
     keys = list(keys)
-    node = (F.shiftleft(F.col("z").cast("long"), 32) + F.col("label").cast("long")).alias("node")
+    node = F.struct(F.col("z").cast("long").alias("z"), F.col("label").cast("long").alias("label")).alias("node")
     px = labels2d.select(*keys, *ZYX, "label", node)
     area = px.groupBy(*keys, "node").agg(F.count("*").alias("area"))
     below = px.select(*keys, (F.col("z") + 1).alias("z"), "y", "x", F.col("node").alias("a"))

@@ -206,5 +206,5 @@ def overlap_link(spark, sf):
     flat = CC.components(occupied(spark, sf, 0.0), conn=8)
     px = flat.select("fish_id", *ZYX, F.expr("CAST(component % 4398046511104 AS LONG)").alias("label"))
     objs = CC.overlap_link(px.withColumn("label", F.col("label").cast("long")), 0.5)
-    first = (F.shiftright("group", 32) * 4398046511104 + F.col("group").bitwiseAND((1 << 32) - 1)).alias("first_voxel")
+    first = (F.col("group.z") * 4398046511104 + F.col("group.label")).alias("first_voxel")
     return objs.groupBy("fish_id", first).agg(F.count("*").alias("n_slices"))
