@@ -9,6 +9,28 @@ from pyspark.sql import DataFrame, functions as F
 PARTS = 16  # slices a sample's rows are dealt into
 
 
+def by_site(sites: DataFrame) -> DataFrame:
+    """A mask or lattice as a join's second side, sorted and merged, never sent to the driver.
+
+    Spark takes a table that ``explode`` made for the size of the few rows it was made
+    from, and a regular mask for its well-packed file, and would broadcast either.
+    """
+    return sites.hint("merge")
+
+
+def spread_by(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Rows dealt by ``cols`` over all shuffle partitions, for work that makes them many times larger.
+
+    Without a number Spark would merge partitions by the few bytes they hold now.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
+
+
+def with_sample(rows: DataFrame, per_sample: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Outlines of a sample, at most one per slice, with the sample's row; the outlines are neither sorted nor broadcast."""
+    return rows.join(per_sample.hint("shuffle_hash"), list(keys))
+
+
 def spread_join(
     rows: DataFrame, per_sample: DataFrame, keys: Sequence[str], by: Sequence[str], how: str = "inner", parts: int = PARTS
 ) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..joins import spread_join
+from ..joins import by_site, spread_join
 from ..numbering import quantiles
 from ..schemas import KEYS, ZYX
 from ..session import materialize
@@ -63,16 +63,16 @@ def binarize(df: DataFrame, condition: Column | str, keys: Sequence[str] = KEYS)
 
 
 def apply_mask(voxels: DataFrame, mask: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    return voxels.join(mask, [*keys, *ZYX], "left_semi")
+    return voxels.join(by_site(mask), [*keys, *ZYX], "left_semi")
 
 
 def invert_mask(rows: DataFrame, mask: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Rows outside the mask: give voxels for skin-only, the lattice for the skin mask."""
-    return rows.join(mask, [*keys, *ZYX], "left_anti")
+    return rows.join(by_site(mask), [*keys, *ZYX], "left_anti")
 
 
 def mask_and(a: DataFrame, b: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    return a.select(*keys, *ZYX).join(b, [*keys, *ZYX], "left_semi")
+    return a.select(*keys, *ZYX).join(by_site(b), [*keys, *ZYX], "left_semi")
 
 
 def mask_or(a: DataFrame, b: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -80,7 +80,7 @@ def mask_or(a: DataFrame, b: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame
 
 
 def mask_andnot(a: DataFrame, b: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    return a.select(*keys, *ZYX).join(b, [*keys, *ZYX], "left_anti")
+    return a.select(*keys, *ZYX).join(by_site(b), [*keys, *ZYX], "left_anti")
 
 
 def background_mode(voxels: DataFrame, mask: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -129,7 +129,7 @@ def _threshold_of(mode: DataFrame, voxels: DataFrame, volumes: DataFrame, tol: f
 def remove_outside(voxels, mask, volumes, tol: float, keys: Sequence[str] = KEYS) -> DataFrame:
     """Drop dim voxels outside the mask; everything inside stays."""
     keys = list(keys)
-    flagged = voxels.join(mask.select(*keys, *ZYX).withColumn("_in", F.lit(True)), [*keys, *ZYX], "left")
+    flagged = voxels.join(by_site(mask.select(*keys, *ZYX).withColumn("_in", F.lit(True))), [*keys, *ZYX], "left")
     flagged = materialize(flagged, "flagged")
     mode = _mode_of(flagged.filter("_in"), mask, keys)
     cut = _threshold_of(mode, flagged, volumes, tol, keys).select(*keys, "thresh")
@@ -155,7 +155,7 @@ def fill_outside_random(voxels, mask, volumes, seed: int = 0, keys: Sequence[str
     """Replace every site outside the mask by noise of mode +- 0.1 % of the data range."""
     keys = list(keys)
     base = background_threshold(voxels, mask, volumes, 0.0, keys).select(*keys, "mode", "data_range")
-    outside = spread_join(lattice(volumes, keys).join(mask, [*keys, *ZYX], "left_anti"), base, keys, ZYX)
+    outside = spread_join(invert_mask(lattice(volumes, keys), mask, keys), base, keys, ZYX)
     half = F.col("data_range") * 0.001
     noise = F.col("mode") - half + unit_hash(seed, *keys, *ZYX) * half * 2
     noisy = outside.select(*keys, *ZYX, noise.alias("value"), F.lit(False).alias("inside"))
@@ -166,7 +166,7 @@ def fill_outside_random(voxels, mask, volumes, seed: int = 0, keys: Sequence[str
 def mask_scores(pred: DataFrame, gt: DataFrame, keys: Sequence[str] = KEYS, by: Sequence[str] = ()) -> DataFrame:
     """dice, iou, precision, recall (x100) per sample; ``by`` adds sweep columns present in ``pred`` only."""
     scope = [*keys, *by]
-    inter = pred.join(gt, [*keys, *ZYX], "left_semi").groupBy(*scope).agg(F.count("*").alias("tp"))
+    inter = apply_mask(pred, gt, keys).groupBy(*scope).agg(F.count("*").alias("tp"))
     p = pred.groupBy(*scope).agg(F.count("*").alias("pred_vox"))
     g = gt.groupBy(*keys).agg(F.count("*").alias("gt_vox"))
     if by:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..bricks import stencil
-from ..joins import spread_join
+from ..joins import by_site, spread_join
 from ..schemas import KEYS, ZYX, field_types
 from .components import components, half_offsets, touching_groups
 
@@ -146,7 +146,7 @@ def fill_holes3d(mask: DataFrame, keys: Sequence[str] = KEYS, **kw) -> DataFrame
     empty = empty.withColumn("y", F.explode(F.expr("sequence(loy, hiy + 2)"))).repartition(*keys, "z", "y")
     empty = empty.withColumn("x", F.explode(F.expr("sequence(lox, hix + 2)")))
     solid = mask.select(*keys, *[(F.col(c) + 1).alias(c) for c in ZYX])
-    empty = empty.select(*keys, *ZYX).join(solid, [*keys, *ZYX], "left_anti")
+    empty = empty.select(*keys, *ZYX).join(by_site(solid), [*keys, *ZYX], "left_anti")
     found = components(empty, keys, 6, **kw)
     # The outside piece holds the lowest corner of the rim.
     outside = found.groupBy(*keys).agg(F.min("component").alias("outside"))
@@ -219,6 +219,6 @@ def thin_weights(mask: DataFrame, volumes: DataFrame, radius: int, boost: float,
 
     # Erosion by max-pooling treats the frame edge as neutral, so edges repeat outward.
     thick = stencil(mask, volumes, survive, (0, n, n), "edge", keys, **kw).withColumn("_thick", F.lit(True))
-    return mask.select(*keys, *ZYX).join(thick, [*keys, *ZYX], "left").select(
+    return mask.select(*keys, *ZYX).join(by_site(thick), [*keys, *ZYX], "left").select(
         *keys, *ZYX, F.when(F.col("_thick"), F.lit(1.0)).otherwise(F.lit(1.0 + boost)).alias("weight")
     )

@@ -507,7 +507,7 @@ def best_background(voxels: DataFrame, mask: DataFrame, volumes: DataFrame, best
     for e in (int(r[0]) for r in best.select("p2").distinct().collect()):  # one row per value of the swept grid
         if e > 0:
             mine = kept.filter(F.col("p2") == e).drop("p2")
-            out = out.unionByName(mine.join(erode2d(mine, volumes, e, keys), [*keys, *ZYX], "left_semi"))
+            out = out.unionByName(apply_mask(mine, erode2d(mine, volumes, e, keys), keys))
     return out
 
 

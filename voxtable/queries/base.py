@@ -92,7 +92,8 @@ def occ_sql(name: str, cut: float) -> str:
 def brain(spark: SparkSession, sf: str) -> DataFrame:
     """A box mask on the full lattice, so absent voxels inside it count."""
     v = vol(spark, sf).withColumn("z", F.explode(F.expr("sequence(2, 27)")))
-    v = v.withColumn("y", F.explode(F.expr("sequence(0, ny - 1)"))).withColumn("x", F.explode(F.expr("sequence(4, 19)")))
+    v = v.withColumn("y", F.explode(F.expr("sequence(0, ny - 1)"))).repartition("fish_id", "z", "y")
+    v = v.withColumn("x", F.explode(F.expr("sequence(4, 19)")))
     return v.select("fish_id", *ZYX)
 
 

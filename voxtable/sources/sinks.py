@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..joins import by_site
 from ..operators.masks import whole_quantiles
 from ..operators.objects import cell_summary
 from ..schemas import KEYS, ZYX
@@ -104,7 +105,7 @@ def training_samples(
             continue
         own = df.select(*keys).distinct().withColumn(f"has_{name}", F.lit(True))
         given = df.select(*keys, *ZYX, F.col("value").alias("_given"))
-        rows = rows.join(given, [*keys, *ZYX], "left").join(own, keys, "left")
+        rows = rows.join(by_site(given), [*keys, *ZYX], "left").join(own, keys, "left")
         rows = rows.withColumn(name, F.when(F.col(f"has_{name}"), F.coalesce("_given", F.lit(0.0))).otherwise(cut))
         rows = rows.drop("_given", f"has_{name}")
         attrs = attrs.join(own, keys, "left").na.fill(False, [f"has_{name}"])
