@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..joins import spread_by, with_sample
 from ..schemas import KEYS
 
 N_POINTS = 96  # fixed value: points per resampled outline
@@ -31,9 +32,12 @@ def arc_length(polygons: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 
 def resample_outline(polygons: DataFrame, n: int = N_POINTS, keys: Sequence[str] = KEYS) -> DataFrame:
-    """n points at equal arc steps, the first point kept. Outlines under 3 points are dropped."""
+    """n points at equal arc steps, the first point kept. Outlines under 3 points are dropped.
+
+    Few points become many here, so rows go to their sample's task before and not after.
+    """
     keys = list(keys)
-    sides = arc_length(polygons.filter(F.size("pts") >= 3), keys)
+    sides = arc_length(spread_by(polygons.filter(F.size("pts") >= 3), keys), keys)
     order = W.partitionBy(*keys, "z").orderBy("i")
     sides = sides.withColumn("_cum", F.sum("len").over(order.rowsBetween(W.unboundedPreceding, 0)))
     sides = sides.withColumn("_from", F.coalesce(F.lag("_cum").over(order), F.lit(0.0)))
@@ -64,10 +68,11 @@ def shoelace(pts: str = "pts") -> Column:
 def align_direction(polygons: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Reverse outlines that turn the other way than the sample's first key slice."""
     keys = list(keys)
+    order = W.partitionBy(*keys).orderBy("z")  # at most one row per slice of a sample
     p = polygons.withColumn("_cw", shoelace() < 0)
-    ref = p.groupBy(*keys).agg(F.min_by("_cw", "z").alias("_ref"))
+    p = p.withColumn("_ref", F.first("_cw").over(order.rowsBetween(W.unboundedPreceding, 0)))
     pts = F.when(F.col("_cw") == F.col("_ref"), F.col("pts")).otherwise(F.reverse("pts"))
-    return p.join(ref, keys).select(*keys, "z", pts.alias("pts"), (F.col("_cw") != F.col("_ref")).alias("reversed"))
+    return p.select(*keys, "z", pts.alias("pts"), (F.col("_cw") != F.col("_ref")).alias("reversed"))
 
 
 def lerp_outline(p1: str, p2: str, alpha: Column) -> Column:
@@ -107,26 +112,28 @@ def interpolate_outlines(
     every later slice that has no outline of its own.
     """
     keys = list(keys)
-    outlines = align_direction(resample_outline(polygons, n, keys), keys).select(*keys, "z", "pts")
-    if propagate_from is not None:
-        marked = outlines.filter(F.col("z") == propagate_from).select(*keys, F.lit(True).alias("_prop")).distinct()
-        flagged = outlines.join(marked, keys, "left")
-        usable = flagged.filter(F.col("_prop").isNull() | (F.col("z") <= propagate_from))
-    else:
-        usable = outlines
-    span = bracket_slices(usable, volumes, keys)
-    low = outlines.select(*keys, F.col("z").alias("z_low"), F.col("pts").alias("_p1"))
-    high = outlines.select(*keys, F.col("z").alias("z_high"), F.col("pts").alias("_p2"))
-    own = outlines.select(*keys, "z", F.col("pts").alias("_own"))
-    s = span.join(low, [*keys, "z_low"], "left").join(high, [*keys, "z_high"], "left").join(own, [*keys, "z"], "left")
-    alpha = (F.col("z") - F.col("z_low")) / (F.col("z_high") - F.col("z_low"))
+    order = W.partitionBy(*keys).orderBy("z")  # at most one row per slice of a sample
+    k = align_direction(resample_outline(polygons, n, keys), keys).select(*keys, "z", "pts")
+    # The outline that stands for later slices, known from its slice on.
+    stay = F.when(F.col("z") == propagate_from, F.col("pts")) if propagate_from is not None else F.when(F.lit(False), F.col("pts"))
+    k = k.select(
+        "*", F.lead("z").over(order).alias("_next"), F.lead("pts").over(order).alias("_p2"),
+        (F.row_number().over(order) == 1).alias("_first"),
+        F.last(stay, True).over(order.rowsBetween(W.unboundedPreceding, 0)).alias("_stay"),
+    )
+    # Each outline lists its own slice and those up to the next one; the first also those before it.
+    k = with_sample(k, volumes.select(*keys, "nz").distinct(), keys)
+    first = F.when(F.col("_first"), F.lit(0)).otherwise(F.col("z"))
+    last = F.greatest(F.coalesce(F.col("_next"), F.col("nz")) - 1, F.col("z"))
+    s = k.withColumn("_s", F.explode(F.sequence(first, last))).withColumnsRenamed({"z": "_key", "_s": "z"})
+    alpha = (F.col("z") - F.col("_key")) / (F.col("_next") - F.col("_key"))
     pts = (
-        F.when(F.col("_own").isNotNull(), F.col("_own"))
-        .when(F.col("_p1").isNull(), F.col("_p2"))
-        .when(F.col("_p2").isNull() | (F.col("z_low") == F.col("z_high")), F.col("_p1"))
-        .otherwise(lerp_outline("_p1", "_p2", alpha))
+        F.when(F.col("z") <= F.col("_key"), F.col("pts"))
+        .when(F.col("_stay").isNotNull(), F.col("_stay"))
+        .when(F.col("_next").isNull(), F.col("pts"))
+        .otherwise(lerp_outline("pts", "_p2", alpha))
     )
-    return s.select(*keys, "z", pts.alias("pts"))
+    return s.filter("z < nz").select(*keys, "z", pts.alias("pts"))
 
 
 def rasterize(polygons: DataFrame, volumes: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -135,7 +142,7 @@ def rasterize(polygons: DataFrame, volumes: DataFrame, keys: Sequence[str] = KEY
     p = F.col("pts")
     after = F.concat(F.slice(p, F.lit(2), F.size(p) - 1), F.slice(p, 1, 1))
     sides = F.arrays_zip(p.alias("a"), after.alias("b"))
-    e = polygons.join(volumes.select(*keys, "ny", "nx").distinct(), keys).select(
+    e = with_sample(polygons, volumes.select(*keys, "ny", "nx").distinct(), keys).select(
         *keys, "z", "ny", "nx", F.explode(sides).alias("_s")
     )
     e = e.select(
