@@ -3,7 +3,9 @@
 import pytest
 from pyspark.sql import Row
 
+from voxtable.bricks import as_words, from_words
 from voxtable.operators import outlines as O
+from voxtable.operators.stencils import erode2d
 from voxtable.queries import QUERIES
 
 
@@ -41,3 +43,17 @@ def test_outline_that_stands_for_later_slices(spark):
     assert radius(None) == [1, 1, *third, 2, 2.25, 2.5, 2.75, 3, 3]
     assert radius(4) == [1, 1, *third, 2, 2, 2, 2, 3, 2]
     assert radius(5) == radius(None)
+
+
+@pytest.mark.parametrize("brick", [(2, 3, 5), (4, 8, 33), (32, 128, 128)])
+def test_masks_travel_as_words(spark, brick):
+    """A full line of 70 sites is three rows on its way to the bricks; the result does not depend on the cut."""
+    dims = spark.createDataFrame([("a", 3, 4, 70)], "fish_id string, nz int, ny int, nx int")
+    sites = [("a", z, y, x) for z in range(3) for y in range(4) for x in range(70) if (z, y, x) != (1, 2, 40)]
+    mask = spark.createDataFrame(sites, "fish_id string, z int, y int, x int")
+    assert as_words(mask, ["fish_id"]).count() == 3 * 4 * 3
+    assert sorted(map(tuple, from_words(as_words(mask, ["fish_id"]), ["fish_id"]).collect())) == sites
+    full = set(sites)
+    steps = [(0, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
+    want = sorted(s for s in sites if all(("a", s[1] + d[0], s[2] + d[1], s[3] + d[2]) in full for d in steps))
+    assert sorted(map(tuple, erode2d(mask, dims, 1, ["fish_id"], brick=brick).collect())) == want

@@ -140,6 +140,7 @@ def remove_global(voxels, mask, volumes, tol: float, erosion: int = 0, keys: Seq
     """Drop every voxel at or below the threshold, then erode the survivors per slice."""
     keys = list(keys)
     cut = background_threshold(voxels, mask, volumes, tol, keys).select(*keys, "thresh")
+    cut = materialize(cut, "cut")  # a known size, so that it is the side that travels
     kept = spread_join(voxels, cut, keys, ZYX).filter("value > thresh").drop("thresh")
     if erosion <= 0:
         return kept
@@ -154,7 +155,7 @@ def unit_hash(seed: int, *cols) -> Column:
 def fill_outside_random(voxels, mask, volumes, seed: int = 0, keys: Sequence[str] = KEYS) -> DataFrame:
     """Replace every site outside the mask by noise of mode +- 0.1 % of the data range."""
     keys = list(keys)
-    base = background_threshold(voxels, mask, volumes, 0.0, keys).select(*keys, "mode", "data_range")
+    base = materialize(background_threshold(voxels, mask, volumes, 0.0, keys).select(*keys, "mode", "data_range"), "base")
     outside = spread_join(invert_mask(lattice(volumes, keys), mask, keys), base, keys, ZYX)
     half = F.col("data_range") * 0.001
     noise = F.col("mode") - half + unit_hash(seed, *keys, *ZYX) * half * 2
