@@ -57,3 +57,25 @@ def test_masks_travel_as_words(spark, brick):
     steps = [(0, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
     want = sorted(s for s in sites if all(("a", s[1] + d[0], s[2] + d[1], s[3] + d[2]) in full for d in steps))
     assert sorted(map(tuple, erode2d(mask, dims, 1, ["fish_id"], brick=brick).collect())) == want
+
+
+def test_neighbour_search_sends_no_point_to_27_cells(spark):
+    """A long thin sample with a crowd: the same neighbours as by brute force, and few rows shuffled."""
+    import numpy as np
+
+    from voxtable.operators import pairs as P
+
+    rng = np.random.default_rng(3)
+    at = np.concatenate((rng.uniform(0, 1, (600, 3)) * (4, 300, 4), rng.uniform(0, 1, (80, 3)) + (0, 150, 0), [(0.0, 900.0, 0.0)]))
+    rows = [("a", i, *map(float, p)) for i, p in enumerate(at)] + [("b", 0, 1.0, 1.0, 1.0), ("c", 0, 1.0, 1.0, 1.0), ("c", 1, 1.0, 9.0, 1.0)]
+    points = spark.createDataFrame(rows, "fish_id string, label int, z double, y double, x double")
+    got = {(r["fish_id"], r["label"], r["rank"]): (r["nn_label"], round(r["dist"], 9)) for r in P.knn(points, 2, ["fish_id"]).collect()}
+    d = np.sqrt(((at[:, None] - at[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(d, np.inf)
+    order = np.argsort(d, axis=1, kind="stable")[:, :2]
+    want = {("a", i, r + 1): (int(j), round(float(d[i, j]), 9)) for i, two in enumerate(order) for r, j in enumerate(two)}
+    assert got == want | {("c", 0, 1): (1, 8.0), ("c", 1, 1): (0, 8.0)}
+
+    cells = points.select("*", *[P.F.floor(c).alias(f"h{c}") for c in "zyx"])
+    assert P._in_blocks(cells, "h", True).count() < 8 * len(rows)
+    assert P._in_blocks(cells, "h", False).count() == len(rows)

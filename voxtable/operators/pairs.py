@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..joins import spread_join
+from ..joins import by_site, spread_join
 from ..schemas import KEYS, ZYX
 from ..session import is_empty, materialize
 from .objects import object_info
@@ -15,7 +15,9 @@ from .stencils import contact, surface
 CELL = 32  # voxels per side of the lookup grid
 GAP_CELL = 8  # voxels per side of the pruning cells of the gap search
 CROWD = 64  # points a neighbour-search cell may hold at the start
+COMPANY = 6  # points in the cell of the mean point at the start
 HALVINGS = 6  # how often the starting cell width may be halved
+BLOCK = 3  # cells per side of the block in which a neighbour search meets
 
 
 def joint_bbox(a: str = "a_", b: str = "b_") -> list[Column]:
@@ -62,28 +64,41 @@ def _dist2(a: str, b: str) -> Column:
     return total
 
 
+def _in_blocks(df: DataFrame, cell: str, wide: bool) -> DataFrame:
+    """Rows with the block (gz, gy, gx) of their cell, or repeated for each block that the cells around theirs lie in."""
+    for c in ZYX:
+        h = F.col(f"{cell}{c}")
+        low, high = F.floor((h - 1) / BLOCK), F.floor((h + 1) / BLOCK)
+        df = df.withColumn(f"g{c}", F.explode(F.sequence(low, high)) if wide else F.floor(h / BLOCK))
+    return df
+
+
 def knn(points: DataFrame, k: int = 2, keys: Sequence[str] = KEYS) -> DataFrame:
     """k nearest other points per point: label, rank, nn_label, dist. Ties go to the lower label.
 
     ``points``: label, z, y, x (doubles). Each round looks in the 27 grid cells
     around a point; a neighbour list is final once its k-th distance fits in one
     cell width. Points left over look again with cells twice as wide, until a
-    cell spans the sample.
+    cell spans the sample. Points meet in blocks of BLOCK cells a side. At first
+    each block also gets the cells around it, so all candidates of a point meet in
+    one task and only its k nearest leave it; later the few points left over go to
+    the blocks they look into.
     """
     keys = list(keys)
     pts = points.select(*keys, "label", *[F.col(c).cast("double").alias(c) for c in ZYX])
     spans = [(F.max(c) - F.min(c)) for c in ZYX]
     stat = pts.groupBy(*keys).agg(F.count("*").alias("_n"), F.greatest(*spans).alias("_span"))
     # About two points per cell if they fill their box evenly. Where points crowd, the
-    # width is halved until no cell holds more than CROWD of them.
+    # width is halved until no cell holds more than CROWD of them and the mean point's holds COMPANY at most.
     even = F.greatest(F.col("_span") / F.greatest(F.cbrt(F.col("_n") / 2.0), F.lit(1.0)), F.lit(1e-6))
     pts = spread_join(pts, stat.withColumn("_even", even), keys, ["label"])
     level = pts.withColumn("_l", F.explode(F.expr(f"sequence(0, {HALVINGS})"))).withColumn("_w", F.col("_even") / F.pow(F.lit(2.0), "_l"))
     full = level.groupBy(*keys, "_l", "_w", *[F.floor(F.col(c) / F.col("_w")).alias(f"h{c}") for c in ZYX]).count()
-    full = full.groupBy(*keys, "_l", "_w").agg(F.max("count").alias("_most"))
-    width = full.groupBy(*keys).agg(
-        F.coalesce(F.max(F.when(F.col("_most") <= CROWD, F.col("_w"))), F.min("_w")).alias("_start")
+    full = full.groupBy(*keys, "_l", "_w").agg(
+        F.max("count").alias("_most"), (F.sum(F.col("count") * F.col("count")) / F.sum("count")).alias("_mean")
     )
+    loose = (F.col("_most") <= CROWD) & (F.col("_mean") <= COMPANY)
+    width = full.groupBy(*keys).agg(F.coalesce(F.max(F.when(loose, F.col("_w"))), F.min("_w")).alias("_start"))
     pts = materialize(spread_join(pts.drop("_even"), width, keys, ["label"]), "points")
     start = F.col("_start")
     open_pts, done, factor = pts, None, 1.0
@@ -92,17 +107,18 @@ def knn(points: DataFrame, k: int = 2, keys: Sequence[str] = KEYS) -> DataFrame:
         cells = [F.floor(F.col(c) / w) for c in ZYX]
         around = open_pts.filter("_n > 1").select(
             *keys, F.col("label").alias("a_label"), *[F.col(c).alias(f"a_{c}") for c in ZYX], "_n", "_span", w.alias("_w"), *[
-                v.alias(f"_h{c}") for v, c in zip(cells, ZYX)
+                v.alias(f"a_h{c}") for v, c in zip(cells, ZYX)
             ]
         )
-        for c in ZYX:
-            around = around.withColumn(f"g{c}", F.explode(F.expr(f"sequence(_h{c} - 1, _h{c} + 1)")))
         others = pts.select(
             *keys, F.col("label").alias("b_label"), *[F.col(c).alias(f"b_{c}") for c in ZYX], *[
-                v.alias(f"g{c}") for v, c in zip(cells, ZYX)
+                v.alias(f"b_h{c}") for v, c in zip(cells, ZYX)
             ]
         )
-        near = around.join(others, [*keys, "gz", "gy", "gx"]).filter("a_label <> b_label")
+        around, others = _in_blocks(around, "a_h", done is not None), _in_blocks(others, "b_h", done is None)
+        near = around.join(by_site(others), [*keys, "gz", "gy", "gx"]).filter("a_label <> b_label")
+        for c in ZYX:
+            near = near.filter(F.abs(F.col(f"a_h{c}") - F.col(f"b_h{c}")) <= 1)
         near = near.withColumn("dist", F.sqrt(_dist2("a_", "b_")))
         rank = F.row_number().over(W.partitionBy(*keys, "a_label").orderBy("dist", "b_label"))
         near = near.withColumn("rank", rank).filter(F.col("rank") <= k)
