@@ -79,3 +79,22 @@ def test_neighbour_search_sends_no_point_to_27_cells(spark):
     cells = points.select("*", *[P.F.floor(c).alias(f"h{c}") for c in "zyx"])
     assert P._in_blocks(cells, "h", True).count() < 8 * len(rows)
     assert P._in_blocks(cells, "h", False).count() == len(rows)
+
+
+def test_branch_links_send_no_voxel_to_26_neighbours(spark):
+    import numpy as np
+
+    from voxtable.operators import shape as SH
+
+    rng = np.random.default_rng(5)
+    at = sorted({tuple(map(int, p)) for p in rng.integers(0, 18, (700, 3))})
+    rows = [("a", 1 + (p[2] > 9), *p) for p in at]
+    voxels = spark.createDataFrame(rows, "fish_id string, label int, z int, y int, x int")
+    assert SH._meeting(voxels, ["fish_id", "label"])[1].count() < 3 * len(rows)
+
+    near = {(r[2:], q[2:]) for r in rows for q in rows if r != q and r[1] == q[1] and max(abs(a - b) for a, b in zip(r[2:], q[2:])) <= 1}
+    degree = {p: sum(1 for a, _ in near if a == p) for p, _ in near}
+    want = {(a, b, degree[b] > 2) for a, b in near if degree[a] <= 2}
+    chain, links = SH.branch_voxels(voxels, ["fish_id"])
+    assert {(r["z"], r["y"], r["x"]): r["degree"] for r in chain.collect()} == {p: n for p, n in degree.items() if n <= 2}
+    assert {((r["z_a"], r["y_a"], r["x_a"]), (r["z"], r["y"], r["x"]), r["to_junction"]) for r in links.collect()} == want
