@@ -98,3 +98,13 @@ def test_branch_links_send_no_voxel_to_26_neighbours(spark):
     chain, links = SH.branch_voxels(voxels, ["fish_id"])
     assert {(r["z"], r["y"], r["x"]): r["degree"] for r in chain.collect()} == {p: n for p, n in degree.items() if n <= 2}
     assert {((r["z_a"], r["y_a"], r["x_a"]), (r["z"], r["y"], r["x"]), r["to_junction"]) for r in links.collect()} == want
+
+
+def test_value_counts_stay_where_they_are(spark, sf, monkeypatch):
+    """The ends of the value range are written first, so that Spark knows them for the small side."""
+    from voxtable.operators import masks as M
+
+    tags, write = [], M.materialize
+    monkeypatch.setattr(M, "materialize", lambda df, tag="stage": tags.append(tag) or write(df, tag))
+    plan = final_plan(QUERIES["background_mode"](spark, sf)).split("== Initial Plan ==")[0]
+    assert "BuildLeft" not in plan and tags == ["values", "ends"]

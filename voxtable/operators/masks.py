@@ -107,6 +107,7 @@ def _mode_of(inside: DataFrame, mask: DataFrame, keys: Sequence[str]) -> DataFra
         F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
         F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"),
     )
+    ends = materialize(ends, "ends")  # a known size, so that it is the side that travels
     cell = F.least(F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * N_BINS), F.lit(N_BINS - 1))
     bins = spread_join(hist, ends, keys, ["value"]).groupBy(*keys, "lo", "hi", cell.alias("bin")).agg(F.sum("count").alias("n"))
     best = bins.groupBy(*keys, "lo", "hi").agg(F.max_by("bin", F.struct("n", -F.col("bin"))).alias("bin"))
