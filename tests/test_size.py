@@ -1,5 +1,9 @@
 """Plans that must hold at any size: what explode makes large is never sent to the driver."""
 
+import time
+
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import Row
 
@@ -14,6 +18,12 @@ def final_plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_touching_pairs_are_not_broadcast(make):
+    from voxtable.operators.stencils import face_pairs
+
+    assert "BroadcastHashJoin" not in final_plan(face_pairs(make({"f": np.arange(1, 9).reshape(2, 2, 2)})))
+
+
 @pytest.mark.parametrize("name", ["apply_mask", "invert_mask", "skin_mask", "mask_and"])
 def test_masks_are_not_broadcast(spark, sf, name):
     assert "BroadcastHashJoin" not in final_plan(QUERIES[name](spark, sf))
@@ -108,3 +118,22 @@ def test_value_counts_stay_where_they_are(spark, sf, monkeypatch):
     monkeypatch.setattr(M, "materialize", lambda df, tag="stage": tags.append(tag) or write(df, tag))
     plan = final_plan(QUERIES["background_mode"](spark, sf)).split("== Initial Plan ==")[0]
     assert "BuildLeft" not in plan and tags == ["values", "ends"]
+
+
+def test_safe_replay_looks_near_a_fragment_only():
+    """The work of a group grows with its objects: a visit looks at the boxes around it, a merge at its neighbours' sets."""
+    from voxtable.operators import merging as MG
+
+    n = 30_000
+    y = np.arange(n) * 6
+    objs = pd.DataFrame({"label": np.arange(1, n + 1), "volume_vox": 1 + np.arange(n) % 7, "cz": 0.0, "cy": y + 0.0, "cx": 0.0,
+                         "z0": 0, "y0": y, "x0": 0, "z1": 1, "y1": y + 1, "x1": 1, "margin": 8.0})
+    near = {(i, i + 1) for i in range(1, n)}
+    ring = list(range(1, n)), list(range(2, n + 1))
+    touch = MG._Touch(ring[0] + ring[1], ring[1] + ring[0], list(range(2 * n - 2)))
+    start = time.perf_counter()
+    out = dict(MG._replay_safe(objs, near, touch, 1.0, 1, 7))
+    assert time.perf_counter() - start < 15  # 30,000 objects; each visit of all of them took minutes
+    assert len(out) == n and len(set(out.values())) < n
+    volume = objs.groupby(objs["label"].map(out))["volume_vox"].sum()
+    assert volume.sum() == objs["volume_vox"].sum() and (volume >= 7).all()

@@ -9,6 +9,8 @@ group is replayed in order inside a task.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import product
+from math import prod, sqrt
 
 import numpy as np
 import pandas as pd
@@ -35,24 +37,91 @@ def touched(labels: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 
 class _Touch:
-    """Touched-voxel sets between live objects, merged as objects merge."""
+    """Touched-voxel sets between live objects, merged as objects merge; a merge visits the two objects' neighbours only."""
 
     def __init__(self, source, target, voxel):
         self.sets: dict[int, dict[int, set]] = {}
+        self.into: dict[int, set] = {}  # target -> its sources
         for s, t, v in zip(source, target, voxel):
             self.sets.setdefault(s, {}).setdefault(t, set()).add(v)
+            self.into.setdefault(t, set()).add(s)
 
     def count(self, s, t) -> int:
         return len(self.sets.get(s, {}).get(t, ()))
 
     def merge(self, drop, keep) -> None:
         for t, vox in self.sets.pop(drop, {}).items():
+            self.into[t].discard(drop)
             if t != keep:
-                self.sets.setdefault(keep, {}).setdefault(t, set()).update(vox)
-        for s, out in self.sets.items():
-            vox = out.pop(drop, None)
-            if vox and s != keep:
-                out.setdefault(keep, set()).update(vox)
+                self._add(keep, t, vox)
+        for s in self.into.pop(drop, ()):
+            vox = self.sets[s].pop(drop)
+            if s != keep:
+                self._add(s, keep, vox)
+
+    def _add(self, s, t, vox) -> None:
+        self.sets.setdefault(s, {}).setdefault(t, set()).update(vox)
+        self.into.setdefault(t, set()).add(s)
+
+
+WIDE = 4096  # grid cells a box may cover before it is looked at on every visit
+
+
+class _Boxes:
+    """Grid of live boxes: what lies near a box, and whether anything there changed since a given step.
+
+    Cells are about as wide as a box with its margin, so a visit looks at the objects around it and not at the
+    whole group.
+    """
+
+    def __init__(self, lo: list, hi: list, margin: float):
+        n = len(lo)
+        self.lo, self.hi, self.margin = lo, hi, margin
+        self.width = [max(1.0, sum(h[c] - l[c] for l, h in zip(lo, hi)) / n + margin) for c in range(3)]
+        self.cells: dict[tuple, list] = {}
+        self.changed: dict[tuple, int] = {}
+        self.wide: dict[int, None] = {}
+        self.wide_changed = 0
+        self.spans: list = [None] * n
+        for i in range(n):
+            self._list(i)
+
+    def _span(self, i: int, m: float) -> list[range]:
+        lo, hi = self.lo[i], self.hi[i]
+        return [range(int((lo[c] - m) // w), int((hi[c] + m) // w) + 1) for c, w in enumerate(self.width)]
+
+    def _list(self, i: int) -> None:
+        old, new = self.spans[i], self._span(i, 0.0)
+        if i in self.wide or old == new:
+            return
+        if prod(map(len, new)) > WIDE:
+            self.wide[i] = None
+            return
+        self.spans[i] = new
+        for at in product(*new):
+            if old is None or not all(a in r for a, r in zip(at, old)):
+                self.cells.setdefault(at, []).append(i)
+
+    def near(self, i: int) -> set[int]:
+        """Objects that may lie within the margin, dead ones included."""
+        out = set(self.wide)
+        for at in product(*self._span(i, self.margin)):
+            out.update(self.cells.get(at, ()))
+        return out
+
+    def grown(self, i: int, step: int) -> None:
+        """Box ``i`` took in another one at ``step``."""
+        self._list(i)
+        if i in self.wide:
+            self.wide_changed = step
+        else:
+            for at in product(*self.spans[i]):
+                self.changed[at] = step
+
+    def quiet_since(self, i: int, step: int) -> bool:
+        if self.wide_changed > step:
+            return False
+        return all(self.changed.get(at, -1) <= step for at in product(*self._span(i, self.margin)))
 
 
 def _final_ids(parent: dict) -> list[tuple[int, int]]:
@@ -66,39 +135,57 @@ def _final_ids(parent: dict) -> list[tuple[int, int]]:
 
 
 def _replay_safe(objs: pd.DataFrame, near: set, touch: _Touch, max_gap, min_contact, gt_min, passes=200):
-    ids = objs["label"].to_numpy()
-    vol = objs["volume_vox"].to_numpy().astype("int64")
-    cen = objs[["cz", "cy", "cx"]].to_numpy()
-    lo = objs[["z0", "y0", "x0"]].to_numpy().astype("float64")
-    hi = objs[["z1", "y1", "x1"]].to_numpy().astype("float64")
+    ids = objs["label"].astype("int64").tolist()
+    vol = objs["volume_vox"].astype("int64").tolist()
+    cen = objs[["cz", "cy", "cx"]].to_numpy().tolist()
+    lo = objs[["z0", "y0", "x0"]].to_numpy().astype("float64").tolist()
+    hi = objs[["z1", "y1", "x1"]].to_numpy().astype("float64").tolist()
     margin = float(objs["margin"].iloc[0])
-    live = np.ones(len(ids), dtype=bool)
-    parent = {int(i): int(i) for i in ids}
+    live = [True] * len(ids)
+    parent = {i: i for i in ids}
     links: dict[int, set] = {}
     for a, b in near:
         links.setdefault(a, set()).add(b)
         links.setdefault(b, set()).add(a)
+    boxes = _Boxes(lo, hi, margin)
+    visited: list = [None] * len(ids)
+    step = 0
     for _ in range(passes):
-        start = np.nonzero(live & (vol < gt_min))[0]
+        start = [f for f in range(len(ids)) if live[f] and vol[f] < gt_min]
         merged = False
-        for f in start[np.argsort(vol[start], kind="stable")]:
-            if not live[f]:
+        for f in sorted(start, key=vol.__getitem__):
+            # A visit that changed nothing ends the same way until something near changes.
+            if not live[f] or (visited[f] is not None and boxes.quiet_since(f, visited[f])):
                 continue
-            close = ((hi[f] + margin >= lo) & (hi + margin >= lo[f])).all(axis=1)
-            able = np.nonzero(live & close & (vol > vol[f]))[0]
-            if not len(able):
+            visited[f] = step
+            mine, (cz, cy, cx) = vol[f], cen[f]
+            (lz, ly, lx), (hz, hy, hx) = [v - margin for v in lo[f]], [v + margin for v in hi[f]]
+            best, t = None, -1
+            for o in boxes.near(f):
+                if not live[o] or vol[o] <= mine:
+                    continue
+                a, b = lo[o], hi[o]
+                if hz < a[0] or hy < a[1] or hx < a[2] or b[0] < lz or b[1] < ly or b[2] < lx:
+                    continue
+                c = cen[o]
+                dz, dy, dx = c[0] - cz, c[1] - cy, c[2] - cx
+                away = sqrt(dz * dz + dy * dy + dx * dx)
+                if best is None or away < best or (away == best and o < t):
+                    best, t = away, o
+            if best is None:
                 continue
-            away = np.sqrt(((cen[able] - cen[f]) ** 2).sum(axis=1))
-            t = able[int(np.argmin(away))]
-            fid, tid = int(ids[f]), int(ids[t])
+            fid, tid = ids[f], ids[t]
             if tid not in links.get(fid, ()) and touch.count(fid, tid) < min_contact:
                 continue
             merged = True
+            step += 1
             live[f] = False
             parent[fid] = tid
-            cen[t] = (cen[t] * vol[t] + cen[f] * vol[f]) / (vol[t] + vol[f])
-            vol[t] += vol[f]
-            lo[t], hi[t] = np.minimum(lo[t], lo[f]), np.maximum(hi[t], hi[f])
+            both = vol[t] + mine
+            cen[t] = [(p * vol[t] + q * mine) / both for p, q in zip(cen[t], cen[f])]
+            vol[t] = both
+            lo[t], hi[t] = list(map(min, lo[t], lo[f])), list(map(max, hi[t], hi[f]))
+            boxes.grown(t, step)
             touch.merge(fid, tid)
             for o in links.pop(fid, set()):
                 links[o].discard(fid)

@@ -227,7 +227,8 @@ def gaps(labels: DataFrame, pairs: DataFrame, scales: DataFrame, keys: Sequence[
     )
     ca = cells.select(*keys, *[F.col(c).alias(f"a_{c}" if c != "label" else "a") for c in cells.columns if c not in keys])
     cb = cells.select(*keys, *[F.col(c).alias(f"b_{c}" if c != "label" else "b") for c in cells.columns if c not in keys])
-    duo = pairs.select(*keys, "a", "b").distinct().join(ca, [*keys, "a"]).join(cb, [*keys, "b"])
+    # Pairs and cells are packed well on disk and many times larger in memory: they are merged, not broadcast.
+    duo = pairs.select(*keys, "a", "b").distinct().join(by_site(ca), [*keys, "a"]).join(by_site(cb), [*keys, "b"])
     low, high = F.lit(0.0), F.lit(0.0)
     for c in ZYX:
         gap = F.greatest(F.col(f"b_lo{c}") - F.col(f"a_hi{c}"), F.col(f"a_lo{c}") - F.col(f"b_hi{c}"), F.lit(0.0))
@@ -238,10 +239,11 @@ def gaps(labels: DataFrame, pairs: DataFrame, scales: DataFrame, keys: Sequence[
     )
     duo = materialize(duo, "cells")
     best = duo.groupBy(*keys, "a", "b").agg(F.min("_high").alias("_best"))
-    open_ = duo.join(best, [*keys, "a", "b"]).filter(F.col("_low") <= F.col("_best") * (1 + 1e-9))
+    open_ = duo.join(by_site(best), [*keys, "a", "b"]).filter(F.col("_low") <= F.col("_best") * (1 + 1e-9))
     va = skin.select(*keys, F.col("label").alias("a"), *[F.col(c).alias(f"a_{c}") for c in (*ZYX, *home)])
     vb = skin.select(*keys, F.col("label").alias("b"), *[F.col(c).alias(f"b_{c}") for c in (*ZYX, *home)])
-    near = open_.join(va, [*keys, "a", *[f"a_{h}" for h in home]]).join(vb, [*keys, "b", *[f"b_{h}" for h in home]])
+    near = open_.join(by_site(va), [*keys, "a", *[f"a_{h}" for h in home]])
+    near = near.join(by_site(vb), [*keys, "b", *[f"b_{h}" for h in home]])
     return near.groupBy(*keys, "a", "b").agg(F.sqrt(F.min(_dist2("a_", "b_"))).alias("gap_um"))
 
 

@@ -165,7 +165,7 @@ def face_pairs(labels: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
         *keys, "label_a", *[F.col(c).alias(f"{c}_a") for c in ZYX], *[(F.col(c) + F.col(f"_o.{c}")).alias(c) for c in ZYX]
     )
     other = labels.select(*keys, *ZYX, F.col("label").alias("label_b"))
-    return ahead.join(other, [*keys, *ZYX]).filter("label_a <> label_b").withColumnsRenamed({c: f"{c}_b" for c in ZYX})
+    return ahead.join(by_site(other), [*keys, *ZYX]).filter("label_a <> label_b").withColumnsRenamed({c: f"{c}_b" for c in ZYX})
 
 
 def contact(labels: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
