@@ -137,3 +137,18 @@ def test_safe_replay_looks_near_a_fragment_only():
     assert len(out) == n and len(set(out.values())) < n
     volume = objs.groupby(objs["label"].map(out))["volume_vox"].sum()
     assert volume.sum() == objs["volume_vox"].sum() and (volume >= 7).all()
+
+
+def test_density_halves_crowded_cells(spark, monkeypatch):
+    """Cut pairs of crowded cells are halved, and lists are dealt in parts; counts stay those of all pairs."""
+    from voxtable.operators import pairs as P
+
+    monkeypatch.setattr(P, "FEW", 64)
+    monkeypatch.setattr(P, "LISTED", 4)
+    rng = np.random.default_rng(3)
+    p = np.round(np.vstack([rng.random((250, 3)) * (3, 40, 2), np.full((30, 3), 1.25), [[900.0, 0.0, 0.0]]]), 2)
+    df = spark.createDataFrame(pd.DataFrame({"fish_id": "f", "label": np.arange(len(p)), "z": p[:, 0], "y": p[:, 1], "x": p[:, 2]}))
+    got = {r["label"]: r["n_within"] for r in P.radius_count(df, 10.0).collect()}
+    d = p[:, None] - p[None]
+    want = (np.sqrt(d[..., 0] ** 2 + d[..., 1] ** 2 + d[..., 2] ** 2) <= 10.0).sum(axis=1) - 1
+    assert got == dict(enumerate(want.tolist()))

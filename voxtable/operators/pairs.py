@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..joins import by_site, spread_join
-from ..schemas import KEYS, ZYX
+from ..schemas import KEYS, ZYX, field_types
 from ..session import is_empty, materialize
 from .objects import object_info
 from .stencils import contact, surface
@@ -17,6 +19,9 @@ GAP_CELL = 8  # voxels per side of the pruning cells of the gap search
 CROWD = 64  # points a neighbour-search cell may hold at the start
 COMPANY = 6  # points in the cell of the mean point at the start
 HALVINGS = 6  # how often the starting cell width may be halved
+FEW = 1 << 16  # point pairs that a pair of density cells may stand for and still be compared point by point
+FINER = 4  # how often density cells may be halved
+LISTED = 256  # points of a density cell that travel as one list
 BLOCK = 3  # cells per side of the block in which a neighbour search meets
 
 
@@ -156,51 +161,99 @@ def nearest_two(points: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     )
 
 
+def _counter(radius: float, keys: Sequence[str], schema: T.StructType):
+    """For rows of two point lists: how many points of the second lie within ``radius`` of each point of the first."""
+
+    def run(parts):
+        for pdf in parts:
+            if pdf.empty:
+                continue
+            found, sides = [], [pdf[f"{p}_{c}"].to_numpy() for c in ZYX for p in "ab"]
+            for az, bz, ay, by, ax, bx in zip(*sides):
+                d2 = np.square(az[:, None] - bz)
+                d2 += np.square(ay[:, None] - by)
+                d2 += np.square(ax[:, None] - bx)
+                found.append((np.sqrt(d2) <= radius).sum(axis=1))
+            length = [len(n) for n in found]
+            out = {k: np.repeat(pdf[k].to_numpy(), length) for k in keys}
+            yield pd.DataFrame({**out, "label": np.concatenate(pdf["a_label"].to_numpy()), "_n": np.concatenate(found)})[schema.names]
+
+    return run
+
+
 def radius_count(points: DataFrame, radius: float = 100.0, keys: Sequence[str] = KEYS, split: int = 4) -> DataFrame:
     """Other points within ``radius`` (inclusive) of each point.
 
     Points are summarised in cells of radius/split. A pair of cells that lies
-    wholly inside the radius adds the cell's count; only cells cut by the
-    sphere are compared point by point.
+    wholly inside the radius adds the cell's count. A pair cut by the sphere is
+    halved as long as it stands for more than FEW point pairs, FINER times at
+    most; what is then still cut is compared point by point, on lists of at most about LISTED points a side.
     """
     keys = list(keys)
-    w = radius / split
-    pts = points.select(
-        *keys, "label", *[F.col(c).cast("double").alias(c) for c in ZYX], *[F.floor(F.col(c) / w).alias(f"h{c}") for c in ZYX]
-    )
     home = [f"h{c}" for c in ZYX]
-    cells = pts.groupBy(*keys, *home).agg(
-        F.count("*").alias("n"), *[f(c).alias(f"{p}{c}") for c in ZYX for f, p in ((F.min, "lo"), (F.max, "hi"))]
-    )
+    pts = points.select(*keys, "label", *[F.col(c).cast("double").alias(c) for c in ZYX])
+    box = [f"{p}{c}" for c in ZYX for p in ("lo", "hi")]
+
+    def at(width: float) -> DataFrame:
+        return pts.select("*", *[F.floor(F.col(c) / width).alias(h) for c, h in zip(ZYX, home)])
+
+    def cells_of(width: float) -> DataFrame:
+        return at(width).groupBy(*keys, *home).agg(
+            F.count("*").alias("n"), *[f(c).alias(f"{p}{c}") for c in ZYX for f, p in ((F.min, "lo"), (F.max, "hi"))]
+        )
+
+    def side(cells: DataFrame, p: str) -> DataFrame:
+        return cells.select(*keys, *[F.col(c).alias(f"{p}_{c}") for c in cells.columns if c not in keys])
+
+    def measured(duo: DataFrame) -> DataFrame:
+        near, far = F.lit(0.0), F.lit(0.0)
+        for c in ZYX:
+            gap = F.greatest(
+                F.col(f"b_lo{c}") - F.col(f"a_hi{c}"), F.col(f"a_lo{c}") - F.col(f"b_hi{c}"), F.lit(0.0)
+            )
+            reach = F.greatest(F.col(f"b_hi{c}") - F.col(f"a_lo{c}"), F.col(f"a_hi{c}") - F.col(f"b_lo{c}"))
+            near, far = near + gap * gap, far + reach * reach
+        named = [f"{p}_{c}" for p in "ab" for c in (*home, "n")]
+        return duo.filter(F.sqrt(near) <= radius).select(*keys, *named, (F.sqrt(far) <= radius).alias("sure"))
+
+    count = T.StructType([*field_types(points, [*keys, "label"]), T.StructField("_n", T.LongType())])
+    out, width = pts.select(*keys, "label"), radius / split
+    cells = cells_of(width)
     block = [F.floor(F.col(h) / (split + 1)).alias(f"g{c}") for h, c in zip(home, ZYX)]
-    a = cells.select(*keys, *[F.col(c).alias(f"a_{c}") for c in cells.columns if c not in keys], *block)
+    a = side(cells, "a").select("*", *[F.floor(F.col(f"a_{h}") / (split + 1)).alias(f"g{c}") for h, c in zip(home, ZYX)])
     for c in ZYX:
         a = a.withColumn(f"g{c}", F.explode(F.expr(f"sequence(g{c} - 1, g{c} + 1)")))
-    b = cells.select(*keys, *[F.col(c).alias(f"b_{c}") for c in cells.columns if c not in keys], *block)
-    near, far = F.lit(0.0), F.lit(0.0)
-    for c in ZYX:
-        gap = F.greatest(
-            F.col(f"b_lo{c}") - F.col(f"a_hi{c}"), F.col(f"a_lo{c}") - F.col(f"b_hi{c}"), F.lit(0.0)
-        )
-        reach = F.greatest(F.col(f"b_hi{c}") - F.col(f"a_lo{c}"), F.col(f"a_hi{c}") - F.col(f"b_lo{c}"))
-        near, far = near + gap * gap, far + reach * reach
-    duo = a.join(b, [*keys, "gz", "gy", "gx"]).withColumn("near", F.sqrt(near)).withColumn("far", F.sqrt(far))
-    duo = duo.filter(F.col("near") <= radius)
-    whole = duo.filter(F.col("far") <= radius).groupBy(*keys, *[F.col(f"a_{h}").alias(h) for h in home])
-    whole = whole.agg(F.sum("b_n").alias("_whole"))
-    cut = duo.filter(F.col("far") > radius).select(*keys, *[f"a_{h}" for h in home], *[f"b_{h}" for h in home])
-    left = pts.select(*keys, "label", *[F.col(c).alias(f"a_{c}") for c in ZYX], *[F.col(h).alias(f"a_{h}") for h in home])
-    right = pts.select(*keys, *[F.col(c).alias(f"b_{c}") for c in ZYX], *[F.col(h).alias(f"b_{h}") for h in home])
-    part = (
-        left.join(cut, [*keys, *[f"a_{h}" for h in home]])
-        .join(right, [*keys, *[f"b_{h}" for h in home]])
-        .filter(F.sqrt(_dist2("a_", "b_")) <= radius)
-        .groupBy(*keys, "label")
-        .agg(F.count("*").alias("_part"))
-    )
-    out = pts.join(whole, [*keys, *home], "left").join(part, [*keys, "label"], "left")
-    total = F.coalesce("_whole", F.lit(0)) + F.coalesce("_part", F.lit(0)) - 1
-    return out.select(*keys, "label", total.alias("n_within"))
+    b = side(cells.select("*", *block), "b").withColumnsRenamed({f"b_g{c}": f"g{c}" for c in ZYX})
+    duo = materialize(measured(a.join(by_site(b), [*keys, "gz", "gy", "gx"])), "cell-pairs")
+    counts = None
+    for level in range(FINER + 1):
+        whole = duo.filter("sure").groupBy(*keys, *[F.col(f"a_{h}").alias(h) for h in home]).agg(F.sum("b_n").alias("_n"))
+        inside = at(width).join(by_site(whole), [*keys, *home]).select(*keys, "label", "_n")
+        counts = inside if counts is None else counts.unionByName(inside)
+        few = F.lit(True) if level == FINER else F.col("a_n") * F.col("b_n") <= FEW
+        ends = duo.filter(~F.col("sure") & few).select(*keys, *[f"{p}_{h}" for p in "ab" for h in home])
+        size = cells.select(*keys, *home, "n")
+        listed = at(width).join(by_site(size), [*keys, *home]).withColumn("_k", F.pmod(F.xxhash64("label"), F.floor(F.col("n") / LISTED) + 1))
+        listed = listed.groupBy(*keys, *home, "_k").agg(F.collect_list(F.struct("label", *ZYX)).alias("_p"))
+        for p in "ab":
+            one = listed.select(*keys, *[F.col(h).alias(f"{p}_{h}") for h in home], *[F.col(f"_p.{c}").alias(f"{p}_{c}") for c in ("label", *ZYX)])
+            ends = ends.join(by_site(one), [*keys, *[f"{p}_{h}" for h in home]])
+        ends = ends.select(*keys, *[f"{p}_{c}" for p in "ab" for c in ("label", *ZYX)])
+        met = ends.mapInPandas(_counter(radius, keys, count), count).groupBy(*keys, "label").agg(F.sum("_n").alias("_n"))
+        counts = counts.unionByName(met)
+        more = duo.filter(~F.col("sure") & ~few)
+        if level == FINER or is_empty(more):
+            break
+        # Both cells of a pair give way to their halves.
+        width /= 2.0
+        more = more.select(*keys, *[F.col(f"{p}_{h}").alias(f"{p}_up_{h}") for p in "ab" for h in home])
+        cells = cells_of(width)
+        for p in "ab":
+            child = side(cells, p).select("*", *[F.floor(F.col(f"{p}_{h}") / 2).alias(f"{p}_up_{h}") for h in home])
+            more = more.join(by_site(child), [*keys, *[f"{p}_up_{h}" for h in home]])
+        duo = materialize(measured(more), "cell-pairs")
+    total = counts.groupBy(*keys, "label").agg(F.sum("_n").alias("_n"))
+    return out.join(total, [*keys, "label"], "left").select(*keys, "label", (F.coalesce("_n", F.lit(0)) - 1).alias("n_within"))
 
 
 def gaps(labels: DataFrame, pairs: DataFrame, scales: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
