@@ -29,6 +29,12 @@ def test_masks_are_not_broadcast(spark, sf, name):
     assert "BroadcastHashJoin" not in final_plan(QUERIES[name](spark, sf))
 
 
+@pytest.mark.parametrize("name", ["erode2d_1", "erode3d_1"])
+def test_rows_of_a_sample_are_not_broadcast(spark, sf, name):
+    """Neither the words of a mask nor voxels travel to meet the one row of their sample."""
+    assert "BroadcastHashJoin" not in final_plan(QUERIES[name](spark, sf)).split("== Initial Plan ==")[0]
+
+
 @pytest.mark.parametrize("name", ["align_direction", "interpolate_outlines", "rasterize"])
 def test_outlines_are_neither_broadcast_nor_shuffled_after_resampling(spark, sf, name):
     plan = final_plan(QUERIES[name](spark, sf)).split("== Initial Plan ==")[0]

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from ..bricks import BRICK
 from ..graph import connected
+from ..joins import by_site
 from ..schemas import KEYS, ZYX, field_types
 from ..session import is_empty, materialize
 
@@ -138,7 +139,7 @@ def components(
     )
     faces = local.filter(rim).select(*keys, *within, *ZYX, F.col(name).alias("b"))
     scope = [*keys, *within]
-    pairs = leaving.join(faces, [*scope, *ZYX]).select(*scope, "a", "b").distinct()
+    pairs = leaving.join(by_site(faces), [*scope, *ZYX]).select(*scope, "a", "b").distinct()
     pairs = materialize(pairs, "faces")
     local = local.drop("bz", "by", "bx")
     if is_empty(pairs):

@@ -109,7 +109,7 @@ def _mode_of(inside: DataFrame, mask: DataFrame, keys: Sequence[str]) -> DataFra
     )
     ends = materialize(ends, "ends")  # a known size, so that it is the side that travels
     cell = F.least(F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * N_BINS), F.lit(N_BINS - 1))
-    bins = spread_join(hist, ends, keys, ["value"]).groupBy(*keys, "lo", "hi", cell.alias("bin")).agg(F.sum("count").alias("n"))
+    bins = spread_join(hist, ends, keys, ["value"], known=True).groupBy(*keys, "lo", "hi", cell.alias("bin")).agg(F.sum("count").alias("n"))
     best = bins.groupBy(*keys, "lo", "hi").agg(F.max_by("bin", F.struct("n", -F.col("bin"))).alias("bin"))
     width = (F.col("hi") - F.col("lo")) / N_BINS
     return best.select(*keys, (F.col("lo") + F.col("bin") * width + width / 2).alias("mode"))
@@ -142,7 +142,7 @@ def remove_global(voxels, mask, volumes, tol: float, erosion: int = 0, keys: Seq
     keys = list(keys)
     cut = background_threshold(voxels, mask, volumes, tol, keys).select(*keys, "thresh")
     cut = materialize(cut, "cut")  # a known size, so that it is the side that travels
-    kept = spread_join(voxels, cut, keys, ZYX).filter("value > thresh").drop("thresh")
+    kept = spread_join(voxels, cut, keys, ZYX, known=True).filter("value > thresh").drop("thresh")
     if erosion <= 0:
         return kept
     return apply_mask(kept, erode2d(kept, volumes, erosion, keys), keys)
@@ -157,7 +157,7 @@ def fill_outside_random(voxels, mask, volumes, seed: int = 0, keys: Sequence[str
     """Replace every site outside the mask by noise of mode +- 0.1 % of the data range."""
     keys = list(keys)
     base = materialize(background_threshold(voxels, mask, volumes, 0.0, keys).select(*keys, "mode", "data_range"), "base")
-    outside = spread_join(invert_mask(lattice(volumes, keys), mask, keys), base, keys, ZYX)
+    outside = spread_join(invert_mask(lattice(volumes, keys), mask, keys), base, keys, ZYX, known=True)
     half = F.col("data_range") * 0.001
     noise = F.col("mode") - half + unit_hash(seed, *keys, *ZYX) * half * 2
     noisy = outside.select(*keys, *ZYX, noise.alias("value"), F.lit(False).alias("inside"))

@@ -43,8 +43,10 @@ def brain_extraction(
     Returns (un-eroded mask, brain-only voxels).
     """
     mask = materialize(postprocess(probs, threshold, keys), "mask")
-    used = erode_mask(mask, volumes, erosion, keys)
+    used = materialize(erode_mask(mask, volumes, erosion, keys), "eroded") if erosion > 0 else mask
     only = apply_mask(voxels, used, keys)
+    if mode > 0:
+        only = materialize(only, "brain-only")
     if mode == 1:
         only = remove_outside(only, used, volumes, tol, keys)
     elif mode == 2:
