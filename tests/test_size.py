@@ -35,6 +35,17 @@ def test_rows_of_a_sample_are_not_broadcast(spark, sf, name):
     assert "BroadcastHashJoin" not in final_plan(QUERIES[name](spark, sf)).split("== Initial Plan ==")[0]
 
 
+def test_packed_tables_are_not_broadcast(spark):
+    """A regular mask of two million sites fits a small file and a small shuffle; its rows do not fit the driver."""
+    from pyspark.sql import functions as F
+
+    from voxtable.session import materialize
+
+    sites = spark.range(1 << 21).select(*[F.pmod(F.shiftright("id", s), F.lit(128)).cast("int").alias(c) for c, s in (("z", 14), ("y", 7), ("x", 0))])
+    mask = materialize(sites, "packed")
+    assert "BroadcastHashJoin" not in final_plan(spark.range(8).select(F.col("id").cast("int").alias("x")).join(mask, "x", "left").groupBy("x").agg(F.max("z"), F.max("y")))
+
+
 @pytest.mark.parametrize("name", ["align_direction", "interpolate_outlines", "rasterize"])
 def test_outlines_are_neither_broadcast_nor_shuffled_after_resampling(spark, sf, name):
     plan = final_plan(QUERIES[name](spark, sf)).split("== Initial Plan ==")[0]

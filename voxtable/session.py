@@ -8,6 +8,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# How many times smaller than its rows a regular mask may be in a file and in a shuffle block.
+PACKED_FILE, PACKED_BLOCK = 100, 10
+
+
+def true_sizes(spark: SparkSession) -> SparkSession:
+    """Let Spark choose broadcasts by the rows' size, not by their packed one, so that none outgrows the driver."""
+    limit = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    spark.conf.set("spark.sql.sources.fileCompressionFactor", str(PACKED_FILE))
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", str(limit // PACKED_BLOCK))
+    return spark
+
+
 def get_spark(app: str = "voxtable", master: str | None = None, **conf) -> SparkSession:
     """A session with the settings the operators are tuned for."""
     builder = SparkSession.builder.appName(app)
@@ -23,7 +35,7 @@ def get_spark(app: str = "voxtable", master: str | None = None, **conf) -> Spark
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return true_sizes(builder.getOrCreate())
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -47,7 +59,7 @@ def materialize(df: DataFrame, tag: str = "stage") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Cuts lineage, survives lost executors, keeps column pruning and gives the
-    optimizer true sizes for its join choices.
+    optimizer sizes for its join choices; see ``true_sizes``.
     """
     spark = df.sparkSession
     path = scratch_path(spark, tag)
