@@ -169,3 +169,42 @@ def test_density_halves_crowded_cells(spark, monkeypatch):
     d = p[:, None] - p[None]
     want = (np.sqrt(d[..., 0] ** 2 + d[..., 1] ** 2 + d[..., 2] ** 2) <= 10.0).sum(axis=1) - 1
     assert got == dict(enumerate(want.tolist()))
+
+
+def test_late_lines_change_a_block_once_a_batch():
+    """Lines dealt by a hash reach every block in every Arrow batch; each block is written once, not once a batch."""
+    from voxtable.streaming.metrics import _Monitor
+
+    class Store(dict):
+        written = 0
+
+        def containsKey(self, at):
+            return at in self
+
+        def getValue(self, at):
+            return self[at]
+
+        def updateValue(self, at, value):
+            self.written += 1
+            self[at] = value
+
+        def iterator(self):
+            return iter(self.items())
+
+    class Handle:
+        def getMapState(self, name, *_):
+            return Store()
+
+    rng = np.random.default_rng(4)
+    n = 2000
+    value = rng.integers(5, 900, n) / 100
+    frame = pd.DataFrame({"seq": np.arange(1, n + 1), "epoch": np.arange(1, n + 1), "value": value})
+    m = _Monitor(500, -1.0, 100)
+    m.init(Handle())
+    order = rng.permutation(n)
+    for half in (order[:900], order[900:]):
+        m.lines.written = 0
+        (out,) = m.handleInputRows(("a",), (frame.iloc[half[i : i + 50]] for i in range(0, len(half), 50)), None)
+        assert m.lines.written == len(m.blocks)
+    at = int(np.argmin(value))
+    assert list(out.iloc[0]) == ["a", n, value[at], at + 1, n - 1 - at, n - 1 - at >= 500]

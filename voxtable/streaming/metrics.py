@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -17,6 +18,7 @@ SCORE_LINE = r"Full-brain Dice:\s*([\d.]+)\s*\[MODEL SELECTION\]"  # fixed value
 MONITOR = "run_id string, n_checkpoints long, best_value double, best_epoch int, checkpoints_since_best long, exceeded boolean"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 COLUMNS = ["run_id", "n_checkpoints", "best_value", "best_epoch", "checkpoints_since_best", "exceeded"]
+CHUNK = 1 << 20  # lines of a run that are gathered before their blocks are changed
 SUMMARY = "head int, n0 long, v0 double, e0 int, s0 long, n1 long, v1 double, e1 int, s1 long"
 
 
@@ -46,7 +48,7 @@ def stream_metrics(lines: DataFrame, fmt: str = "one_line") -> DataFrame:
 class _Monitor(StatefulProcessor):
     """Early stopping of one run whose log lines may come in any order.
 
-    Lines are kept in state in blocks of ``seq``; a block holds its lines and, per block, a summary: the last head in
+    Lines are kept in state in blocks of ``seq``; a block holds its lines, as bytes of (seq, epoch, value), and, per block, a summary: the last head in
     it, and the best score and score counts under heads of its own.  A late line changes its own block only, and a
     pass over the block summaries gives the count behind the best checkpoint.
     """
@@ -55,46 +57,56 @@ class _Monitor(StatefulProcessor):
         self.patience, self.sign, self.block = patience, sign, block
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.lines = handle.getMapState("lines", "block long", "seq array<long>, epoch array<int>, value array<double>")
+        self.lines = handle.getMapState("lines", "block long", "data binary")
         self.blocks = handle.getMapState("blocks", "block long", SUMMARY)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        changed = set()
+        waiting, n = [], 0
         for part in rows:
-            for number, new in part.groupby(part["seq"] // self.block):
-                at = (int(number),)
-                if self.lines.containsKey(at):
-                    seq, epoch, value = self.lines.getValue(at)
-                    new = pd.concat([pd.DataFrame({"seq": seq, "epoch": epoch, "value": value}).astype({"epoch": "float64", "value": "float64"}), new])
-                new = new.groupby("seq", as_index=False).agg({"epoch": "max", "value": "max"}).sort_values("seq")
-                self.lines.updateValue(at, (
-                    [int(s) for s in new["seq"]], [None if pd.isna(e) else int(e) for e in new["epoch"]],
-                    [None if pd.isna(v) else float(v) for v in new["value"]]))
-                changed.add(int(number))
-        for number in changed:
-            self.blocks.updateValue((number,), self.summary(*self.lines.getValue((number,))))
+            waiting.append(part[["seq", "epoch", "value"]].to_numpy("float64", na_value=np.nan))
+            n += len(part)
+            if n >= CHUNK:
+                self.store(np.concatenate(waiting))
+                waiting, n = [], 0
+        if n:
+            self.store(np.concatenate(waiting))
         out = self.verdict()
         if out is not None:
             yield pd.DataFrame([(key[0], *out)], columns=COLUMNS)
 
-    def summary(self, seq, epoch, value) -> tuple:
+    def store(self, new: np.ndarray) -> None:
+        """Rows (seq, epoch, value) into their blocks, each of which is read and written once."""
+        new = new[np.argsort(new[:, 0], kind="stable")]
+        number = new[:, 0] // self.block
+        for part in np.split(new, np.nonzero(np.diff(number))[0] + 1):
+            at = (int(part[0, 0] // self.block),)
+            if self.lines.containsKey(at):
+                old = np.frombuffer(self.lines.getValue(at)[0]).reshape(-1, 3)
+                part = np.concatenate((old, part))
+                part = part[np.argsort(part[:, 0], kind="stable")]
+            first = np.nonzero(np.diff(part[:, 0], prepend=np.nan))[0]
+            part = np.fmax.reduceat(part, first)
+            self.lines.updateValue(at, (part.tobytes(),))
+            self.blocks.updateValue(at, self.summary(part))
+
+    def summary(self, part: np.ndarray) -> tuple:
         """(last head, scores before the block's first head, the best of those, scores under own heads, the best of those).
 
         A best is (score, epoch, scores of its kind behind it); scores before the first head belong to an earlier
         block's head, or to none.
         """
-        head, loose, own = None, [], []
-        for e, v in zip(epoch, value):
-            head = head if e is None else e
-            if v is not None:
-                (loose if head is None else own).append((v, head))
-        return (head, *self.best(loose), *self.best(own))
-
-    def best(self, scores: list) -> tuple:
-        if not scores:
+        _, epoch, value = part.T
+        under = np.maximum.accumulate(np.where(np.isnan(epoch), -1, np.arange(len(epoch))))  # the row of the last head, -1 before any
+        head = None if under[-1] < 0 else int(epoch[under[-1]])
+        scored = ~np.isnan(value)
+        loose, own = scored & (under < 0), scored & (under >= 0)
+        return (head, *self.best(value[loose], None), *self.best(value[own], epoch[under[own]]))
+
+    def best(self, scores: np.ndarray, heads: np.ndarray | None) -> tuple:
+        if not len(scores):
             return 0, None, None, 0
-        at = max(range(len(scores)), key=lambda i: (self.sign * scores[i][0], -i))
-        return len(scores), scores[at][0], scores[at][1], len(scores) - 1 - at
+        at = int(np.argmax(self.sign * scores))
+        return len(scores), float(scores[at]), None if heads is None else int(heads[at]), len(scores) - 1 - at
 
     def verdict(self) -> tuple | None:
         """Blocks in order: a better score starts the count anew, any other adds what the block holds."""
