@@ -86,6 +86,48 @@ def test_masks_travel_as_words(spark, brick):
     assert sorted(map(tuple, erode2d(mask, dims, 1, ["fish_id"], brick=brick).collect())) == want
 
 
+def test_outlines_become_masks_as_words(spark):
+    """Raster, vote along z and both cuts on words of 32 sites: as site by site, and a mask's words are shuffled once for the vote."""
+    from voxtable.operators import masks as M, stencils as S
+
+    rng = np.random.default_rng(4)
+    nz, ny, nx = 5, 12, 70
+    shapes = {}
+    for z in range(nz):
+        at = np.sort(rng.uniform(0, 2 * np.pi, 9))
+        r = rng.uniform(0.3, 1.3, 9)  # partly concave, partly outside the frame
+        shapes[z] = [(float(6.013 + 6 * b * np.sin(a)), float(34.017 + 36 * b * np.cos(a))) for a, b in zip(at, r)]
+    polygons = spark.createDataFrame([("a", z, p) for z, p in shapes.items()], "fish_id string, z int, pts array<struct<y:double,x:double>>")
+    dims = spark.createDataFrame([("a", nz, ny, nx)], "fish_id string, nz int, ny int, nx int")
+    dense = np.zeros((nz, ny, nx), dtype=bool)
+    for z, p in shapes.items():
+        for (y0, x0), (y1, x1) in zip(p, p[1:] + p[:1]):
+            for y in range(ny):
+                if min(y0, y1) <= y < max(y0, y1):
+                    dense[z, y] ^= np.arange(nx) < x0 + (y - y0) * (x1 - x0) / (y1 - y0)
+
+    def sites(df):
+        return {(r["z"], r["y"], r["x"]) for r in df.collect()}
+
+    def places(where):
+        return {tuple(map(int, p)) for p in zip(*np.nonzero(where))}
+
+    words = O.rasterize(polygons, dims, words=True)
+    assert words.count() <= nz * ny * 3 < dense.sum()
+    assert sites(from_words(words)) == sites(O.rasterize(polygons, dims)) == places(dense)
+    padded = np.concatenate((dense[:1], dense, dense[-1:])).astype(int)
+    voted = padded[:-2] + padded[1:-1] + padded[2:] >= 2
+    mask = S.z_median3(words, dims)
+    assert sites(from_words(mask)) == sites(S.z_median3(from_words(words), dims)) == places(voted)
+    written = words.localCheckpoint()
+    plan = final_plan(S.z_median3(written, dims)).split("== Initial Plan ==")[1]
+    assert plan.count("Exchange hashpartitioning") == 3  # the volumes twice (distinct, then dealt) and the words
+    grid = spark.createDataFrame([("a", z, y, x, 1.0) for z, y, x in np.ndindex(nz, ny, nx)], "fish_id string, z int, y int, x int, value double")
+    for m in (mask, from_words(mask)):
+        assert sites(M.apply_mask(grid, m)) == places(voted) and sites(M.invert_mask(grid, m)) == places(~voted)
+    assert M.apply_mask(grid, mask).columns == grid.columns
+
+
 def test_neighbour_search_sends_no_point_to_27_cells(spark):
     """A long thin sample with a crowd: the same neighbours as by brute force, and few rows shuffled."""
     import numpy as np

@@ -35,7 +35,9 @@ def with_halo(df: DataFrame, brick: Sequence[int], halo: Sequence[int], word: in
 
 
 def as_words(mask: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """A mask as rows (keys, z, y, w, bits): bit i of ``bits`` stands for x = w * WORD + i."""
+    """A mask as rows (keys, z, y, w, bits): bit i of ``bits`` stands for x = w * WORD + i. Words pass through."""
+    if "bits" in mask.columns:
+        return mask
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.col("x"), F.lit(WORD)).cast("int"))
     return mask.groupBy(*keys, "z", "y", F.floor(F.col("x") / WORD).cast("int").alias("w")).agg(F.bit_or(bit).alias("bits"))
 

@@ -33,15 +33,19 @@ def with_sample(rows: DataFrame, per_sample: DataFrame, keys: Sequence[str]) ->
 
 def spread_join(
     rows: DataFrame, per_sample: DataFrame, keys: Sequence[str], by: Sequence[str], how: str = "inner", parts: int = PARTS,
-    known: bool = False,
+    known: bool = False, keep_part: bool = False,
 ) -> DataFrame:
     """``rows.join(per_sample, keys)`` with the rows of each sample dealt into ``parts`` by a hash of ``by``.
 
     The small side is repeated once per part and hashed where its rows are, so the rows are neither
     sorted nor broadcast: regular ones pack so well that Spark would take millions for a few MB and send
     them to the driver. ``known``: ``per_sample`` is a written table, whose size lets Spark send it instead.
+    ``keep_part`` leaves ``_part_no``: rows with the same ``by`` are then in one place for a grouping by keys and _part_no,
+    and partitions are not merged by the few bytes such rows pack into.
     """
     keys = list(keys)
     dealt = rows.withColumn("_part_no", F.pmod(F.xxhash64(*by), F.lit(parts)).cast("int"))
+    dealt = spread_by(dealt, [*keys, "_part_no"]) if keep_part else dealt
     wide = per_sample.withColumn("_part_no", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    return dealt.join(wide if known else wide.hint("shuffle_hash"), [*keys, "_part_no"], how).drop("_part_no")
+    out = dealt.join(wide if known else wide.hint("shuffle_hash"), [*keys, "_part_no"], how)
+    return out if keep_part else out.drop("_part_no")

@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..joins import by_site, spread_join
+from ..bricks import WORD, as_words
+from ..joins import by_site, spread_by, spread_join
 from ..numbering import quantiles
 from ..schemas import KEYS, ZYX
 from ..session import materialize
@@ -62,13 +63,25 @@ def binarize(df: DataFrame, condition: Column | str, keys: Sequence[str] = KEYS)
     return df.filter(condition).select(*keys, *ZYX)
 
 
+def _meet_mask(rows: DataFrame, mask: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Rows joined with the words of a mask (sites, or words as they are), so a dense one is not shuffled site by site."""
+    line = [*keys, "z", "y", "w"]
+    words = spread_by(mask, line) if "bits" in mask.columns else as_words(mask, keys)
+    words = words.select(*[F.col(c).alias(f"_m_{c}") for c in (*line, "bits")])
+    at = rows.withColumn("_w", F.floor(F.col("x") / WORD).cast("int"))
+    on = F.getbit("_m_bits", F.pmod(F.col("x"), F.lit(WORD)).cast("int")) == 1
+    for c in line:
+        on = on & (F.col("_w" if c == "w" else c) == F.col(f"_m_{c}"))
+    return at.join(by_site(words), on, how).drop("_w")
+
+
 def apply_mask(voxels: DataFrame, mask: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    return voxels.join(by_site(mask), [*keys, *ZYX], "left_semi")
+    return _meet_mask(voxels, mask, keys, "left_semi")
 
 
 def invert_mask(rows: DataFrame, mask: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Rows outside the mask: give voxels for skin-only, the lattice for the skin mask."""
-    return rows.join(by_site(mask), [*keys, *ZYX], "left_anti")
+    return _meet_mask(rows, mask, keys, "left_anti")
 
 
 def mask_and(a: DataFrame, b: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..bricks import WORD, from_words
 from ..joins import spread_by, with_sample
 from ..schemas import KEYS
 
@@ -46,15 +47,18 @@ def resample_outline(polygons: DataFrame, n: int = N_POINTS, keys: Sequence[str]
     first = F.ceil(F.col("_from") * n / F.col("_total"))
     stop = F.ceil(F.col("_cum") * n / F.col("_total"))
     sides = sides.withColumn("_a", first).withColumn("_b", F.least(stop, F.lit(n))).filter("_b > _a")
-    s = sides.withColumn("k", F.explode(F.expr("sequence(_a, _b - 1)")))
-    t = (F.col("_total") * F.col("k") / n - F.col("_from")) / F.col("len")
-    s = s.select(
-        *keys, "z", "k", (F.col("y") + (F.col("y1") - F.col("y")) * t).alias("y"), (F.col("x") + (F.col("x1") - F.col("x")) * t).alias("x")
-    )
-    pts = F.transform(
-        F.array_sort(F.collect_list(F.struct("k", "y", "x"))), lambda p: F.struct(p["y"].alias("y"), p["x"].alias("x"))
-    )
-    return s.groupBy(*keys, "z").agg(pts.alias("pts"))
+    # Outlines are gathered and sorted as sides; their many points come last, so that nothing sorts or keeps those.
+    side = F.struct("i", *[F.col(c).cast("int").alias(c) for c in ("_a", "_b")], "y", "x", "y1", "x1", "_from", "len", "_total")
+    whole = sides.groupBy(*keys, "z").agg(F.array_sort(F.collect_list(side)).alias("_sides")).sortWithinPartitions(*keys, "z")
+
+    def points(s: Column) -> Column:
+        def point(k: Column) -> Column:
+            t = (s["_total"] * k / n - s["_from"]) / s["len"]
+            return F.struct(*[(s[c] + (s[f"{c}1"] - s[c]) * t).alias(c) for c in "yx"])
+
+        return F.transform(F.sequence(s["_a"], s["_b"] - 1), point)
+
+    return whole.select(*keys, "z", F.flatten(F.transform("_sides", points)).alias("pts"))
 
 
 def shoelace(pts: str = "pts") -> Column:
@@ -136,8 +140,8 @@ def interpolate_outlines(
     return s.filter("z < nz").select(*keys, "z", pts.alias("pts"))
 
 
-def rasterize(polygons: DataFrame, volumes: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Sites inside each outline by the even-odd rule, row by row."""
+def rasterize(polygons: DataFrame, volumes: DataFrame, keys: Sequence[str] = KEYS, words: bool = False) -> DataFrame:
+    """Sites inside each outline by the even-odd rule, row by row; with ``words`` as ``bricks.as_words`` gives them."""
     keys = list(keys)
     p = F.col("pts")
     after = F.concat(F.slice(p, F.lit(2), F.size(p) - 1), F.slice(p, 1, 1))
@@ -151,8 +155,10 @@ def rasterize(polygons: DataFrame, volumes: DataFrame, keys: Sequence[str] = KEY
     lo, hi = F.greatest(F.ceil(F.least("y0", "y1")), F.lit(0)), F.least(F.ceil(F.greatest("y0", "y1")) - 1, F.col("ny") - 1)
     e = e.withColumn("_lo", lo).withColumn("_hi", hi).filter("_lo <= _hi").withColumn("y", F.explode(F.expr("sequence(_lo, _hi)")))
     cross = F.col("x0") + (F.col("y") - F.col("y0")) * (F.col("x1") - F.col("x0")) / (F.col("y1") - F.col("y0"))
-    rows = e.withColumn("_c", cross).groupBy(*keys, "z", "y", "nx").agg(F.array_sort(F.collect_list("_c")).alias("_c"))
-    rows = rows.withColumn("_i", F.explode(F.expr("sequence(0, size(_c) - 2, 2)")))
-    rows = rows.withColumn("_a", F.greatest(F.ceil(F.expr("_c[_i]")), F.lit(0)))
-    rows = rows.withColumn("_b", F.least(F.ceil(F.expr("_c[_i + 1]")) - 1, F.col("nx") - 1)).filter("_a <= _b")
-    return rows.select(*keys, "z", F.col("y").cast("int"), F.explode(F.expr("sequence(cast(_a AS int), cast(_b AS int))")).alias("x"))
+    # A crossing flips every site before it, so a site is set if an odd number of crossings lie beyond it.
+    rows = e.select(*keys, "z", F.col("y").cast("int"), F.least(F.ceil(cross), F.col("nx")).cast("int").alias("_stop")).filter("_stop > 0")
+    rows = rows.withColumn("w", F.explode(F.expr(f"sequence(0, CAST((_stop - 1) DIV {WORD} AS INT))")))
+    one, n = F.lit(1).cast("long"), F.least(F.col("_stop") - F.col("w") * WORD, F.lit(WORD))
+    before = F.call_function("shiftleft", one, n) - one
+    out = rows.groupBy(*keys, "z", "y", "w").agg(F.bit_xor(before).alias("bits")).filter("bits <> 0")
+    return out if words else from_words(out, keys)

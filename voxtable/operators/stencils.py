@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..bricks import stencil
+from ..bricks import as_words, from_words, stencil
 from ..joins import by_site, spread_join
 from ..schemas import KEYS, ZYX, field_types
 from .components import components, half_offsets, touching_groups
@@ -70,18 +70,25 @@ def erode3d(mask: DataFrame, volumes: DataFrame, n: int, keys: Sequence[str] = K
 
 
 def z_median3(mask: DataFrame, volumes: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Majority of slices z-1, z, z+1 with mirrored ends."""
-    rows = spread_join(mask.select(*keys, *ZYX), volumes.select(*keys, "nz").distinct(), keys, ZYX)
+    """Majority of slices z-1, z, z+1 with mirrored ends, taken on words; a mask given as words comes back as words.
+
+    A line's words of all slices are dealt to one part, so they are shuffled once and vote where they are.
+    """
+    rows = spread_join(as_words(mask, keys), volumes.select(*keys, "nz").distinct(), keys, ["y", "w"], keep_part=True)
     at = F.explode(
         F.array(
             *[
-                F.struct(F.least(F.greatest(F.col("z") + d, F.lit(0)), F.col("nz") - 1).alias("z"), F.lit(1).alias("w"))
+                F.struct(F.least(F.greatest(F.col("z") + d, F.lit(0)), F.col("nz") - 1).alias("z"), F.lit(d).alias("d"))
                 for d in (-1, 0, 1)
             ]
         )
     )
-    votes = rows.select(*keys, "y", "x", at.alias("t")).groupBy(*keys, F.col("t.z").alias("z"), "y", "x")
-    return votes.agg(F.sum("t.w").alias("w")).filter("w >= 2").select(*keys, *ZYX)
+    votes = rows.select(*keys, "_part_no", "y", "w", "bits", at.alias("t")).groupBy(*keys, "_part_no", F.col("t.z").alias("z"), "y", "w")
+    a, b, c = "_below", "_own", "_above"
+    slices = [F.coalesce(F.bit_or(F.when(F.col("t.d") == d, F.col("bits"))), F.lit(0).cast("long")).alias(n) for d, n in ((1, a), (0, b), (-1, c))]
+    two = F.expr(f"({a} & {b}) | ({a} & {c}) | ({b} & {c})")
+    words = votes.agg(*slices).select(*keys, "z", "y", "w", two.alias("bits")).filter("bits <> 0")
+    return words if "bits" in mask.columns else from_words(words, keys)
 
 
 def _slice_holes(y: np.ndarray, x: np.ndarray):

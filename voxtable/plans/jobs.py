@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..bricks import from_words
 from ..functions.describe import describe_with
 from ..functions.regions import assign_regions
 from ..functions.scalar import branch_ratios, clark_evans, depth_normalized, eq_diam, morphotype, sphericity, to_um
@@ -515,11 +516,11 @@ def best_background(voxels: DataFrame, mask: DataFrame, volumes: DataFrame, best
 
 def masks_from_outlines(polygons: DataFrame, volumes: DataFrame, voxels: DataFrame, keys: Sequence[str] = KEYS, check: bool = True):
     """Outlines -> brain mask (smoothed along z), brain-only and skin-only voxels. Raises if the mask is empty."""
-    mask = z_median3(O.rasterize(O.interpolate_outlines(polygons, volumes, keys), volumes, keys), volumes, keys)
-    mask = materialize(mask, "mask")
-    if check and not mask.take(1):
+    words = O.rasterize(O.interpolate_outlines(polygons, volumes, keys), volumes, keys, words=True)
+    words = materialize(z_median3(words, volumes, keys), "mask")
+    if check and not words.take(1):
         raise ValueError("mask is empty after rasterising")
-    return mask, apply_mask(voxels, mask, keys), invert_mask(voxels, mask, keys)
+    return from_words(words, keys), apply_mask(voxels, words, keys), invert_mask(voxels, words, keys)
 
 
 def skin_mask(mask: DataFrame, volumes: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
