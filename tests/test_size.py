@@ -250,3 +250,65 @@ def test_late_lines_change_a_block_once_a_batch():
         assert m.lines.written == len(m.blocks)
     at = int(np.argmin(value))
     assert list(out.iloc[0]) == ["a", n, value[at], at + 1, n - 1 - at, n - 1 - at >= 500]
+
+
+def test_holes_of_all_labels_of_a_slice_are_searched_together(spark, monkeypatch):
+    """Holes per label are those of each label alone, however many boxes are searched at once; 60,000 rings take no loop."""
+    from voxtable.operators import stencils as S
+
+    rng = np.random.default_rng(2)
+    at = np.unique(rng.integers(0, 16, (330, 2)), axis=0)
+    rows = [("a", 0, int(y), int(x), int(k)) for (y, x), k in zip(at, rng.choice([3, 7, 11], len(at), p=[0.7, 0.2, 0.1]))]
+    rows += [("a", 1, y, x, 7) for y in range(5) for x in range(6) if (y, x) not in ((1, 1), (2, 2), (2, 3), (3, 4))]
+    labels = spark.createDataFrame(rows, "fish_id string, z int, y int, x int, label int")
+    want = set()
+    for z, k in {(r[1], r[4]) for r in rows}:
+        own = {r[2:4] for r in rows if (r[1], r[4]) == (z, k)}
+        open_ = {(y, x) for y in range(-1, 17) for x in range(-1, 17)} - own
+        while open_:
+            piece, edge = set(), [min(open_)]
+            while edge:
+                y, x = edge.pop()
+                if (y, x) in open_:
+                    open_.remove((y, x))
+                    piece.add((y, x))
+                    edge += [(y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)]
+            if (-1, -1) not in piece:
+                want |= {(z, k, y, x, len(piece)) for y, x in piece}
+    for sites in (1, 200, 1 << 22):
+        monkeypatch.setattr(S, "SITES", sites)
+        got = {(r["z"], r["label"], r["y"], r["x"], r["hole_size"]) for r in S.slice_holes(labels, ["fish_id"], ["label"]).collect()}
+        assert got == want and len(want) > 5
+
+    n = 60_000
+    ring = np.array([(y, x) for y in range(3) for x in range(3) if (y, x) != (1, 1)])
+    y, x = (ring[None] + np.stack((np.arange(n) * 4, np.zeros(n, int)), 1)[:, None]).reshape(-1, 2).T
+    start = time.perf_counter()
+    group, ys, xs, hole, size = S._slice_holes(y, x, np.repeat(np.arange(n), 8))
+    assert time.perf_counter() - start < 10  # one by one they took a minute
+    assert (group == np.arange(n)).all() and (ys == np.arange(n) * 4 + 1).all() and (xs == 1).all() and (hole == 1).all() and (size == 1).all()
+
+
+def test_objects_whose_partners_are_alone_need_no_block(spark, monkeypatch):
+    """Fragments inside one cell, and cells under one object, keep the best pair by an aggregation; only mixed blocks are solved."""
+    from voxtable.operators import scoring as SC
+
+    pairs = [(1, 1, 0.2), (1, 2, 0.5), (1, 3, 0.5), (2, 4, 0.3), (3, 4, 0.3), (4, 5, 0.9), (5, 6, 0.6), (5, 7, 0.5), (6, 6, 0.5)]
+    edges = spark.createDataFrame([("a", g, p, s) for g, p, s in pairs], "fish_id string, gt int, pred int, iou double")
+    seen, connected = [], SC.connected
+    monkeypatch.setattr(SC, "connected", lambda e, keys: seen.append(e.count()) or connected(e, keys))
+    got = {(r["gt"], r["pred"], r["iou"]) for r in SC.assign(edges, ["fish_id"]).collect()}
+    assert got == {(1, 2, 0.5), (2, 4, 0.3), (4, 5, 0.9), (5, 7, 0.5), (6, 6, 0.5)} and seen == [3]
+
+
+def test_limits_found_before_are_not_measured_again(spark, monkeypatch):
+    """A suite measures size bounds and holes once; its sweeps take the table."""
+    from voxtable.plans import jobs as J
+
+    d = [("f", 0, y, x, 1) for y in range(4) for x in range(5) if (y, x) not in ((1, 1), (2, 3))]
+    gt = spark.createDataFrame(d, "fish_id string, z int, y int, x int, label int")
+    limits = J.size_limits(gt)
+    want = J.sweep_sizes(gt, None, None).collect()
+    monkeypatch.setattr(J, "slice_holes", None)
+    monkeypatch.setattr(J, "size_bounds", None)
+    assert J.sweep_sizes(gt, limits, limits).collect() == want

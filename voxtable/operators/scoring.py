@@ -68,16 +68,24 @@ def best_assignment(score: np.ndarray) -> list[tuple[int, int]]:
 def assign(edges: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """One-to-one pairs maximising the summed IoU per sample.
 
-    A pair that overlaps nothing else is final by itself. The rest falls into
-    independent blocks of the overlap graph, each solved in its own task.
+    An object whose partners overlap nothing else keeps the best of them, the lowest label of equal ones. The rest
+    falls into independent blocks of the overlap graph, each solved in its own task.
     """
     keys = list(keys)
     edges = materialize(edges, "overlaps")
     for side, n in (("gt", "_dg"), ("pred", "_dp")):
         edges = edges.join(edges.groupBy(*keys, side).agg(F.count("*").alias(n)), [*keys, side])
+    for side, n in (("gt", "_dp"), ("pred", "_dg")):
+        edges = edges.join(edges.groupBy(*keys, side).agg(F.max(n).alias(f"_m{n}")), [*keys, side])
     edges = materialize(edges, "iou")
-    lone = edges.filter("_dg = 1 and _dp = 1").drop("_dg", "_dp")
-    crowd = edges.filter("_dg > 1 or _dp > 1").drop("_dg", "_dp")
+    cols = [c for c in edges.columns if c not in ("_dg", "_dp", "_m_dg", "_m_dp")]
+
+    def star(rows: DataFrame, side: str, other: str) -> DataFrame:
+        top = F.max_by(F.struct(*cols), F.struct("iou", -F.col(other)))
+        return rows.groupBy(*keys, side).agg(top.alias("_t")).select("_t.*")
+
+    lone = star(edges.filter("_m_dp = 1"), "gt", "pred").unionByName(star(edges.filter("_m_dp > 1 and _m_dg = 1"), "pred", "gt"))
+    crowd = edges.filter("_m_dp > 1 and _m_dg > 1").select(*cols)
     node_g = (F.col("gt").cast("long") * 2).alias("a")
     node_p = (F.col("pred").cast("long") * 2 + 1).alias("b")
     blocks = connected(crowd.select(*keys, node_g, node_p), keys).withColumnsRenamed({"node": "_a", "root": "_block"})

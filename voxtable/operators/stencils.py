@@ -14,6 +14,9 @@ from ..schemas import KEYS, ZYX, field_types
 from .components import components, half_offsets, touching_groups
 
 
+SITES = 1 << 22  # sites of the boxes whose holes are searched at once
+
+
 def gaussian_weights(sigma: float) -> np.ndarray:
     """Normalised weights with radius int(4 sigma + 0.5)."""
     r = int(4.0 * sigma + 0.5)
@@ -91,15 +94,42 @@ def z_median3(mask: DataFrame, volumes: DataFrame, keys: Sequence[str] = KEYS) -
     return words if "bits" in mask.columns else from_words(words, keys)
 
 
-def _slice_holes(y: np.ndarray, x: np.ndarray):
-    """Enclosed 4-connected background pieces of one slice: (ys, xs, piece number)."""
-    y0, x0 = y.min() - 1, x.min() - 1
-    dense = np.ones((y.max() - y0 + 2, x.max() - x0 + 2), dtype=bool)
-    dense[y - y0, x - x0] = False
-    by, bx = np.nonzero(dense)
-    piece = touching_groups([np.zeros_like(by), by, bx], half_offsets(4))
-    closed = piece != piece[0]  # the padded corner belongs to the outside
-    return by[closed] + y0, bx[closed] + x0, piece[closed]
+def _slice_holes(y: np.ndarray, x: np.ndarray, group: np.ndarray):
+    """Enclosed 4-connected background pieces of each group (0..) of one slice: group, ys, xs, number within the group, size.
+
+    All groups' boxes are searched together, SITES at a time.
+    """
+    order = np.argsort(group, kind="stable")
+    y, x, group = y[order].astype("int64"), x[order].astype("int64"), group[order]
+    first = np.flatnonzero(np.diff(group, prepend=-1))
+    n = np.diff(first, append=len(group))
+    y0, y1, x0, x1 = (f.reduceat(c, first) for c in (y, x) for f in (np.minimum, np.maximum))
+    # A hole has a site on each of its four sides.
+    able = np.flatnonzero((n >= 4) & (y1 - y0 >= 2) & (x1 - x0 >= 2))
+    width = x1 - x0 + 3
+    area = (y1 - y0 + 3) * width
+    out = []
+    for some in np.split(able, np.flatnonzero(np.diff(np.cumsum(area[able]) // SITES)) + 1):
+        if not len(some):
+            continue
+        start = np.cumsum(area[some]) - area[some]
+        box = np.repeat(np.arange(len(some)), n[some])
+        at = np.arange(len(box)) + np.repeat(first[some] - (np.cumsum(n[some]) - n[some]), n[some])
+        dense = np.ones(area[some].sum(), dtype=bool)
+        dense[start[box] + (y[at] - y0[some][box] + 1) * width[some][box] + x[at] - x0[some][box] + 1] = False
+        empty = np.flatnonzero(dense)
+        box = np.searchsorted(start, empty, "right") - 1
+        by, bx = np.divmod(empty - start[box], width[some][box])
+        piece = touching_groups([np.zeros_like(by), by, bx], half_offsets(4), box)
+        closed = piece != piece[np.searchsorted(empty, start)][box]  # the padded corner belongs to the outside
+        if not closed.any():
+            continue
+        box, by, bx = box[closed], by[closed], bx[closed]
+        _, lead, hole, size = np.unique(piece[closed], return_index=True, return_inverse=True, return_counts=True)
+        owner = box[lead]
+        number = np.arange(len(lead)) - np.searchsorted(owner, owner) + 1
+        out.append((group[first[some]][box], by + y0[some][box] - 1, bx + x0[some][box] - 1, number[hole], size[hole]))
+    return [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, dtype="int64")] * 5
 
 
 def slice_holes(mask: DataFrame, keys: Sequence[str] = KEYS, within: Sequence[str] = ()) -> DataFrame:
@@ -117,17 +147,14 @@ def slice_holes(mask: DataFrame, keys: Sequence[str] = KEYS, within: Sequence[st
     names = schema.names
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        for tag, part in pdf.groupby(within, sort=False) if within else [((), pdf)]:
-            ys, xs, piece = _slice_holes(part["y"].to_numpy(), part["x"].to_numpy())
-            if not len(ys):
-                continue
-            _, hole, size = np.unique(piece, return_inverse=True, return_counts=True)
-            out = {k: [pdf[k].iloc[0]] * len(ys) for k in keys}
-            out |= {w: [v] * len(ys) for w, v in zip(within, tag)}
-            out |= {"z": pdf["z"].iloc[0], "y": ys, "x": xs, "hole": hole + 1, "hole_size": size[hole]}
-            parts.append(pd.DataFrame(out)[names])
-        return pd.concat(parts) if parts else pd.DataFrame(columns=names)
+        part = pdf.groupby(within, sort=False).ngroup().to_numpy() if within else np.zeros(len(pdf), dtype="int64")
+        group, ys, xs, hole, size = _slice_holes(pdf["y"].to_numpy(), pdf["x"].to_numpy(), part)
+        if not len(ys):
+            return pd.DataFrame(columns=names)
+        _, lead = np.unique(part, return_index=True)
+        out = {k: [pdf[k].iloc[0]] * len(ys) for k in keys} | {w: pdf[w].to_numpy()[lead[group]] for w in within}
+        out |= {"z": pdf["z"].iloc[0], "y": ys, "x": xs, "hole": hole, "hole_size": size}
+        return pd.DataFrame(out)[names]
 
     return mask.select(*keys, *within, *ZYX).groupBy(*keys, "z").applyInPandas(run, schema)
 

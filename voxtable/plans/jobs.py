@@ -251,15 +251,19 @@ def sweep_cells(
     return cells
 
 
-def sweep_sizes(gt: DataFrame, min_volume: float | None, min_hole_size: int | None, keys: Sequence[str] = KEYS) -> DataFrame:
-    """(keys, min_volume, min_hole_size) per sample: the given numbers, or what its ground truth shows."""
+def sweep_sizes(
+    gt: DataFrame, min_volume: float | DataFrame | None, min_hole_size: int | DataFrame | None, keys: Sequence[str] = KEYS
+) -> DataFrame:
+    """(keys, min_volume, min_hole_size) per sample: the given numbers or tables, or what its ground truth shows."""
     keys = list(keys)
-    every = gt.select(*keys).distinct()
-    low = size_bounds(gt, keys).select(*keys, "min_volume") if min_volume is None else every.withColumn("min_volume", F.lit(min_volume))
-    if min_hole_size is None:
-        hole = smallest_holes(gt, keys=keys)
-    else:
-        hole = every.withColumn("min_hole_size", F.lit(min_hole_size))
+
+    def size(given, name: str, measured) -> DataFrame:
+        if given is None or isinstance(given, DataFrame):
+            return (measured() if given is None else given).select(*keys, name)
+        return gt.select(*keys).distinct().withColumn(name, F.lit(given))
+
+    low = size(min_volume, "min_volume", lambda: size_bounds(gt, keys))
+    hole = size(min_hole_size, "min_hole_size", lambda: smallest_holes(gt, keys=keys))
     return materialize(low.join(hole, keys), "sweep-sizes")
 
 
@@ -270,8 +274,8 @@ def _best_with_sizes(avg: DataFrame, sizes: DataFrame, keys: list[str]) -> DataF
 
 def background_sweep(
     voxels: DataFrame, mask: DataFrame, gt: DataFrame, volumes: DataFrame, cells: DataFrame | None, thresholds: Sequence[float],
-    erosions: Sequence[int], sigma_xy: float = 1.5, sigma_z: float = 3.0, min_volume: float | None = None,
-    min_hole_size: int | None = None, fraction: float = FRACTION, pad_z: int = 15, pad_xy: int = 40,
+    erosions: Sequence[int], sigma_xy: float = 1.5, sigma_z: float = 3.0, min_volume: float | DataFrame | None = None,
+    min_hole_size: int | DataFrame | None = None, fraction: float = FRACTION, pad_z: int = 15, pad_xy: int = 40,
     scale_zyx: Sequence[float] = (1.0, 1.0, 1.0), n_cells: int = 5, keys: Sequence[str] = KEYS,
 ):
     """Background threshold (p1) x erosion (p2) over ``cells`` (label; None: the ``n_cells`` most branched per sample).
@@ -305,8 +309,8 @@ def background_sweep(
 
 def sigma_sweep(
     brain_only: DataFrame, gt: DataFrame, volumes: DataFrame, cells: DataFrame | None, sigma_xys: Sequence[float],
-    sigma_zs: Sequence[float], min_volume: float | None = None, min_hole_size: int | None = None, fraction: float = FRACTION,
-    pad_z: int = 15, pad_xy: int = 40, scale_zyx: Sequence[float] = (1.0, 1.0, 1.0), n_cells: int = 5,
+    sigma_zs: Sequence[float], min_volume: float | DataFrame | None = None, min_hole_size: int | DataFrame | None = None,
+    fraction: float = FRACTION, pad_z: int = 15, pad_xy: int = 40, scale_zyx: Sequence[float] = (1.0, 1.0, 1.0), n_cells: int = 5,
     keys: Sequence[str] = KEYS,
 ):
     """Smoothing grid (p1 = sigma_xy, p2 = sigma_z) over ``cells``; crops are cut once.
@@ -414,12 +418,19 @@ def smallest_holes(gt: DataFrame, trust: int = 5, default: int = 20, keys: Seque
     return every.select(*keys, F.coalesce("_h", F.lit(default)).alias("min_hole_size"))
 
 
-def calibration_rows(gt: DataFrame, verified: DataFrame, ts: Column, keys: Sequence[str] = KEYS) -> DataFrame:
+def size_limits(gt: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """(keys, min_volume, max_volume, min_hole_size) that each sample's ground truth shows."""
+    return size_bounds(gt, keys).join(smallest_holes(gt, keys=keys), list(keys))
+
+
+def calibration_rows(
+    gt: DataFrame, verified: DataFrame, ts: Column, keys: Sequence[str] = KEYS, limits: DataFrame | None = None
+) -> DataFrame:
     """History rows measured straight from ground truth: size bounds and smallest hole of samples that allow it.
 
-    ``verified``: fish_id, verified.
+    ``verified``: fish_id, verified. ``limits``: ``size_limits`` if known already.
     """
-    b = size_bounds(gt, keys).join(smallest_holes(gt, keys=keys), list(keys))
+    b = size_limits(gt, keys) if limits is None else limits
     rows = F.array(
         *[
             F.struct(F.lit(k).alias("config_key"), F.col(c).cast("double").alias("value"))
@@ -470,19 +481,21 @@ def calibration_suite(
     a step cannot score. ``history`` holds earlier runs. Returns (history with this run's rows, recommendations).
     """
     keys = list(keys)
-    rows = [calibration_rows(gt, verified, ts, keys)]
+    limits = materialize(size_limits(gt, keys), "limits")
+    rows = [calibration_rows(gt, verified, ts, keys, limits)]
     cells = sweep_cells(gt, None, scale_zyx, n_cells, keys)
     if probs is not None and true_mask is not None:
         _, best = mask_sweep(probs, true_mask, volumes, thresholds, erosions, keys)
         rows.append(sweep_history(best, SWEEP_KEYS["mask"], verified, ts, keys))
     if true_mask is not None:
         _, _, best = background_sweep(
-            voxels, true_mask, gt, volumes, cells, tolerances, signal_erosions, pad_z=pad_z, pad_xy=pad_xy, keys=keys
+            voxels, true_mask, gt, volumes, cells, tolerances, signal_erosions, min_volume=limits, min_hole_size=limits, pad_z=pad_z,
+            pad_xy=pad_xy, keys=keys,
         )
         best = materialize(best, "best-background")
         rows.append(sweep_history(best, SWEEP_KEYS["background"], verified, ts, keys))
         only = best_background(voxels, true_mask, volumes, best, keys)
-        _, _, best = sigma_sweep(only, gt, volumes, cells, sigma_xys, sigma_zs, pad_z=pad_z, pad_xy=pad_xy, keys=keys)
+        _, _, best = sigma_sweep(only, gt, volumes, cells, sigma_xys, sigma_zs, limits, limits, pad_z=pad_z, pad_xy=pad_xy, keys=keys)
         rows.append(sweep_history(best, SWEEP_KEYS["sigma"], verified, ts, keys))
     radius = recommend_branch_radius(branch_diameters(gt, scale_zyx, keys=keys), float(scale_zyx[2]), keys)
     rows.append(sweep_history(radius, {"branch_radius_px": "cellpose_branch_radius"}, verified, ts, keys))
