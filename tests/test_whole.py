@@ -26,6 +26,43 @@ def test_crops_are_found_behind_many_failing_anchors(spark):
     assert [(r["top"], r["left"], r["gt_px"]) for r in got] == [(0, 0, 2)]
 
 
+def test_widths_of_the_sweeps_change_the_mask(spark, sf):
+    """Every smoothing width a registered sweep tries takes sites away and leaves some: none gives the mask back or empties it."""
+    from voxtable.operators.stencils import smooth_mask
+    from voxtable.queries import base, calibrating as Q
+
+    mask = base.occupied(spark, sf, 0.0).localCheckpoint()
+    for a in Q.SIGMAS_XY:
+        for b in Q.SIGMAS_Z:
+            assert 0 < smooth_mask(mask, base.vol(spark, sf), a, b).count() < mask.count()
+
+
+def test_suite_smooths_its_background_sweep(spark, make, dims):
+    """The widths reach the background sweep, and what its best point reached stands in the history."""
+    import numpy as np
+
+    from voxtable.plans import jobs as J
+
+    d = np.zeros((3, 12, 12), dtype=int)
+    d[:, 2:7, 2:7] = 1
+    d[1, 9, 9] = 2
+    voxels = make({"f": d * 10}, "value").withColumn("value", F.col("value").cast("double"))
+    ok = spark.createDataFrame([("f", True)], "fish_id string, verified boolean")
+    now = F.lit("2024-01-01").cast("timestamp")
+
+    def reached(width):
+        history, _ = J.calibration_suite(
+            make({"f": d}), dims({"f": d}), voxels, ok, now, (1.0, 1.0, 1.0), true_mask=make({"f": np.ones_like(d)}).drop("label"), tolerances=(0.0,),
+            signal_erosions=(0,), sigma_xys=(width,), sigma_zs=(0.5,), sigma_xy=width, sigma_z=0.5,
+        )
+        return {r["config_key"]: r["score"] for r in history.collect()}
+
+    narrow, wide = reached(0.3), reached(1.0)
+    for key in ("bg_tolerance", "sigma_xy"):
+        assert narrow[key] == 100 > wide[key] > 0
+    assert narrow["min_volume_vox"] is None
+
+
 def test_long_text_keeps_its_end(spark):
     n = (1 << 20) + 5
     assert spark.range(1).select(F.length(_capital(F.expr(f"repeat('a', {n})")))).first()[0] == n

@@ -441,11 +441,18 @@ def calibration_rows(
     return h.select("config_key", "fish_id", "value", "verified", ts.alias("ts"))
 
 
-def sweep_history(best: DataFrame, names: dict[str, str], verified: DataFrame, ts: Column, keys: Sequence[str] = KEYS) -> DataFrame:
-    """History rows from a sweep's best points, e.g. names={"p1": "monai_threshold", "p2": "erosion_voxels"}."""
+def sweep_history(
+    best: DataFrame, names: dict[str, str], verified: DataFrame, ts: Column, keys: Sequence[str] = KEYS, score: str | None = None
+) -> DataFrame:
+    """History rows from a sweep's best points, e.g. names={"p1": "monai_threshold", "p2": "erosion_voxels"}.
+
+    ``score`` names the column that chose the points; it is kept as ``score``.
+    """
+    own = [] if score is None else [F.col(score).cast("double").alias("score")]
     rows = F.array(*[F.struct(F.lit(k).alias("config_key"), F.col(c).cast("double").alias("value")) for c, k in names.items()])
-    h = best.select(*keys, F.explode(rows).alias("_r")).select(*keys, "_r.*").join(verified, list(keys))
-    return h.select("config_key", "fish_id", "value", "verified", ts.alias("ts"))
+    h = best.select(*keys, F.explode(rows).alias("_r"), *own).select(*keys, "_r.*", *([] if score is None else ["score"]))
+    h = h.join(verified, list(keys))
+    return h.select("config_key", "fish_id", "value", "verified", ts.alias("ts"), *([] if score is None else ["score"]))
 
 
 def calibrate(gt: DataFrame, verified: DataFrame, ts: Column, sweeps: Sequence[DataFrame] = (), keys: Sequence[str] = KEYS) -> DataFrame:
@@ -471,14 +478,15 @@ def calibration_suite(
     thresholds: Sequence[float] = (0.3, 0.5, 0.7), erosions: Sequence[int] = (0, 1), tolerances: Sequence[float] = (0.0, 5.0),
     signal_erosions: Sequence[int] = (0, 1), sigma_xys: Sequence[float] = (0.5, 1.0), sigma_zs: Sequence[float] = (0.5,),
     large_contacts: Sequence[int] = (20,), n_cells: int = 5, pad_z: int = 15, pad_xy: int = 40, keys: Sequence[str] = KEYS,
-    history: DataFrame | None = None, **correction,
+    history: DataFrame | None = None, sigma_xy: float = 1.5, sigma_z: float = 3.0, **correction,
 ) -> tuple[DataFrame, DataFrame]:
     """Everything that ground truth can calibrate, in order; each step uses what the steps before it found.
 
     Size bounds and smallest holes; threshold and erosion of the brain mask (needs ``probs``: p, and ``true_mask``);
-    background tolerance and signal erosion inside the true mask; smoothing of what the best background leaves; branch
-    radius; probability cut of ``fragments`` (a column p1). Steps whose inputs are absent are left out, as are samples
-    a step cannot score. ``history`` holds earlier runs. Returns (history with this run's rows, recommendations).
+    background tolerance and signal erosion inside the true mask, smoothed by ``sigma_xy`` and ``sigma_z``; smoothing of what
+    the best background leaves; branch radius; probability cut of ``fragments`` (a column p1). Steps whose inputs are absent
+    are left out, as are samples a step cannot score. ``history`` holds earlier runs. Returns (history with this run's rows
+    and the score each sweep reached, recommendations).
     """
     keys = list(keys)
     limits = materialize(size_limits(gt, keys), "limits")
@@ -486,26 +494,26 @@ def calibration_suite(
     cells = sweep_cells(gt, None, scale_zyx, n_cells, keys)
     if probs is not None and true_mask is not None:
         _, best = mask_sweep(probs, true_mask, volumes, thresholds, erosions, keys)
-        rows.append(sweep_history(best, SWEEP_KEYS["mask"], verified, ts, keys))
+        rows.append(sweep_history(best, SWEEP_KEYS["mask"], verified, ts, keys, "dice"))
     if true_mask is not None:
         _, _, best = background_sweep(
-            voxels, true_mask, gt, volumes, cells, tolerances, signal_erosions, min_volume=limits, min_hole_size=limits, pad_z=pad_z,
+            voxels, true_mask, gt, volumes, cells, tolerances, signal_erosions, sigma_xy, sigma_z, limits, limits, pad_z=pad_z,
             pad_xy=pad_xy, keys=keys,
         )
         best = materialize(best, "best-background")
-        rows.append(sweep_history(best, SWEEP_KEYS["background"], verified, ts, keys))
+        rows.append(sweep_history(best, SWEEP_KEYS["background"], verified, ts, keys, "iou"))
         only = best_background(voxels, true_mask, volumes, best, keys)
         _, _, best = sigma_sweep(only, gt, volumes, cells, sigma_xys, sigma_zs, limits, limits, pad_z=pad_z, pad_xy=pad_xy, keys=keys)
-        rows.append(sweep_history(best, SWEEP_KEYS["sigma"], verified, ts, keys))
+        rows.append(sweep_history(best, SWEEP_KEYS["sigma"], verified, ts, keys, "iou"))
     radius = recommend_branch_radius(branch_diameters(gt, scale_zyx, keys=keys), float(scale_zyx[2]), keys)
     rows.append(sweep_history(radius, {"branch_radius_px": "cellpose_branch_radius"}, verified, ts, keys))
     if fragments is not None:
         _, best = fragment_sweep(fragments, gt, volumes, large_contacts, keys, **correction)
-        rows.append(sweep_history(best, SWEEP_KEYS["fragments"], verified, ts, keys))
+        rows.append(sweep_history(best, SWEEP_KEYS["fragments"], verified, ts, keys, "score"))
     now = rows[0]
     for r in rows[1:]:
-        now = now.unionByName(r)
-    now = materialize(now if history is None else history.unionByName(now), "calibration")
+        now = now.unionByName(r, allowMissingColumns=True)
+    now = materialize(now if history is None else history.unionByName(now, allowMissingColumns=True), "calibration")
     return now, recommend_all(now)
 
 
