@@ -569,7 +569,7 @@ def sigma_sweep(spark, sf):
     from ..operators.masks import remove_global
 
     only = remove_global(vox(spark, sf), brain(spark, sf), vol(spark, sf), 0.05)
-    r, _, _ = J.sigma_sweep(only, truth(spark, sf), vol(spark, sf), None, [0.3, 0.5], [0.3], pad_z=3, pad_xy=4, scale_zyx=SCALE)
+    r, _, _ = J.sigma_sweep(only, truth(spark, sf), vol(spark, sf), None, SIGMAS_XY, SIGMAS_Z, pad_z=3, pad_xy=4, scale_zyx=SCALE)
     return rounded(r)
 
 
