@@ -9,11 +9,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from ..graph import connected
+from ..joins import spread_by
 from ..schemas import KEYS, field_types
 from ..session import materialize
 from .labels import volumes_of
 from .pairs import overlap
 
+BUCKETS = 1024  # groups that a sample's blocks of the overlap graph are dealt into
+
 
 def iou_edges(pred: DataFrame, gt: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """gt, pred, inter, gt_vox, pred_vox, iou for every overlapping pair."""
@@ -69,7 +72,7 @@ def assign(edges: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """One-to-one pairs maximising the summed IoU per sample.
 
     An object whose partners overlap nothing else keeps the best of them, the lowest label of equal ones. The rest
-    falls into independent blocks of the overlap graph, each solved in its own task.
+    falls into independent blocks of the overlap graph, each solved by itself; a sample's blocks go to the tasks in BUCKETS.
     """
     keys = list(keys)
     edges = materialize(edges, "overlaps")
@@ -92,16 +95,23 @@ def assign(edges: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     crowd = crowd.withColumn("_a", node_g).join(blocks, [*keys, "_a"]).drop("_a")
     schema = T.StructType([*field_types(lone, lone.columns)])
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        g, gi = np.unique(pdf["gt"], return_inverse=True)
-        p, pi = np.unique(pdf["pred"], return_inverse=True)
+    def solve(gt: np.ndarray, pred: np.ndarray, iou: np.ndarray) -> list[bool]:
+        g, gi = np.unique(gt, return_inverse=True)
+        p, pi = np.unique(pred, return_inverse=True)
         score = np.zeros((len(g), len(p)))
-        score[gi, pi] = pdf["iou"]
-        chosen = {pair for pair in best_assignment(score)}
-        keep = [pair in chosen for pair in zip(gi.tolist(), pi.tolist())]
+        score[gi, pi] = iou
+        chosen = set(best_assignment(score))
+        return [pair in chosen for pair in zip(gi.tolist(), pi.tolist())]
+
+    def solve_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_block", kind="stable")
+        cols = [pdf[c].to_numpy() for c in ("gt", "pred", "iou")]
+        ends = np.flatnonzero(np.diff(pdf["_block"].to_numpy())) + 1
+        keep = [k for block in zip(*[np.split(c, ends) for c in cols]) for k in solve(*block)]
         return pdf.loc[keep, schema.names]
 
-    return lone.unionByName(crowd.groupBy(*keys, "_block").applyInPandas(solve, schema))
+    crowd = crowd.withColumn("_bucket", F.pmod(F.xxhash64("_block"), F.lit(BUCKETS)).cast("int"))
+    return lone.unionByName(spread_by(crowd, [*keys, "_bucket"]).groupBy(*keys, "_bucket").applyInPandas(solve_bucket, schema))
 
 
 def match_objects(pred: DataFrame, gt: DataFrame, threshold: float = 0.5, keys: Sequence[str] = KEYS) -> DataFrame:
